@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes
     """Cut record batches so that the texts of a block hold max_bytes at most (one row at least)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        ends = np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.float64)))
+        ends = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.float64)))
         at = 0
         while at < len(ends):
             base = ends[at - 1] if at else 0.0
@@ -160,3 +161,116 @@ def global_index(df: DataFrame, order: list[Column], name: str, parts: int = 64)
     lookup = F.create_map(*[F.lit(x) for p in base for x in (p, base[p])]) if base else None
     index = (F.element_at(lookup, F.col("__part")) + F.col("__at") - 1).cast("long") if base else F.lit(0).cast("long")
     return ranged.withColumn(name, index).drop("__part", "__at")
+
+
+#: Rows that carry packed columns to a partition: its number, the kind of columns, how many values, their bytes.
+PACKED = "p int, kind int, n int, data binary"
+#: Bytes of text a partition of a packed exchange stands for.
+PART_BYTES = 12 << 20
+
+
+def parts_for(docs: DataFrame, text: str = "text") -> int:
+    """Number of partitions of packed exchanges, in proportion to the bytes of all texts."""
+    total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0  # one number
+    return max(4, -(-total // PART_BYTES))
+
+
+def scatter(keys: np.ndarray, parts: int, kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Pack equal-length columns by the partition that their keys fall in."""
+    to = ((mix64(keys.astype(np.uint64, copy=False)) >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    sorted_to = to[order]
+    cut = np.flatnonzero(np.concatenate(([True], sorted_to[1:] != sorted_to[:-1]))) if len(to) else np.zeros(0, int)
+    ends = np.append(cut[1:], len(to))[: len(cut)]
+    moved = [c[order] for c in columns]
+    data = [b"".join(c[a:b].tobytes() for c in moved) for a, b in zip(cut, ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(sorted_to[cut], pa.int32()), pa.array(np.full(len(cut), kind), pa.int32()), pa.array(ends - cut, pa.int32()), pa.array(data, pa.binary())], ["p", "kind", "n", "data"])
+
+
+def scatter_texts(keys: np.ndarray, parts: int, kind: int, columns: list[np.ndarray], raw: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    """Pack rows of columns and the bytes raw[offsets[i]:offsets[i + 1]] of each, compressed, by the partition of their keys."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3)
+    to = ((mix64(keys.astype(np.uint64, copy=False)) >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
+    ps, ns, data = [], [], []
+    for p in np.unique(to):
+        rows = np.flatnonzero(to == p)
+        texts = [raw[offsets[i] : offsets[i + 1]] for i in rows]
+        lengths = np.array([len(t) for t in texts], np.int64)
+        ps.append(p)
+        ns.append(len(rows))
+        data.append(squeeze.compress(b"".join([*(c[rows].tobytes() for c in columns), lengths.tobytes(), *(t.tobytes() for t in texts)])))
+    return pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(np.full(len(ps), kind), pa.int32()), pa.array(ns, pa.int32()), pa.array(data, pa.binary())], ["p", "kind", "n", "data"])
+
+
+class Gathered:
+    """All packed rows of a partition, by kind; what a partition holds is bounded by PART_BYTES of text."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        self.rows: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            for kind, n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                self.rows.setdefault(kind, []).append((n, data))
+
+    def columns(self, kind: int, *types: str) -> list[np.ndarray]:
+        """The columns of a kind, put together."""
+        out: list[list[np.ndarray]] = [[] for _ in types]
+        for n, data in self.rows.pop(kind, []):
+            at = 0
+            for i, t in enumerate(types):
+                out[i].append(np.frombuffer(data, t, n, at))
+                at += n * np.dtype(t).itemsize
+        return [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, types, strict=True)]
+
+    def texts(self, kind: int, *types: str) -> tuple[list[np.ndarray], pa.Array]:
+        """The columns and texts of a kind packed by scatter_texts."""
+        import zstandard
+
+        out, lengths, raws = [[] for _ in types], [], []
+        expand = zstandard.ZstdDecompressor()
+        for n, data in self.rows.pop(kind, []):
+            data, at = expand.decompress(data), 0
+            for i, t in enumerate(types):
+                out[i].append(np.frombuffer(data, t, n, at))
+                at += n * np.dtype(t).itemsize
+            lengths.append(np.frombuffer(data, np.int64, n, at))
+            raws.append(data[at + 8 * n :])
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths) if lengths else np.zeros(0, np.int64)))).astype(np.int64)
+        texts = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(raws))])
+        return [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, types, strict=True)], texts
+
+
+def exchange(parts: int, *packed: DataFrame) -> DataFrame:
+    """Bring packed rows to their partitions."""
+    out = packed[0]
+    for other in packed[1:]:
+        out = out.unionByName(other)
+    return out.repartition(parts, "p")
+
+
+def firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sort order by the keys (the first decides first) and where a new value of the first key begins in it."""
+    order = np.lexsort(keys[::-1])
+    head = keys[0][order]
+    return order, np.concatenate(([True], head[1:] != head[:-1])) if len(head) else np.zeros(0, bool)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b): id and component, the smallest id reachable.
+
+    Labels fall to the smallest of the neighbours' and jump to their label's
+    label, so rounds grow with the logarithm of a component's width; every
+    round is checkpointed.
+    """
+    both = checkpoint(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = checkpoint(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
+    while True:
+        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
+        low = labels.join(near, labels["id"] == near["a"]).select("id", F.least("component", "m").alias("c"), F.col("component").alias("old"))
+        low = checkpoint(low)
+        up = low.select(F.col("id").alias("up"), F.col("c").alias("upper"))
+        new = checkpoint(low.join(up, low["c"] == up["up"]).select("id", F.least("c", "upper").alias("component"), (F.least("c", "upper") < F.col("old")).alias("moved")))
+        labels = new.select("id", "component")
+        if new.where("moved").isEmpty():
+            return labels

@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, mixing, quality, urls
+from . import bpe, fingerprints, html, mixing, quality, substrings, urls
 from .common import read
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.bpe_digest(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -28,6 +32,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.ACCEPT).cast("int"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))
     return urls.judge_urls(read(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
@@ -37,7 +45,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op5_mixing, op6_quality, op9_urls, op10_html)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op5_mixing, op6_quality, op7_substrings, op9_urls, op10_html)}
 
 ORACLE_SQL = {
     "op9_urls": r"""
