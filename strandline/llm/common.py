@@ -7,8 +7,7 @@ boundaries are found on the UTF-8 bytes of a whole block of documents at once.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 #: Java and Python regular expression for one word.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step looks at; a longer document is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -54,6 +53,16 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes
             at = to
 
 
+def row_blocks(texts: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[slice]:
+    """Slices of a large_binary array that hold max_bytes at most (one row at least)."""
+    ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1)[1:]
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + max_bytes, side="right")))
+        yield slice(at, to)
+        at = to
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in one array, and where each begins and the last ends. Null is empty."""
     column = column.cast(pa.large_string()) if pa.types.is_string(column.type) else column
@@ -73,16 +82,16 @@ _RADIX_INVERSE = pow(_RADIX, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240901).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0..n-1 modulo 2 ** 64."""
-    return _powers(base, 1 << max(12, int(n - 1).bit_length()))[:n] if n else np.zeros(0, np.uint64)
+    if len(_POWERS.get(base, ())) < n:
+        steps = np.full(max(n, 2 * BLOCK_BYTES), base, dtype=np.uint64)
+        steps[0] = 1
+        _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[base][:n]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -274,3 +283,65 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
         if new.where("moved").isEmpty():
             return labels
+
+
+#: Kinds of packed rows that pick_items and verify_pairs know.
+ITEMS, PAIRS, WANTED, HALVES = range(100, 104)
+
+
+def pick_items(items: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
+    """Of packed items (id and bytes) those whose id is in wanted, each once; checkpointed."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = Gathered(batches)
+        (ask,) = got.columns(WANTED, "i8")
+        (ids,), texts = got.texts(ITEMS, "i8")
+        _, one = np.unique(ids, return_index=True)
+        one = one[np.isin(ids[one], ask)]
+        offsets, raw = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1), np.frombuffer(texts.buffers()[2], np.uint8)
+        for a in range(0, len(one), 4096):
+            rows = one[a : a + 4096]
+            moved = np.concatenate([raw[offsets[i] : offsets[i + 1]] for i in rows])
+            yield scatter_texts(ids[rows].view(np.uint64), parts, ITEMS, [ids[rows]], moved, np.concatenate(([0], np.cumsum(offsets[rows + 1] - offsets[rows]))))
+
+    return checkpoint(exchange(parts, items, wanted).mapInArrow(pick, PACKED))
+
+
+def verify_pairs(pairs: DataFrame, items: DataFrame, parts: int, same: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The packed pairs of ids (by their first) whose items are the same, as rows a, b.
+
+    A pair goes to its first item, and with that item's bytes to its second, so
+    nothing is collected and a hot item is only sent along with its pairs.
+    """
+
+    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = Gathered(batches)
+        (ids,), texts = got.texts(ITEMS, "i8")
+        a, b = got.columns(PAIRS, "i8", "i8")
+        where = np.argsort(ids, kind="stable")
+        row = where[np.searchsorted(ids[where], a)] if len(a) else np.zeros(0, np.int64)
+        offsets, raw = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1), np.frombuffer(texts.buffers()[2], np.uint8)
+        lengths, step = offsets[row + 1] - offsets[row], 0
+        sums = np.cumsum(lengths)
+        while step < len(a):  # some megabytes of items at a time
+            to = max(step + 1, int(np.searchsorted(sums, (sums[step - 1] if step else 0) + (8 << 20), side="right")))
+            part = slice(step, to)
+            moved = np.concatenate([raw[offsets[i] : offsets[i + 1]] for i in row[part]])
+            yield scatter_texts(b[part].view(np.uint64), parts, HALVES, [b[part], a[part]], moved, np.concatenate(([0], np.cumsum(lengths[part]))))
+            step = to
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        got = Gathered(batches)
+        (ids,), texts = got.texts(ITEMS, "i8")
+        mine = dict(zip(ids.tolist(), range(len(ids)), strict=True))
+        for n, data in got.rows.pop(HALVES, []):  # one packet at a time: they hold an item a pair
+            data = zstandard.ZstdDecompressor().decompress(data)
+            b, a, lengths = (np.frombuffer(data, np.int64, n, 8 * n * i) for i in range(3))
+            ends = 24 * n + np.cumsum(lengths)
+            ok = [same(data[e - k : e], texts[mine[y]].as_py()) for y, e, k in zip(b.tolist(), ends.tolist(), lengths.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+
+    halves = exchange(parts, items, pairs).mapInArrow(attach, PACKED)
+    return exchange(parts, items, halves).mapInArrow(compare, "a long, b long")

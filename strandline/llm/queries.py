@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html, mixing, quality, substrings, urls
+from . import bpe, fingerprints, html, lines, mixing, ngram_join, quality, substrings, urls
 from .common import read
 
 
@@ -21,6 +21,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -36,6 +40,10 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read(spark, sf_dir, "documents")).drop("salt")
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))
     return urls.judge_urls(read(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
@@ -45,7 +53,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op5_mixing, op6_quality, op7_substrings, op9_urls, op10_html)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_ngram_join, op5_mixing, op6_quality, op7_substrings, op8_lines, op9_urls, op10_html)}
 
 ORACLE_SQL = {
     "op9_urls": r"""
