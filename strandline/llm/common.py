@@ -196,11 +196,11 @@ def scatter(keys: np.ndarray, parts: int, kind: int, columns: list[np.ndarray])
     return pa.RecordBatch.from_arrays([pa.array(sorted_to[cut], pa.int32()), pa.array(np.full(len(cut), kind), pa.int32()), pa.array(ends - cut, pa.int32()), pa.array(data, pa.binary())], ["p", "kind", "n", "data"])
 
 
-def scatter_texts(keys: np.ndarray, parts: int, kind: int, columns: list[np.ndarray], raw: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+def scatter_texts(keys: np.ndarray, parts: int, kind: int, columns: list[np.ndarray], raw: np.ndarray, offsets: np.ndarray, level: int = 3) -> pa.RecordBatch:
     """Pack rows of columns and the bytes raw[offsets[i]:offsets[i + 1]] of each, compressed, by the partition of their keys."""
     import zstandard
 
-    squeeze = zstandard.ZstdCompressor(level=3)
+    squeeze = zstandard.ZstdCompressor(level=level)
     to = ((mix64(keys.astype(np.uint64, copy=False)) >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
     ps, ns, data = [], [], []
     for p in np.unique(to):

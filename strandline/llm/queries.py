@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html, lines, mixing, ngram_join, quality, substrings, urls
+from . import bpe, fingerprints, html, lines, media, mixing, ngram_join, quality, substrings, urls
 from .common import read
 
 
@@ -21,6 +21,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(read(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_ngram_join, op5_mixing, op6_quality, op7_substrings, op8_lines, op9_urls, op10_html)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_media, op4_ngram_join, op5_mixing, op6_quality, op7_substrings, op8_lines, op9_urls, op10_html)}
 
 ORACLE_SQL = {
     "op9_urls": r"""
