@@ -111,10 +111,10 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, radix:
 class Words:
     """The words of a block of texts: where they start and end, whose they are, and a 64-bit hash of each."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
-        data, self.offsets = utf8(column)
+    def __init__(self, column: pa.Array | tuple[np.ndarray, np.ndarray], lower: bool = False):
+        data, self.offsets = column if isinstance(column, tuple) else utf8(column)
         self.data = _LOWER[data] if lower else data
-        self.n_docs = len(column)
+        self.n_docs = len(self.offsets) - 1
         solid = ~_SPACE[self.data]
         first, last = solid.copy(), solid.copy()
         first[1:] &= ~solid[:-1]
@@ -174,6 +174,8 @@ def global_index(df: DataFrame, order: list[Column], name: str, parts: int = 64)
 
 #: Rows that carry packed columns to a partition: its number, the kind of columns, how many values, their bytes.
 PACKED = "p int, kind int, n int, data binary"
+#: Bytes of text that are packed at a time; small packets compress badly.
+PACKET_BYTES = 4 << 20
 #: Bytes of text a partition of a packed exchange stands for.
 PART_BYTES = 12 << 20
 
@@ -185,18 +187,21 @@ def parts_for(docs: DataFrame, text: str = "text") -> int:
 
 
 def scatter(keys: np.ndarray, parts: int, kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """Pack equal-length columns by the partition that their keys fall in."""
+    """Pack equal-length columns, compressed, by the partition that their keys fall in."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1)
     to = ((mix64(keys.astype(np.uint64, copy=False)) >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
     order = np.argsort(to, kind="stable")
     sorted_to = to[order]
     cut = np.flatnonzero(np.concatenate(([True], sorted_to[1:] != sorted_to[:-1]))) if len(to) else np.zeros(0, int)
     ends = np.append(cut[1:], len(to))[: len(cut)]
     moved = [c[order] for c in columns]
-    data = [b"".join(c[a:b].tobytes() for c in moved) for a, b in zip(cut, ends, strict=True)]
+    data = [squeeze.compress(b"".join(c[a:b].tobytes() for c in moved)) for a, b in zip(cut, ends, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(sorted_to[cut], pa.int32()), pa.array(np.full(len(cut), kind), pa.int32()), pa.array(ends - cut, pa.int32()), pa.array(data, pa.binary())], ["p", "kind", "n", "data"])
 
 
-def scatter_texts(keys: np.ndarray, parts: int, kind: int, columns: list[np.ndarray], raw: np.ndarray, offsets: np.ndarray, level: int = 3) -> pa.RecordBatch:
+def scatter_texts(keys: np.ndarray, parts: int, kind: int, columns: list[np.ndarray], raw: np.ndarray, offsets: np.ndarray, level: int = 6) -> pa.RecordBatch:
     """Pack rows of columns and the bytes raw[offsets[i]:offsets[i + 1]] of each, compressed, by the partition of their keys."""
     import zstandard
 
@@ -224,9 +229,12 @@ class Gathered:
 
     def columns(self, kind: int, *types: str) -> list[np.ndarray]:
         """The columns of a kind, put together."""
+        import zstandard
+
         out: list[list[np.ndarray]] = [[] for _ in types]
+        expand = zstandard.ZstdDecompressor()
         for n, data in self.rows.pop(kind, []):
-            at = 0
+            data, at = expand.decompress(data), 0
             for i, t in enumerate(types):
                 out[i].append(np.frombuffer(data, t, n, at))
                 at += n * np.dtype(t).itemsize
@@ -289,8 +297,8 @@ def components(edges: DataFrame) -> DataFrame:
 ITEMS, PAIRS, WANTED, HALVES = range(100, 104)
 
 
-def pick_items(items: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
-    """Of packed items (id and bytes) those whose id is in wanted, each once; checkpointed."""
+def pick_items(items: DataFrame, wanted: DataFrame, parts: int, make: Callable[[pa.Array], list[bytes]] | None = None) -> DataFrame:
+    """Of packed items (id and bytes) those whose id is in wanted, each once, and what make makes of them; checkpointed."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = Gathered(batches)
@@ -298,15 +306,28 @@ def pick_items(items: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
         (ids,), texts = got.texts(ITEMS, "i8")
         _, one = np.unique(ids, return_index=True)
         one = one[np.isin(ids[one], ask)]
-        offsets, raw = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1), np.frombuffer(texts.buffers()[2], np.uint8)
-        for a in range(0, len(one), 4096):
-            rows = one[a : a + 4096]
-            moved = np.concatenate([raw[offsets[i] : offsets[i + 1]] for i in rows])
-            yield scatter_texts(ids[rows].view(np.uint64), parts, ITEMS, [ids[rows]], moved, np.concatenate(([0], np.cumsum(offsets[rows + 1] - offsets[rows]))))
+        for a in range(0, len(one), 512):
+            rows = one[a : a + 512]
+            part = texts.take(pa.array(rows))
+            made = make(part) if make else part.to_pylist()
+            yield scatter_texts(ids[rows].view(np.uint64), parts, ITEMS, [ids[rows]], np.frombuffer(b"".join(made), np.uint8), np.concatenate(([0], np.cumsum([len(m) for m in made]))))
 
     return checkpoint(exchange(parts, items, wanted).mapInArrow(pick, PACKED))
 
 
+def pair_ends(pairs: DataFrame, parts: int) -> DataFrame:
+    """The ids of rows a, b as packed wanted ids, and the rows as packed pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ends = np.unique(np.concatenate((a, b)))
+            yield scatter(ends.view(np.uint64), parts, WANTED, [ends])
+            yield scatter(a.view(np.uint64), parts, PAIRS, [a, b])
+
+    return checkpoint(pairs.select("a", "b").mapInArrow(run, PACKED))
+
+
 def verify_pairs(pairs: DataFrame, items: DataFrame, parts: int, same: Callable[[bytes, bytes], bool]) -> DataFrame:
     """The packed pairs of ids (by their first) whose items are the same, as rows a, b.
 

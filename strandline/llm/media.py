@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Gathered, checkpoint, exchange, parts_for, scatter, scatter_texts, text_blocks
+from .common import PACKED, PACKET_BYTES, Gathered, checkpoint, exchange, parts_for, scatter, scatter_texts, text_blocks
 
 #: Padding of payloads (bytes) and the chunk sizes: least, mean beyond it, most.
 UNIT, LEAST, MEAN_BITS, MOST = 192, 1024, 11, 8192
 RATE = 16_000
 #: A chunk that a block of documents holds this often is spread: it is kept up to COPIES times, each for some of the blocks.
 OFTEN, COPIES = 8, 16
-#: Bytes of text whose chunks travel together, and how hard they are compressed.
-PACKET_BYTES, LEVEL = 4 << 20, 9
+#: How hard chunks are compressed on their way.
+LEVEL = 9
 _GEAR = np.random.default_rng(20240902).integers(0, 1 << 32, 256, dtype=np.uint32)
 CHUNKS, REFS, FOUND = range(3)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Gathered, Words, exchange, firsts, mix64, parts_for, scatter, scatter_texts, span_hashes, text_blocks, utf8
+from .common import PACKED, PACKET_BYTES, Gathered, Words, exchange, firsts, mix64, parts_for, row_blocks, scatter, scatter_texts, span_hashes, text_blocks, utf8
 
 # 0, 1, 3, 9 is a perfect difference cover modulo 13.
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -81,7 +81,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         yield scatter(doc, parts, DUPLICATES, [doc, salt, at])
 
     def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, max_bytes=PACKET_BYTES):
             raw, offsets = utf8(block.column(2))
             ids = block.column(0).to_numpy()
             yield scatter_texts(ids, parts, TEXTS, [ids, block.column(1).to_numpy(), block.column(3).is_valid().to_numpy(zero_copy_only=False)], raw, offsets)
@@ -101,22 +101,28 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             for i in groups.get((int(doc[a]), int(salt[a])), ()):
                 row.append(np.full(b - a, i))
                 place.append(at[a:b].astype(np.int64))
-        return np.concatenate(row), np.concatenate(place)
+        row, place = np.concatenate(row), np.concatenate(place)
+        order = np.argsort(row, kind="stable")
+        return row[order], place[order]
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = Gathered(batches)
         (ids, salts, _), texts = got.texts(TEXTS, "i8", "i8", "?")
         row, place = rows_of(ids, salts, *got.columns(DUPLICATES, "i8", "i8", "i4"))
-        words = Words(texts)
-        flags = np.zeros(len(words.hashes) + 1, np.int64)
-        np.add.at(flags, words.begin[row] + place, 1)
-        run = np.concatenate(([0], np.cumsum(flags)))
-        start = np.arange(max(0, len(words.hashes) - window + 1))
-        if len(start):
-            start = start[(words.doc[start] == words.doc[start + window - 1]) & (run[start + PERIOD] > run[start])]
-        hashes = span_hashes(words.hashes, start, start + window) if len(start) else np.zeros(0, np.uint64)
-        rows = words.doc[start]
-        yield from _send(hashes, ids[rows], salts[rows], start - words.begin[rows], parts, WINDOWS, np.uint64)
+        for block in row_blocks(texts):
+            mine = slice(*np.searchsorted(row, (block.start, block.stop)))
+            if mine.start == mine.stop:
+                continue
+            words = Words(texts[block])
+            flags = np.zeros(len(words.hashes) + 1, np.int64)
+            np.add.at(flags, words.begin[row[mine] - block.start] + place[mine], 1)
+            run = np.concatenate(([0], np.cumsum(flags)))
+            start = np.arange(max(0, len(words.hashes) - window + 1))
+            if len(start):
+                start = start[(words.doc[start] == words.doc[start + window - 1]) & (run[start + PERIOD] > run[start])]
+            hashes = span_hashes(words.hashes, start, start + window) if len(start) else np.zeros(0, np.uint64)
+            rows = words.doc[start]
+            yield from _send(hashes, ids[block][rows], salts[block][rows], start - words.begin[rows], parts, WINDOWS, np.uint64)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = Gathered(batches)
@@ -130,23 +136,23 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = Gathered(batches)
-        (ids, _salts, valid), texts = got.texts(TEXTS, "i8", "i8", "?")
-        row, place = rows_of(ids, _salts, *got.columns(REMOVED, "i8", "i8", "i4"))
-        words = Words(texts)
-        edge = np.zeros(len(words.hashes) + 1, np.int64)
-        np.add.at(edge, words.begin[row] + place, 1)
-        np.add.at(edge, words.begin[row] + place + window, -1)
-        gone = np.cumsum(edge)[:-1] > 0
-        for a in range(0, len(ids), 500):
+        (ids, salts, valid), texts = got.texts(TEXTS, "i8", "i8", "?")
+        row, place = rows_of(ids, salts, *got.columns(REMOVED, "i8", "i8", "i4"))
+        for block in row_blocks(texts):
+            mine = slice(*np.searchsorted(row, (block.start, block.stop)))
+            words = Words(texts[block])
+            edge = np.zeros(len(words.hashes) + 1, np.int64)
+            np.add.at(edge, words.begin[row[mine] - block.start] + place[mine], 1)
+            np.add.at(edge, words.begin[row[mine] - block.start] + place[mine] + window, -1)
+            gone = np.cumsum(edge)[:-1] > 0
             kept, counts = [], []
-            for i in range(a, min(a + 500, len(ids))):
+            for i in range(words.n_docs):
                 out = gone[words.begin[i] : words.begin[i + 1]]
-                mine = texts[i].as_py().split()
-                kept.append(b" ".join(w for w, x in zip(mine, out.tolist(), strict=True) if not x) if out.any() else b" ".join(mine))
+                own = texts[block.start + i].as_py().split()
+                kept.append(b" ".join(w for w, x in zip(own, out.tolist(), strict=True) if not x) if out.any() else b" ".join(own))
                 counts.append(int(out.sum()))
-            part = slice(a, a + len(kept))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[part], mask=~valid[part]), pa.array(words.counts[part], pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
+                [pa.array(ids[block], mask=~valid[block]), pa.array(words.counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
                 ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
             )
 
