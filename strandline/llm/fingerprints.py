@@ -106,12 +106,12 @@ def fingerprints(docs: DataFrame, k: int = SAMPLES) -> DataFrame:
     weighted = terms.groupBy("range", "at", "term").agg(F.count("*").alias("w"), *[F.max(c).alias(c) for c in keep])
     turns = -(-k // AGGREGATES)
     drawn = weighted.withColumn("log_w", F.log(F.col("w").cast("double"))).withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(turns)])))
-    levels = [F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("log_w"), F.col("turn") * AGGREGATES + i))).alias(f"m{i}") for i in range(AGGREGATES)]
-    found = drawn.groupBy("range", "at", "turn").agg(*[F.max(c).alias(c) for c in keep], *levels)
+    levels = [F.min(sample(F.col("term"), F.col("log_w"), F.col("turn") * AGGREGATES + i)).alias(f"m{i}") for i in range(AGGREGATES)]
+    found = drawn.groupBy("range", "at", "turn").agg(*[F.max(c).alias(c) for c in keep], F.max("term").alias("some"), *levels)
     # turns times two sides make a document's rows; those of the next document follow
     low_bits = F.lit((1 << 20) - 1)
     order = Window.partitionBy("range").orderBy("at", "turn")
-    part = F.when(F.col("m0").isNotNull(), F.array(*[F.col(f"m{i}").bitwiseAND(low_bits).cast("int") for i in range(AGGREGATES)]))
+    part = F.when(F.col("some").isNotNull(), F.array(*[F.col(f"m{i}").bitwiseAND(low_bits).cast("int") for i in range(AGGREGATES)]))
     found = found.select("range", "at", "turn", *keep, part.alias("part"))
     found = found.withColumn("text", F.coalesce(F.array_join(F.transform("part", lambda x: F.lpad(F.lower(F.hex(x)), 5, "0")), ""), F.lit("")))
     edited_part, next_part = F.lead("part", turns).over(order), F.lead("part", 2 * turns).over(order)
