@@ -8,7 +8,8 @@ blocks of a list whose sizes or positions rule a link out are skipped.
 
 Answers of similar sets are reused. First, a list's members are compared with
 its leader only; sets that a chain of links already joins need no comparison
-with each other, as their answer, the component, is known. Then the lists that
+with each other, as their answer, the component, is known. Pairs are first compared
+by a fixed quarter of their tokens, which proves most of them too different. Then the lists that
 still hold several components are searched in full, but only across components.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ITEMS, PACKED, PAIRS, WANTED, Gathered, Words, checkpoint, components, exchange, firsts, mix64, parts_for, pick_items, scatter, scatter_texts, shingle_sets, signed, text_blocks, verify_pairs
+from .common import ITEMS, PACKED, PACKET_BYTES, PAIRS, WANTED, Gathered, Words, checkpoint, components, exchange, firsts, mix64, pair_ends, parts_for, pick_items, row_blocks, scatter, scatter_texts, shingle_sets, signed, text_blocks, utf8, verify_pairs
 
 #: Blocks in which frequent tokens are counted (bytes), the occurrences in a block that make a token a candidate, and the most tokens that are broadcast (8 bytes each). The order of tokens decides speed only.
 COUNT_BYTES, COUNT_LEAST, MAX_FREQUENT = 8 << 20, 3, 1 << 18
@@ -46,6 +47,22 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def slice_of(tokens: np.ndarray) -> bytes:
+    """The size of a set and a fixed quarter of all tokens, cut to 32 bits."""
+    return np.int64(len(tokens)).tobytes() + np.sort((tokens[tokens % np.uint64(4) == 0] >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
+def may_link(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two sets can link, by their slices: tokens of the slice are counted (cut tokens can only add), all others could be common."""
+    n, m = int.from_bytes(a[:8], "little"), int.from_bytes(b[:8], "little")
+    x, y = np.frombuffer(a, np.uint32, offset=8), np.frombuffer(b, np.uint32, offset=8)
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
+    most = common + min(n - len(x), m - len(y))
+    return (100 + percent) * most >= percent * (n + m)
+
+
 def prefix_length(n: int, percent: int) -> int:
     """A link needs ceil(percent * n / 100) common tokens, so one is among the first n less that, plus 1."""
     return n - -(-percent * n // 100) + 1
@@ -171,17 +188,36 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
         # a leader is worth comparing with if the two share more than a chance token; no link is lost, the lists are searched later
         key, times = np.unique(np.stack((a[ok], b[ok]), axis=1), axis=0, return_counts=True) if ok.any() else (np.zeros((0, 2), np.int64), None)
         yield scatter(key[:, 0].view(np.uint64), parts, PAIRS, [np.ascontiguousarray(key[:, 0]), np.ascontiguousarray(key[:, 1])])
-        names = np.unique(ids)
+        apart = np.zeros(len(ids), bool)  # members that size and position allow to link with another
+        for x, y in _cuts(head):
+            rows = np.lexsort((at[x:y], size[x:y])) + x
+            if y - x > 2048:
+                apart[rows] = True
+                continue
+            i, j = list_pairs(size[rows].astype(np.int64), at[rows].astype(np.int64), np.arange(y - x), percent)
+            apart[rows[i]] = apart[rows[j]] = True
+        names = np.unique(np.concatenate((ids[apart], key.ravel())))
         yield scatter(names.view(np.uint64), parts, WANTED, [names])
         yield scatter(ids.view(np.uint64), parts, LISTS, [token, ids, size, at])
 
-    def pack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
-            unique = {set_id(s): s for s in shingle_sets(Words(block.column(0), lower=True), n) if len(s)}
-            if unique:
-                ids = np.array(list(unique), np.int64)
-                offsets = 8 * np.concatenate(([0], np.cumsum([len(s) for s in unique.values()])))
-                yield scatter_texts(ids.view(np.uint64), parts, ITEMS, [ids], np.concatenate(list(unique.values())).view(np.uint8), offsets)
+            unique = {set_id(s): slice_of(s) for s in shingle_sets(Words(block.column(0), lower=True), n) if len(s)}
+            ids = np.array(list(unique), np.int64)
+            yield scatter_texts(ids.view(np.uint64), parts, ITEMS, [ids], np.frombuffer(b"".join(unique.values()), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in unique.values()], dtype=np.int64))), 1)
+
+    def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, max_bytes=PACKET_BYTES):
+            column = block.column(0)
+            raw, offsets = utf8(column)
+            names = np.array([set_id(s) if len(s) else 0 for part in text_blocks([block]) for s in shingle_sets(Words(part.column(0), lower=True), n)], np.int64)
+            _, one = np.unique(names, return_index=True)
+            lengths = np.diff(offsets)[one]
+            raw = np.concatenate([raw[offsets[i] : offsets[i + 1]] for i in one])
+            yield scatter_texts(names[one].view(np.uint64), parts, ITEMS, [names[one]], raw, np.concatenate(([0], np.cumsum(lengths))))
+
+    def sets_of(texts: pa.Array) -> list[bytes]:
+        return [s.tobytes() for part in row_blocks(texts) for s in shingle_sets(Words(texts[part], lower=True), n)]
 
     def relabel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Give list members their component and send the lists back to their token."""
@@ -212,6 +248,9 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
     def same(a: bytes, b: bytes) -> bool:
         return linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
 
+    def maybe(a: bytes, b: bytes) -> bool:
+        return may_link(a, b, percent)
+
     def pack_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, label = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -219,12 +258,18 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
 
     texts = docs.select("text")
     found = checkpoint(exchange(parts, texts.mapInArrow(index, PACKED)).mapInArrow(lead, PACKED))
-    sets = pick_items(texts.mapInArrow(pack_sets, PACKED), found.where(F.col("kind") == WANTED), parts)
-    edges = checkpoint(verify_pairs(found.where(F.col("kind") == PAIRS), sets, parts, same))
+    slices = pick_items(texts.mapInArrow(pack_slices, PACKED), found.where(F.col("kind") == WANTED), parts)
+
+    def links(pairs: DataFrame) -> DataFrame:
+        likely = pair_ends(verify_pairs(pairs, slices, parts, maybe), parts)
+        sets = pick_items(texts.mapInArrow(pack_texts, PACKED), likely.where(F.col("kind") == WANTED), parts, sets_of)
+        return checkpoint(verify_pairs(likely.where(F.col("kind") == PAIRS), sets, parts, same))
+
+    edges = links(found.where(F.col("kind") == PAIRS))
     labels = components(edges)
     lists = exchange(parts, found.where(F.col("kind") == LISTS), labels.select("id", "component").mapInArrow(pack_labels, PACKED)).mapInArrow(relabel, PACKED)
     more = checkpoint(exchange(parts, lists).mapInArrow(search, PACKED))
-    edges = edges.unionByName(verify_pairs(more, sets, parts, same))
+    edges = edges.unionByName(links(more))
     labels = components(edges).select(F.col("id").alias("set_"), F.col("component").alias("root"))
     members = checkpoint(set_members(docs, n))
     smallest = checkpoint(members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low")))
