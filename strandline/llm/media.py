@@ -159,6 +159,9 @@ def read_media(stored: DataFrame, parts: int, with_payload: bool = False) -> Dat
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (a, b, c, d, place, count), data = Gathered(batches).texts(FOUND, "u8", "u8", "u8", "u8", "i4", "i4")
         order = np.lexsort((place, d, c, b, a))
+        keys = np.stack((a, b, c, d, place.astype(np.uint64)), axis=1)[order]
+        if len(order):  # copies of a medium may have asked for a spread chunk more than once
+            order = order[np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))]
         out: list[list] = [[], [], [], [], [], []]
         at = 0
         while at < len(order):
