@@ -26,9 +26,11 @@ from .common import ITEMS, PACKED, PACKET_BYTES, PAIRS, WANTED, Gathered, Words,
 
 #: Blocks in which frequent tokens are counted (bytes), the occurrences in a block that make a token a candidate, and the most tokens that are broadcast (8 bytes each). The order of tokens decides speed only.
 COUNT_BYTES, COUNT_LEAST, MAX_FREQUENT = 8 << 20, 3, 1 << 18
-#: Members of a block of an index list.
-LIST_BLOCK = 256
-POSTINGS, LISTS, LABELS = range(3)
+#: Members of a block of an index list, and the leaders a set is compared with.
+LIST_BLOCK, LEADERS_EACH = 256, 4
+#: Smallest tokens, under so many orders, by which sets find leaders besides those of their lists; similar sets mostly share them.
+HUB_ORDERS = 4
+POSTINGS, LISTS, LABELS, LEADERS, HUBS = range(5)
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -159,11 +161,12 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
-            tokens, ids, sizes, places, seen = [], [], [], [], set()
+            tokens, ids, sizes, places, hubs, seen = [], [], [], [], [], set()
             for s in shingle_sets(Words(block.column(0), lower=True), n):
                 if not len(s) or (name := set_id(s)) in seen:
                     continue
                 seen.add(name)
+                hubs += [(mix64(s ^ np.uint64(i + 1)).min(), name) for i in range(HUB_ORDERS)]
                 k = prefix_length(len(s), percent)
                 tokens.append(order_tokens(s)[:k])
                 ids.append(np.full(k, name))
@@ -172,10 +175,32 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
             if tokens:
                 t = np.concatenate(tokens)
                 yield scatter(t, parts, POSTINGS, [t, np.concatenate(ids), np.concatenate(sizes), np.concatenate(places)])
+                # a block's sets of one hub follow the first of them, and only that one goes on to the hub
+                hub, name = np.array([h for h, _ in hubs], np.uint64), np.array([i for _, i in hubs], np.int64)
+                order, first = firsts(hub, name)
+                leader = name[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+                member = name[order]
+                led = member != leader
+                yield scatter(member[led].view(np.uint64), parts, LEADERS, [member[led], leader[led], np.full(led.sum(), 100, np.int32)])
+                yield scatter(hub[order][first], parts, HUBS, [hub[order][first], member[first]])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of each list's members with its leader; the lists themselves; the sets in them."""
-        token, ids, size, at = Gathered(batches).columns(POSTINGS, "u8", "i8", "i4", "i4")
+        got = Gathered(batches)
+        hub, name = got.columns(HUBS, "u8", "i8")
+        order, first = firsts(hub, name)
+        if len(order):
+            leader = name[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+            member = name[order]
+            led = member != leader
+            yield scatter(member[led].view(np.uint64), parts, LEADERS, [member[led], leader[led], np.full(led.sum(), 100, np.int32)])
+            names = np.unique(np.concatenate((member[led], leader[led])))
+            yield scatter(names.view(np.uint64), parts, WANTED, [names])
+        a, b, times = got.columns(LEADERS, "i8", "i8", "i4")
+        yield scatter(a.view(np.uint64), parts, LEADERS, [a, b, times])
+        yield scatter(a.view(np.uint64), parts, WANTED, [a])
+        yield scatter(b.view(np.uint64), parts, WANTED, [b])
+        token, ids, size, at = got.columns(POSTINGS, "u8", "i8", "i4", "i4")
         order, head = firsts(token, ids)
         fresh = head | np.concatenate(([True], ids[order][1:] != ids[order][:-1])) if len(order) else head
         order, head = order[fresh], head[fresh]
@@ -185,9 +210,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
         first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0)) if len(head) else np.zeros(0, np.int64)
         a, b = ids, ids[first]
         ok = (a != b) & (100 * np.minimum(size, size[first]) >= percent * np.maximum(size, size[first]))
-        # a leader is worth comparing with if the two share more than a chance token; no link is lost, the lists are searched later
-        key, times = np.unique(np.stack((a[ok], b[ok]), axis=1), axis=0, return_counts=True) if ok.any() else (np.zeros((0, 2), np.int64), None)
-        yield scatter(key[:, 0].view(np.uint64), parts, PAIRS, [np.ascontiguousarray(key[:, 0]), np.ascontiguousarray(key[:, 1])])
+        key, times = np.unique(np.stack((a[ok], b[ok]), axis=1), axis=0, return_counts=True) if ok.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+        yield scatter(key[:, 0].view(np.uint64), parts, LEADERS, [np.ascontiguousarray(key[:, 0]), np.ascontiguousarray(key[:, 1]), times.astype(np.int32)])
         apart = np.zeros(len(ids), bool)  # members that size and position allow to link with another
         for x, y in _cuts(head):
             rows = np.lexsort((at[x:y], size[x:y])) + x
@@ -200,6 +224,24 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
         yield scatter(names.view(np.uint64), parts, WANTED, [names])
         yield scatter(ids.view(np.uint64), parts, LISTS, [token, ids, size, at])
 
+    def elect(batches: Iterator[pa.RecordBatch], most: int | None = LEADERS_EACH) -> Iterator[pa.RecordBatch]:
+        """Each set's partners that it meets most often, or all; no link is lost, as the last search takes all."""
+        a, b, times = Gathered(batches).columns(LEADERS, "i8", "i8", "i4")
+        order = np.lexsort((b, a))
+        a, b, times = a[order], b[order], times[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        a, b, times = a[at], b[at], np.add.reduceat(times, at) if len(at) else times
+        order = np.lexsort((b, -times, a))
+        a, b = a[order], b[order]
+        head = np.concatenate(([True], a[1:] != a[:-1])) if len(a) else np.zeros(0, bool)
+        nth = np.arange(len(a)) - np.maximum.accumulate(np.where(head, np.arange(len(a)), 0)) if len(a) else a
+        best = nth < (most or len(a) + 1)
+        yield scatter(a[best].view(np.uint64), parts, PAIRS, [a[best], b[best]])
+
+    def elect_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from elect(batches, None)
+
     def pack_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             unique = {set_id(s): slice_of(s) for s in shingle_sets(Words(block.column(0), lower=True), n) if len(s)}
@@ -242,8 +284,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
             right.append(ids[rows[j]])
         a, b = np.concatenate(left), np.concatenate(right)
         a, b = np.minimum(a, b), np.maximum(a, b)
-        key = np.unique(np.stack((a, b), axis=1), axis=0)
-        yield scatter(key[:, 0].view(np.uint64), parts, PAIRS, [np.ascontiguousarray(key[:, 0]), np.ascontiguousarray(key[:, 1])])
+        key, times = np.unique(np.stack((a, b), axis=1), axis=0, return_counts=True)
+        yield scatter(key[:, 0].view(np.uint64), parts, LEADERS, [np.ascontiguousarray(key[:, 0]), np.ascontiguousarray(key[:, 1]), times.astype(np.int32)])
 
     def same(a: bytes, b: bytes) -> bool:
         return linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
@@ -265,11 +307,12 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
         sets = pick_items(texts.mapInArrow(pack_texts, PACKED), likely.where(F.col("kind") == WANTED), parts, sets_of)
         return checkpoint(verify_pairs(likely.where(F.col("kind") == PAIRS), sets, parts, same))
 
-    edges = links(found.where(F.col("kind") == PAIRS))
-    labels = components(edges)
-    lists = exchange(parts, found.where(F.col("kind") == LISTS), labels.select("id", "component").mapInArrow(pack_labels, PACKED)).mapInArrow(relabel, PACKED)
-    more = checkpoint(exchange(parts, lists).mapInArrow(search, PACKED))
-    edges = edges.unionByName(links(more))
+    edges = links(exchange(parts, found.where(F.col("kind") == LEADERS)).mapInArrow(elect, PACKED))
+    for choose in (elect, elect_all):  # what the first look joins, the second needn't compare
+        labels = components(edges).select("id", "component").mapInArrow(pack_labels, PACKED)
+        lists = exchange(parts, found.where(F.col("kind") == LISTS), labels).mapInArrow(relabel, PACKED)
+        more = exchange(parts, lists).mapInArrow(search, PACKED)
+        edges = checkpoint(edges.unionByName(links(exchange(parts, more).mapInArrow(choose, PACKED))))
     labels = components(edges).select(F.col("id").alias("set_"), F.col("component").alias("root"))
     members = checkpoint(set_members(docs, n))
     smallest = checkpoint(members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low")))
