@@ -40,7 +40,9 @@ def _send(hashes: np.ndarray, doc: np.ndarray, salt: np.ndarray, at: np.ndarray,
     repeats = np.concatenate((~first[1:], [False])) & first if len(first) else first
     head = order[first]
     yield scatter(hashes[head], parts, kind, [hashes[head].astype(width), doc[head], salt[head], at[head].astype(np.int32), repeats[first]])
-    rest = order[~first]
+    at_head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order
+    same = (doc[order] == doc[at_head]) & (salt[order] == salt[at_head]) & (at[order] == at[at_head])  # the same row again
+    rest = order[~first & ~same]
     if len(rest):
         yield scatter(_spread(doc[rest], at[rest]), parts, KNOWN, [doc[rest], salt[rest], at[rest].astype(np.int32)])
 
