@@ -6,7 +6,7 @@ by a total order before they are folded, so results don't depend on row order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,14 @@ def overlap_share(a: Column, b: Column) -> Column:
     return both / F.greatest(F.least(a["hi"] - a["lo"], b["hi"] - b["lo"]), F.lit(1))
 
 
+def islands(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """hits (with inclusive lo, hi) and their island: runs of spans of one key, in order of lo, that no gap splits."""
+    order = Window.partitionBy(*keys).orderBy("lo", "hi")
+    reach = hits.withColumn("reach", F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    opens = F.coalesce((F.col("lo") > F.col("reach")).cast("int"), F.lit(0))
+    return reach.withColumn("island", F.sum(opens).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("reach")
+
+
 def suppress_overlaps(hits: Column, kind: str, limit: float) -> Column:
     """Greedy suppression: hits, best first, are kept unless they overlap a kept one by limit or more. kind is the hits' array type."""
     return F.aggregate(hits, F.array().cast(kind), lambda kept, h: F.when(F.exists(kept, lambda k: iou(k, h) >= limit), kept).otherwise(F.concat(kept, F.array(h))))

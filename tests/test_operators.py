@@ -60,6 +60,41 @@ def test_suppress_and_cluster(spark):
     assert [x["c"] for x in loci] == [0, 0, 1]
 
 
+def slow_kept(rows, limit):
+    kept = []
+    for e, lo, hi, _ in sorted(rows, key=lambda r: (-r[3], r[0])):
+        both = [(max(min(hi, b) - max(lo, a) + 1, 0), b - a + hi - lo + 2) for _, a, b, _ in kept]
+        if all(x / (n - x) < limit for x, n in both):
+            kept.append((e, lo, hi, _))
+    return {r[0] for r in kept}
+
+
+def slow_loci(rows):
+    done = []
+    for e, lo, hi, v in sorted(rows, key=lambda r: (r[1], r[2], r[3], str(r[0]))):
+        near = [c for c, a, b, _ in done if max(min(hi, b) - max(lo, a), 0) / max(min(hi - lo, b - a), 1) >= 0.5]
+        done.append((min(near, default=max((c for c, *_ in done), default=-1) + 1), lo, hi, v))
+    by = {c: [x for x in done if x[0] == c] for c, *_ in done}
+    return {(c, min(x[1] for x in m), max(x[2] for x in m), max(x[3] for x in m), len(m)) for c, m in by.items()}
+
+
+def test_interval_queries_answer_for_every_user(spark, tmp_path):
+    from strandline.plans.catalogue import QUERIES
+
+    draw = random.Random(9)
+    rows = [(i, draw.choice([1, 59, 60, 500]), draw.choice(["click", "error"]), draw.randint(0, 600) / 10, f'{{"k": {draw.randint(0, 30)}}}') for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    by_user, by_type = {}, {}
+    for e, u, t, v, p in rows:
+        lo = int(v * 10 // 1)
+        for groups, key in ((by_user, u), (by_type, (u, t))):
+            groups.setdefault(key, []).append((e, lo, lo + int(p[6:-1]) + 1, v))
+    got = {n: [tuple(r) for r in QUERIES[n](spark, str(tmp_path)).collect()] for n in ("interval_nms_token_whole", "interval_nms_global_whole", "interval_ori_loci")}
+    assert sorted(got["interval_nms_token_whole"]) == sorted((*k, e) for k, g in by_type.items() for e in slow_kept(g, 0.5))
+    assert sorted(got["interval_nms_global_whole"]) == sorted((k, e) for k, g in by_user.items() for e in slow_kept(g, 0.3))
+    assert sorted(got["interval_ori_loci"]) == sorted((u, *x) for (u, t), g in by_type.items() if t == "error" for x in slow_loci(g))
+
+
 def test_near_pairs_against_all_pairs(spark):
     draw = random.Random(5)
     rows = [(draw.randint(0, 2), i, lo := draw.randint(-300, 300), lo + draw.randint(0, 120)) for i in range(80)]
