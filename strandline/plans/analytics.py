@@ -11,7 +11,7 @@ from strandline.functions import dna, tokens
 from strandline.operators import align, intervals, scoring
 
 from .relational import query
-from .views import annotations, hits, motifs, registry, sequences, table
+from .views import annotations, hits, motifs, prefixes, registry, sequences, table
 
 
 @query("SELECT plasmid_id, sequence, length(sequence) AS n FROM seqs")
@@ -35,37 +35,79 @@ def _frame(seq: str, frame: int) -> str:
     return f"CASE WHEN length({s}) >= 3 THEN array_to_string(list_transform(range(0, length({s}) // 3), lambda i: {letter}), '') END"
 
 
+# The view mot of the given SQL holds the first 60 bases of a motif, and so do the queries compared with it; the _whole queries and the alignments take all of it.
 @query(", x AS (SELECT sseqid, motif, reverse(translate(motif, 'ACGTN', 'TGCAN')) AS back FROM mot) SELECT sseqid, [" + ", ".join(_frame(s, k) for k in range(3) for s in ("motif", "back")) + "] AS frames FROM x")
 def seq_translate_six(spark, d):
-    return motifs(spark, d).select("sseqid", dna.six_frames(F.col("motif")).alias("frames"))
+    return _frames(prefixes(spark, d))
+
+
+@query()
+def seq_translate_six_whole(spark, d):
+    return _frames(motifs(spark, d))
+
+
+def _frames(m):
+    return m.select("sseqid", dna.six_frames(F.col("motif")).alias("frames"))
 
 
 @query(", m AS (SELECT DISTINCT sseqid, unnest(list_transform(range(1, greatest(length(motif) - 13, 1)), lambda i: substring(motif, i, 15))) AS k FROM mot WHERE length(motif) >= 15), n AS (SELECT sseqid, count(*) AS n FROM m GROUP BY 1), s AS (SELECT DISTINCT plasmid_id, unnest(list_transform(range(1, greatest(length(sequence) - 13, 1)), lambda i: substring(sequence, i, 15))) AS k FROM seqs WHERE length(sequence) >= 15) SELECT plasmid_id, sseqid, count(*) AS common, n FROM s JOIN m USING (k) JOIN n USING (sseqid) GROUP BY 1, 2, n HAVING count(*) >= 0.15 * n")
 def seq_kmer_containment(spark, d):
-    return kmer_candidates(spark, d)
+    return kmer_candidates(prefixes(spark, d), sequences(spark, d))
+
+
+@query()
+def seq_kmer_containment_whole(spark, d):
+    return kmer_candidates(motifs(spark, d), sequences(spark, d))
 
 
-def kmer_candidates(spark, d, k=15, share=0.15):
+def kmer_candidates(m, s, k=15, share=0.15):
     """Pairs of sequence and motif that share enough of the motif's k-mers: an equi-join on k-mers, no cross join."""
-    m = motifs(spark, d).select("sseqid", F.explode(dna.kmers(F.col("motif"), k)).alias("k"))
+    m = m.select("sseqid", F.explode(dna.kmers(F.col("motif"), k)).alias("k"))
     n = m.groupBy("sseqid").agg(F.count("*").alias("n"))
-    s = sequences(spark, d).select("plasmid_id", F.explode(dna.kmers(F.col("sequence"), k)).alias("k"))
+    s = s.select("plasmid_id", F.explode(dna.kmers(F.col("sequence"), k)).alias("k"))
     return s.join(m, "k").groupBy("plasmid_id", "sseqid").agg(F.count("*").alias("common")).join(n, "sseqid").where(F.col("common") >= share * F.col("n")).select("plasmid_id", "sseqid", "common", "n")
 
 
 @query("SELECT sseqid, list_transform(range(0, (ceil(greatest(length(motif) - 6, 0) / 3)::INT + 1)), lambda i: rpad(substring(motif, (3 * i + 1)::INT, 6), 6, 'A')) AS parts FROM mot WHERE length(motif) > 0")
 def seq_kmerize(spark, d):
-    return motifs(spark, d).where("length(motif) > 0").select("sseqid", dna.kmerize(F.col("motif"), 6, 3).alias("parts"))
+    return _kmerize(prefixes(spark, d))
+
+
+@query()
+def seq_kmerize_whole(spark, d):
+    return _kmerize(motifs(spark, d))
+
+
+def _kmerize(m):
+    return m.where("length(motif) > 0").select("sseqid", dna.kmerize(F.col("motif"), 6, 3).alias("parts"))
 
 
 @query("SELECT sseqid, rpad(motif, (6 + 3 * ceil(greatest(length(motif) - 6, 0) / 3))::INT, 'A') AS decoded FROM mot WHERE length(motif) > 0")
 def seq_kmer_decode(spark, d):
-    return motifs(spark, d).where("length(motif) > 0").select("sseqid", dna.kmer_decode(dna.kmerize(F.col("motif"), 6, 3), 3).alias("decoded"))
+    return _kmer_decode(prefixes(spark, d))
+
+
+@query()
+def seq_kmer_decode_whole(spark, d):
+    return _kmer_decode(motifs(spark, d))
+
+
+def _kmer_decode(m):
+    return m.where("length(motif) > 0").select("sseqid", dna.kmer_decode(dna.kmerize(F.col("motif"), 6, 3), 3).alias("decoded"))
 
 
 @query("SELECT sseqid, array_to_string(list_transform(string_split(motif, ''), lambda c, i: CASE WHEN c = 'N' THEN substring('ACGT', ((instr('0123456789abcdef', right(md5((i - 1)::VARCHAR), 1)) - 1) % 4 + 1)::INT, 1) ELSE c END), '') AS filled FROM mot WHERE length(motif) > 0")
 def seq_n_replace(spark, d):
-    return motifs(spark, d).where("length(motif) > 0").select("sseqid", dna.fill_n(F.col("motif")).alias("filled"))
+    return _n_replace(prefixes(spark, d))
+
+
+@query()
+def seq_n_replace_whole(spark, d):
+    return _n_replace(motifs(spark, d))
+
+
+def _n_replace(m):
+    return m.where("length(motif) > 0").select("sseqid", dna.fill_n(F.col("motif")).alias("filled"))
 
 
 @query(", e AS (SELECT sseqid, [2, 3, 5] AS p, list_transform(string_split(motif, ''), lambda c: instr('ACGTN', c) + 10) AS c FROM mot WHERE length(motif) > 0), i AS (SELECT sseqid, list_slice(list_concat(list_concat(p, c), [1]), 1, 40) AS ids FROM e) SELECT sseqid, list_concat(ids, list_transform(range(0, 40 - len(ids)), lambda x: 0))::INT[] AS input_ids, list_concat(list_concat([-100, -100, -100], list_slice(ids, 4, 40)), list_transform(range(0, 40 - len(ids)), lambda x: -100))::INT[] AS labels FROM i")
@@ -179,13 +221,13 @@ def score_length_shaped(spark, d):
 
 @query()
 def align_local_ratio(spark, d):
-    c = kmer_candidates(spark, d).join(motifs(spark, d), "sseqid").join(sequences(spark, d), "plasmid_id")
+    c = kmer_candidates(motifs(spark, d), sequences(spark, d)).join(motifs(spark, d), "sseqid").join(sequences(spark, d), "plasmid_id")
     return c.select("plasmid_id", "sseqid", F.greatest(align.local_ratio("motif", "sequence"), align.local_ratio(dna.reverse_complement(F.col("motif")), "sequence")).alias("ratio"))
 
 
 @query()
 def align_semiglobal(spark, d):
-    c = kmer_candidates(spark, d).join(motifs(spark, d), "sseqid").join(sequences(spark, d), "plasmid_id")
+    c = kmer_candidates(motifs(spark, d), sequences(spark, d)).join(motifs(spark, d), "sseqid").join(sequences(spark, d), "plasmid_id")
     hit = c.select("plasmid_id", "sseqid", F.length("motif").alias("n"), align.semi_global_hit("motif", "sequence").alias("h"))
     return hit.select("plasmid_id", "sseqid", "h.*", (100 * F.col("h.matches") / F.greatest(F.col("h.matches") + F.col("h.mismatches"), F.lit(1))).alias("pct_id"), (100 * F.col("h.matches") / F.col("n")).alias("coverage"), (F.col("h.score") / F.col("n")).alias("norm_score"))
 

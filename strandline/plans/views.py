@@ -39,7 +39,12 @@ def sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def motifs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("sseqid"), F.substring(dna.clean_dna(F.col("text")), 1, 60).alias("motif"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("sseqid"), dna.clean_dna(F.col("text")).alias("motif"))
+
+
+def prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """motifs cut to 60 bases, which is what the view mot of the given SQL holds."""
+    return motifs(spark, d).withColumn("motif", F.substring("motif", 1, 60))
 
 
 def metadata(spark: SparkSession, d: str) -> DataFrame:

@@ -95,6 +95,29 @@ def test_interval_queries_answer_for_every_user(spark, tmp_path):
     assert sorted(got["interval_ori_loci"]) == sorted((u, *x) for (u, t), g in by_type.items() if t == "error" for x in slow_loci(g))
 
 
+def test_whole_motifs(spark, tmp_path):
+    from strandline.plans.catalogue import QUERIES
+
+    draw = random.Random(4)
+    motif = "".join(draw.choices("ACGT", k=110)) + "NN"
+    rest = "".join(draw.choices("ACGT", k=40)) + motif[60:] + "".join(draw.choices("ACGT", k=40))
+    spark.createDataFrame([(7, motif)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, rest), (2, "".join(draw.choices("ACGT", k=200))), (3, "x")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("seq_translate_six_whole", "seq_kmer_containment_whole", "seq_kmerize_whole", "seq_kmer_decode_whole", "seq_n_replace_whole", "align_local_ratio", "align_semiglobal", "align_repair")}
+    grams = lambda x: {x[i : i + 15] for i in range(len(x) - 14)}
+    assert [tuple(r) for r in got["seq_kmer_containment_whole"]] == [(1, 7, len(grams(motif) & grams(rest)), len(grams(motif)))]
+    assert [len(x) for x in got["seq_translate_six_whole"][0]["frames"]] == [37, 37, 37, 37, 36, 36]
+    assert got["seq_kmerize_whole"][0]["parts"] == [motif[i : i + 6].ljust(6, "A") for i in range(0, 109, 3)]
+    assert got["seq_kmer_decode_whole"][0]["decoded"] == motif.ljust(114, "A")
+    filled = got["seq_n_replace_whole"][0]["filled"]
+    assert len(filled) == 112 and filled[:110] == motif[:110] and set(filled) <= set("ACGT")
+    assert got["align_local_ratio"][0]["ratio"] == round(slow_local(motif, rest) / slow_local(motif, motif), 4)
+    (hit,) = got["align_semiglobal"]
+    assert hit["score"] == slow_semi(motif, rest) and hit["coverage"] == 100 * hit["matches"] / 112
+    weak = hit["pct_id"] >= 90 and 40 <= hit["coverage"] < 85
+    assert [r["repaired"] for r in got["align_repair"]] == ([rest[: hit["start"]] + motif + rest[hit["end"] :]] if weak else [])
+
+
 def test_near_pairs_against_all_pairs(spark):
     draw = random.Random(5)
     rows = [(draw.randint(0, 2), i, lo := draw.randint(-300, 300), lo + draw.randint(0, 120)) for i in range(80)]
