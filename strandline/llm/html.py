@@ -1,8 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
 First pass: each block is judged by its stop-word density, length and link
-density, and by the elements around it. Second pass: short blocks that the
-first left open take the label of their nearest decided neighbours.
+density, unless an element around it says that it isn't main text. Second
+pass: blocks that the first left open go by article and main where these hold
+most of the good text, else take the label of their nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -31,9 +32,12 @@ OUTER_NAMES = re.compile(
     r"nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|header|masthead|topbar|comments?|disqus|replies|respond|share\w*|social|related|recommend\w*|pagination|pager|toolbar|widget\w*|copyright|legal|skip)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# These end at the next of their kind, if not before.
+OPEN_ENDED = frozenset("p li dt dd tr th option".split())
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
-GOOD, BAD, SHORT, NEAR = "good", "bad", "short", "near"
+GOOD, BAD, SHORT, NEAR, WEAK = "good", "bad", "short", "near", "weak"
 
 
 class Block:
@@ -49,12 +53,17 @@ class Segmenter(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, bool, bool]] = []  # container, outside of the main text, within article or main
+        self.open: list[tuple[str, bool, bool]] = []  # container or named element, outside of the main text, within article or main
         self.silent: list[str] = []
         self.links = 0
-        self.has_main = False
+        self.paragraph: int | None = None  # elements open around the open paragraph
         self.fresh = True
 
+    def end_paragraph(self) -> None:
+        if self.paragraph is not None:
+            del self.open[self.paragraph :]
+            self.paragraph = None
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.silent:
             if tag == self.silent[-1] and tag not in VOID_TAGS:
@@ -69,16 +78,28 @@ class Segmenter(HTMLParser):
             return
         if tag in BLOCK_TAGS:
             self.fresh = True
+            if tag != "br":
+                self.end_paragraph()
+        if tag in OPEN_ENDED and self.open and self.open[-1][0] == tag:
+            self.open.pop()
+        if tag == "p":
+            self.paragraph = len(self.open)
         if tag == "a":
             self.links = 1
-        if tag in CONTAINERS:
-            said = dict(attrs)
-            names = " ".join(filter(None, (said.get("class"), said.get("id"), said.get("role"), said.get("aria-label"))))
+        if tag in VOID_TAGS or tag in ("html", "body"):
+            return
+        said = dict(attrs)
+        names = " ".join(filter(None, (said.get("class"), said.get("id"), said.get("role"), said.get("aria-label"))))
+        if tag in HEADINGS:  # a heading named header is one of the text
+            names = names.lower().replace("header", "")
+        out = tag in OUTER_TAGS or bool(names and OUTER_NAMES.search(names)) or "hidden" in said
+        if tag in CONTAINERS or out:
             _, outer, inner = self.open[-1] if self.open else ("", False, False)
             main = tag in ("article", "main") and not outer
-            out = tag in OUTER_TAGS or bool(names and OUTER_NAMES.search(names)) or "hidden" in said
-            self.has_main |= main and not out
             self.open.append((tag, outer or out, (inner or main) and not out))
+            self.fresh = True
+        elif self.open and self.open[-1][0] == tag:  # of its name within a named one: it has an end of its own
+            self.open.append((tag, *self.open[-1][1:]))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -96,11 +117,15 @@ class Segmenter(HTMLParser):
             self.fresh = True
         if tag == "a":
             self.links = 0
-        if tag in CONTAINERS:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] == tag:
-                    del self.open[i:]
-                    break
+            if tag in CONTAINERS or tag == "p":
+                self.end_paragraph()
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                self.fresh = True
+                break
+            if self.open[i][0] in CONTAINERS and tag not in CONTAINERS:  # a stray end
+                break
 
     def handle_data(self, data: str) -> None:
         if self.silent:
@@ -116,13 +141,11 @@ class Segmenter(HTMLParser):
         block.linked += len(data) * self.links
 
 
-def first_pass(block: Block, has_main: bool, low: float = 0.15, high: float = 0.3, short: int = 70, long: int = 200) -> str:
-    """good, bad, or open (short, near)."""
-    if block.outer or (has_main and not block.inner):
+def first_pass(block: Block, low: float = 0.15, high: float = 0.3, short: int = 70, long: int = 200) -> str:
+    """good, bad, or open (short, near, and weak: few stop words, but within article or main)."""
+    if block.outer:
         return BAD
     density = block.linked / max(1, sum(map(len, block.parts)))
-    if block.inner and (density < 0.9 or len(block.text) >= long):  # prose of an article may carry links
-        return GOOD
     if density > 0.2:
         return BAD
     if len(block.text) < short:
@@ -131,7 +154,17 @@ def first_pass(block: Block, has_main: bool, low: float = 0.15, high: float = 0.
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= high:
         return GOOD if len(block.text) > long else NEAR
-    return NEAR if stops >= low else BAD
+    return NEAR if stops >= low else WEAK if block.inner else BAD
+
+
+def lean(blocks: list[Block], labels: list[str]) -> list[str]:
+    """Open blocks but weak ones are good within article and main and bad elsewhere, if these elements hold an open or good block and at least half of the good text."""
+    if not any(b.inner and x != BAD for b, x in zip(blocks, labels, strict=True)):
+        return labels
+    good = [(b.inner, len(b.text)) for b, x in zip(blocks, labels, strict=True) if x == GOOD]
+    if 2 * sum(n for inner, n in good if inner) < sum(n for _, n in good):
+        return labels
+    return [x if x in (GOOD, BAD, WEAK) else GOOD if b.inner else BAD for b, x in zip(blocks, labels, strict=True)]
 
 
 def second_pass(labels: list[str]) -> list[bool]:
@@ -148,7 +181,7 @@ def second_pass(labels: list[str]) -> list[bool]:
     for i, x in enumerate(labels):
         near = GOOD in (before[i], after[i])
         both = before[i] == after[i] == GOOD
-        out.append(x == GOOD or (x == SHORT and both) or (x == NEAR and (near or (BAD not in labels and GOOD not in labels))))
+        out.append(x == GOOD or (x == SHORT and both) or (x == WEAK and near) or (x == NEAR and (near or (BAD not in labels and GOOD not in labels))))
     if not any(out):  # a page of open blocks only: the near ones are its prose
         out = [x == NEAR for x in labels]
     return out
@@ -166,7 +199,7 @@ def main_text(html: str | None) -> str:
         b.text = SPACE.sub(" ", "".join(b.parts)).strip()
         if b.text:
             blocks.append(b)
-    keep = second_pass([first_pass(b, page.has_main) for b in blocks])
+    keep = second_pass(lean(blocks, [first_pass(b) for b in blocks]))
     return " ".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 

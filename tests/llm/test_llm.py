@@ -196,6 +196,17 @@ def test_html():
     assert html.main_text(f"<div><a href=1>one</a> <a href=2>two</a></div><p>{prose}</p><p>Short.</p><p>{prose}</p><div><a href=3>three</a></div>") == f"{prose.strip()} Short. {prose.strip()}"
 
 
+def test_html_blocks_decide_beside_article_and_main():
+    prose = "The cat sat on the mat and it was a good day for all of the cats that were there with him. " * 4
+    text = prose.strip()
+    cards = "".join(f"<article><h3><a href={i}>Card {i}</a></h3><p>A teaser.</p></article>" for i in range(3))
+    assert html.main_text(f"<div><p>{prose}</p><p>Short.</p><p>{prose}</p></div>{cards}") == f"{text} Short. {text}"
+    assert html.main_text(f"<main><p>{prose}</p><p class=ad>{prose}<p>Short.</p><p>So<span class='notice'>{prose}</span> it is</p></main>") == f"{text} Short. So it is"
+    links = "<a href=1>one link of the many here</a> and " * 8
+    assert html.main_text(f"<article><p>{prose}</p><p>{links}</p><p>{'zq xv ' * 40}</p></article>") == text
+    assert html.main_text(f"<body class=has-sidebar><main><h1 class=page-header>Head</h1><p>{prose}</p></main></body>") == f"Head {text}"
+
+
 def test_fingerprints(spark):
     rows = [(3, "a b c d e f g h"), (2, "a b c d e f g h"), (1, None), (0, "x y z")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("range", F.lit("clash"))
