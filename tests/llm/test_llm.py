@@ -132,6 +132,25 @@ def test_lines(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_large_buckets_meet_all_others(spark, monkeypatch):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("abcdefghij", k=6))
+    base, rows = [word() for _ in range(60)], []
+    for i in range(300):
+        line = list(base)
+        for k in draw.sample(range(60), 4):
+            line[k] = word()
+        rows.append((i, " ".join(line)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    removed = lambda: {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(df).collect()}
+    monkeypatch.setattr(lines, "ALL_PAIRS", 10**6)
+    want = removed()
+    monkeypatch.setattr(lines, "ALL_PAIRS", 4)
+    assert removed() == want
+    monkeypatch.setattr(lines, "SLICE", 16)
+    assert removed() == want and 0 < sum(want.values()) < 300
+
+
 def test_edit_distance():
     def slow(a, b):
         d = list(range(len(b) + 1))
