@@ -45,7 +45,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(read(spark, sf_dir, "documents")).drop("salt")
+    return lines.dedup_lines(read(spark, sf_dir, "documents"))
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,34 +121,85 @@ def test_cover_meets_every_pair_of_positions():
 
 
 def test_lines(spark):
-    line = "This line of some length says what it says about the matter at hand, and it goes on in the same manner for rather many words, since the hash of a longer line hardly moves when one short word among them changes to another as here."
-    fuzzy = line.replace("since the", "since a")
-    rows = [(1, f"first words that stand alone here\n{line}\nok"), (2, f"{fuzzy}\nok\nan own line which nobody else has"), (3, line.upper() + "\n" + line), (4, None), (5, ""), (3, line.upper() + "\n" + line)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("salt", F.lit("clash"))
-    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(df).collect()}
-    assert got == {1: (rows[0][1], 3, 0), 2: ("ok\nan own line which nobody else has", 3, 1), 3: ("", 2, 2), 4: (None, 0, 0), 5: ("", 0, 0)}
+    line = "This line of some length says what it says about the matter at hand, and it goes on."
+    fuzzy = line.replace("hand", "foot")
+    rows = [(1, f"first words that stand alone here\n{line}\nok"), (2, f"{fuzzy}\nok\nan own line which nobody else has"), (3, line.upper() + "\n" + line), (4, None), (5, ""), (3, line.upper() + "\n" + line), (None, line), ((1 << 63) - 1, "my own line of the largest id"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("salt", F.lit("clash")).withColumn("id", F.lit(1)).withColumn("rest", F.lit(2)).withColumn("n_chars", F.lit(0))
+    got = collections.Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(df).collect())
+    want = [(1, rows[0][1], 3, 0), (2, "ok\nan own line which nobody else has", 3, 1), (3, "", 2, 2), (3, "", 2, 2), (4, None, 0, 0), (5, "", 0, 0), (None, "", 1, 1), (None, None, 0, 0), ((1 << 63) - 1, rows[7][1], 1, 0)]
+    assert got == collections.Counter(want)
     out = lines.strip_lines(df)
-    assert out.columns == df.columns and out.count() == len(rows)
+    assert out.columns == df.columns
+    assert collections.Counter((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()) == collections.Counter((d, t, None if t is None else len(t)) for d, t, _, _ in want)
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_lines_of_large_buckets_meet_all_others(spark, monkeypatch):
+def test_lines_that_differ_in_numbers_are_compared(spark):
+    rows = [(1, "call 5550100 now for a deal"), (2, "call 7771234 now for a deal"), (3, "Call  5550100, now: for a deal!")]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 1}
+
+
+def edited(draw, words, word):
+    """The words after some substitutions, losses, additions or slips of the pen."""
+    out, kind = list(words), draw.choice(["sub", "del", "ins", "slip", "many"])
+    for _ in range(draw.randint(1, max(1, len(words) // 12)) if kind == "many" else 1):
+        i = draw.randrange(len(out))
+        if kind in ("sub", "many"):
+            out[i] = word()
+        elif kind == "del":
+            del out[i]
+        elif kind == "ins":
+            out.insert(i, word())
+        else:
+            out[i] = out[i][:-1] + draw.choice("xyz")
+    return out
+
+
+def test_similar_lines_share_a_key():
+    """Recall of candidates among pairs of edit similarity 0.9, by the number of words."""
+    draw = random.Random(3)
+    vocabulary = ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(1, 11))) for _ in range(20_000)] + ["the", "of", "and", "to", "in"] * 3000
+    word = lambda: draw.choice(vocabulary)
+    for n in (5, 8, 10, 15, 20, 40, 60, 100, 200):
+        found = total = 0
+        for _ in range(300):
+            base = [word() for _ in range(n)]
+            pair = [" ".join(base), " ".join(edited(draw, base, word))]
+            block = lines.Lines(lines.pa.array(pair))
+            if pair[0] == pair[1] or len(block.rows) < 2 or not lines.similar(*(x.encode() for x in pair), 0.9):
+                continue
+            line, key = block.keys(np.arange(2), 0.9)
+            total, found = total + 1, found + bool(set(key[line == 0].tolist()) & set(key[line == 1].tolist()))
+        assert found >= 0.9 * total > 50, n
+
+
+def test_lines_against_brute_force(spark):
+    """Groups of near lines, one of them in a bucket of hundreds of lines: the result of comparing all pairs."""
     draw = random.Random(8)
-    word = lambda: "".join(draw.choices("abcdefghij", k=6))
-    base, rows = [word() for _ in range(60)], []
-    for i in range(300):
-        line = list(base)
-        for k in draw.sample(range(60), 4):
-            line[k] = word()
-        rows.append((i, " ".join(line)))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    removed = lambda: {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(df).collect()}
-    monkeypatch.setattr(lines, "ALL_PAIRS", 10**6)
-    want = removed()
-    monkeypatch.setattr(lines, "ALL_PAIRS", 4)
-    assert removed() == want
-    monkeypatch.setattr(lines, "SLICE", 16)
-    assert removed() == want and 0 < sum(want.values()) < 300
+    word = lambda: "".join(draw.choices("abcdefghij", k=draw.randint(2, 8)))
+    texts = []
+    for n, copies in ((6, 12), (12, 20), (25, 20), (60, 20), (40, 200)):
+        base = [word() for _ in range(n)]
+        texts += [" ".join(edited(draw, base, word)) for _ in range(copies)]
+    texts += [" ".join(word() for _ in range(draw.randint(5, 60))) for _ in range(60)]
+    draw.shuffle(texts)
+    normal, root = lines.normal_forms(texts), list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if lines.similar(normal[i], normal[j], 0.9):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    want = {i for i in range(len(texts)) if top(i) != i and len(normal[i]) >= lines.MIN_CHARS}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"] for r in lines.dedup_lines(df).where("n_removed > 0").collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) > 200
 
 
 def test_edit_distance():
@@ -162,7 +213,7 @@ def test_edit_distance():
 
     draw = random.Random(2)
     for _ in range(200):
-        a, b = ("".join(draw.choices("ab", k=draw.randint(1, 9))) for _ in range(2))
+        a, b = ("".join(draw.choices("ab", k=draw.randint(1, 9))).encode() for _ in range(2))
         assert lines.edit_distance(a, b, 20) == slow(a, b)
 
 
