@@ -1,15 +1,17 @@
 """Media columns: payloads kept as 8-bit sound, cut into content-defined chunks that are stored once.
 
 A text's UTF-8 bytes, padded, are the samples of a mono 8-bit WAV file. A
-rolling gear hash over 32 bytes cuts the file where its low bits are zero, so
-equal passages give equal chunks wherever they stand. Chunks are deduplicated
-by digest in Spark; a medium is an ordered list of digests. Reading joins the
-lists with the chunks, puts each medium together again and verifies its digest
-before its samples are looked at.
+rolling gear hash over 32 bytes cuts the file where its high bits are zero, so
+equal passages give equal chunks wherever they stand. A chunk table holds the
+bytes of each digest once, and a list table the ordered digests of each
+distinct medium. Reading joins the places of the lists with the chunks, puts
+each medium together again and verifies its digest before its samples are
+looked at.
 """
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import struct
 import zlib
@@ -20,17 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, PACKET_BYTES, Gathered, checkpoint, exchange, parts_for, scatter, scatter_texts, text_blocks
+from .common import checkpoint, text_blocks
 
 #: Padding of payloads (bytes) and the chunk sizes: least, mean beyond it, most.
 UNIT, LEAST, MEAN_BITS, MOST = 192, 1024, 11, 8192
 RATE = 16_000
-#: A chunk that a block of documents holds this often is spread: it is kept up to COPIES times, each for some of the blocks.
-OFTEN, COPIES = 8, 16
-#: How hard chunks are compressed on their way.
-LEVEL = 9
+#: A chunk is hot if it fills more than this share of all places, so HOT chunks at most (MOST bytes each) are broadcast; chunks of fewer than HOT_LEAST places never are.
+HOT, HOT_LEAST = 2000, 4096
 _GEAR = np.random.default_rng(20240902).integers(0, 1 << 32, 256, dtype=np.uint32)
-CHUNKS, REFS, FOUND = range(3)
 
 
 def payload_of(text: bytes) -> bytes:
@@ -89,95 +88,86 @@ def features(payload: bytes) -> str:
     return f"{len(x)}:{y.mean():.4f}:{y.std():.4f}:{x.min()}-{x.max()}:{crossings}:" + ",".join(map(str, levels.tolist()))
 
 
-def _digests(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The first 16 bytes of SHA-256 as two columns."""
-    two = np.frombuffer(b"".join(hashlib.sha256(v).digest()[:16] for v in values), np.uint64).reshape(-1, 2)
-    return np.ascontiguousarray(two[:, 0]), np.ascontiguousarray(two[:, 1])
+def media_of(text: str | None) -> tuple[int, bytes]:
+    """The number of a text's bytes and its medium."""
+    raw = (text or "").encode()
+    return len(raw), to_wav(payload_of(raw))
 
 
-def store_media(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
-    """The lists (doc_id, n_bytes, media_bytes, media_sha256 of every row) and the packed chunks and places of every distinct medium."""
+def pieces_of(media: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """The digest (16 bytes of SHA-256) and the bytes of each chunk, in order."""
+    at = 0
+    for end in chunk_ends(media):
+        piece = media[at:end]
+        yield hashlib.sha256(piece).digest()[:16], piece
+        at = end
 
-    def media_of(column: pa.Array) -> tuple[list[int], list[bytes], list[bytes]]:
-        raws = [(t or "").encode() for t in column.to_pylist()]
-        media = [to_wav(payload_of(r)) for r in raws]
-        return [len(r) for r in raws], media, [hashlib.sha256(m).digest() for m in media]
+
+def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: media (doc_id, n_bytes, media_bytes, medium of every row), lists (medium, digests in order, once a medium) and chunks (digest, data, once a digest).
+
+    medium is the SHA-256 of a stored file; data is compressed by bz2.
+    """
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
-            n, media, sha = media_of(block.column(1))
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n, pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([s.hex() for s in sha])], ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, max_bytes=PACKET_BYTES):
-            _, media, sha = media_of(block.column(0))
-            unique = dict(zip(sha, media, strict=True))
-            owner, place, count, pieces = [], [], [], []
-            for s, m in unique.items():
-                ends = chunk_ends(m)
-                owner += [s] * len(ends)
-                place += range(len(ends))
-                count += [len(ends)] * len(ends)
-                pieces += [m[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-            high, low = _digests(pieces)
-            owner = np.frombuffer(b"".join(owner), np.uint64).reshape(-1, 4)
-            # a digest's first row here carries its bytes, the others ask for them
-            _, first, mine, times = np.unique(np.stack((high, low), axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
-            salt = np.where(times[mine.ravel()] >= OFTEN, 1 + (owner[0, 0] if len(owner) else np.uint64(0)) % np.uint64(COPIES), 0).astype(np.uint64)
-            to = high + salt * np.uint64(0x9E3779B97F4A7C15)
-            offsets = np.concatenate(([0], np.cumsum([len(pieces[i]) for i in first])))
-            raw = np.frombuffer(b"".join(pieces[i] for i in first), np.uint8)
-            yield scatter_texts(to[first], parts, CHUNKS, [high[first], low[first]], raw, offsets, LEVEL)
-            yield scatter(to, parts, REFS, [high, low, *(np.ascontiguousarray(owner[:, i]) for i in range(4)), np.array(place, np.int32), np.array(count, np.int32)])
+            rows = [media_of(t) for t in block.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [block.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([len(m) for _, m in rows], pa.int64()), pa.array([hashlib.sha256(m).digest() for _, m in rows], pa.binary()), pa.array([[d for d, _ in pieces_of(m)] for _, m in rows], pa.list_(pa.binary()))],
+                ["doc_id", "n_bytes", "media_bytes", "medium", "digests"],
+            )
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches):
+            unique = {d: p for t in block.column(0).to_pylist() for d, p in pieces_of(media_of(t)[1])}
+            yield pa.RecordBatch.from_arrays([pa.array(list(unique), pa.binary()), pa.array([bz2.compress(p) for p in unique.values()], pa.binary())], ["digest", "data"])
 
     kept = docs.select("doc_id", "text")
     kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(lists, f"doc_id {kind}, n_bytes long, media_bytes long, media_sha256 string"), kept.select("text").mapInArrow(cut, PACKED)
-
-
-def read_media(stored: DataFrame, parts: int, with_payload: bool = False) -> DataFrame:
-    """Every distinct medium, put together from its chunks and verified: media_sha256, payload_bytes, payload_sha256, tail_crc32, feature (and payload)."""
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = Gathered(batches)
-        (high, low), data = got.texts(CHUNKS, "u8", "u8")
-        _, one = np.unique(np.stack((high, low), axis=1), axis=0, return_index=True)  # the deduplicated chunks
-        where = {(int(high[i]), int(low[i])): int(i) for i in one}
-        rows = got.columns(REFS, "u8", "u8", "u8", "u8", "u8", "u8", "i4", "i4")
-        _, ask = np.unique(np.stack((rows[2], rows[3], rows[4], rows[5], rows[6].astype(np.uint64)), axis=1), axis=0, return_index=True) if len(rows[0]) else (None, np.zeros(0, np.int64))
-        source = np.array([where[int(rows[0][i]), int(rows[1][i])] for i in ask], np.int64)
-        offsets, raw = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1), np.frombuffer(data.buffers()[2], np.uint8)
-        lengths = offsets[source + 1] - offsets[source]
-        sums, step = np.cumsum(lengths), 0
-        while step < len(ask):
-            to = max(step + 1, int(np.searchsorted(sums, (sums[step - 1] if step else 0) + (8 << 20), side="right")))
-            part = slice(step, to)
-            columns = [rows[k][ask[part]] for k in range(2, 8)]
-            yield scatter_texts(columns[0], parts, FOUND, columns, np.concatenate([raw[offsets[i] : offsets[i + 1]] for i in source[part]]), np.concatenate(([0], np.cumsum(lengths[part]))), LEVEL)
-            step = to
-
-    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (a, b, c, d, place, count), data = Gathered(batches).texts(FOUND, "u8", "u8", "u8", "u8", "i4", "i4")
-        order = np.lexsort((place, d, c, b, a))
-        keys = np.stack((a, b, c, d, place.astype(np.uint64)), axis=1)[order]
-        if len(order):  # copies of a medium may have asked for a spread chunk more than once
-            order = order[np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))]
-        out: list[list] = [[], [], [], [], [], []]
-        at = 0
-        while at < len(order):
-            i = int(order[at])
-            sha = np.array([a[i], b[i], c[i], d[i]], np.uint64).tobytes()
-            media = b"".join(data[int(k)].as_py() for k in order[at : at + count[i]])
-            if hashlib.sha256(media).digest() != sha:
-                raise ValueError(f"medium {sha.hex()} is damaged")
-            payload = from_wav(media)
-            for column, value in zip(out, (sha.hex(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), features(payload), payload if with_payload else None), strict=True):
-                column.append(value)
-            at += int(count[i])
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["media", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "payload"])
-
-    fetched = exchange(parts, stored).mapInArrow(fetch, PACKED)
-    return exchange(parts, fetched).mapInArrow(restore, "media string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, payload binary")
+    media = checkpoint(kept.mapInArrow(lists, f"doc_id {kind}, n_bytes long, media_bytes long, medium binary, digests array<binary>"))
+    chunks = kept.select("text").mapInArrow(pieces, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
+    return media.drop("digests"), media.groupBy("medium").agg(F.first("digests").alias("digests")), chunks
+
+
+def restore(medium: bytes, parts: list[bytes]) -> bytes:
+    """The payload of a medium whose compressed chunks come in order; ValueError if its digest differs."""
+    media = b"".join(bz2.decompress(p) for p in parts)
+    if hashlib.sha256(media).digest() != medium:
+        raise ValueError(f"medium {medium.hex()} is damaged")
+    return from_wav(media)
+
+
+def read_media(lists: DataFrame, chunks: DataFrame, with_payload: bool = False) -> DataFrame:
+    """Every medium of lists, put together from its chunks and verified: medium, payload_bytes, payload_sha256, tail_crc32, feature (and payload).
+
+    A missing or damaged chunk raises ValueError. The few hot chunks are
+    broadcast, so no task gets all places of one.
+    """
+    places = lists.select("medium", F.size("digests").alias("count"), F.posexplode("digests").alias("place", "digest"))
+    counts = checkpoint(places.groupBy("digest").agg(F.count("*").alias("n")))
+    limit = max(HOT_LEAST, (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) // HOT)  # one number
+    hot = counts.where(F.col("n") > limit).select("digest")  # HOT rows at most
+    if hot.isEmpty():
+        found = places.join(chunks, "digest", "left")
+    else:
+        hot = F.broadcast(hot)
+        found = places.join(hot, "digest", "left_anti").join(chunks, "digest", "left")
+        found = found.unionByName(places.join(hot, "digest", "left_semi").join(F.broadcast(chunks.join(hot, "digest", "left_semi")), "digest", "left"))
+    found = found.groupBy("medium", "count").agg(F.sort_array(F.collect_list(F.struct("place", "data"))).alias("parts"))  # the chunks of one file
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for medium, count, parts in zip(*batch.columns, strict=True):
+                data = [p["data"] for p in parts.as_py()]
+                if len(data) != count.as_py() or None in data:
+                    raise ValueError(f"medium {medium.as_py().hex()} lacks a chunk")
+                payload = restore(medium.as_py(), data)
+                values = (medium.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), features(payload), payload if with_payload else None)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
+
+    types = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
+    names = ["medium", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "payload"]
+    return found.mapInArrow(run, "medium binary, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, payload binary")
 
 
 def media_columns(docs: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -185,11 +175,10 @@ def media_columns(docs: DataFrame, with_payload: bool = False) -> DataFrame:
 
     A null text is empty; its payload is UNIT spaces. Equal texts share one
     medium and get equal values; repeated and null doc_ids are kept row by row.
-    Other columns are dropped. A medium whose digest differs raises ValueError.
+    An empty table gives no rows. Other columns, whatever their names, are
+    dropped. A medium whose digest differs raises ValueError.
     """
-    parts = parts_for(docs)
-    lists, stored = store_media(docs, parts)
-    read = checkpoint(read_media(stored, parts, with_payload))
-    lists = checkpoint(lists)
-    out = lists.join(read, lists["media_sha256"] == read["media"])
+    media, lists, chunks = store_media(docs)
+    read = checkpoint(read_media(lists, chunks, with_payload))
+    out = media.join(read, "medium").withColumn("media_sha256", F.lower(F.hex("medium")))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["payload"] if with_payload else []))

@@ -66,6 +66,25 @@ def test_media(spark, docs):
     assert media.media_columns(df.limit(0)).count() == 0
 
 
+def test_media_tables(spark, monkeypatch):
+    """One row a chunk and a medium, hot chunks give the same result, and damage is seen."""
+    draw = random.Random(4)
+    shared = "".join(draw.choices("abcdefgh ", k=40_000))
+    rows = [(i, f"{i} {'x' * i} " + shared if i % 3 else shared) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("clash")).repartition(3)
+    _, lists, chunks = media.store_media(df)
+    assert lists.count() == 21 and chunks.count() == chunks.select("digest").distinct().count() < 0.3 * lists.select(F.sum(F.size("digests"))).first()[0]
+    plain = {tuple(r) for r in media.media_columns(df).collect()}
+    monkeypatch.setattr(media, "HOT_LEAST", 5)
+    monkeypatch.setattr(media, "HOT", 10**9)
+    assert {tuple(r) for r in media.media_columns(df).collect()} == plain and len(plain) == 30
+    first = chunks.orderBy("digest").first()["digest"]
+    with pytest.raises(Exception, match="lacks a chunk"):
+        media.read_media(lists, chunks.where(F.col("digest") != first)).collect()
+    with pytest.raises(Exception, match="damaged"):
+        media.read_media(lists, chunks.withColumn("data", F.when(F.col("digest") == first, F.lit(bytearray(media.bz2.compress(b"other")))).otherwise(F.col("data")))).collect()
+
+
 def test_chunks_follow_content():
     draw = np.random.default_rng(1)
     shared = draw.integers(0, 256, 60_000, dtype=np.uint8).tobytes()
