@@ -7,6 +7,7 @@ boundaries are found on the UTF-8 bytes of a whole block of documents at once.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,10 +38,48 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="checkpoint-")
 
 
+class Table:
+    """A table written as Parquet (compressed, unlike a checkpoint) in the shared folder, until drop() removes it."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: What tells a document from another, without nulls: see named_docs.
+DOC = ["none", "id", "salt"]
+#: Rows that small() broadcasts at most.
+SMALL_ROWS = 100_000
+
+
+def named_docs(docs: DataFrame) -> DataFrame:
+    """docs as none, id (0 for null), salt (a hash of the text), text, and all other columns as rest; sorted by the first three, null ids come last."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("salt"), "text", F.struct(*rest).alias("rest"))
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df (checkpointed), to be broadcast if it has so many rows at most; joined by shuffles otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def names128(names: np.ndarray) -> pa.Array:
+    """Rows of two 64-bit columns as binary values of 16 bytes."""
+    ends = np.arange(0, 16 * len(names) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(names, np.uint64))])
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; null and blank texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), WORD_GAP)

@@ -3,14 +3,17 @@
 A document's set is its distinct n-word shingles, as 64-bit hashes; equal sets
 are one set. Tokens are ordered rare first (frequent ones, counted over all
 documents, come last) and each set is indexed under its prefix, so that two
-linked sets meet in some list. Lists are sorted by size and position, and
-blocks of a list whose sizes or positions rule a link out are skipped.
-
-Answers of similar sets are reused. First, a list's members are compared with
-its leader only; sets that a chain of links already joins need no comparison
-with each other, as their answer, the component, is known. Pairs are first compared
-by a fixed quarter of their tokens, which proves most of them too different. Then the lists that
-still hold several components are searched in full, but only across components.
+linked sets meet in some list. A list falls into blocks by size, and a set
+stands in it by its position: blocks whose sizes rule a link out never meet,
+and pairs that position and size rule out are skipped.
+
+Answers of similar sets are reused. First, the members of each list are
+compared with its first set only, which gives their distance to it. Sets that
+a chain of links joins need no comparison with each other, as their answer,
+the component, is known. And the distance, 1 - Jaccard similarity, is a
+metric: what is far from a list's first set is far from all that are near to
+it, so those answers follow from the ones that are computed. Only pairs that
+remain are compared, across components.
 """
 
 from __future__ import annotations
@@ -19,50 +22,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ITEMS, PACKED, PACKET_BYTES, PAIRS, WANTED, Gathered, Words, checkpoint, components, exchange, firsts, mix64, pair_ends, parts_for, pick_items, row_blocks, scatter, scatter_texts, shingle_sets, signed, text_blocks, utf8, verify_pairs
+from .common import DOC, Words, checkpoint, components, mix64, named_docs, names128, shingle_sets, signed, small, text_blocks
 
 #: Blocks in which frequent tokens are counted (bytes), the occurrences in a block that make a token a candidate, and the most tokens that are broadcast (8 bytes each). The order of tokens decides speed only.
-COUNT_BYTES, COUNT_LEAST, MAX_FREQUENT = 8 << 20, 3, 1 << 18
-#: Members of a block of an index list, and the leaders a set is compared with.
-LIST_BLOCK, LEADERS_EACH = 256, 4
-#: Smallest tokens, under so many orders, by which sets find leaders besides those of their lists; similar sets mostly share them.
-HUB_ORDERS = 4
-POSTINGS, LISTS, LABELS, LEADERS, HUBS = range(5)
+COUNT_BYTES, COUNT_LEAST, MAX_FREQUENT = 8 << 20, 2, 1 << 18
 
 
-def set_id(tokens: np.ndarray) -> int:
-    """A 64-bit name for a set of tokens."""
-    with np.errstate(over="ignore"):
-        return int(mix64(np.array([mix64(tokens).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
+def set_names(sets: list[np.ndarray]) -> pa.Array:
+    """A 128-bit name for each set of tokens; null for an empty one."""
+    sums = np.zeros((len(sets), 2), np.uint64)
+    for i, s in enumerate(sets):
+        sums[i] = mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+    sizes = np.array([len(s) for s in sets], np.uint64)
+    names = names128(mix64(sums + sizes[:, None]))
+    return pa.array([v if n else None for v, n in zip(names.to_pylist(), sizes.tolist(), strict=True)], pa.binary())
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union of two sorted sets."""
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if 100 * len(small) < percent * len(large):
-        return False
-    at = np.searchsorted(large, small)
-    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-    return 100 * common >= percent * (len(a) + len(b) - common)
-
-
-def slice_of(tokens: np.ndarray) -> bytes:
-    """The size of a set and a fixed quarter of all tokens, cut to 32 bits."""
-    return np.int64(len(tokens)).tobytes() + np.sort((tokens[tokens % np.uint64(4) == 0] >> np.uint64(32)).astype(np.uint32)).tobytes()
-
-
-def may_link(a: bytes, b: bytes, percent: int) -> bool:
-    """Whether two sets can link, by their slices: tokens of the slice are counted (cut tokens can only add), all others could be common."""
-    n, m = int.from_bytes(a[:8], "little"), int.from_bytes(b[:8], "little")
-    x, y = np.frombuffer(a, np.uint32, offset=8), np.frombuffer(b, np.uint32, offset=8)
-    small, large = (x, y) if len(x) <= len(y) else (y, x)
-    at = np.searchsorted(large, small)
-    common = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-    most = common + min(n - len(x), m - len(y))
-    return (100 + percent) * most >= percent * (n + m)
+def common_tokens(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    small_, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small_):
+        return 0
+    at = np.searchsorted(large, small_)
+    return int((large[np.minimum(at, len(large) - 1)] == small_).sum())
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -92,47 +77,115 @@ def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
         yield often()
 
     counted = docs.select("text").mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    rows = counted.where("times >= 16").orderBy(F.desc("times"), "token").limit(MAX_FREQUENT).collect()
+    rows = counted.orderBy(F.desc("times"), "token").limit(MAX_FREQUENT).collect()
     return np.array([r["token"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-def list_pairs(size: np.ndarray, at: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a list's members, of different labels, that size and position allow. Members come sorted by size."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    n = len(size)
-    for a in range(0, n, LIST_BLOCK):
-        x = slice(a, min(n, a + LIST_BLOCK))
-        for b in range(a, n, LIST_BLOCK):
-            y = slice(b, min(n, b + LIST_BLOCK))
-            if 100 * size[x][-1] < percent * size[y][0]:
-                break  # the sets of this and all later blocks are too large
-            if label[x][0] == label[y][0] and (label[x] == label[x][0]).all() and (label[y] == label[x][0]).all():
-                continue
-            nx, ny = size[x][:, None], size[y][None, :]
-            need = -(-percent * (nx + ny) // (100 + percent))
-            ok = (np.minimum(nx - at[x][:, None], ny - at[y][None, :]) >= need) & (100 * nx >= percent * ny) & (label[x][:, None] != label[y][None, :])
-            if a == b:
-                ok &= np.arange(x.start, x.stop)[:, None] < np.arange(y.start, y.stop)[None, :]
-            i, j = np.nonzero(ok)
-            left.append(i + a)
-            right.append(j + b)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _cuts(head: np.ndarray) -> Iterator[tuple[int, int]]:
-    at = np.flatnonzero(head)
-    return zip(at.tolist(), np.append(at[1:], len(head))[: len(at)].tolist(), strict=True)
+def find_sets(named: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """Every distinct set: number (n), name, place of its first document, size, prefix (its first tokens, rare ones first)."""
+    by_value = np.argsort(frequent)
+    value = frequent[by_value]
+
+    def prefix(tokens: np.ndarray) -> np.ndarray:
+        """Of rare tokens by value, then frequent ones by rising count, the first."""
+        k = prefix_length(len(tokens), percent)
+        if len(value):
+            at = np.minimum(np.searchsorted(value, tokens), len(value) - 1)
+            often = value[at] == tokens
+            late = by_value[at[often]]
+            tokens = np.concatenate((tokens[~often], tokens[often][np.argsort(late)]))
+        return tokens[:k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches):
+            sets = shingle_sets(Words(block.column(3), lower=True), n)
+            names = set_names(sets)
+            some = pa.array(np.flatnonzero([len(s) for s in sets]))
+            firsts = [prefix(sets[i]) for i in some.to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32())
+            tokens = pa.ListArray.from_arrays(ends, pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *firsts]))))
+            size = pa.array([len(sets[i]) for i in some.to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([names.take(some), *[block.column(i).take(some) for i in range(3)], size, tokens], ["name", *DOC, "size", "prefix"])
+
+    found = named.select(*DOC, "text").mapInArrow(run, "name binary, none boolean, id long, salt long, size long, prefix array<long>")
+    found = found.groupBy("name").agg(F.min(F.struct(*DOC)).alias("place"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    return checkpoint(found.select(F.monotonically_increasing_id().alias("n"), "name", "place", "size", "prefix"))
 
 
 def set_members(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and set_id (null for an empty set) of every row."""
+    """doc_id, n_shingles and name of the set (null for an empty one) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             sets = shingle_sets(Words(block.column(1), lower=True), n)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([len(s) for s in sets], pa.int64()), set_names(sets)], ["doc_id", "n_shingles", "name"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, name binary")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+
+def fetch_sets(named: DataFrame, sets: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """n and all tokens (sorted, 8 bytes each) of the sets in pairs (a, b), from their first documents."""
+    wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
+    wanted = checkpoint(sets.select("n", "place").join(wanted, "n").select("n", *[F.col(f"place.{c}").alias(c) for c in DOC]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches):
+            tokens = [s.tobytes() for s in shingle_sets(Words(block.column(1), lower=True), n)]
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(tokens, pa.binary())], ["n", "tokens"])
+
+    found = named.select(*DOC, "text").join(small(wanted), DOC).select("n", "text").mapInArrow(run, "n long, tokens binary")
+    return checkpoint(found.groupBy("n").agg(F.first("tokens").alias("tokens")))  # repeated rows have the same set
+
+
+def compare(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """a, b, both (size of the intersection) and all (of the union) of the pairs; checkpointed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both, total = [], []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both.append(common_tokens(x, y))
+                total.append(len(x) + len(y) - both[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(both, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "both", "all"])
+
+    left, right = tokens.select(F.col("n").alias("a"), F.col("tokens").alias("x")), tokens.select(F.col("n").alias("b"), F.col("tokens").alias("y"))
+    return checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, both long, all long"))
+
+
+def may_link(size: Column, at: Column, other: Column, other_at: Column, percent: int) -> Column:
+    """Whether sizes and positions in a list allow a link: the tokens from there on must be enough."""
+    need = F.ceil(percent * (size + other) / (100 + percent))
+    return (F.least(size - at, other - other_at) >= need) & (100 * F.least(size, other) >= percent * F.greatest(size, other))
+
+
+def set_links(named: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between sets, enough to know all components."""
+    in_list = Window.partitionBy("token")
+    posted = sets.select("n", "size", F.posexplode("prefix").alias("at", "token"))
+    lead = F.min(F.struct("n", "size", "at")).over(in_list)
+    posted = posted.withColumn("lead", lead).withColumn("several", F.count("*").over(in_list)).where("several > 1")
+    lists = checkpoint(posted.select("token", "n", "size", "at", F.col("lead.n").alias("lead"), F.shiftleft("lead.size", 32).bitwiseOR(F.col("lead.at").cast("long")).alias("lead_is")))
+    led = may_link(F.col("size"), F.col("at"), F.shiftright("lead_is", 32), F.col("lead_is").bitwiseAND(F.lit((1 << 32) - 1)), percent)
+    first = checkpoint(lists.where(led & (F.col("n") != F.col("lead"))).select(F.col("n").alias("a"), F.col("lead").alias("b")).distinct())
+    first = compare(first, fetch_sets(named, sets, first, n))
+    linked = F.col("both") * 100 >= F.col("all") * percent
+    links = first.where(linked).select("a", "b")
+    label = components(links).select(F.col("id").alias("of"), "component")
+    known = first.select(F.col("a").alias("n"), F.col("b").alias("lead"), (1 - F.col("both") / F.col("all")).alias("far"))
+    rows = lists.join(label, lists["n"] == label["of"], "left").withColumn("label", F.coalesce("component", "n"))
+    rows = rows.withColumn("least", F.min("label").over(in_list)).withColumn("most", F.max("label").over(in_list)).where("least <> most")
+    rows = rows.join(known, ["n", "lead"], "left").withColumn("far", F.when(F.col("n") == F.col("lead"), 0.0).otherwise(F.col("far")))
+    # a block holds the sizes of which the largest is 100 / percent times the smallest: sets of linked sizes are in one or the next
+    block = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    rows = checkpoint(rows.select("token", "n", "size", "at", "label", "far", block.alias("block")))
+    larger = rows.select("token", *[F.col(c).alias(f"other_{c}") for c in ("n", "size", "at", "label", "far")], F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"))
+    smaller = rows.where(F.col("size") - F.col("at") >= F.ceil(2 * percent * F.col("size") / (100 + percent)))
+    met = smaller.join(larger, ["token", "block"]).where((F.col("size") < F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("n") < F.col("other_n"))))
+    apart = F.coalesce(F.abs(F.col("far") - F.col("other_far")) > 1 - percent / 100 + 1e-9, F.lit(False))
+    met = met.where((F.col("label") != F.col("other_label")) & may_link(F.col("size"), F.col("at"), F.col("other_size"), F.col("other_at"), percent) & ~apart)
+    across = checkpoint(met.select(F.col("n").alias("a"), F.col("other_n").alias("b")).distinct())
+    return links.unionByName(compare(across, fetch_sets(named, sets, across, n)).where(linked).select("a", "b"))
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -142,186 +195,20 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
     sets of n-word shingles (A-Z lower-cased); a text of fewer words has one
     shingle. A null or blank text has an empty set and links with nothing.
     Equal sets always link, and copies are handled as one set. A null doc_id
-    takes part, but names no component unless all ids of it are null. Other
-    columns are dropped.
+    takes part, but names no component unless all ids of it are null. Repeated
+    rows each get their row; an empty table gives none. Other columns, whatever
+    their names, are dropped.
     """
-    parts = parts_for(docs)
-    frequent = frequent_tokens(docs, n)
-    by_value = np.argsort(frequent)
-    value = frequent[by_value]
-
-    def order_tokens(tokens: np.ndarray) -> np.ndarray:
-        """Rare tokens by value, then frequent ones by rising count."""
-        if not len(value):
-            return tokens
-        at = np.minimum(np.searchsorted(value, tokens), len(value) - 1)
-        often = value[at] == tokens
-        late = by_value[at[often]]
-        return np.concatenate((tokens[~often], tokens[often][np.argsort(late)]))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
-            tokens, ids, sizes, places, hubs, seen = [], [], [], [], [], set()
-            for s in shingle_sets(Words(block.column(0), lower=True), n):
-                if not len(s) or (name := set_id(s)) in seen:
-                    continue
-                seen.add(name)
-                hubs += [(mix64(s ^ np.uint64(i + 1)).min(), name) for i in range(HUB_ORDERS)]
-                k = prefix_length(len(s), percent)
-                tokens.append(order_tokens(s)[:k])
-                ids.append(np.full(k, name))
-                sizes.append(np.full(k, len(s), np.int32))
-                places.append(np.arange(k, dtype=np.int32))
-            if tokens:
-                t = np.concatenate(tokens)
-                yield scatter(t, parts, POSTINGS, [t, np.concatenate(ids), np.concatenate(sizes), np.concatenate(places)])
-                # a block's sets of one hub follow the first of them, and only that one goes on to the hub
-                hub, name = np.array([h for h, _ in hubs], np.uint64), np.array([i for _, i in hubs], np.int64)
-                order, first = firsts(hub, name)
-                leader = name[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-                member = name[order]
-                led = member != leader
-                yield scatter(member[led].view(np.uint64), parts, LEADERS, [member[led], leader[led], np.full(led.sum(), 100, np.int32)])
-                yield scatter(hub[order][first], parts, HUBS, [hub[order][first], member[first]])
-
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of each list's members with its leader; the lists themselves; the sets in them."""
-        got = Gathered(batches)
-        hub, name = got.columns(HUBS, "u8", "i8")
-        order, first = firsts(hub, name)
-        if len(order):
-            leader = name[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-            member = name[order]
-            led = member != leader
-            yield scatter(member[led].view(np.uint64), parts, LEADERS, [member[led], leader[led], np.full(led.sum(), 100, np.int32)])
-            names = np.unique(np.concatenate((member[led], leader[led])))
-            yield scatter(names.view(np.uint64), parts, WANTED, [names])
-        a, b, times = got.columns(LEADERS, "i8", "i8", "i4")
-        yield scatter(a.view(np.uint64), parts, LEADERS, [a, b, times])
-        yield scatter(a.view(np.uint64), parts, WANTED, [a])
-        yield scatter(b.view(np.uint64), parts, WANTED, [b])
-        token, ids, size, at = got.columns(POSTINGS, "u8", "i8", "i4", "i4")
-        order, head = firsts(token, ids)
-        fresh = head | np.concatenate(([True], ids[order][1:] != ids[order][:-1])) if len(order) else head
-        order, head = order[fresh], head[fresh]
-        several = ~(head & np.concatenate((head[1:], [True]))) if len(head) else head
-        order, head = order[several], head[several]
-        token, ids, size, at = token[order], ids[order], size[order], at[order]
-        first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0)) if len(head) else np.zeros(0, np.int64)
-        a, b = ids, ids[first]
-        ok = (a != b) & (100 * np.minimum(size, size[first]) >= percent * np.maximum(size, size[first]))
-        key, times = np.unique(np.stack((a[ok], b[ok]), axis=1), axis=0, return_counts=True) if ok.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-        yield scatter(key[:, 0].view(np.uint64), parts, LEADERS, [np.ascontiguousarray(key[:, 0]), np.ascontiguousarray(key[:, 1]), times.astype(np.int32)])
-        apart = np.zeros(len(ids), bool)  # members that size and position allow to link with another
-        for x, y in _cuts(head):
-            rows = np.lexsort((at[x:y], size[x:y])) + x
-            if y - x > 2048:
-                apart[rows] = True
-                continue
-            i, j = list_pairs(size[rows].astype(np.int64), at[rows].astype(np.int64), np.arange(y - x), percent)
-            apart[rows[i]] = apart[rows[j]] = True
-        names = np.unique(np.concatenate((ids[apart], key.ravel())))
-        yield scatter(names.view(np.uint64), parts, WANTED, [names])
-        yield scatter(ids.view(np.uint64), parts, LISTS, [token, ids, size, at])
-
-    def elect(batches: Iterator[pa.RecordBatch], most: int | None = LEADERS_EACH) -> Iterator[pa.RecordBatch]:
-        """Each set's partners that it meets most often, or all; no link is lost, as the last search takes all."""
-        a, b, times = Gathered(batches).columns(LEADERS, "i8", "i8", "i4")
-        order = np.lexsort((b, a))
-        a, b, times = a[order], b[order], times[order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        a, b, times = a[at], b[at], np.add.reduceat(times, at) if len(at) else times
-        order = np.lexsort((b, -times, a))
-        a, b = a[order], b[order]
-        head = np.concatenate(([True], a[1:] != a[:-1])) if len(a) else np.zeros(0, bool)
-        nth = np.arange(len(a)) - np.maximum.accumulate(np.where(head, np.arange(len(a)), 0)) if len(a) else a
-        best = nth < (most or len(a) + 1)
-        yield scatter(a[best].view(np.uint64), parts, PAIRS, [a[best], b[best]])
-
-    def elect_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from elect(batches, None)
-
-    def pack_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
-            unique = {set_id(s): slice_of(s) for s in shingle_sets(Words(block.column(0), lower=True), n) if len(s)}
-            ids = np.array(list(unique), np.int64)
-            yield scatter_texts(ids.view(np.uint64), parts, ITEMS, [ids], np.frombuffer(b"".join(unique.values()), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in unique.values()], dtype=np.int64))), 1)
-
-    def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, max_bytes=PACKET_BYTES):
-            column = block.column(0)
-            raw, offsets = utf8(column)
-            names = np.array([set_id(s) if len(s) else 0 for part in text_blocks([block]) for s in shingle_sets(Words(part.column(0), lower=True), n)], np.int64)
-            _, one = np.unique(names, return_index=True)
-            lengths = np.diff(offsets)[one]
-            raw = np.concatenate([raw[offsets[i] : offsets[i + 1]] for i in one])
-            yield scatter_texts(names[one].view(np.uint64), parts, ITEMS, [names[one]], raw, np.concatenate(([0], np.cumsum(lengths))))
-
-    def sets_of(texts: pa.Array) -> list[bytes]:
-        return [s.tobytes() for part in row_blocks(texts) for s in shingle_sets(Words(texts[part], lower=True), n)]
-
-    def relabel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Give list members their component and send the lists back to their token."""
-        got = Gathered(batches)
-        ids, label = got.columns(LABELS, "i8", "i8")
-        token, member, size, at = got.columns(LISTS, "u8", "i8", "i4", "i4")
-        known = np.argsort(ids)
-        ids, label = ids[known], label[known]
-        spot = np.minimum(np.searchsorted(ids, member), max(0, len(ids) - 1))
-        mine = np.where(ids[spot] == member, label[spot], member) if len(ids) else member
-        yield scatter(token, parts, LISTS, [token, member, size, at, mine])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs across components that a list's blocks allow."""
-        token, ids, size, at, label = Gathered(batches).columns(LISTS, "u8", "i8", "i4", "i4", "i8")
-        order, head = firsts(token, size, at, ids)
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x, y in _cuts(head):
-            rows = order[x:y]
-            i, j = list_pairs(size[rows].astype(np.int64), at[rows].astype(np.int64), label[rows], percent)
-            left.append(ids[rows[i]])
-            right.append(ids[rows[j]])
-        a, b = np.concatenate(left), np.concatenate(right)
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        key, times = np.unique(np.stack((a, b), axis=1), axis=0, return_counts=True)
-        yield scatter(key[:, 0].view(np.uint64), parts, LEADERS, [np.ascontiguousarray(key[:, 0]), np.ascontiguousarray(key[:, 1]), times.astype(np.int32)])
-
-    def same(a: bytes, b: bytes) -> bool:
-        return linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
-
-    def maybe(a: bytes, b: bytes) -> bool:
-        return may_link(a, b, percent)
-
-    def pack_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, label = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            yield scatter(ids.view(np.uint64), parts, LABELS, [ids, label])
-
-    texts = docs.select("text")
-    found = checkpoint(exchange(parts, texts.mapInArrow(index, PACKED)).mapInArrow(lead, PACKED))
-    slices = pick_items(texts.mapInArrow(pack_slices, PACKED), found.where(F.col("kind") == WANTED), parts)
-
-    def links(pairs: DataFrame) -> DataFrame:
-        likely = pair_ends(verify_pairs(pairs, slices, parts, maybe), parts)
-        sets = pick_items(texts.mapInArrow(pack_texts, PACKED), likely.where(F.col("kind") == WANTED), parts, sets_of)
-        return checkpoint(verify_pairs(likely.where(F.col("kind") == PAIRS), sets, parts, same))
-
-    edges = links(exchange(parts, found.where(F.col("kind") == LEADERS)).mapInArrow(elect, PACKED))
-    for choose in (elect, elect_all):  # what the first look joins, the second needn't compare
-        labels = components(edges).select("id", "component").mapInArrow(pack_labels, PACKED)
-        lists = exchange(parts, found.where(F.col("kind") == LISTS), labels).mapInArrow(relabel, PACKED)
-        more = exchange(parts, lists).mapInArrow(search, PACKED)
-        edges = checkpoint(edges.unionByName(links(exchange(parts, more).mapInArrow(choose, PACKED))))
-    labels = components(edges).select(F.col("id").alias("set_"), F.col("component").alias("root"))
-    members = checkpoint(set_members(docs, n))
-    smallest = checkpoint(members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low")))
-    rooted = smallest.join(labels, smallest["set_id"] == labels["set_"], "left").select("set_id", "low", F.coalesce("root", "set_id").alias("root"))
+    named = named_docs(docs.select("doc_id", "text")).drop("rest")
+    sets = find_sets(named, n, percent, frequent_tokens(docs, n))
+    label = components(set_links(named, sets, n, percent)).select(F.col("id").alias("of"), "component")
+    rooted = sets.select("n", "name", "place").join(label, sets["n"] == label["of"], "left").select("name", "place", F.coalesce("component", "n").alias("root"))
     rooted = checkpoint(rooted)
-    tops = rooted.groupBy("root").agg(F.min("low").alias("component")).withColumnRenamed("root", "top")
-    named = checkpoint(rooted.join(tops, rooted["root"] == tops["top"]).select(F.col("set_id").alias("of"), "component"))
-    out = members.join(named, members["set_id"] == named["of"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    low = rooted.groupBy("root").agg(F.min("place").alias("low")).select(F.col("root").alias("top"), F.when(~F.col("low.none"), F.col("low.id")).alias("component"))
+    of_name = checkpoint(rooted.join(low, rooted["root"] == low["top"]).select(F.col("name").alias("set_name"), "component"))
+    members = set_members(docs, n)
+    out = members.join(of_name, members["name"] == of_name["set_name"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -329,5 +216,5 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
 
     Of rows that repeat a doc_id, or have none, all stay unless a smaller id stands for them.
     """
-    drop = ngram_components(docs, n, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["__gone"], "left_anti")
+    drop = ngram_components(docs, n, percent).where("component_id < doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)

@@ -116,6 +116,36 @@ def test_ngram_components(spark, docs):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {rows[i][0] for i in sets if label[i] == rows[i][0]}
 
 
+def test_ngram_components_of_graded_copies(spark):
+    """Chains of near copies, groups near the threshold and a passage that all share: the components of all pairs."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choices("abcdefghijkl", k=draw.randint(2, 8)))
+    passage, texts = [word() for _ in range(60)], []
+    for group in range(6):
+        base = [word() for _ in range(draw.randint(60, 300))]
+        for _ in range(30):
+            base = [word() if draw.random() < 0.004 * group else w for w in base]
+            text = [word() if draw.random() < 0.01 * group else w for w in base]
+            texts.append(" ".join(text + passage if draw.random() < 0.5 else text))
+    texts += [" ".join(word() for _ in range(draw.randint(3, 50))) for _ in range(40)]
+    draw.shuffle(texts)
+    sets, root = [], list(range(len(texts)))
+    for t in texts:
+        w = words_of(t, lower=True)
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    links = {i: [j for j in range(len(sets)) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])] for i in range(len(sets))}
+    for i in range(len(sets)):  # ids rise, so the first to reach a document is its smallest
+        todo = [i] if root[i] == i else []
+        while todo:
+            for j in links[todo.pop()]:
+                if root[j] > i:
+                    root[j] = i
+                    todo.append(j)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n", F.lit("clash")).repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(df).collect()}
+    assert got == {i: (len(sets[i]), root[i]) for i in range(len(sets))} and 40 < len(set(root)) < 200
+
+
 def test_substrings(spark, docs):
     df, rows = docs
     order = sorted({(r[0] if r[0] is not None else 1 << 62, r[1]) for r in rows}, key=lambda x: x[0])
