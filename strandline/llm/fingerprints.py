@@ -7,9 +7,10 @@ ln c - r (t - b + 1), and the sample is the (term, t) of lowest level. Two texts
 agree in a sample with probability sum(min(w, w')) / sum(max(w, w')), the
 generalised Jaccard similarity.
 
-Neighbours in the order of doc_id are found within ranges of ids. Each range
-also gets a copy of the first document of the next one, so no range needs a
-look outside and the only shuffle is by range.
+Neighbours in the order of doc_id are found within ranges of ids, cut at the
+quantiles of a bounded sample. Each range also gets a copy of the first document
+of the next one, so no range needs a look outside and the only shuffle of texts
+is by range.
 """
 
 from __future__ import annotations
@@ -25,7 +26,11 @@ SAMPLES = 64
 #: Samples are drawn by so many aggregates, over so many turns a term; a generated method of more would be too long to be compiled.
 AGGREGATES = 16
 #: Documents of a range of ids, ranges of a partition, and ranges at most (their first ids are broadcast, 24 bytes each).
-RANGE_DOCS, RANGES_PER_PART, MAX_RANGES = 400, 4, 1 << 20
+RANGE_DOCS, RANGES_PER_PART, MAX_RANGES = 400, 4, 1 << 16
+#: Ids that are sampled per range to cut the ranges (16 bytes each).
+SAMPLED = 8
+#: Cuts are searched as a tree of so many branches.
+_FAN = 64
 #: Gamma(2, 1) is drawn as one of 1024 equally likely quantiles; of r, the uppermost step is drawn exactly, as its tail decides.
 _STEPS = 1024
 
@@ -68,28 +73,57 @@ def _agreement(a: Column, b: Column, k: int) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same)
 
 
+def cuts_of(docs: DataFrame, ranges: int, n: int) -> list[tuple[int, int]]:
+    """The first (id, salt) of each range but the first, in the order of ids falling and salts rising; from a sample of SAMPLED rows a range."""
+    share = min(1.0, SAMPLED * ranges / max(1, n))
+    keys = docs.select("id", "salt")
+    sample = sorted(((-r["id"], r["salt"]) for r in (keys if share == 1.0 else keys.sample(False, share, 7)).collect()))  # some SAMPLED * MAX_RANGES rows at most
+    return [(-i, s) for i, s in (sample[len(sample) * k // ranges] for k in range(1, ranges))] if sample else []
+
+
+def range_of(cuts: list[tuple[int, int]]) -> Column:
+    """How many cuts are not after a row's (id, salt): its range, found level by level."""
+    levels = [cuts]
+    while len(levels[-1]) >= _FAN:
+        levels.append(levels[-1][_FAN - 1 :: _FAN])
+    at = F.lit(0)
+    for level in reversed(levels):
+        if not level:
+            continue
+        ids, salts = (F.lit(np.array([c[i] for c in level], np.int64)) for i in range(2))
+        salt = F.slice(salts, at * _FAN + 1, _FAN)
+        not_after = F.filter(F.slice(ids, at * _FAN + 1, _FAN), lambda x, i: (x > F.col("id")) | ((x == F.col("id")) & (F.get(salt, i) <= F.col("salt"))))  # noqa: B023
+        at = at * _FAN + F.size(not_after)
+    return at.cast("int")
+
+
 def fingerprints(docs: DataFrame, k: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the
     first as many (or all) of the next document, in descending order of doc_id;
     the first follows the last. Null texts are empty. Rows of equal doc_id are
-    ordered by text; a null doc_id comes last. A text without words has the
-    fingerprint ''. Other columns are dropped.
+    ordered by a hash of their text, and a null doc_id counts as the smallest
+    64-bit number, so many rows of one id, or of none, spread over ranges; only
+    fully repeated rows stay together. Each repeated row gets its row. A text
+    without words has the fingerprint ''. An empty table gives no rows, and a
+    single document follows itself. Other columns, whatever their names, are
+    dropped.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    span = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()  # three numbers
-    ranges = max(1, min(MAX_RANGES, -(-span["n"] // RANGE_DOCS)))
+    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("salt"))
+    n_docs = docs.count()
+    ranges = max(1, min(MAX_RANGES, -(-n_docs // RANGE_DOCS)))
     parts = max(1, -(-ranges // RANGES_PER_PART))
-    low, high = span["low"] or 0, span["high"] or 0
-    width = (high - low) // ranges + 1
-    ranged = docs.withColumn("range", F.coalesce(F.expr(f"cast(({high} - doc_id) div {width} as long)"), F.lit(ranges)))
-    heads = ranged.groupBy("range").agg(F.max("doc_id").alias("head"))
+    ranged = docs.withColumn("range", range_of(cuts_of(docs, ranges, n_docs)))
+    heads = ranged.groupBy("range").agg(F.min(F.struct((-1 - F.col("id")).alias("down"), "salt")).alias("head"))  # -1 - id falls as id rises, without overflow
     order = Window.orderBy("range")  # one row a range, MAX_RANGES at most
-    heads = heads.select("range", F.when(F.row_number().over(order) == F.count("*").over(Window.partitionBy()), F.first("head").over(order)).otherwise(F.lead("head").over(order)).alias("head"))
-    copies = docs.join(F.broadcast(heads), docs["doc_id"].eqNullSafe(heads["head"])).select("doc_id", "text", "range", F.lit(True).alias("copy"))
-    rows = ranged.select("doc_id", "text", "range", F.lit(False).alias("copy")).unionByName(copies).repartition(parts, "range")
-    order = Window.partitionBy("range").orderBy("copy", F.col("doc_id").desc_nulls_last(), "text")
+    last = F.row_number().over(order) == F.count("*").over(Window.partitionBy())
+    heads = heads.select("range", F.when(last, F.first("head").over(order)).otherwise(F.lead("head").over(order)).alias("head"))
+    heads = heads.select("range", (-1 - F.col("head.down")).alias("head_id"), F.col("head.salt").alias("head_salt"))
+    copies = docs.join(F.broadcast(heads), (docs["id"] == F.col("head_id")) & (docs["salt"] == F.col("head_salt"))).dropDuplicates(["range"])  # a text a range
+    rows = ranged.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "text", "id", "salt", "range", F.lit(True).alias("copy"))).repartition(parts, "range")
+    order = Window.partitionBy("range").orderBy("copy", F.col("id").desc(), "salt", F.col("doc_id").desc_nulls_last(), "text")
     n = F.length("text")
     edited = F.concat(F.col("text").substr(F.lit(1), n - F.floor(n / 2).cast("int")), F.col("next").substr(F.lit(1), F.floor(n / 2).cast("int")))
     rows = rows.withColumn("next", F.lead("text").over(order)).withColumn("at", F.row_number().over(order))

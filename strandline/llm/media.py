@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import checkpoint, text_blocks
 
 #: Padding of payloads (bytes) and the chunk sizes: least, mean beyond it, most.
-UNIT, LEAST, MEAN_BITS, MOST = 192, 1024, 11, 8192
+UNIT, LEAST, MEAN_BITS, MOST = 192, 2048, 13, 65536
 RATE = 16_000
 #: A chunk is hot if it fills more than this share of all places, so HOT chunks at most (MOST bytes each) are broadcast; chunks of fewer than HOT_LEAST places never are.
-HOT, HOT_LEAST = 2000, 4096
+HOT, HOT_LEAST = 500, 4096
 _GEAR = np.random.default_rng(20240902).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -179,6 +179,5 @@ def media_columns(docs: DataFrame, with_payload: bool = False) -> DataFrame:
     dropped. A medium whose digest differs raises ValueError.
     """
     media, lists, chunks = store_media(docs)
-    read = checkpoint(read_media(lists, chunks, with_payload))
-    out = media.join(read, "medium").withColumn("media_sha256", F.lower(F.hex("medium")))
+    out = media.join(read_media(lists, chunks, with_payload), "medium").withColumn("media_sha256", F.lower(F.hex("medium")))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["payload"] if with_payload else []))

@@ -69,7 +69,7 @@ def test_media(spark, docs):
 def test_media_tables(spark, monkeypatch):
     """One row a chunk and a medium, hot chunks give the same result, and damage is seen."""
     draw = random.Random(4)
-    shared = "".join(draw.choices("abcdefgh ", k=40_000))
+    shared = "".join(draw.choices("abcdefgh ", k=150_000))
     rows = [(i, f"{i} {'x' * i} " + shared if i % 3 else shared) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("clash")).repartition(3)
     _, lists, chunks = media.store_media(df)
@@ -87,7 +87,7 @@ def test_media_tables(spark, monkeypatch):
 
 def test_chunks_follow_content():
     draw = np.random.default_rng(1)
-    shared = draw.integers(0, 256, 60_000, dtype=np.uint8).tobytes()
+    shared = draw.integers(0, 256, 300_000, dtype=np.uint8).tobytes()
     cut = lambda x: {x[a:b] for a, b in zip([0, *media.chunk_ends(x)], media.chunk_ends(x))}  # noqa: E731,B905
     assert len(cut(b"head" + shared) & cut(b"another head" + shared)) > 10
     assert b"".join(shared[a:b] for a, b in zip([0, *media.chunk_ends(shared)], media.chunk_ends(shared))) == shared  # noqa: B905
@@ -339,6 +339,40 @@ def test_fingerprints(spark):
     assert got[3]["fingerprint"] == got[2]["fingerprint"] and got[3]["near_next"] == 1.0 and got[2]["near_next"] == 0.0
 
 
+def test_fingerprints_of_odd_tables(spark, monkeypatch):
+    """Ids at both ends of 64 bits, null and repeated ids, repeated rows, a clash, an empty table; over many small ranges."""
+    monkeypatch.setattr(fingerprints, "RANGE_DOCS", 3)
+    draw = random.Random(6)
+    low, high = -(1 << 63), (1 << 63) - 1
+    ids = [low, high, 0, None, None, None, *[7] * 40, *range(100, 300), 12, 12]
+    rows = [(i, None if k % 17 == 0 else " ".join(draw.choices("abcdef", k=draw.randint(0, 30)))) for k, i in enumerate(ids)]
+    rows[-1] = rows[-2]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("range", F.lit("clash")).withColumn("salt", F.lit("clash"))
+    hashed = [(r["doc_id"], r["text"], r["h"]) for r in df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()]
+    hashed.sort(key=lambda r: (-(low if r[0] is None else r[0]), r[2], r[0] is None))
+    want = collections.Counter()
+    for (i, t, _), (_, following, _) in zip(hashed, [*hashed[1:], hashed[0]], strict=True):
+        k = len(t) // 2
+        want[i, len(t), hashlib.sha256((t[: len(t) - k] + following[:k]).encode()).hexdigest()] += 1
+    got = fingerprints.fingerprints(df).collect()
+    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+    assert fingerprints.fingerprints(df.limit(0)).count() == 0
+    assert fingerprints.fingerprints(df.where("doc_id = 0")).first()["near_next"] == 1.0
+
+
+def test_fingerprints_estimate_generalised_jaccard(spark, tiny):
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()]
+    docs.sort(reverse=True)
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    errors = []
+    for (i, t), (_, following) in zip(docs, [*docs[1:], docs[0]], strict=True):
+        k = len(t) // 2
+        a, b, c = (collections.Counter(x.lower().split()) for x in (t, t[: len(t) - k] + following[:k], following))
+        exact = lambda x, y: sum((x & y).values()) / max(1, sum((x | y).values()))
+        errors += [got[i]["near_edited"] - exact(a, b), got[i]["near_next"] - exact(a, c)]
+    assert abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.08
+
+
 def test_entry_lists_every_operator():
     import __spark_entry__
 
