@@ -41,10 +41,12 @@ GOOD, BAD, SHORT, NEAR, WEAK = "good", "bad", "short", "near", "weak"
 
 
 class Block:
-    __slots__ = ("inner", "linked", "outer", "parts", "text")
+    """A block of text: whether an element (or, in named, only a name) around it says that it isn't main text, and whether it is within article or main."""
 
-    def __init__(self, outer: bool, inner: bool):
-        self.outer, self.inner, self.parts, self.linked, self.text = outer, inner, [], 0, ""
+    __slots__ = ("inner", "linked", "named", "outer", "parts", "text")
+
+    def __init__(self, outer: bool, inner: bool, named: bool):
+        self.outer, self.inner, self.named, self.parts, self.linked, self.text = outer, inner, named, [], 0, ""
 
 
 class Segmenter(HTMLParser):
@@ -53,12 +55,16 @@ class Segmenter(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, bool, bool]] = []  # container or named element, outside of the main text, within article or main
+        self.open: list[tuple[str, bool, bool, bool]] = []  # container or named element, outside of the main text, within article or main, outside by name
         self.silent: list[str] = []
         self.links = 0
         self.paragraph: int | None = None  # elements open around the open paragraph
         self.fresh = True
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Sections such as <![if ...]> are markup, well formed or not."""
+        return self.parse_bogus_comment(i, report)
+
     def end_paragraph(self) -> None:
         if self.paragraph is not None:
             del self.open[self.paragraph :]
@@ -92,11 +98,11 @@ class Segmenter(HTMLParser):
         names = " ".join(filter(None, (said.get("class"), said.get("id"), said.get("role"), said.get("aria-label"))))
         if tag in HEADINGS:  # a heading named header is one of the text
             names = names.lower().replace("header", "")
-        out = tag in OUTER_TAGS or bool(names and OUTER_NAMES.search(names)) or "hidden" in said
-        if tag in CONTAINERS or out:
-            _, outer, inner = self.open[-1] if self.open else ("", False, False)
+        out, named = tag in OUTER_TAGS or "hidden" in said, bool(names and OUTER_NAMES.search(names))
+        if tag in CONTAINERS or out or named:
+            _, outer, inner, by_name = self.open[-1] if self.open else ("", False, False, False)
             main = tag in ("article", "main") and not outer
-            self.open.append((tag, outer or out, (inner or main) and not out))
+            self.open.append((tag, outer or out, (inner or main) and not out, by_name or named))
             self.fresh = True
         elif self.open and self.open[-1][0] == tag:  # of its name within a named one: it has an end of its own
             self.open.append((tag, *self.open[-1][1:]))
@@ -133,8 +139,8 @@ class Segmenter(HTMLParser):
         if self.fresh:
             if not data.strip():
                 return
-            _, outer, inner = self.open[-1] if self.open else ("", False, False)
-            self.blocks.append(Block(outer, inner))
+            _, outer, inner, named = self.open[-1] if self.open else ("", False, False, False)
+            self.blocks.append(Block(outer, inner and not named, named))
             self.fresh = False
         block = self.blocks[-1]
         block.parts.append(data)
@@ -143,7 +149,7 @@ class Segmenter(HTMLParser):
 
 def first_pass(block: Block, low: float = 0.15, high: float = 0.3, short: int = 70, long: int = 200) -> str:
     """good, bad, or open (short, near, and weak: few stop words, but within article or main)."""
-    if block.outer:
+    if block.outer or block.named:
         return BAD
     density = block.linked / max(1, sum(map(len, block.parts)))
     if density > 0.2:
@@ -182,8 +188,8 @@ def second_pass(labels: list[str]) -> list[bool]:
         near = GOOD in (before[i], after[i])
         both = before[i] == after[i] == GOOD
         out.append(x == GOOD or (x == SHORT and both) or (x == WEAK and near) or (x == NEAR and (near or (BAD not in labels and GOOD not in labels))))
-    if not any(out):  # a page of open blocks only: the near ones are its prose
-        out = [x == NEAR for x in labels]
+    for kind in (NEAR, WEAK, SHORT):  # a page of open blocks only: the best of them are its text
+        out = out if any(out) else [x == kind for x in labels]
     return out
 
 
@@ -199,12 +205,24 @@ def main_text(html: str | None) -> str:
         b.text = SPACE.sub(" ", "".join(b.parts)).strip()
         if b.text:
             blocks.append(b)
-    keep = second_pass(lean(blocks, [first_pass(b) for b in blocks]))
+    labels = [first_pass(b) for b in blocks]
+    if not any(x in (GOOD, NEAR) for x in labels):  # names that leave no prose don't tell what they seem to
+        for b in blocks:
+            b.inner, b.named = b.inner or b.named, False
+        bare = [first_pass(b) for b in blocks]
+        labels = bare if GOOD in bare else labels
+    keep = second_pass(lean(blocks, labels))
     return " ".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row of pages; a null or empty page has an empty text."""
+    """page_id, url, text, n_chars for every row of pages.
+
+    A null or empty page, or one without text, has an empty text. Malformed
+    markup is read as browsers do, more or less, and very long pages are read
+    whole. Null ids and urls stay; repeated rows each get their row; an empty
+    table gives none. Other columns, whatever their names, are dropped.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -134,14 +134,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: fl
 
 
 def take_mix(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; the columns of docs stay."""
+    """The rows of docs, each as often as the mix takes it; the columns of docs stay, whatever their names.
+
+    Rows are matched with their copies by doc_id, source, text and size, so
+    repeated rows and null ids, sources or texts are taken as mix_sources says;
+    an empty table gives no rows.
+    """
     names = docs.columns
-    keyed = docs.withColumn("__text", F.xxhash64("text")).withColumn("__size", n_words(docs["text"]))
-    same = Window.partitionBy("doc_id", "source", "__text", "__size").orderBy(F.lit(0))
-    keyed = keyed.withColumn("__n", F.row_number().over(same))
-    mixed = mix_sources(docs.withColumn("__text", F.xxhash64("text")), extra=("__text",), **options)
-    mixed = mixed.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("__text").alias("_t"), F.col("size").alias("_z"), "copies")
-    mixed = mixed.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_s", "_t", "_z").orderBy("copies")))
-    on = keyed["doc_id"].eqNullSafe(mixed["_d"]) & keyed["source"].eqNullSafe(mixed["_s"]) & (keyed["__text"] == mixed["_t"]) & (keyed["__size"] == mixed["_z"]) & (keyed["__n"] == mixed["_n"])
-    taken = keyed.join(mixed.where("copies > 0"), on)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    keys = [F.col("doc_id").alias("_d"), F.col("source").cast("string").alias("_s"), F.xxhash64("text").alias("_t"), n_words(F.col("text")).alias("_z")]
+    whole = docs.select(*keys, F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
+    whole = whole.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_s", "_t", "_z").orderBy(F.lit(0))))
+    mixed = mix_sources(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("__text")), extra=("__text",), **options)
+    mixed = mixed.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("__text").alias("t"), F.col("size").alias("z"), "copies")
+    mixed = mixed.withColumn("n", F.row_number().over(Window.partitionBy("d", "s", "t", "z").orderBy("copies")))
+    on = F.col("_d").eqNullSafe(F.col("d")) & F.col("_s").eqNullSafe(F.col("s")) & (F.col("_t") == F.col("t")) & (F.col("_z") == F.col("z")) & (F.col("_n") == F.col("n"))
+    taken = whole.join(mixed.where("copies > 0"), on)
+    taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*[F.col("_doc").getField(c).alias(c) for c in names])

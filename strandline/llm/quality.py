@@ -166,7 +166,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, n_features: int = 256, gamma
 
 
 def quality_score(model: QualityModel):
-    """A column function: the score of a text, from 0 to 1."""
+    """A column function: the score of a text, from 0 to 1. Null and empty texts have statistics of zero and a score like any other; whole texts count, however long."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -176,5 +176,10 @@ def quality_score(model: QualityModel):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """The rows of docs whose score is accept or more; all columns stay."""
-    return docs.where(quality_score(fit_quality(docs, labels))(docs["text"]) >= accept)
+    """The rows of docs whose score is accept or more; all columns stay, whatever their names.
+
+    Equal texts have equal scores, so repeated rows stay or go together, and ids
+    play no part. Without labelled rows every score is 0.5; an empty table gives
+    no rows.
+    """
+    return docs.where(quality_score(fit_quality(docs, labels.select("doc_id", "quality")))(F.col("text")) >= accept)

@@ -70,16 +70,24 @@ r AS (
                  WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
                  WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
 o AS (SELECT doc_id AS page_id, max(toxic) AS bad FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
-h AS (
-  SELECT host, CASE WHEN host LIKE '%.%.%' THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain,
-         split_part(host, '.', -1) AS suffix, count(*) AS n, sum(bad) AS k FROM p JOIN o USING (page_id) GROUP BY 1),
-t AS (SELECT (sum(k) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) AS q FROM h),
-s AS (SELECT suffix, (sum(k) + 10.0::DOUBLE * any_value(q)) / (sum(n) + 10.0::DOUBLE) AS ps FROM h, t GROUP BY 1),
-d AS (SELECT domain, (sum(k) + 10.0::DOUBLE * any_value(ps)) / (sum(n) + 10.0::DOUBLE) AS pd FROM h JOIN s USING (suffix) GROUP BY 1),
-b AS (SELECT host, k + 10.0::DOUBLE * pd AS a, n - k + 10.0::DOUBLE * (1 - pd) AS c FROM h JOIN d USING (domain))
-SELECT r.page_id, r.host, r.path, r.rule,
+q AS (SELECT *, regexp_replace(host, '^.*@|:[0-9]*$|\.$|\.(:[0-9]*)$', '', 'g') AS site FROM r),
+x AS (SELECT *, CASE WHEN regexp_matches(site, '\.(ac|co|com|edu|gob|gov|gouv|net|org)\.[^.]{2}$')
+                     THEN split_part(site, '.', -2) || '.' || split_part(site, '.', -1) ELSE split_part(site, '.', -1) END AS suffix FROM q),
+y AS (SELECT *, CASE WHEN suffix LIKE '%.%' THEN regexp_extract(site, '[^.]+\.[^.]+\.[^.]+$') WHEN site LIKE '%.%' THEN regexp_extract(site, '[^.]*\.[^.]*$') ELSE site END AS domain FROM x),
+h AS (SELECT site, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*) AS n, sum(bad)::DOUBLE AS k FROM y JOIN o USING (page_id) WHERE site <> '' GROUP BY 1),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) FROM h) AS p FROM h GROUP BY 1),
+sr AS (SELECT least(greatest(coalesce(sum(pow(k - n * p, 2) - n * p * (1 - p)) / nullif(sum((n - 1) * n * p * (1 - p)), 0), 0), 1 / 1001.0::DOUBLE), 0.5::DOUBLE) AS r FROM s0),
+s AS (SELECT suffix, k + (1 - r) / r * p AS a, n - k + (1 - r) / r * (1 - p) AS b FROM s0, sr),
+d0 AS (SELECT domain, sum(n) AS n, sum(k) AS k, any_value(a / (a + b)) AS p FROM h JOIN s USING (suffix) GROUP BY 1),
+dr AS (SELECT least(greatest(coalesce(sum(pow(k - n * p, 2) - n * p * (1 - p)) / nullif(sum((n - 1) * n * p * (1 - p)), 0), 0), 1 / 1001.0::DOUBLE), 0.5::DOUBLE) AS r FROM d0),
+d AS (SELECT domain, k + (1 - r) / r * p AS a, n - k + (1 - r) / r * (1 - p) AS b FROM d0, dr),
+h0 AS (SELECT site, n, k, a / (a + b) AS p FROM h JOIN d USING (domain)),
+hr AS (SELECT least(greatest(coalesce(sum(pow(k - n * p, 2) - n * p * (1 - p)) / nullif(sum((n - 1) * n * p * (1 - p)), 0), 0), 1 / 1001.0::DOUBLE), 0.5::DOUBLE) AS r FROM h0),
+g AS (SELECT site, k + (1 - r) / r * p AS a, n - k + (1 - r) / r * (1 - p) AS b FROM h0, hr),
+z AS (SELECT y.*, coalesce(g.a, d.a, s.a) AS a, coalesce(g.b, d.b, s.b) AS b FROM y LEFT JOIN g USING (site) LEFT JOIN d ON y.domain = d.domain LEFT JOIN s ON y.suffix = s.suffix)
+SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-            WHEN a / (a + c) - 1.645::DOUBLE * sqrt(a * c / ((a + c) * (a + c) * (a + c + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
-FROM r LEFT JOIN b USING (host)
+            WHEN a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM z
 """,
 }

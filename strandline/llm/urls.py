@@ -1,10 +1,13 @@
 """URL filters: rules by host and path, else empirical-Bayes host reputation.
 
 Labelled page outcomes are counted per host, registered domain and suffix. Each
-level's share of bad pages is a beta posterior whose prior is the level above
-(suffix under the whole corpus, domain under suffix, host under domain). A page
-without a rule is blocked if the lower bound of its host's posterior is above
-the limit. All of it is column expressions and pre-aggregated joins.
+level's share of bad pages has a beta prior around the share of the level above
+(suffix under the whole corpus, domain under suffix, host under domain), whose
+weight is estimated from the outcomes: the more the groups of a level differ
+beyond chance, the less the level above counts. A page without a rule is blocked
+if the lower bound of its host's posterior is above the limit; a host without
+outcomes falls back to its domain's bound, and then to its suffix's. All of it
+is column expressions and pre-aggregated joins.
 """
 
 from __future__ import annotations
@@ -12,10 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint, small
+
 #: Rules of the contract: host, path prefix, verdict. Fixed values.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Hosts' reputations are broadcast up to this number.
-BROADCAST_HOSTS = 50_000
+#: Second labels below which names are registered, under suffixes of two letters. Fixed values.
+SECOND_LABELS = ("ac", "co", "com", "edu", "gob", "gov", "gouv", "net", "org")
+#: The weight of the level above, in pages, at least and at most.
+LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1000.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,9 +37,21 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+def site_of(host: Column) -> Column:
+    """A host without user, port and final dot."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*$|\.$|\.(?=:[0-9]*$)", "")
+
+
+def suffix_of(site: Column) -> Column:
+    """The last label; the last two where names are registered below both, as in co.uk."""
+    below = F.substring_index(F.substring_index(site, ".", -2), ".", 1)
+    two = (F.length(F.substring_index(site, ".", -1)) == 2) & below.isin(*SECOND_LABELS) & (F.size(F.split(site, r"\.")) > 2)
+    return F.when(two, F.substring_index(site, ".", -2)).otherwise(F.substring_index(site, ".", -1))
+
+
+def domain_of(site: Column, suffix: Column) -> Column:
+    """The suffix and the label before it."""
+    return F.when(F.locate(".", suffix) > 0, F.substring_index(site, ".", -3)).otherwise(F.substring_index(site, ".", -2))
 
 
 def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
@@ -44,32 +63,48 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...])
     return name, verdict
 
 
-def host_reputation(outcomes: DataFrame, strength: float = 10.0, z: float = 1.645) -> DataFrame:
-    """Per host of outcomes (host, bad): n, n_bad, posterior mean and its lower bound.
+def shrunk(groups: DataFrame, z: float) -> DataFrame:
+    """groups (name, n, bad, prior: the share of the level above) with share (posterior mean) and bound (mean less z standard deviations).
 
-    strength is the weight, in pages, of the level above; the bound is the mean
-    less z standard deviations of the beta posterior. Null outcomes are left out.
+    The weight of the prior comes from moments: under a beta-binomial law the
+    squared surplus of a group's bad pages is n p (1 - p) (1 + (n - 1) r) on
+    average, and the weight is (1 - r) / r.
     """
-    hosts = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1))
-    shrunk = lambda bad, n, prior: (bad + F.lit(strength) * prior) / (n + F.lit(strength))
-    total = hosts.agg(((F.sum("n_bad") + 0.5) / (F.sum("n") + 1.0)).alias("all"))
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("ns"), F.sum("n_bad").alias("bs")).join(F.broadcast(total))  # one row
-    suffixes = suffixes.select("suffix", shrunk(F.col("bs"), F.col("ns"), F.col("all")).alias("p_suffix"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("nd"), F.sum("n_bad").alias("bd")).join(suffixes, "suffix")
-    domains = domains.select("domain", shrunk(F.col("bd"), F.col("nd"), F.col("p_suffix")).alias("p_domain"))
-    a = F.col("n_bad") + F.lit(strength) * F.col("p_domain")
-    b = F.col("n") - F.col("n_bad") + F.lit(strength) * (1 - F.col("p_domain"))
-    out = hosts.join(domains, "domain").select("host", "n", "n_bad", (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("sd"))
-    return out.select("host", "n", "n_bad", "mean", (F.col("mean") - z * F.col("sd")).alias("bound"))
-
-
-def judge_urls(pages: DataFrame, outcomes: DataFrame | None = None, rules: tuple[tuple[str, str, str], ...] = RULES, limit: float = 0.5) -> DataFrame:
+    p, chance = F.col("prior"), F.col("n") * F.col("prior") * (1 - F.col("prior"))
+    beyond = F.sum(F.pow(F.col("bad") - F.col("n") * p, 2) - chance)
+    r = F.coalesce(beyond / F.nullif(F.sum((F.col("n") - 1) * chance), F.lit(0.0)), F.lit(0.0))
+    r = F.least(F.greatest(r, F.lit(1 / (1 + MOST_WEIGHT))), F.lit(1 / (1 + LEAST_WEIGHT)))
+    weight = groups.agg(r.alias("r")).select(((1 - F.col("r")) / F.col("r")).alias("weight"))
+    a, b = F.col("bad") + F.col("weight") * p, F.col("n") - F.col("bad") + F.col("weight") * (1 - p)
+    sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+    return groups.crossJoin(F.broadcast(weight)).select(*groups.columns, (a / (a + b)).alias("share"), (a / (a + b) - z * sd).alias("bound"))  # one row
+
+
+def reputations(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables of name, n, bad, prior, share, bound: hosts, registered domains and suffixes of outcomes (site, bad). Null outcomes are left out."""
+    hosts = outcomes.where(F.col("bad").isNotNull()).groupBy("site").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("double")).alias("bad"))
+    hosts = hosts.withColumn("suffix", suffix_of(F.col("site")))
+    hosts = checkpoint(hosts.withColumn("domain", domain_of(F.col("site"), F.col("suffix"))))
+    sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
+    every = hosts.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("prior"))
+    suffixes = hosts.groupBy("suffix").agg(*sums).crossJoin(F.broadcast(every))  # one row
+    suffixes = checkpoint(shrunk(suffixes.withColumnRenamed("suffix", "name"), z))
+    above = suffixes.select(F.col("name").alias("suffix"), F.col("share").alias("prior"))
+    domains = checkpoint(shrunk(hosts.groupBy("domain", "suffix").agg(*sums).join(above, "suffix").select(F.col("domain").alias("name"), "n", "bad", "prior"), z))
+    above = domains.select(F.col("name").alias("domain"), F.col("share").alias("prior"))
+    hosts = checkpoint(shrunk(hosts.join(above, "domain").select(F.col("site").alias("name"), "n", "bad", "prior"), z))
+    return hosts, domains, suffixes
+
+
+def judge_urls(pages: DataFrame, outcomes: DataFrame | None = None, rules: tuple[tuple[str, str, str], ...] = RULES, limit: float = 0.5, z: float = 1.645) -> DataFrame:
     """page_id, url, host, path, rule, verdict, reputation for every page.
 
-    outcomes has page_id and bad (boolean or 0/1); pages and hosts without one
-    fall back to allow. A null url, or one without ://, has an empty host and
-    path and is allowed. Repeated rows are judged row by row.
+    outcomes has page_id and bad (boolean or 0/1); a page labelled twice is bad
+    if either says so, and null ids or outcomes are left out. Without outcomes
+    for a page's host, domain or suffix its verdict is allow. A null url, or one
+    without ://, has an empty host and path and is allowed. Very long urls are
+    judged whole; repeated rows are judged row by row; an empty table gives no
+    rows. Other columns, whatever their names, are dropped.
     """
     seen = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -77,9 +112,13 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame | None = None, rules: tuple
     if outcomes is None:
         return seen.select("page_id", "url", "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("reputation"))
     known = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
-    hosts = host_reputation(seen.select("page_id", "host").join(known, "page_id").select("host", "bad")).select(F.col("host").alias("host_"), F.col("bound").alias("reputation"))
-    if hosts.count() <= BROADCAST_HOSTS:
-        hosts = F.broadcast(hosts)
-    out = seen.join(hosts, seen["host"] == F.col("host_"), "left")
+    seen = seen.withColumn("site", site_of(F.col("host")))
+    labelled = seen.where("site <> ''").select("page_id", "site").join(known, "page_id").select("site", "bad")
+    sites = seen.select("site").where("site <> ''").distinct().withColumn("suffix", suffix_of(F.col("site")))
+    sites = sites.withColumn("domain", domain_of(F.col("site"), F.col("suffix")))
+    for level, table in zip(("site", "domain", "suffix"), reputations(labelled, z), strict=True):
+        sites = sites.join(small(table.select(F.col("name").alias(level), F.col("bound").alias(f"by_{level}"))), level, "left")
+    sites = checkpoint(sites.select(F.col("site").alias("of"), F.coalesce("by_site", "by_domain", "by_suffix").alias("reputation")))
+    out = seen.join(small(sites), seen["site"] == sites["of"], "left")
     judged = F.coalesce("said", F.when(F.col("reputation") > limit, "block").otherwise("allow"))
     return out.select("page_id", "url", "host", "path", "rule", judged.alias("verdict"), "reputation")
