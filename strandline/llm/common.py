@@ -59,8 +59,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 #: What tells a document from another, without nulls: see named_docs.
 DOC = ["none", "id", "salt"]
-#: Rows that small() broadcasts at most.
-SMALL_ROWS = 100_000
+#: Rows that small() broadcasts at most (some 100 bytes each).
+SMALL_ROWS = 300_000
 
 
 def named_docs(docs: DataFrame) -> DataFrame:

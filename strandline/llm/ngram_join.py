@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DOC, Words, checkpoint, components, mix64, named_docs, names128, shingle_sets, signed, small, text_blocks
+from .common import DOC, Table, Words, checkpoint, components, mix64, named_docs, names128, shingle_sets, signed, small, text_blocks
 
 #: Blocks in which frequent tokens are counted (bytes), the occurrences in a block that make a token a candidate, and the most tokens that are broadcast (8 bytes each). The order of tokens decides speed only.
 COUNT_BYTES, COUNT_LEAST, MAX_FREQUENT = 8 << 20, 2, 1 << 18
@@ -81,8 +81,26 @@ def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
     return np.array([r["token"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-def find_sets(named: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Every distinct set: number (n), name, place of its first document, size, prefix (its first tokens, rare ones first)."""
+def find_members(docs: DataFrame, n: int) -> DataFrame:
+    """none, id, salt, n_shingles and name of the set (null for an empty one) of every row; checkpointed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches):
+            sets = shingle_sets(Words(block.column(3), lower=True), n)
+            yield pa.RecordBatch.from_arrays([*[block.column(i) for i in range(3)], pa.array([len(s) for s in sets], pa.int64()), set_names(sets)], [*DOC, "n_shingles", "name"])
+
+    found = named_docs(docs.select("doc_id", "text")).select(*DOC, "text").mapInArrow(run, "none boolean, id long, salt long, n_shingles long, name binary")
+    return checkpoint(found)
+
+
+def find_sets(members: DataFrame) -> DataFrame:
+    """Every distinct set: number (n), name, size and place of its first document; checkpointed."""
+    sets = members.where("name is not null").groupBy("name").agg(F.min(F.struct(*DOC)).alias("place"), F.max("n_shingles").alias("size"))
+    return checkpoint(sets.select(F.monotonically_increasing_id().alias("n"), "name", "size", "place"))
+
+
+def find_postings(named: DataFrame, sets: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """token, n, info (size and, in the lower 32 bits, position) for the first tokens of each set, rare ones first."""
     by_value = np.argsort(frequent)
     value = frequent[by_value]
 
@@ -96,31 +114,18 @@ def find_sets(named: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
             tokens = np.concatenate((tokens[~often], tokens[often][np.argsort(late)]))
         return tokens[:k]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
-            sets = shingle_sets(Words(block.column(3), lower=True), n)
-            names = set_names(sets)
-            some = pa.array(np.flatnonzero([len(s) for s in sets]))
-            firsts = [prefix(sets[i]) for i in some.to_pylist()]
-            ends = pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32())
-            tokens = pa.ListArray.from_arrays(ends, pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *firsts]))))
-            size = pa.array([len(sets[i]) for i in some.to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([names.take(some), *[block.column(i).take(some) for i in range(3)], size, tokens], ["name", *DOC, "size", "prefix"])
-
-    found = named.select(*DOC, "text").mapInArrow(run, "name binary, none boolean, id long, salt long, size long, prefix array<long>")
-    found = found.groupBy("name").agg(F.min(F.struct(*DOC)).alias("place"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    return checkpoint(found.select(F.monotonically_increasing_id().alias("n"), "name", "place", "size", "prefix"))
-
-
-def set_members(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and name of the set (null for an empty one) of every row."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             sets = shingle_sets(Words(block.column(1), lower=True), n)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([len(s) for s in sets], pa.int64()), set_names(sets)], ["doc_id", "n_shingles", "name"])
+            firsts = [prefix(s) for s in sets]
+            counts = np.array([len(f) for f in firsts])
+            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            info = np.repeat(np.array([len(s) for s in sets], np.int64) << 32, counts) | at
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(firsts))), pa.array(np.repeat(block.column(0).to_numpy(), counts)), pa.array(info)], ["token", "n", "info"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, name binary")
+    places = sets.select("n", *[F.col(f"place.{c}").alias(c) for c in DOC])
+    found = named.select(*DOC, "text").join(small(places), DOC).select("n", "text")
+    return found.mapInArrow(run, "token long, n long, info long")
 
 
 def fetch_sets(named: DataFrame, sets: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -159,14 +164,16 @@ def may_link(size: Column, at: Column, other: Column, other_at: Column, percent:
     return (F.least(size - at, other - other_at) >= need) & (100 * F.least(size, other) >= percent * F.greatest(size, other))
 
 
-def set_links(named: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+def set_links(named: DataFrame, sets: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """Links (a, b) between sets, enough to know all components."""
     in_list = Window.partitionBy("token")
-    posted = sets.select("n", "size", F.posexplode("prefix").alias("at", "token"))
-    lead = F.min(F.struct("n", "size", "at")).over(in_list)
-    posted = posted.withColumn("lead", lead).withColumn("several", F.count("*").over(in_list)).where("several > 1")
-    lists = checkpoint(posted.select("token", "n", "size", "at", F.col("lead.n").alias("lead"), F.shiftleft("lead.size", 32).bitwiseOR(F.col("lead.at").cast("long")).alias("lead_is")))
-    led = may_link(F.col("size"), F.col("at"), F.shiftright("lead_is", 32), F.col("lead_is").bitwiseAND(F.lit((1 << 32) - 1)), percent)
+    posted = find_postings(named, sets, n, percent, frequent).withColumn("lead", F.min(F.struct("n", "info")).over(in_list))
+    posted = posted.withColumn("last", F.max("n").over(in_list)).where("last <> lead.n")  # repeated rows post a set again
+    table = Table(posted.select("token", "n", "info", F.col("lead.n").alias("lead"), F.col("lead.info").alias("lead_info")))
+    size_of = lambda info: F.shiftright(info, 32)
+    at_of = lambda info: F.col(info).bitwiseAND(F.lit((1 << 32) - 1))
+    lists = table.read().withColumns({"size": size_of("info"), "at": at_of("info")})
+    led = may_link(F.col("size"), F.col("at"), size_of("lead_info"), at_of("lead_info"), percent)
     first = checkpoint(lists.where(led & (F.col("n") != F.col("lead"))).select(F.col("n").alias("a"), F.col("lead").alias("b")).distinct())
     first = compare(first, fetch_sets(named, sets, first, n))
     linked = F.col("both") * 100 >= F.col("all") * percent
@@ -185,6 +192,7 @@ def set_links(named: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFr
     apart = F.coalesce(F.abs(F.col("far") - F.col("other_far")) > 1 - percent / 100 + 1e-9, F.lit(False))
     met = met.where((F.col("label") != F.col("other_label")) & may_link(F.col("size"), F.col("at"), F.col("other_size"), F.col("other_at"), percent) & ~apart)
     across = checkpoint(met.select(F.col("n").alias("a"), F.col("other_n").alias("b")).distinct())
+    table.drop()
     return links.unionByName(compare(across, fetch_sets(named, sets, across, n)).where(linked).select("a", "b"))
 
 
@@ -200,14 +208,14 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
     their names, are dropped.
     """
     named = named_docs(docs.select("doc_id", "text")).drop("rest")
-    sets = find_sets(named, n, percent, frequent_tokens(docs, n))
-    label = components(set_links(named, sets, n, percent)).select(F.col("id").alias("of"), "component")
+    members = find_members(docs, n)
+    sets = find_sets(members)
+    label = components(set_links(named, sets, n, percent, frequent_tokens(docs, n))).select(F.col("id").alias("of"), "component")
     rooted = sets.select("n", "name", "place").join(label, sets["n"] == label["of"], "left").select("name", "place", F.coalesce("component", "n").alias("root"))
     rooted = checkpoint(rooted)
     low = rooted.groupBy("root").agg(F.min("place").alias("low")).select(F.col("root").alias("top"), F.when(~F.col("low.none"), F.col("low.id")).alias("component"))
     of_name = checkpoint(rooted.join(low, rooted["root"] == low["top"]).select(F.col("name").alias("set_name"), "component"))
-    members = set_members(docs, n)
-    out = members.join(of_name, members["name"] == of_name["set_name"], "left")
+    out = members.join(of_name, members["name"] == of_name["set_name"], "left").withColumn("doc_id", F.when(~F.col("none"), F.col("id")))
     return out.select("doc_id", "n_shingles", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
