@@ -166,10 +166,14 @@ def may_link(size: Column, at: Column, other: Column, other_at: Column, percent:
 
 def set_links(named: DataFrame, sets: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """Links (a, b) between sets, enough to know all components."""
-    in_list = Window.partitionBy("token")
-    posted = find_postings(named, sets, n, percent, frequent).withColumn("lead", F.min(F.struct("n", "info")).over(in_list))
-    posted = posted.withColumn("last", F.max("n").over(in_list)).where("last <> lead.n")  # repeated rows post a set again
-    table = Table(posted.select("token", "n", "info", F.col("lead.n").alias("lead"), F.col("lead.info").alias("lead_info")))
+    in_token, in_list = Window.partitionBy("token"), Window.partitionBy("token", "run")
+    by_size = in_token.orderBy("info", "n")
+    posted = find_postings(named, sets, n, percent, frequent).withColumn("before", F.shiftright(F.lag("info").over(by_size), 32))
+    # a list is a run of sizes each of which can link with the next
+    posted = posted.withColumn("new", F.when(100 * F.col("before") >= percent * F.shiftright("info", 32), 0).otherwise(1))
+    posted = posted.withColumn("run", F.sum("new").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    posted = posted.withColumn("lead", F.min(F.struct("n", "info")).over(in_list)).withColumn("last", F.max("n").over(in_list)).where("last <> lead.n")
+    table = Table(posted.select("token", "run", "n", "info", F.col("lead.n").alias("lead"), F.col("lead.info").alias("lead_info")))
     size_of = lambda info: F.shiftright(info, 32)
     at_of = lambda info: F.col(info).bitwiseAND(F.lit((1 << 32) - 1))
     lists = table.read().withColumns({"size": size_of("info"), "at": at_of("info")})
@@ -178,17 +182,17 @@ def set_links(named: DataFrame, sets: DataFrame, n: int, percent: int, frequent:
     first = compare(first, fetch_sets(named, sets, first, n))
     linked = F.col("both") * 100 >= F.col("all") * percent
     links = first.where(linked).select("a", "b")
-    label = components(links).select(F.col("id").alias("of"), "component")
+    label = small(components(links).select(F.col("id").alias("of"), "component"))
     known = first.select(F.col("a").alias("n"), F.col("b").alias("lead"), (1 - F.col("both") / F.col("all")).alias("far"))
-    rows = lists.join(label, lists["n"] == label["of"], "left").withColumn("label", F.coalesce("component", "n"))
+    rows = lists.join(label, lists["n"] == F.col("of"), "left").withColumn("label", F.coalesce("component", "n"))
     rows = rows.withColumn("least", F.min("label").over(in_list)).withColumn("most", F.max("label").over(in_list)).where("least <> most")
-    rows = rows.join(known, ["n", "lead"], "left").withColumn("far", F.when(F.col("n") == F.col("lead"), 0.0).otherwise(F.col("far")))
+    rows = rows.join(small(known), ["n", "lead"], "left").withColumn("far", F.when(F.col("n") == F.col("lead"), 0.0).otherwise(F.col("far")))
     # a block holds the sizes of which the largest is 100 / percent times the smallest: sets of linked sizes are in one or the next
     block = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    rows = checkpoint(rows.select("token", "n", "size", "at", "label", "far", block.alias("block")))
-    larger = rows.select("token", *[F.col(c).alias(f"other_{c}") for c in ("n", "size", "at", "label", "far")], F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"))
+    rows = checkpoint(rows.select("token", "run", "n", "size", "at", "label", "far", block.alias("block")))
+    larger = rows.select("token", "run", *[F.col(c).alias(f"other_{c}") for c in ("n", "size", "at", "label", "far")], F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"))
     smaller = rows.where(F.col("size") - F.col("at") >= F.ceil(2 * percent * F.col("size") / (100 + percent)))
-    met = smaller.join(larger, ["token", "block"]).where((F.col("size") < F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("n") < F.col("other_n"))))
+    met = smaller.join(larger, ["token", "run", "block"]).where((F.col("size") < F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("n") < F.col("other_n"))))
     apart = F.coalesce(F.abs(F.col("far") - F.col("other_far")) > 1 - percent / 100 + 1e-9, F.lit(False))
     met = met.where((F.col("label") != F.col("other_label")) & may_link(F.col("size"), F.col("at"), F.col("other_size"), F.col("other_at"), percent) & ~apart)
     across = checkpoint(met.select(F.col("n").alias("a"), F.col("other_n").alias("b")).distinct())
