@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +31,12 @@ def auroc(scored: DataFrame, score: str, positive: str) -> DataFrame:
 
     Scores are counted first, so ranks are sums over distinct values only.
     """
-    n = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum(1 - F.col(positive).cast("long")).alias("q"))
-    from strandline.operators.order import number_rows
+    from strandline.operators.order import running_counts
 
-    n = number_rows(n, ["s"], "at")
-    cell = F.floor(F.col("at") / 1024)
-    below = Window.partitionBy("cell").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn("cell", cell)
-    cells = n.groupBy("cell").agg(F.sum("q").alias("cq")).withColumn("before", F.coalesce(F.sum("cq").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a cell stands for 1024 scores
-    n = n.join(cells.select("cell", "before"), "cell").withColumn("under", F.col("before") + F.coalesce(F.sum("q").over(below), F.lit(0)))
-    wins = F.sum(F.col("p") * (2 * F.col("under") + F.col("q")))
-    return n.agg((wins / (2 * F.sum("p") * F.sum("q"))).alias("auroc"))
+    n = scored.groupBy(F.col(score).alias("v")).agg(F.sum(1 - F.col(positive).cast("long")).alias("w"), F.sum(F.col(positive).cast("long")).alias("p"))
+    n = running_counts(n, [], "v", weight="w", extra=["p"])
+    wins = F.sum(F.col("p") * (2 * (F.col("upto") - F.col("n")) + F.col("n")))
+    return n.agg((wins / (2 * F.sum("p") * F.sum("n"))).alias("auroc"))
 
 
 def clipped_surrogate(ratio: Column, advantage: Column, clip: float = 0.2) -> Column:
@@ -56,6 +53,90 @@ def pair_loss(chosen: Column, rejected: Column, beta: float = 0.1) -> Column:
     return F.ln(1 + F.exp(-beta * (chosen - rejected)))
 
 
+def masked_terms(current: str, old: str, reference: str, advantage: str, mask: str, clip: float = 0.2) -> list[Column]:
+    """Aggregates over a sequence's tokens: n (masked tokens, 1 at least), lp, surr and kl (sums over the mask)."""
+    m, cur, ref = F.col(mask), F.col(current), F.col(reference)
+    surrogate = clipped_surrogate(F.exp(cur - F.col(old)), F.col(advantage), clip)
+    return [F.greatest(F.sum(m), F.lit(1)).alias("n"), F.sum(m * cur).alias("lp"), F.sum(m * surrogate).alias("surr"), F.sum(m * kl_estimate(ref, cur)).alias("kl")]
+
+
+#: Losses over sequences with adv, n, lp, surr and kl, by name.
+LOSSES: dict[str, Callable[..., Column]] = {}
+
+
+def register_loss(name: str) -> Callable:
+    """Enter a loss into LOSSES."""
+
+    def enter(f: Callable[..., Column]) -> Callable[..., Column]:
+        LOSSES[name] = f
+        return f
+
+    return enter
+
+
+@register_loss("reinforce")
+def reinforce_loss() -> Column:
+    return -F.avg(F.col("adv") * F.col("lp") / F.col("n"))
+
+
+@register_loss("ppo")
+def ppo_loss(entropy: float = 0.01) -> Column:
+    return F.avg(-F.col("surr") / F.col("n") - entropy * (-F.col("lp") / F.col("n")))
+
+
+@register_loss("grpo")
+def grpo_loss(kl: float = 0.1) -> Column:
+    return F.avg(-F.col("surr") / F.col("n") + kl * F.col("kl") / F.col("n"))
+
+
+def loss(name: str, **options: float) -> Column:
+    """A loss by name; KeyError with the known names for another."""
+    if name not in LOSSES:
+        raise KeyError(f"no loss {name!r}; there are {', '.join(LOSSES)}")
+    return LOSSES[name](**options)
+
+
+def top_k(p: Column, k: int) -> Column:
+    """The k largest of an array as structs i (place), w (share of their sum), largest first; ties by place."""
+    best = F.slice(F.array_sort(F.transform(p, lambda v, i: F.struct((-v).alias("v"), i.alias("i")))), 1, k)
+    bound = F.array(F.struct(best.alias("b"), F.aggregate(best, F.lit(0.0), lambda a, x: a - x["v"]).alias("s")))
+    return F.transform(bound, lambda t: F.transform(t["b"], lambda x: F.struct(x["i"].alias("i"), (-x["v"] / t["s"]).alias("w"))))[0]
+
+
+def quantiles(df: DataFrame, value: str, wanted: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+    """Exact quantiles (linear between neighbours) of each group, a column each.
+
+    Values are counted first and the counts summed within ranges of values, so
+    no task or group holds all values; a group's quantile takes the two values
+    whose ranks are next to it.
+    """
+    from strandline.operators.order import running_counts
+
+    keys = keys or []
+    counted = running_counts(df.where(F.col(value).isNotNull()), keys, value)  # value, n, upto (rows up to and with it), total
+    out = []
+    for name, q in wanted.items():
+        rank = F.lit(float(q)) * (F.col("total") - 1)
+        low, high = F.floor(rank), F.ceil(rank)
+        at = lambda r: F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("n") <= r), F.col(value)))  # noqa: E731, B023
+        out.append((at(low) + (at(high) - at(low)) * F.max(rank - low)).alias(name))
+    return counted.groupBy(*keys).agg(*out)
+
+
+def moving_baseline(steps: DataFrame, keys: list[str], step: str, mean: str, decay: float = 0.95, block: int = 256) -> DataFrame:
+    """keys and baseline: b = decay b + (1 - decay) mean over each group's steps in order, the first being its mean.
+
+    The steps of a block make an affine function of the baseline before, and
+    so do blocks of blocks: rows are numbered within the group and folded by
+    weights decay ** (steps after it), summed block by block.
+    """
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(step))) - 1  # steps that follow
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(step)) == 1
+    rows = steps.withColumn("after", at).withColumn("term", F.when(first, F.col(mean)).otherwise((1 - decay) * F.col(mean)))
+    blocks = rows.groupBy(*keys, F.floor(F.col("after") / block).alias("blk")).agg(F.sum(F.col("term") * F.pow(F.lit(decay), F.col("after") % block)).alias("s"))
+    return blocks.groupBy(*keys).agg(F.sum(F.col("s") * F.pow(F.lit(decay), F.col("blk") * block)).alias("baseline"))
+
+
 def softmax(logits: Column) -> Column:
     top = F.array_max(logits)
     powers = F.transform(logits, lambda x: F.exp(x - top))

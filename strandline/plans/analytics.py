@@ -249,8 +249,10 @@ def agg_separation_auroc(spark, d):
 
 @query("SELECT quality, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars, 0.25), 4) AS q1, round(quantile_cont(n_chars, 0.75), 4) AS q3 FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 def agg_separation_iqr(spark, d):
-    x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    return x.groupBy("quality").agg(F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.percentile("n_chars", F.lit(0.25)), 4).alias("q1"), F.round(F.percentile("n_chars", F.lit(0.75)), 4).alias("q3"))
+    x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("quality", "n_chars")
+    mean = x.groupBy("quality").agg(F.round(F.avg("n_chars"), 6).alias("mean"))
+    q = scoring.quantiles(x, "n_chars", {"q1": 0.25, "q3": 0.75}, ["quality"])
+    return mean.join(q, mean["quality"].eqNullSafe(q["quality"])).select(mean["quality"], "mean", F.round("q1", 4).alias("q1"), F.round("q3", 4).alias("q3"))
 
 
 @query("SELECT conv_id, round(avg((length(text) % 7 = turn % 7)::INT) FILTER (WHERE role <> 'user'), 8) AS accuracy, round(exp(least(avg(length(text)) / 100, 20)), 4) AS perplexity FROM conversations GROUP BY 1")
@@ -306,15 +308,19 @@ def seq_corrupt(spark, d):
     def corrupt(ids: pd.Series, seqs: pd.Series) -> pd.DataFrame:
         out = []
         for i, s in zip(ids, seqs, strict=True):
-            draw = np.random.default_rng(int(i))
+            if s is None:
+                out.append((None, 0, 0, 0))
+                continue
+            draw = np.random.default_rng(0 if pd.isna(i) else int(i) % (1 << 64))
             x = np.frombuffer(s.encode(), np.uint8).copy()
             swap = draw.random(len(x)) < 0.05
             x[swap] = np.frombuffer(b"ACGT", np.uint8)[draw.integers(0, 4, swap.sum())]
             gone = (draw.random(len(x)) < 0.02) & (len(x) > 100)
             x = x[~gone]
-            k = int(draw.integers(1, 16)) if len(x) > 100 else 0
-            at = int(draw.integers(0, len(x) + 1))
-            x = np.insert(x, at, np.frombuffer(b"ACGT", np.uint8)[draw.integers(0, 4, k)])
+            k = 0
+            for at in sorted(draw.integers(0, len(x) + 1, len(x) // 500 + 1 if len(x) > 100 else 0), reverse=True):  # from the right, so places stay
+                run = draw.integers(1, 16)
+                x, k = np.insert(x, at, np.frombuffer(b"ACGT", np.uint8)[draw.integers(0, 4, run)]), k + int(run)
             out.append((x.tobytes().decode(), int(swap.sum()), int(gone.sum()), k))
         return pd.DataFrame(out, columns=["corrupted", "substituted", "deleted", "inserted"])
 

@@ -241,8 +241,12 @@ def join_positional_zip(spark, d):
 
 @query("SELECT count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, min(o_totalprice) AS low, max(o_totalprice) AS high, round(quantile_cont(o_totalprice, 0.25), 4) AS p25, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.99), 4) AS p99 FROM orders")
 def agg_profile_exact(spark, d):
-    x = F.col("o_totalprice")
-    return table(spark, d, "orders").agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("sd"), F.min(x).alias("low"), F.max(x).alias("high"), *[F.round(F.percentile(x, F.lit(p)), 4).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.99)])
+    from strandline.operators.scoring import quantiles
+
+    x, orders = F.col("o_totalprice"), table(spark, d, "orders").select("o_totalprice")
+    plain = orders.agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("sd"), F.min(x).alias("low"), F.max(x).alias("high"))
+    q = quantiles(orders, "o_totalprice", {"p25": 0.25, "p50": 0.5, "p99": 0.99})
+    return plain.crossJoin(F.broadcast(q)).select("n", "mean", "sd", "low", "high", *[F.round(c, 4).alias(c) for c in ("p25", "p50", "p99")])  # one row each
 
 
 @query("SELECT category, count(DISTINCT plasmid_id) AS plasmids, count(DISTINCT token) AS n_tokens, min(pident) AS low, max(pident) AS high, sum((percmatch >= 80)::INT)::BIGINT AS full_hits FROM ann JOIN reg USING (sseqid) GROUP BY 1")
@@ -263,7 +267,11 @@ def agg_share_of_total(spark, d):
 
 @query("SELECT token, min(category) AS category, list_sort(list(DISTINCT feature)) AS features, count(DISTINCT plasmid_id) AS plasmid_count, count(DISTINCT sseqid) AS n_sequences FROM reg JOIN ann USING (sseqid) GROUP BY 1")
 def agg_registry_rollup(spark, d):
-    return registry(spark, d).join(annotations(spark, d), "sseqid").groupBy("token").agg(F.min("category").alias("category"), F.array_sort(F.collect_set("feature")).alias("features"), F.countDistinct("plasmid_id").alias("plasmid_count"), F.countDistinct("sseqid").alias("n_sequences"))
+    used = annotations(spark, d).select("sseqid", "plasmid_id").distinct().join(registry(spark, d), "sseqid")
+    plasmids = used.groupBy("token", "plasmid_id").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("plasmid_count"))
+    kinds = used.groupBy("token", "sseqid", "category", "feature").agg(F.lit(1).alias("one"))  # one row a sequence
+    kinds = kinds.groupBy("token").agg(F.min("category").alias("category"), F.array_sort(F.collect_set("feature")).alias("features"), F.count("*").alias("n_sequences"))
+    return kinds.join(plasmids, "token").select("token", "category", "features", "plasmid_count", "n_sequences")
 
 
 @query("SELECT token, min_by(feature, (CASE WHEN sseqid % 3 = 0 THEN 0 WHEN sseqid % 3 = 1 THEN 1 ELSE 2 END) * 1000000 + sseqid) AS description FROM reg WHERE feature <> '' GROUP BY 1")
@@ -324,8 +332,12 @@ def agg_reward_forms(spark, d):
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS med, round(stddev_samp(value), 6) AS sd, round(stddev_pop(value), 6) AS sd_pop, CASE WHEN contains(event_type, 'e') THEN max(value) ELSE round(avg(value), 6) END AS stat FROM events GROUP BY 1")
 def agg_model_summary(spark, d):
-    v = F.col("value")
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, F.lit(0.5)), 6).alias("med"), F.round(F.stddev_samp(v), 6).alias("sd"), F.round(F.stddev_pop(v), 6).alias("sd_pop"), F.when(F.contains("event_type", F.lit("e")), F.max(v)).otherwise(F.round(F.avg(v), 6)).alias("stat"))
+    from strandline.operators.scoring import quantiles
+
+    v, e = F.col("value"), table(spark, d, "events").select("event_type", "value")
+    plain = e.groupBy("event_type").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("sd"), F.round(F.stddev_pop(v), 6).alias("sd_pop"), F.when(F.contains("event_type", F.lit("e")), F.max(v)).otherwise(F.round(F.avg(v), 6)).alias("stat"))
+    med = quantiles(e, "value", {"med": 0.5}, ["event_type"])
+    return plain.join(med, "event_type").select("event_type", "mean", F.round("med", 6).alias("med"), "sd", "sd_pop", "stat")
 
 
 @query("SELECT plasmid_id, sseqid, ln FROM ann QUALIFY row_number() OVER (PARTITION BY plasmid_id, sseqid ORDER BY pident DESC, percmatch DESC, ln) = 1")
@@ -359,10 +371,10 @@ def window_global_zscore(spark, d):
 
 @query(", e AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY 1) SELECT user_id, round(list_reduce(v, lambda b, x: 0.95::DOUBLE * b + 0.05::DOUBLE * x), 6) AS baseline FROM e")
 def window_ema_baseline(spark, d):
-    v = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
-    e = table(spark, d, "events").groupBy("user_id").agg(v.alias("v"))
-    ema = F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), F.col("v")[0], lambda b, x: F.lit(0.95) * b + F.lit(0.05) * x)
-    return e.select("user_id", F.round(ema, 6).alias("baseline"))
+    from strandline.operators.scoring import moving_baseline
+
+    e = table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("step"), "value")
+    return moving_baseline(e, ["user_id"], "step", "value").select("user_id", F.round("baseline", 6).alias("baseline"))
 
 
 @query(", q AS (SELECT user_id, event_type, sum(round(value * 100)::BIGINT)::BIGINT AS w FROM events GROUP BY 1, 2), p AS (SELECT *, w / sum(w) OVER (PARTITION BY user_id) AS share, sum(w) OVER (PARTITION BY user_id ORDER BY w DESC, event_type ROWS UNBOUNDED PRECEDING) - w AS before, sum(w) OVER (PARTITION BY user_id) AS total FROM q) SELECT user_id, event_type, round(share, 8) AS share FROM p WHERE before < 0.9 * total")

@@ -80,3 +80,17 @@ def write_fan_out(df: DataFrame, path: str) -> None:
 def read_fan_out(spark: SparkSession, path: str, split: str, up_to: str) -> DataFrame:
     """The rows of one split in all buckets up to a label."""
     return spark.read.parquet(path).where((F.col("split") == split) & (F.col("bucket") <= tokens.bucket_ordinal(F.lit(up_to))))
+
+
+def has_hard_tokens(df: DataFrame) -> Column:
+    """Whether a prompt has hard tokens: by has_hard_tokens, else by non-empty reward_motifs; true where df has neither."""
+    if "has_hard_tokens" in df.columns:
+        return F.coalesce("has_hard_tokens", F.lit(False))
+    if "reward_motifs" in df.columns:
+        return F.coalesce(F.size("reward_motifs") > 0, F.lit(False))
+    return F.lit(True)
+
+
+def display_columns(df: DataFrame, *wanted: str) -> DataFrame:
+    """df with those of the wanted columns that it has, in the order wanted."""
+    return df.select(*[c for c in wanted if c in df.columns])
