@@ -218,8 +218,7 @@ def test_similar_lines_share_a_key():
             block = lines.Lines(lines.pa.array(pair))
             if pair[0] == pair[1] or len(block.rows) < 2 or not lines.similar(*(x.encode() for x in pair), 0.9):
                 continue
-            line, key = block.keys(np.arange(2), 0.9)
-            sims = block.simhashes(np.arange(2))
+            line, key, sims = block.keys(np.arange(2), 0.9)
             near = block.chars.max() < lines.SIMHASH_CHARS or int(sims[0] ^ sims[1]).bit_count() <= lines.SIMHASH_BITS
             total, found = total + 1, found + (near and bool(set(key[line == 0].tolist()) & set(key[line == 1].tolist())))
         assert found >= 0.9 * total > 50, n
@@ -266,6 +265,19 @@ def test_edit_distance():
     for _ in range(200):
         a, b = ("".join(draw.choices("ab", k=draw.randint(1, 9))).encode() for _ in range(2))
         assert lines.edit_distance(a, b, 20) == slow(a, b)
+    pairs = [tuple("".join(draw.choices("abcd", k=draw.choice((0, 1, 5, 60, 63, 64, 65, 130, 200)))).encode() for _ in range(2)) for _ in range(150)]
+    assert lines.edit_distances(pairs).tolist() == [slow(a, b) for a, b in pairs]
+
+
+def test_bounds_of_long_lines_decide_as_the_distance_does():
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefghij", k=draw.randint(1, 8)))
+    for share in (0.0, 0.05, 0.09, 0.12, 0.2, 1.0):
+        base = [word() for _ in range(600)]
+        a, b = (" ".join(x).encode() for x in (base, [word() if draw.random() < share else w for w in base]))
+        true = int(lines.edit_distances([(a, b)])[0])
+        assert lines.least_distance(a, b) <= true <= lines.most_distance(a, b)
+        assert lines.similar(a, b, 0.9) == (true <= int(0.1 * max(len(a), len(b)) + 1e-9)) == lines.similar_rows([a], [b], 0.9)[0]
 
 
 def test_mixing(spark, docs):
