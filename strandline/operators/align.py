@@ -2,6 +2,8 @@
 
 A gap of n costs open + (n - 1) * extend. Spark distributes the pairs; only
 those that survive the column-function filters should reach these functions.
+Scores take memory for one row. A traceback is made in the part of the target
+that the score-only pass has found, with one byte a cell.
 """
 
 from __future__ import annotations
@@ -11,68 +13,106 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.functions.proteins import base_scores, protein_scores
+
+_LOW = -(1 << 40)
+LOCAL_DNA, WITHIN_DNA, PROTEIN = base_scores(1, -1), base_scores(5, -4), protein_scores()
+#: The part of a motif's own score from which it counts as found.
+FOUND = 0.7
+_FIELDS = ("score", "start", "end", "matches", "mismatches", "gaps")
+
 
 def _codes(seq: str) -> np.ndarray:
-    return np.frombuffer(seq.encode(), np.uint8)
+    return np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)
+
 
+def _row(h: np.ndarray, f: np.ndarray, s: np.ndarray, steps: np.ndarray, gap_open: int, gap_extend: int, floor: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The next row: best scores, those that end in a gap of the target, those by the diagonal, and those by a gap of the query."""
+    f = np.maximum(h - gap_open, f - gap_extend)
+    d = np.full(len(h), 0 if floor else _LOW, np.int64)
+    d[1:] = np.maximum(h[:-1] + s, 0) if floor else h[:-1] + s
+    best = np.maximum(d, f)
+    # gaps along the row: the best earlier cell, less what it costs to come from there
+    run = np.maximum.accumulate(best + steps)
+    e = np.full(len(h), _LOW, np.int64)
+    e[1:] = run[:-1] - gap_open - steps[1:] + gap_extend
+    return np.maximum(best, e), f, d, e
 
-def local_score(query: str, target: str, match: int = 1, mismatch: int = -1, gap_open: int = 5, gap_extend: int = 1) -> int:
-    """Best local alignment score; N matches nothing."""
+
+def local_score(query: str, target: str, scores: np.ndarray = LOCAL_DNA, gap_open: int = 5, gap_extend: int = 1) -> int:
+    """Best local alignment score."""
     if not query or not target:
         return 0
     t, m = _codes(target), len(target)
-    h, f = np.zeros(m + 1, np.int64), np.full(m + 1, -(1 << 40), np.int64)
-    steps, best = np.arange(m + 1) * gap_extend, 0
-    for q in _codes(query):
-        s = np.where((t == q) & (q != 78), match, mismatch)
-        f = np.maximum(h - gap_open, f - gap_extend)
-        d = np.zeros(m + 1, np.int64)
-        d[1:] = np.maximum(h[:-1] + s, 0)
-        d = np.maximum(d, f)
-        # gaps along the row: the best earlier cell, less what it costs to come from there
-        run = np.maximum.accumulate(d + steps)
-        e = np.full(m + 1, -(1 << 40), np.int64)
-        e[1:] = run[:-1] - gap_open - steps[1:] + gap_extend
-        h = np.maximum(np.maximum(d, e), 0)
+    h, f, steps, best = np.zeros(m + 1, np.int64), np.full(m + 1, _LOW, np.int64), np.arange(m + 1) * gap_extend, 0
+    profile = {q: scores[q][t] for q in set(_codes(query).tolist())}
+    for q in _codes(query).tolist():
+        h, f, _, _ = _row(h, f, profile[q], steps, gap_open, gap_extend, True)
+        h = np.maximum(h, 0)
         best = max(best, int(h.max()))
     return best
 
 
-def semi_global(query: str, target: str, match: int = 5, mismatch: int = -4, gap_open: int = 5, gap_extend: int = 2) -> dict[str, int]:
-    """The whole query within the target, whose ends are free: score, start, end, matches, mismatches, gaps."""
-    t, n, m = _codes(target), len(query), len(target)
-    low = -(1 << 40)
-    rows = np.zeros((n + 1, m + 1), np.int64)
-    gaps = np.full((n + 1, m + 1), low, np.int64)
-    steps = np.arange(m + 1) * gap_extend
-    for i, q in enumerate(_codes(query), 1):
-        s = np.where((t == q) & (q != 78), match, mismatch)
-        gaps[i] = np.maximum(rows[i - 1] - gap_open, gaps[i - 1] - gap_extend)
-        d = np.full(m + 1, low, np.int64)
-        d[1:] = rows[i - 1, :-1] + s
-        d = np.maximum(d, gaps[i])
-        run = np.maximum.accumulate(d + steps)
-        e = np.full(m + 1, low, np.int64)
-        e[1:] = run[:-1] - gap_open - steps[1:] + gap_extend
-        rows[i] = np.maximum(d, e)
-    j = end = int(rows[n].argmax())
-    i, matches, mismatches, lost = n, 0, 0, 0
+def within_score(query: str, target: str, scores: np.ndarray = WITHIN_DNA, gap_open: int = 5, gap_extend: int = 2) -> tuple[int, int]:
+    """Score and end of the whole query within the target, whose ends are free."""
+    t, m = _codes(target), len(target)
+    h, f, steps = np.zeros(m + 1, np.int64), np.full(m + 1, _LOW, np.int64), np.arange(m + 1) * gap_extend
+    profile = {q: scores[q][t] for q in set(_codes(query).tolist())}
+    for q in _codes(query).tolist():
+        h, f, _, _ = _row(h, f, profile[q], steps, gap_open, gap_extend, False)
+    end = int(h.argmax())
+    return int(h[end]), end
+
+
+def semi_global(query: str, target: str, scores: np.ndarray = WITHIN_DNA, gap_open: int = 5, gap_extend: int = 2) -> dict[str, int]:
+    """The whole query within the target, whose ends are free: score, start, end, matches, mismatches, gaps.
+
+    A first pass finds score and end. No alignment reaches back further than
+    the query and the gaps that a score not below the worst can pay for, so
+    directions are kept for that part only.
+    """
+    score, end = within_score(query, target, scores, gap_open, gap_extend)
+    n = len(query)
+    reach = n + max(0, (int(scores[_codes(query), _codes(query)].sum()) - score)) // max(1, gap_extend) + 1
+    begin = max(0, end - reach)
+    t, m = _codes(target)[begin:end], end - begin
+    h, f, steps = np.zeros(m + 1, np.int64), np.full(m + 1, _LOW, np.int64), np.arange(m + 1) * gap_extend
+    ways = np.zeros((n + 1, m + 1), np.uint8)  # 0 diagonal, 1 a gap in the target, 2 one in the query; 4 and 8: that gap goes on
+    q = _codes(query)
+    for i in range(1, n + 1):
+        old_f = f
+        h, f, d, e = _row(h, f, scores[q[i - 1]][t], steps, gap_open, gap_extend, False)
+        way = np.where(h == d, 0, np.where(h == f, 1, 2)).astype(np.uint8)
+        way[1:] |= np.where(e[1:] == e[:-1] - gap_extend, 8, 0).astype(np.uint8)
+        ways[i] = way | np.where(f == old_f - gap_extend, 4, 0).astype(np.uint8)
+    i, j, matches, mismatches, lost = n, m, 0, 0, 0
     while i > 0:
-        s = match if j and t[j - 1] == ord(query[i - 1]) and query[i - 1] != "N" else mismatch
-        if j and rows[i, j] == rows[i - 1, j - 1] + s:
-            matches, mismatches, i, j = matches + (s == match), mismatches + (s != match), i - 1, j - 1
-            continue
-        k = 1  # a gap in the target, or in the query
-        while True:
-            cost = gap_open + (k - 1) * gap_extend
-            if k <= i and rows[i, j] == rows[i - k, j] - cost:
-                i, lost = i - k, lost + k
-                break
-            if k <= j and rows[i, j] == rows[i, j - k] - cost:
-                j, lost = j - k, lost + k
-                break
-            k += 1
-    return {"score": int(rows[n, end]), "start": j, "end": end, "matches": matches, "mismatches": mismatches, "gaps": lost}
+        way = ways[i, j] & 3
+        if way == 0:
+            i, j = i - 1, j - 1
+            same = q[i] == t[j] and scores[q[i], t[j]] > 0
+            matches, mismatches = matches + same, mismatches + (not same)
+        elif way == 1:
+            while ways[i, j] & 4 and i > 1:
+                i, lost = i - 1, lost + 1
+            i, lost = i - 1, lost + 1
+        else:
+            while ways[i, j] & 8 and j > 1:
+                j, lost = j - 1, lost + 1
+            j, lost = j - 1, lost + 1
+    return {"score": score, "start": begin + j, "end": end, "matches": int(matches), "mismatches": int(mismatches), "gaps": lost}
+
+
+def dna_ratio(motif: str, target: str) -> float:
+    """Local score of the better strand over the motif's own, 1 at most, to four digits."""
+    back = motif[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    return round(min(1.0, max(local_score(motif, target), local_score(back, target)) / max(1, local_score(motif, motif))), 4)
+
+
+def protein_ratio(protein: str, frames: list[str | None]) -> float:
+    """Local score (BLOSUM62, gaps 10 and 1) in the best of the frames over the protein's own, 1 at most, to four digits."""
+    best = max((local_score(protein, x, PROTEIN, 10, 1) for x in frames if x), default=0)
+    return round(min(1.0, best / max(1, local_score(protein, protein, PROTEIN, 10, 1))), 4)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -81,8 +121,20 @@ def local_ratio(motif: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([None if not m else min(1.0, round(local_score(m, t or "") / max(1, local_score(m, m)), 4)) for m, t in zip(motif, target, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("score", "start", "end", "matches", "mismatches", "gaps")]))
+@F.pandas_udf(T.DoubleType())
+def best_protein_ratio(protein: pd.Series, frames: pd.Series) -> pd.Series:
+    """protein_ratio of each row; null without a protein."""
+    return pd.Series([None if not p else protein_ratio(p, list(x) if x is not None else []) for p, x in zip(protein, frames, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("score", "end")]))
+def within_scores(motif: pd.Series, target: pd.Series) -> pd.DataFrame:
+    """Score and end only: what a search looks at before it traces hits back."""
+    return pd.DataFrame([within_score(m, t) if m and t else (0, 0) for m, t in zip(motif, target, strict=True)], columns=["score", "end"]).astype("int32")
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in _FIELDS]))
 def semi_global_hit(motif: pd.Series, target: pd.Series) -> pd.DataFrame:
     """The best place of a motif in a target; zeros if either is empty."""
-    none = dict.fromkeys(("score", "start", "end", "matches", "mismatches", "gaps"), 0)
-    return pd.DataFrame([semi_global(m, t) if m and t else none for m, t in zip(motif, target, strict=True)], columns=list(none)).astype("int32")
+    none = dict.fromkeys(_FIELDS, 0)
+    return pd.DataFrame([semi_global(m, t) if m and t else none for m, t in zip(motif, target, strict=True)], columns=list(_FIELDS)).astype("int32")
