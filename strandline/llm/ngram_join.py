@@ -12,8 +12,9 @@ compared with its first set only, which gives their distance to it. Sets that
 a chain of links joins need no comparison with each other, as their answer,
 the component, is known. And the distance, 1 - Jaccard similarity, is a
 metric: what is far from a list's first set is far from all that are near to
-it, so those answers follow from the ones that are computed. Only pairs that
-remain are compared, across components.
+it, so those answers follow from the ones that are computed. In further turns
+another member leads; then all pairs that remain are compared, across
+components.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import DOC, Table, Words, checkpoint, components, mix64, named_docs
 
 #: Blocks in which frequent tokens are counted (bytes), the occurrences in a block that make a token a candidate, and the most tokens that are broadcast (8 bytes each). The order of tokens decides speed only.
 COUNT_BYTES, COUNT_LEAST, MAX_FREQUENT = 8 << 20, 2, 1 << 18
+#: Sets of a block that are compared together, and turns in which a member of each list leads before all that is left is compared.
+BLOCK_SETS, TURNS = 64, 3
 
 
 def set_names(sets: list[np.ndarray]) -> pa.Array:
@@ -124,7 +127,7 @@ def find_postings(named: DataFrame, sets: DataFrame, n: int, percent: int, frequ
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(firsts))), pa.array(np.repeat(block.column(0).to_numpy(), counts)), pa.array(info)], ["token", "n", "info"])
 
     places = sets.select("n", *[F.col(f"place.{c}").alias(c) for c in DOC])
-    found = named.select(*DOC, "text").join(small(places), DOC).select("n", "text")
+    found = named.select(*DOC, "text").join(small(places, 300_000), DOC).select("n", "text")
     return found.mapInArrow(run, "token long, n long, info long")
 
 
@@ -143,19 +146,28 @@ def fetch_sets(named: DataFrame, sets: DataFrame, pairs: DataFrame, n: int) -> D
 
 
 def compare(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """a, b, both (size of the intersection) and all (of the union) of the pairs; checkpointed."""
+    """a, b, both (size of the intersection) and all (of the union) of the pairs; checkpointed.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both, total = [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both.append(common_tokens(x, y))
-                total.append(len(x) + len(y) - both[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(both, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "both", "all"])
+    Sets that share partners stand in blocks of BLOCK_SETS, and a cell is two
+    blocks: a set goes to a cell once, however many of its pairs are there.
+    """
+    ends = pairs.select(F.col("a").alias("n"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    home = ends.groupBy("n").agg(F.min("other").alias("o")).select("n", F.least("n", "o").alias("home"))
+    home = checkpoint(home.withColumn("k", F.floor((F.row_number().over(Window.partitionBy("home").orderBy("n")) - 1) / BLOCK_SETS).cast("int")))
+    cells = pairs.join(home.select(F.col("n").alias("a"), F.col("home").alias("ha"), F.col("k").alias("ka")), "a")
+    cells = checkpoint(cells.join(home.select(F.col("n").alias("b"), F.col("home").alias("hb"), F.col("k").alias("kb")), "b"))
+    cell = ["ha", "ka", "hb", "kb"]
+    here = [F.col(c).alias(f"of_{c}") for c in cell]
+    asked = cells.select(*here, F.col("a").alias("n")).union(cells.select(*here, "b")).distinct().join(tokens, "n")
+
+    def run(key: tuple, wanted: pa.Table, held: pa.Table) -> pa.Table:
+        sets = {n: np.frombuffer(t, np.uint64) for n, t in zip(held["n"].to_pylist(), held["tokens"].to_pylist(), strict=True)}
+        a, b = wanted["a"].to_pylist(), wanted["b"].to_pylist()
+        both = [common_tokens(sets[x], sets[y]) for x, y in zip(a, b, strict=True)]
+        total = [len(sets[x]) + len(sets[y]) - c for x, y, c in zip(a, b, both, strict=True)]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "both": pa.array(both, pa.int64()), "all": pa.array(total, pa.int64())})
 
-    left, right = tokens.select(F.col("n").alias("a"), F.col("tokens").alias("x")), tokens.select(F.col("n").alias("b"), F.col("tokens").alias("y"))
-    return checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, both long, all long"))
+    return checkpoint(cells.groupBy(*cell).cogroup(asked.groupBy(*[f"of_{c}" for c in cell])).applyInArrow(run, "a long, b long, both long, all long"))
 
 
 def may_link(size: Column, at: Column, other: Column, other_at: Column, percent: int) -> Column:
@@ -177,26 +189,40 @@ def set_links(named: DataFrame, sets: DataFrame, n: int, percent: int, frequent:
     size_of = lambda info: F.shiftright(info, 32)
     at_of = lambda info: F.col(info).bitwiseAND(F.lit((1 << 32) - 1))
     lists = table.read().withColumns({"size": size_of("info"), "at": at_of("info")})
+    linked = F.col("both") * 100 >= F.col("all") * percent
     led = may_link(F.col("size"), F.col("at"), size_of("lead_info"), at_of("lead_info"), percent)
     first = checkpoint(lists.where(led & (F.col("n") != F.col("lead"))).select(F.col("n").alias("a"), F.col("lead").alias("b")).distinct())
     first = compare(first, fetch_sets(named, sets, first, n))
-    linked = F.col("both") * 100 >= F.col("all") * percent
     links = first.where(linked).select("a", "b")
-    label = small(components(links).select(F.col("id").alias("of"), "component"))
     known = first.select(F.col("a").alias("n"), F.col("b").alias("lead"), (1 - F.col("both") / F.col("all")).alias("far"))
-    rows = lists.join(label, lists["n"] == F.col("of"), "left").withColumn("label", F.coalesce("component", "n"))
-    rows = rows.withColumn("least", F.min("label").over(in_list)).withColumn("most", F.max("label").over(in_list)).where("least <> most")
-    rows = rows.join(small(known), ["n", "lead"], "left").withColumn("far", F.when(F.col("n") == F.col("lead"), 0.0).otherwise(F.col("far")))
+    rows = lists.join(small(known), ["n", "lead"], "left").withColumn("far", F.when(F.col("n") == F.col("lead"), 0.0).otherwise(F.col("far")))
+    rows = rows.select("token", "run", "n", "size", "at", "far")
+    apart = lambda x, y: F.coalesce(F.abs(F.col(x) - F.col(y)) > 1 - percent / 100 + 1e-9, F.lit(False))
+    tables = [table]
+    for turn in range(TURNS + 1):
+        label = small(components(links).select(F.col("id").alias("of"), "component"))
+        rows = rows.join(label, rows["n"] == F.col("of"), "left").withColumn("label", F.coalesce("component", "n")).drop("of", "component")
+        rows = rows.withColumn("least", F.min("label").over(in_list)).withColumn("most", F.max("label").over(in_list)).where("least <> most").drop("least", "most")
+        if turn == TURNS:
+            break
+        # another member leads: whom it links needn't be compared with each other
+        other = F.min_by(F.struct("n", "size", "at", "label", "far"), F.xxhash64("n", F.lit(turn))).over(in_list)
+        tables.append(Table(rows.withColumn("other", other)))
+        rows = tables[-1].read()
+        met = rows.where((F.col("label") != F.col("other.label")) & may_link(F.col("size"), F.col("at"), F.col("other.size"), F.col("other.at"), percent) & ~apart("far", "other.far"))
+        met = checkpoint(met.select(F.least("n", "other.n").alias("a"), F.greatest("n", "other.n").alias("b")).distinct())
+        links = links.unionByName(compare(met, fetch_sets(named, sets, met, n)).where(linked).select("a", "b"))
+        rows = rows.drop("other", "label")
     # a block holds the sizes of which the largest is 100 / percent times the smallest: sets of linked sizes are in one or the next
     block = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     rows = checkpoint(rows.select("token", "run", "n", "size", "at", "label", "far", block.alias("block")))
     larger = rows.select("token", "run", *[F.col(c).alias(f"other_{c}") for c in ("n", "size", "at", "label", "far")], F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"))
     smaller = rows.where(F.col("size") - F.col("at") >= F.ceil(2 * percent * F.col("size") / (100 + percent)))
     met = smaller.join(larger, ["token", "run", "block"]).where((F.col("size") < F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("n") < F.col("other_n"))))
-    apart = F.coalesce(F.abs(F.col("far") - F.col("other_far")) > 1 - percent / 100 + 1e-9, F.lit(False))
-    met = met.where((F.col("label") != F.col("other_label")) & may_link(F.col("size"), F.col("at"), F.col("other_size"), F.col("other_at"), percent) & ~apart)
+    met = met.where((F.col("label") != F.col("other_label")) & may_link(F.col("size"), F.col("at"), F.col("other_size"), F.col("other_at"), percent) & ~apart("far", "other_far"))
     across = checkpoint(met.select(F.col("n").alias("a"), F.col("other_n").alias("b")).distinct())
-    table.drop()
+    for table in tables:
+        table.drop()
     return links.unionByName(compare(across, fetch_sets(named, sets, across, n)).where(linked).select("a", "b"))
 
 
