@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: the standard genetic code, codons in TCAG order.
@@ -28,10 +28,10 @@ def reverse_complement(seq: Column) -> Column:
 
 def translate(seq: Column, frame: int = 0, stop: str = "*") -> Column:
     """Amino acids from a frame on; codons with other letters are X; null below three bases."""
-    n = F.floor((F.length(seq) - frame) / 3).cast("int")
-    digit = lambda c: F.when(c == "T", 0).when(c == "C", 1).when(c == "A", 2).when(c == "G", 3)
-    one = lambda i: F.coalesce(F.substr(F.lit(AMINO.replace("*", stop)), (digit(F.substr(seq, frame + 3 * i + 1, F.lit(1))) * 16 + digit(F.substr(seq, frame + 3 * i + 2, F.lit(1))) * 4 + digit(F.substr(seq, frame + 3 * i + 3, F.lit(1))) + 1).cast("int"), F.lit(1)), F.lit("X"))
-    return F.when(n >= 1, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one), ""))
+    codons = F.regexp_extract_all(F.substr(seq, F.lit(frame + 1)), F.lit("(?s).{3}"), F.lit(0))
+    place = lambda c: F.conv(F.translate(c, "TCAG", "0123"), 4, 10).cast("int") + 1
+    one = lambda c: F.when(c.rlike("^[TCAG]{3}$"), F.substr(F.lit(AMINO.replace("*", stop)), place(c), F.lit(1))).otherwise("X")
+    return F.when(F.length(seq) >= frame + 3, F.array_join(F.transform(codons, one), ""))
 
 
 def six_frames(seq: Column, stop: str = "X") -> Column:
@@ -84,3 +84,71 @@ def encode_sample(prompt: Column, completion: Column, length: int, eos: int, pad
     mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), fill))
     labels = F.concat(F.array_repeat(F.lit(-100), m), F.slice(ids, m + 1, F.greatest(n - m, F.lit(0))), F.array_repeat(F.lit(-100), fill))
     return inputs, mask, labels
+
+
+def kmer_vocabulary(spark: SparkSession, specials: tuple[str, ...], k: int) -> DataFrame:
+    """id and token: the special tokens, then all k-mers in the order of ACGT."""
+    digit = lambda p: F.substr(F.lit("ACGT"), (F.floor(F.col("id") / 4 ** (k - 1 - p)) % 4 + 1).cast("int"), F.lit(1))
+    bases = spark.range(4**k).select((F.col("id") + len(specials)).alias("id"), F.concat(*[digit(p) for p in range(k)]).alias("token"))
+    return spark.createDataFrame(list(enumerate(specials)), "id long, token string").unionByName(bases)
+
+
+def tokenize(text: Column, k: int, stride: int) -> Column:
+    """Special tokens as they are; what stands between them, without space, in upper case and with N filled in, as k-mers."""
+    parts = F.regexp_extract_all(text, F.lit("<[^>]+>|[^<]+|<"), F.lit(0))
+    bases = lambda p: fill_n(F.upper(F.regexp_replace(p, r"\s+", "")))
+    return F.flatten(F.transform(parts, lambda p: F.when(p.rlike("^<[^>]+>$"), F.array(p)).otherwise(F.flatten(F.transform(F.array(bases(p)), lambda s: kmerize(s, k, stride))))))
+
+
+def detokenize(parts: Column, stride: int) -> Column:
+    """Special tokens stay; of each run of k-mers the first letters, and all of the last."""
+    special = lambda t: t.startswith("<") & t.endswith(">")
+    last = lambda i: F.coalesce(special(F.try_element_at(parts, i + 2)), F.lit(True))  # noqa: E731  the next is special, or there is none
+    return F.array_join(F.transform(parts, lambda t, i: F.when(special(t) | last(i), t).otherwise(F.substr(t, F.lit(1), F.lit(stride)))), "")
+
+
+def frame_to_dna(start: Column, end: Column, offset: Column, reverse: Column, length: Column) -> tuple[Column, Column]:
+    """First and last base of amino acids start to end of a frame; frames of the other strand are counted from its end."""
+    low, high = start * 3 + offset, (end + 1) * 3 - 1 + offset
+    return F.when(reverse, length - 1 - high).otherwise(low), F.when(reverse, length - 1 - low).otherwise(high)
+
+
+def cigar(text: Column) -> Column:
+    """matches, mismatches, ins, dels, start_query, end_query of a CIGAR string; insertions at either end only move the start."""
+    core = F.regexp_replace(F.regexp_replace(text, "^(?:[0-9]+I)+", ""), "(?:[0-9]+I)+$", "")
+    total = lambda s, ops: F.aggregate(F.transform(F.regexp_extract_all(s, F.lit(f"([0-9]+)[{ops}]"), F.lit(1)), lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    lead = total(F.regexp_extract(text, "^((?:[0-9]+I)*)", 1), "I")
+    aligned = total(core, "=MX")
+    before = total(F.regexp_extract(core, "^((?:[0-9]+[ID])*)", 1), "I")
+    after = total(F.regexp_extract(core, "((?:[0-9]+[ID])*)$", 1), "I")
+    whole = lead + aligned + total(core, "I")
+    none = aligned == 0
+    return F.struct(total(core, "=M").alias("matches"), total(core, "X").alias("mismatches"), total(core, "I").alias("ins"), total(core, "D").alias("dels"), F.when(none, 0).otherwise(lead + before).alias("start_query"), F.when(none, 0).otherwise(whole - after - 1).alias("end_query"))
+
+
+def _places(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+
+def _draw(seed: Column, i: Column) -> Column:
+    return F.md5(F.concat_ws("-", seed.cast("string"), i.cast("string")).cast("binary"))
+
+
+def random_bases(seed: Column, n: Column) -> Column:
+    """n bases drawn by a hash of the seed and the place."""
+    return F.array_join(F.transform(_places(n), lambda i: F.substr(F.lit("ACGT"), F.conv(F.right(_draw(seed, i), F.lit(1)), 16, 10).cast("int") % 4 + 1, F.lit(1))), "")
+
+
+def shuffled(seed: Column, seq: Column) -> Column:
+    """The letters of a sequence in the order of a hash of the seed and their places."""
+    keyed = F.transform(_places(F.length(seq)), lambda i: F.concat(_draw(seed, i), F.substr(seq, i + 1, F.lit(1))))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda x: F.right(x, F.lit(1))), "")
+
+
+def splice(df: DataFrame, seq: str, repairs: str) -> DataFrame:
+    """df with repaired and n_repairs: the repairs (start, end, motif; from the right) put into seq, without those that reach into one already done."""
+    start = F.struct(F.col(seq).alias("s"), F.length(seq).alias("edge"), F.lit(0).alias("n"))
+    done = lambda acc, r: F.when(r["end"] > acc["edge"], acc).otherwise(
+        F.struct(F.concat(F.substr(acc["s"], F.lit(1), r["start"]), r["motif"], F.substr(acc["s"], r["end"] + 1, F.length(acc["s"]))).alias("s"), r["start"].alias("edge"), (acc["n"] + 1).alias("n"))
+    )
+    return df.withColumn("x", F.aggregate(repairs, start, done)).withColumn("repaired", F.col("x.s")).withColumn("n_repairs", F.col("x.n")).drop("x")

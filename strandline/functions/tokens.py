@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,3 +84,16 @@ def split_labels(tokens: Column) -> Column:
     """combined, and every split that one of the tokens selects."""
     marks = [F.when(F.arrays_overlap(tokens, F.array(*[F.lit(x) for x in names])), F.lit(label)) for label, names in SPLITS]
     return F.filter(F.array(F.lit("combined"), *marks), lambda x: x.isNotNull())
+
+
+def format_prompt(text: Column) -> Column:
+    """Trimmed, with <BOS> and a space before it and a space and <SEQ> behind it, unless they are there."""
+    t = F.trim(text)
+    t = F.when(t.startswith(BOS), t).otherwise(F.concat(F.lit(BOS + " "), t))
+    return F.when(t.endswith(SEQ), t).otherwise(F.concat(F.rtrim(t), F.lit(" " + SEQ)))
+
+
+def validated(tokens: Column, known: Callable[[Column], Column], order: tuple[str, ...] = CATEGORY_ORDER) -> tuple[Column, Column]:
+    """A prompt of the known tokens (once each, in canonical order) and the list of all others in the order seen."""
+    good = canonical(F.array_distinct(F.filter(tokens, known)), order)
+    return F.concat(F.lit(BOS + " "), F.array_join(good, " "), F.lit(" " + SEQ)), F.filter(tokens, lambda t: ~known(t))
