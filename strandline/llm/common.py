@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java and Python regular expression for one word.
@@ -206,8 +206,6 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def global_index(df: DataFrame, order: list[Column], name: str, parts: int = 64) -> DataFrame:
     """Number the rows from 0 in the given order without gathering them in one task."""
-    from pyspark.sql import Window
-
     ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
     ranged = checkpoint(ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order))))
     counts = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
@@ -323,93 +321,20 @@ def firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): id and component, the smallest id reachable.
 
-    Labels fall to the smallest of the neighbours' and jump to their label's
-    label, so rounds grow with the logarithm of a component's width; every
-    round is checkpointed.
+    Large and small stars by turns: each node's larger neighbours, and then its
+    smaller ones, are tied to the smallest of all, until every node is tied to
+    its component's smallest. Edges never grow in number; a turn is checkpointed.
     """
-    both = checkpoint(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
+    star = checkpoint(edges.where("a <> b").select("a", "b").distinct())
+    state = None
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
-        low = labels.join(near, labels["id"] == near["a"]).select("id", F.least("component", "m").alias("c"), F.col("component").alias("old"))
-        low = checkpoint(low)
-        up = low.select(F.col("id").alias("up"), F.col("c").alias("upper"))
-        new = checkpoint(low.join(up, low["c"] == up["up"]).select("id", F.least("c", "upper").alias("component"), (F.least("c", "upper") < F.col("old")).alias("moved")))
-        labels = new.select("id", "component")
-        if new.where("moved").isEmpty():
-            return labels
-
-
-#: Kinds of packed rows that pick_items and verify_pairs know.
-ITEMS, PAIRS, WANTED, HALVES = range(100, 104)
-
-
-def pick_items(items: DataFrame, wanted: DataFrame, parts: int, make: Callable[[pa.Array], list[bytes]] | None = None) -> DataFrame:
-    """Of packed items (id and bytes) those whose id is in wanted, each once, and what make makes of them; checkpointed."""
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = Gathered(batches)
-        (ask,) = got.columns(WANTED, "i8")
-        (ids,), texts = got.texts(ITEMS, "i8")
-        _, one = np.unique(ids, return_index=True)
-        one = one[np.isin(ids[one], ask)]
-        for a in range(0, len(one), 512):
-            rows = one[a : a + 512]
-            part = texts.take(pa.array(rows))
-            made = make(part) if make else part.to_pylist()
-            yield scatter_texts(ids[rows].view(np.uint64), parts, ITEMS, [ids[rows]], np.frombuffer(b"".join(made), np.uint8), np.concatenate(([0], np.cumsum([len(m) for m in made]))))
-
-    return checkpoint(exchange(parts, items, wanted).mapInArrow(pick, PACKED))
-
-
-def pair_ends(pairs: DataFrame, parts: int) -> DataFrame:
-    """The ids of rows a, b as packed wanted ids, and the rows as packed pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ends = np.unique(np.concatenate((a, b)))
-            yield scatter(ends.view(np.uint64), parts, WANTED, [ends])
-            yield scatter(a.view(np.uint64), parts, PAIRS, [a, b])
-
-    return checkpoint(pairs.select("a", "b").mapInArrow(run, PACKED))
-
-
-def verify_pairs(pairs: DataFrame, items: DataFrame, parts: int, same: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """The packed pairs of ids (by their first) whose items are the same, as rows a, b.
-
-    A pair goes to its first item, and with that item's bytes to its second, so
-    nothing is collected and a hot item is only sent along with its pairs.
-    """
-
-    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = Gathered(batches)
-        (ids,), texts = got.texts(ITEMS, "i8")
-        a, b = got.columns(PAIRS, "i8", "i8")
-        where = np.argsort(ids, kind="stable")
-        row = where[np.searchsorted(ids[where], a)] if len(a) else np.zeros(0, np.int64)
-        offsets, raw = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1), np.frombuffer(texts.buffers()[2], np.uint8)
-        lengths, step = offsets[row + 1] - offsets[row], 0
-        sums = np.cumsum(lengths)
-        while step < len(a):  # some megabytes of items at a time
-            to = max(step + 1, int(np.searchsorted(sums, (sums[step - 1] if step else 0) + (8 << 20), side="right")))
-            part = slice(step, to)
-            moved = np.concatenate([raw[offsets[i] : offsets[i + 1]] for i in row[part]])
-            yield scatter_texts(b[part].view(np.uint64), parts, HALVES, [b[part], a[part]], moved, np.concatenate(([0], np.cumsum(lengths[part]))))
-            step = to
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        got = Gathered(batches)
-        (ids,), texts = got.texts(ITEMS, "i8")
-        mine = dict(zip(ids.tolist(), range(len(ids)), strict=True))
-        for n, data in got.rows.pop(HALVES, []):  # one packet at a time: they hold an item a pair
-            data = zstandard.ZstdDecompressor().decompress(data)
-            b, a, lengths = (np.frombuffer(data, np.int64, n, 8 * n * i) for i in range(3))
-            ends = 24 * n + np.cumsum(lengths)
-            ok = [same(data[e - k : e], texts[mine[y]].as_py()) for y, e, k in zip(b.tolist(), ends.tolist(), lengths.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
-
-    halves = exchange(parts, items, pairs).mapInArrow(attach, PACKED)
-    return exchange(parts, items, halves).mapInArrow(compare, "a long, b long")
+        both = star.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(star.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        low = F.least("u", F.min("v").over(Window.partitionBy("u")))
+        large = both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small_ = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        tied = F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))
+        star = checkpoint(small_.select(F.explode(tied).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
+        now = tuple(star.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first())  # two numbers
+        if now == state:
+            return star.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(star.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        state = now
