@@ -188,7 +188,7 @@ def agg_actor_stats(spark, d):
 @query(", r AS (SELECT conv_id, turn, length(text) AS r, turn * 10 + length(text) AS ms FROM conversations), g AS (SELECT conv_id % 8 AS step, conv_id, max(r) AS best, min(r) AS worst FROM r GROUP BY 1, 2), s AS (SELECT conv_id % 8 AS step, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS sd, min(r) AS low, max(r) AS high, round(sum(r) * 1000.0::DOUBLE / sum(ms), 6) AS per_second, round(sum(turn * 10) / sum(ms), 8) AS time_share FROM r GROUP BY 1) SELECT s.*, b.best, b.worst FROM s JOIN (SELECT step, round(avg(best), 6) AS best, round(avg(worst), 6) AS worst FROM g GROUP BY 1) b USING (step)")
 def agg_step_metrics(spark, d):
     """Per step: rewards, the mean of the groups' best and worst, tokens a second and the share of time of one phase."""
-    r, ms = F.length("text"), F.col("turn") * 10 + F.length("text")
+    r, ms = F.length("text").cast("long"), F.col("turn") * 10 + F.length("text")
     g = table(spark, d, "conversations").groupBy((F.col("conv_id") % 8).alias("step"), "conv_id").agg(F.sum(r).alias("s"), F.sum((r * r).cast("double")).alias("ss"), F.count("*").alias("n"), F.max(r).alias("b"), F.min(r).alias("w"), F.sum(ms).alias("ms"), F.sum(F.col("turn") * 10).alias("t"))
     n, s = F.sum("n"), F.sum("s")
     sd = F.when(n > 1, F.sqrt((F.sum("ss") - s * s / n) / (n - 1)))

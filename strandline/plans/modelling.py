@@ -238,11 +238,10 @@ def protein_coordinates(spark, d):
 _CIGAR = "CASE WHEN event_id % 3 = 0 THEN (lo % 5 + 1) || 'I' ELSE '' END || (lo % 40 + 1) || '=' || (hi % 3 + 1) || 'X' || (lo % 4 + 1) || 'I' || (hi % 30 + 1) || 'M' || (lo % 6 + 1) || 'D' || (hi % 9 + 1) || '=' || CASE WHEN event_id % 4 = 0 THEN (hi % 7 + 1) || 'I2I' ELSE '' END"
 
 
-@query("SELECT event_id, (lo % 40 + 1) + (hi % 30 + 1) + (hi % 9 + 1) AS matches, hi % 3 + 1 AS mismatches, lo % 4 + 1 AS ins, lo % 6 + 1 AS dels, lead AS start_query, lead + (lo % 40 + 1) + (hi % 3 + 1) + (lo % 4 + 1) + (hi % 30 + 1) + (hi % 9 + 1) - 1 AS end_query FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN lo % 5 + 1 ELSE 0 END AS lead FROM hit)")
+@query("SELECT event_id, ((lo % 40 + 1) + (hi % 30 + 1) + (hi % 9 + 1))::BIGINT AS matches, (hi % 3 + 1)::BIGINT AS mismatches, (lo % 4 + 1)::BIGINT AS ins, (lo % 6 + 1)::BIGINT AS dels, lead::BIGINT AS start_query, (lead + (lo % 40 + 1) + (hi % 3 + 1) + (lo % 4 + 1) + (hi % 30 + 1) + (hi % 9 + 1) - 1)::BIGINT AS end_query FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN lo % 5 + 1 ELSE 0 END AS lead FROM hit)")
 def cigar_metrics(spark, d):
     """Counts and places of alignments given as CIGAR strings; insertions at either end are no part of them."""
-    text = F.expr(_CIGAR.replace("||", "||"))
-    return hits(spark, d).select("event_id", dna.cigar(text).alias("c")).select("event_id", "c.*")
+    return hits(spark, d).select("event_id", dna.cigar(F.expr(_CIGAR)).alias("c")).select("event_id", "c.*")
 
 
 @query(", x AS (SELECT plasmid_id, sequence AS s, length(sequence) AS n FROM seqs) SELECT plasmid_id, substring(s, 1, n // 4) AS prefix_25, substring(s, 1, n // 2) AS prefix_50, substring(s, 1, (n * 3) // 4) AS prefix_75, array_to_string(list_transform(range(0, n), lambda i: substring('ACGT', (instr('0123456789abcdef', right(md5(plasmid_id || '-' || i), 1)) - 1) % 4 + 1, 1)), '') AS random, array_to_string(list_transform(list_sort(list_transform(range(0, n), lambda i: md5(plasmid_id || '-' || i) || substring(s, (i + 1)::INT, 1))), lambda x: right(x, 1)), '') AS shuffled FROM x")

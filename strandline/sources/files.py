@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import html
+import json
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,3 +100,96 @@ def has_hard_tokens(df: DataFrame) -> Column:
 def display_columns(df: DataFrame, *wanted: str) -> DataFrame:
     """df with those of the wanted columns that it has, in the order wanted."""
     return df.select(*[c for c in wanted if c in df.columns])
+
+
+def read_feature_metadata(spark: SparkSession, path: str, source: str, header: bool = True, kind: str | None = None, unescape: bool = False) -> DataFrame:
+    """sseqid, Feature, Description, Type and db_source of one CSV, gzipped or not.
+
+    Without a header its columns are the first three. kind fills in Type, and
+    unescape decodes character references.
+    """
+    names = ("sseqid", "Feature", "Description")
+    if header:
+        df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    else:
+        df = spark.read.csv(path, schema=", ".join(f"{n} string" for n in names), quote='"', escape='"')
+    text = unescaped if unescape else (lambda c: c)
+    kind_ = F.lit(kind) if kind else F.col("Type") if "Type" in df.columns else F.lit(None).cast("string")
+    return df.select(*[text(F.col(n)).alias(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names], kind_.alias("Type"), F.lit(source).alias("db_source"))
+
+
+def unescaped(text: Column) -> Column:
+    """Text with all character references decoded."""
+    @F.pandas_udf("string")
+    def plain(values: pd.Series) -> pd.Series:
+        return values.map(html.unescape, na_action="ignore")
+
+    return plain(text)
+
+
+def read_token_list(spark: SparkSession, path: str) -> DataFrame:
+    """token: one a line, trimmed; blank lines are skipped."""
+    return spark.read.text(path).select(F.trim("value").alias("token")).where("token <> ''")
+
+
+def write_token_list(df: DataFrame, path: str, table: str | None = None) -> None:
+    """Distinct tokens in order, as text lines (a vocabulary is small) and, where named, as a table."""
+    listed = df.select("token").where("token is not null").distinct().orderBy("token")
+    listed.coalesce(1).write.mode("overwrite").text(path)
+    if table:
+        write_table(listed, table)
+
+
+def write_table(df: DataFrame, name: str) -> None:
+    """df as a table, in place of whatever schema and rows it had."""
+    df.write.mode("overwrite").format("parquet").saveAsTable(name)
+
+
+def write_registry(df: DataFrame, json_path: str, parquet_path: str) -> None:
+    """A registry of token, sseqid and other columns as one JSON object a token with its sequences nested, and as flat Parquet."""
+    inner = F.array_sort(F.collect_list(F.struct("sseqid", *[c for c in df.columns if c not in ("token", "sseqid")])))
+    df.groupBy("token").agg(inner.alias("sequences")).select(F.to_json(F.struct("token", "sequences"))).write.mode("overwrite").text(json_path)
+    df.write.mode("overwrite").parquet(parquet_path)
+
+
+def write_lookups(df: DataFrame, path: str, length: str = "length") -> None:
+    """All variants of each token, and the longest alone (the smaller id of equals), as JSON lines in the folders full and longest."""
+    every = F.array_sort(F.collect_list(F.struct("sseqid", length)))
+    longest = F.max_by(F.struct("sseqid", length), F.struct(length, (-F.col("sseqid")).alias("i")))
+    for name, value in (("full", every), ("longest", longest)):
+        df.groupBy("token").agg(value.alias("variants")).select(F.to_json(F.struct("token", "variants"))).write.mode("overwrite").text(f"{path}/{name}")
+
+
+def cached_result(prompts: DataFrame, path: str, parameters: dict[str, object], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """make(prompts), written once under a key of the parameters and the prompts and read from there afterwards.
+
+    The key joins the SHA-1 of each prompt with its count by sums, so it
+    depends on the prompts, not on their order, and nothing is collected.
+    """
+    spark = prompts.sparkSession
+    part = lambda i: F.sum(F.conv(F.substring(F.sha1(F.col("prompt").cast("binary")), 8 * i + 1, 8), 16, 10).cast("decimal(38,0)"))
+    sums = prompts.agg(F.count("*").alias("n"), *[part(i).alias(f"s{i}") for i in range(5)]).first()  # one row
+    key = hashlib.sha1(json.dumps([sorted((k, repr(v)) for k, v in parameters.items()), [str(x) for x in sums]]).encode()).hexdigest()
+    target = f"{path}/{key}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        make(prompts).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
+def report_tables(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of results (model, prompt, category, requested, found): a summary a model, and one a model and category with a TOTAL."""
+    each = results.groupBy("model", "prompt").agg(F.sum("requested").alias("requested"), F.sum("found").alias("found"))
+    rate = F.col("found") / F.greatest("requested", F.lit(1))
+    summary = each.groupBy("model").agg(F.count("*").alias("prompts"), F.avg(rate).alias("macro"), (F.sum("found") / F.sum("requested")).alias("micro"), F.count_if(F.col("found") >= F.col("requested")).alias("perfect"))
+    category = results.rollup("model", "category").agg(F.sum("requested").alias("requested"), F.sum("found").alias("found")).where("model is not null").withColumn("category", F.coalesce("category", F.lit("TOTAL")))
+    return summary, category
+
+
+def write_report(results: DataFrame, path: str) -> None:
+    """A Markdown report of report_tables: a row a model, and a row a model and category, so it stays small whatever the results' size."""
+    summary, category = report_tables(results)
+    head = lambda names: f"| {' | '.join(names)} |\n|{'-|' * len(names)}"
+    line = lambda df: [f"| {' | '.join(f'{v:.4f}' if isinstance(v, float) else str(v) for v in r)} |" for r in df.collect()]
+    body = ["# Evaluation", "", "## Models", "", head(summary.columns), *line(summary.orderBy("model")), "", "## Categories", "", head(category.columns), *line(category.orderBy("model", "category")), ""]
+    results.sparkSession.createDataFrame([("\n".join(body),)], "value string").coalesce(1).write.mode("overwrite").text(path)

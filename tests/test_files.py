@@ -32,3 +32,83 @@ def test_pairs_and_fan_out(spark, tmp_path):
     files.write_fan_out(df, str(tmp_path / "f"))
     assert files.read_fan_out(spark, str(tmp_path / "f"), "combined", "leq_8k").count() == 1
     assert files.read_fan_out(spark, str(tmp_path / "f"), "combined", "leq_16k").count() == 2
+
+
+def test_feature_metadata(spark, tmp_path):
+    import gzip
+
+    from strandline.sources import files
+
+    (tmp_path / "a.csv").write_text('sseqid,Feature,Description,Type\nx1,"AmpR, short",one,CDS\n')
+    (tmp_path / "b.csv").write_text("sseqid,Feature,Description\ny1,&alpha;GFP,&lt;b&gt; &#233;\n")
+    with gzip.open(tmp_path / "c.csv.gz", "wt") as f:
+        f.write("z1,kinase,some text\nz2,other,\n")
+    a = files.read_feature_metadata(spark, str(tmp_path / "a.csv"), "first")
+    b = files.read_feature_metadata(spark, str(tmp_path / "b.csv"), "second", kind="CDS", unescape=True)
+    c = files.read_feature_metadata(spark, str(tmp_path / "c.csv.gz"), "third", header=False, kind="CDS")
+    got = sorted(map(tuple, a.unionByName(b).unionByName(c).collect()))
+    assert got == [("x1", "AmpR, short", "one", "CDS", "first"), ("y1", "αGFP", "<b> é", "CDS", "second"), ("z1", "kinase", "some text", "CDS", "third"), ("z2", "other", None, "CDS", "third")]
+
+
+def test_token_lists_tables_and_registries(spark, tmp_path):
+    import json
+
+    from strandline.sources import files
+
+    df = spark.createDataFrame([("<B>", 2, 5), ("<A>", 1, 9), ("<B>", 3, 5), ("<B>", 4, 1)], "token string, sseqid long, length int")
+    files.write_token_list(df, str(tmp_path / "tokens"), table="token_list_test")
+    assert [r["token"] for r in files.read_token_list(spark, str(tmp_path / "tokens")).collect()] == ["<A>", "<B>"]
+    assert spark.table("token_list_test").count() == 2
+    files.write_table(df.select("sseqid"), "token_list_test")
+    assert spark.table("token_list_test").columns == ["sseqid"]
+    spark.sql("drop table token_list_test")
+    files.write_registry(df, str(tmp_path / "json"), str(tmp_path / "flat"))
+    nested = {x["token"]: x["sequences"] for x in (json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "json")).collect())}
+    assert [s["sseqid"] for s in nested["<B>"]] == [2, 3, 4] and spark.read.parquet(str(tmp_path / "flat")).count() == 4
+    files.write_lookups(df, str(tmp_path / "look"))
+    longest = {x["token"]: x["variants"]["sseqid"] for x in (json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "look/longest")).collect())}
+    assert longest == {"<A>": 1, "<B>": 2} and spark.read.text(str(tmp_path / "look/full")).count() == 2
+
+
+def test_cached_result_is_made_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strandline.sources import files
+
+    made = []
+
+    def make(df):
+        made.append(1)
+        return df.select("prompt", F.length("prompt").alias("n"))
+
+    a = spark.createDataFrame([("x",), ("yy",), (None,)], "prompt string")
+    for df in (a, a.orderBy(F.desc("prompt")), a.repartition(3)):
+        assert files.cached_result(df, str(tmp_path), {"k": 1}, make).count() == 3
+    assert len(made) == 1
+    files.cached_result(a, str(tmp_path), {"k": 2}, make)
+    files.cached_result(a.limit(2), str(tmp_path), {"k": 1}, make)
+    assert len(made) == 3
+
+
+def test_report(spark, tmp_path):
+    from strandline.sources import files
+
+    rows = [("m1", "p1", "AMR", 2, 2), ("m1", "p1", "ORI", 2, 1), ("m1", "p2", "AMR", 1, 1), ("m2", "p1", "AMR", 4, 0)]
+    df = spark.createDataFrame(rows, "model string, prompt string, category string, requested int, found int")
+    summary, category = files.report_tables(df)
+    assert {tuple(r) for r in summary.collect()} == {("m1", 2, (0.75 + 1) / 2, 4 / 5, 1), ("m2", 1, 0.0, 0.0, 0)}
+    assert ("m1", "TOTAL", 5, 4) in {tuple(r) for r in category.collect()} and category.count() == 5
+    files.write_report(df, str(tmp_path / "r"))
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "r")).collect())
+    assert "| m1 | 2 | 0.8750 | 0.8000 | 1 |" in text
+
+
+def test_prompt_filter_and_display(spark):
+    from strandline.sources import files
+
+    df = spark.createDataFrame([(1, ["x"]), (2, []), (3, None)], "id int, reward_motifs array<string>")
+    assert [r["id"] for r in df.where(files.has_hard_tokens(df)).collect()] == [1]
+    assert df.drop("reward_motifs").where(files.has_hard_tokens(df.drop("reward_motifs"))).count() == 3
+    flagged = spark.createDataFrame([(1, True), (2, None)], "id int, has_hard_tokens boolean")
+    assert flagged.where(files.has_hard_tokens(flagged)).count() == 1
+    assert files.display_columns(df, "none", "reward_motifs", "id").columns == ["reward_motifs", "id"]
