@@ -14,6 +14,12 @@ from .relational import query
 from .views import annotations, hits, motifs, prefixes, registry, sequences, table
 
 
+#: k-mers of motifs that are broadcast at most (some 60 bytes each).
+BROADCAST_KMERS = 1_000_000
+#: Bases of a piece of a sequence whose k-mers are listed at a time.
+PIECE = 1000
+
+
 @query("SELECT plasmid_id, sequence, length(sequence) AS n FROM seqs")
 def seq_clean(spark, d):
     return sequences(spark, d).select("plasmid_id", "sequence", F.length("sequence").cast("long").alias("n"))
@@ -61,11 +67,21 @@ def seq_kmer_containment_whole(spark, d):
 
 
 def kmer_candidates(m, s, k=15, share=0.15):
-    """Pairs of sequence and motif that share enough of the motif's k-mers: an equi-join on k-mers, no cross join."""
+    """Pairs of sequence and motif that share enough of the motif's k-mers.
+
+    Sequences are cut into pieces that overlap by k - 1, whose k-mers meet the
+    motifs' k-mers (broadcast where they are few) before anything is
+    deduplicated, so only k-mers of motifs are ever shuffled.
+    """
     m = m.select("sseqid", F.explode(dna.kmers(F.col("motif"), k)).alias("k"))
     n = m.groupBy("sseqid").agg(F.count("*").alias("n"))
-    s = s.select("plasmid_id", F.explode(dna.kmers(F.col("sequence"), k)).alias("k"))
-    return s.join(m, "k").groupBy("plasmid_id", "sseqid").agg(F.count("*").alias("common")).join(n, "sseqid").where(F.col("common") >= share * F.col("n")).select("plasmid_id", "sseqid", "common", "n")
+    known = m.select("k").distinct()
+    known = F.broadcast(known) if known.count() <= BROADCAST_KMERS else known
+    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.length("sequence") - k + 1, F.lit(1)), F.lit(PIECE)))
+    s = s.where(F.length("sequence") >= k).select("plasmid_id", "sequence", starts.alias("i")).select("plasmid_id", F.substr("sequence", F.col("i"), F.lit(PIECE + k - 1)).alias("piece"))
+    s = s.select("plasmid_id", F.explode(F.regexp_extract_all("piece", F.lit(f"(?=(.{{{k}}}))"), F.lit(1))).alias("k"))
+    found = s.join(known, "k", "left_semi").distinct()
+    return found.join(m, "k").groupBy("plasmid_id", "sseqid").agg(F.count("*").alias("common")).join(n, "sseqid").where(F.col("common") >= share * F.col("n")).select("plasmid_id", "sseqid", "common", "n")
 
 
 @query("SELECT sseqid, list_transform(range(0, (ceil(greatest(length(motif) - 6, 0) / 3)::INT + 1)), lambda i: rpad(substring(motif, (3 * i + 1)::INT, 6), 6, 'A')) AS parts FROM mot WHERE length(motif) > 0")
