@@ -126,7 +126,12 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key
 
 
 def bpe_digest(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """bpe_encode's results as digests, made in the task that encodes: key, n_tokens, ids_sha256, decoded_sha256."""
+    """bpe_encode's results as digests, made in the task that encodes: key, n_tokens, ids_sha256, decoded_sha256.
+
+    A null or empty text has no tokens and the digests of no bytes. Texts are
+    encoded whole, however long. Null and repeated keys are kept row by row; an
+    empty table gives no rows; other columns, whatever their names, are dropped.
+    """
     ranks = read_ranks(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,27 +13,33 @@ from .common import read
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of the bytes decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.bpe_digest(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of every document's payload, read back from stored chunks."""
     return media.media_columns(read(spark, sf_dir, "documents"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and component of links by 5-word shingles."""
     return ngram_join.ngram_components(read(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix to target weights takes of every document."""
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document by a model that learns from the other folds."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit_quality(docs, read(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), quality.quality_score(model)("text").alias("score"))
@@ -41,19 +47,23 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of 20 words repeat."""
     return substrings.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that earlier lines repeat, closely or exactly."""
     return lines.dedup_lines(read(spark, sf_dir, "documents"))
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page by rules, else by its host's reputation, which labels.toxic of the same id gives."""
     outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))
     return urls.judge_urls(read(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html.extract_main_text(read(spark, sf_dir, "pages"))
 
 

@@ -53,6 +53,19 @@ def test_bpe(spark, docs):
     assert bpe.bpe_encode(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_digests(spark, docs):
+    df, rows = docs
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    own = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = collections.Counter()
+    for r in rows:
+        ids = own.encode_ordinary(r[1] or "")
+        want[r[0], len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()] += 1
+    got = bpe.bpe_digest(df.withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit("clash")), PATH, public_tokenizers.PATTERN)
+    assert collections.Counter(tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) for r in got.collect()) == want
+    assert bpe.bpe_digest(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
 def test_media(spark, docs):
     df, rows = docs
     got = media.media_columns(df, with_payload=True).collect()
@@ -312,6 +325,47 @@ def test_quality(spark):
     assert quality.fit_quality(docs, labels.limit(0)).score(np.zeros((1, quality.N_STATISTICS)))[0] == 0.5
 
 
+def test_isotonic_against_all_partitions():
+    """The pooled means are the best rising fit: no cut of the bins into blocks of their means fits better."""
+    draw = np.random.default_rng(3)
+    for _ in range(20):
+        n = draw.integers(1, 9, 7).astype(float)
+        good = np.array([draw.integers(0, k + 1) for k in n], float)
+        knots, values = quality.isotonic(np.arange(7.0), good, n)
+        fit = np.interp(np.arange(7.0), knots, values)
+        assert (np.diff(values) >= -1e-12).all() and len(knots) == len(values)
+        best = min(
+            sum(n[k] * (good[k] / n[k] - sum(good[b]) / sum(n[b])) ** 2 for b in blocks for k in range(b.start, b.stop))
+            for cut in range(64)
+            for blocks in [[slice(x, y) for x, y in zip([0, *[i + 1 for i in range(6) if cut >> i & 1]], [*[i + 1 for i in range(6) if cut >> i & 1], 7], strict=True)]]
+            if all(sum(good[a]) / sum(n[a]) <= sum(good[b]) / sum(n[b]) + 1e-12 for a, b in zip(blocks, blocks[1:], strict=False))
+        )
+        pools, at = [], 0
+        for x in knots:  # a knot is the mean place of its pool
+            size = next(s for s in range(1, 8 - at) if abs(np.average(np.arange(at, at + s), weights=n[at : at + s]) - x) < 1e-9)
+            pools.append(slice(at, at + size))
+            at += size
+        got = sum(n[k] * (good[k] / n[k] - sum(good[b]) / sum(n[b])) ** 2 for b in pools for k in range(b.start, b.stop))
+        assert at == 7 and got == pytest.approx(best) and len(fit) == 7
+
+
+def test_quality_model_is_a_ridge_fit(spark):
+    """The summed normal equations give the weights of one solve over all rows; odd tables have scores, too."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality.fit_quality(docs, labels)
+    fold = {r["doc_id"]: r["f"] for r in labels.select("doc_id", quality.fold(F.col("doc_id")).alias("f")).collect()}
+    y = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = [(quality.statistics(r["text"]), y[r["doc_id"]]) for r in docs.collect() if y.get(r["doc_id"]) is not None and fold[r["doc_id"]] not in (0, 4)]
+    z, t = model.features(np.array([x for x, _ in rows])), np.array([v for _, v in rows], float)
+    ridge = 1e-3 * max(1.0, len(rows)) / z.shape[1]
+    assert np.allclose(model.beta, np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ t), atol=1e-6)
+    odd = docs.limit(5).unionByName(docs.limit(5)).withColumn("score", F.lit("clash")).withColumn("y", F.lit(1))
+    odd = odd.unionByName(spark.createDataFrame([(None, None, "x", None, None, "clash", 1)], odd.schema))
+    kept = quality.keep_good(odd, labels)
+    assert kept.columns == odd.columns and quality.keep_good(docs.limit(0), labels).count() == 0 and quality.keep_good(odd, labels.limit(0)).count() == 11
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.NET/en/x?y"), (2, "https://example.net"), (3, "x://shop.example.com/de/#f"), (4, "http://q.org/fr/"), (5, None), (6, "no url"), (7, "http://bad.com/"), (8, "http://bad.com/2")]
     out = spark.createDataFrame([(7, 1), (8, 1)], "page_id long, bad int")
@@ -321,6 +375,36 @@ def test_urls(spark):
     assert got[7][3] == "block"
 
 
+def test_urls_without_outcomes_of_their_own(spark):
+    """Unseen hosts take their domain's or suffix's bound; ports, users and two-label suffixes; odd tables."""
+    rows = [(i, f"http://h{i % 40}.bad.com/{i}") for i in range(400)] + [(1000 + i, f"http://www{i}.good.co.uk/") for i in range(60)]
+    rows += [(2000, "http://new.bad.com:8080/x"), (2001, "http://me@other.bad.com"), (2002, "http://new.good.co.uk/"), (2003, "http://unseen.example.museum/"), (2004, None), (2005, "http:///path"), (2000, "http://new.bad.com:8080/x"), (None, "http://h1.bad.com/q")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("site", F.lit("clash")).withColumn("bad", F.lit("clash"))
+    out = spark.createDataFrame([(i, 1) for i in range(400)] + [(1000 + i, 0) for i in range(60)] + [(None, 1), (2003, None)], "page_id long, bad int")
+    judged = urls.judge_urls(pages, out)
+    got = {(r["page_id"], r["host"]): r["verdict"] for r in judged.collect()}
+    assert judged.count() == len(rows) and all(v == "block" for (_, h), v in got.items() if "bad.com" in h)
+    assert got[2000, "new.bad.com:8080"] == "block" and got[2002, "new.good.co.uk"] == got[2003, "unseen.example.museum"] == got[2004, ""] == got[2005, ""] == "allow"
+    assert urls.judge_urls(pages.limit(0), out).count() == 0 and urls.judge_urls(pages, out.limit(0)).where("verdict = 'block'").count() == 0
+    hosts = spark.createDataFrame([("u:p@a.b.co.uk:80",), ("x.com.",), ("localhost",), ("co.uk",)], "h string").select(urls.site_of(F.col("h")).alias("s"))
+    parts = hosts.select("s", urls.suffix_of(F.col("s")).alias("x")).select("s", "x", urls.domain_of(F.col("s"), F.col("x")).alias("d"))
+    assert [tuple(r) for r in parts.collect()] == [("a.b.co.uk", "co.uk", "b.co.uk"), ("x.com", "com", "x.com"), ("localhost", "localhost", "localhost"), ("co.uk", "uk", "co.uk")]
+
+
+def test_html_through_spark(spark):
+    prose = "The cat sat on the mat and it was a good day for all of the cats that were there with him. " * 4
+    long = f"<p>{prose}</p>" * 3000
+    rows = [(1, "u", f"<p>{prose}</p><![foo[bar]]><![if !IE]><p>{prose}</p><![endif]>"), (2, None, None), (3, "u", ""), (None, "u", "<p>One short line.</p>"), (5, "u", long), (6, "u", "<div><span>a &lt; b <![CDATA[x]]> <p <b>"), (1, "u", f"<p>{prose}</p>"), (7, "u", f"<body class='sidebar-page'><div class=content-menu-wrapper><div class='menu'><p>{prose}</p></div></div></body>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("clash"))
+    got = html.extract_main_text(df).collect()
+    text = prose.strip()
+    assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert sorted(r["text"] for r in got if r["page_id"] == 1) == sorted([f"{text} {text}", text])
+    by = {r["page_id"]: r["text"] for r in got}
+    assert by[2] == by[3] == "" and by[None] == "One short line." and by[5] == " ".join([text] * 3000) and by[7] == text
+    assert html.extract_main_text(df.limit(0)).count() == 0
+
+
 def test_html():
     page = "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a href=x>Menu</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>Head &amp; more</h1><p>Some  <b>bold\n text<p>Next &eacute;</p><div class=comments><p>Nice!</p></div></article><aside>Side</aside><footer>&copy; x</footer></body></html>"
     assert html.main_text(page) == "Head & more Some bold text Next é"
