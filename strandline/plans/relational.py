@@ -142,7 +142,7 @@ _BEST = "SELECT plasmid_id, token, sseqid, ln, pident, percmatch FROM ann JOIN r
 
 
 def best_assignments(spark, d):
-    """The best annotation of each token of each plasmid, ties by sseqid and line."""
+    """The best annotation of each token of each plasmid, ties by sseqid and line; from identity 92 and match 20 on, as the given SQL has it (the usual limits are 95 and 80)."""
     ann = annotations(spark, d).where((F.col("pident") >= 92) & (F.col("percmatch") >= 20) & ~F.coalesce("fragment", F.lit(False)))
     w = Window.partitionBy("plasmid_id", "token").orderBy(F.desc("pident"), F.desc("percmatch"), "sseqid", "ln")
     return ann.join(registry(spark, d).select("sseqid", "token"), "sseqid").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("plasmid_id", "token", "sseqid", "ln", "pident", "percmatch")

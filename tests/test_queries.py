@@ -7,6 +7,8 @@ import __spark_entry__
 from strandline.plans.catalogue import ORACLE_SQL, QUERIES
 
 SAMPLE = ["join_training_pairs", "join_hard_assignment", "filter_threshold_grid", "bucket_rollup_numeric", "json_species_tokens", "interval_nms_global", "window_ema_baseline", "split_train_val", "seq_translate_six", "score_composite"]
+SAMPLE += ["agg_prompt_summary", "agg_confusion_counts", "agg_describe", "agg_separation_checks", "agg_router_layers", "router_load_balance", "loss_masked", "loss_dpo_reference", "agg_step_metrics", "window_ema_advantage", "batch_cycle", "score_demo"]
+SAMPLE += ["token_ids", "detokenize_text", "tokens_validated", "map_feature_patterns", "map_feature_dictionary", "interval_adjacency_affinity", "score_structural_pairs", "cigar_metrics", "seq_negatives", "prompt_negatives", "seq_kmer_containment", "agg_separation_auroc", "agg_registry_rollup"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
@@ -40,3 +42,13 @@ def test_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("clean").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select * from clean").count() == 1
+
+
+def test_token_counts_stream(spark, tmp_path):
+    from strandline.streaming.annotations import token_counts
+
+    spark.sql("select '<A>' token, timestamp'2024-01-01 00:01:00' ts union all select '<A>', timestamp'2024-01-01 00:04:00' union all select '<B>', timestamp'2024-01-01 00:06:00' union all select '<A>', timestamp'2024-01-01 01:00:00'").write.parquet(str(tmp_path / "in"))
+    out = token_counts(spark.readStream.schema("token string, ts timestamp").parquet(str(tmp_path / "in")))
+    q = out.writeStream.format("memory").queryName("counted").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["token"], r["n"]) for r in spark.sql("select * from counted").collect()) == [("<A>", 1), ("<A>", 2), ("<B>", 1)]
