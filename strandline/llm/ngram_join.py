@@ -4,8 +4,9 @@ A document's set is its distinct n-word shingles, as 64-bit hashes; equal sets
 are one set. Tokens are ordered rare first (frequent ones, counted over all
 documents, come last) and each set is indexed under its prefix, so that two
 linked sets meet in some list. A list falls into blocks by size, and a set
-stands in it by its position: blocks whose sizes rule a link out never meet,
-and pairs that position and size rule out are skipped.
+stands in it by its position: of tokens with equal lists only the first is
+searched, blocks whose sizes rule a link out never meet, and pairs that position
+and size rule out are skipped.
 
 Answers of similar sets are reused. First, the members of each list are
 compared with its first set only, which gives their distance to it. Sets that
@@ -185,7 +186,15 @@ def set_links(named: DataFrame, sets: DataFrame, n: int, percent: int, frequent:
     posted = posted.withColumn("new", F.when(100 * F.col("before") >= percent * F.shiftright("info", 32), 0).otherwise(1))
     posted = posted.withColumn("run", F.sum("new").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     posted = posted.withColumn("lead", F.min(F.struct("n", "info")).over(in_list)).withColumn("last", F.max("n").over(in_list)).where("last <> lead.n")
-    table = Table(posted.select("token", "run", "n", "info", F.col("lead.n").alias("lead"), F.col("lead.info").alias("lead_info")))
+    # tokens of one list of sets give the same pairs, and the first of them in the order of tokens comes first in all these sets
+    bits = lambda seed: F.try_sum(F.xxhash64("n", F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1))).over(in_list)
+    posted = posted.withColumns({"s0": bits(0), "s1": bits(1), "members": F.count("*").over(in_list)})
+    posted = Table(posted.select("token", "run", "n", "info", F.col("lead.n").alias("lead"), F.col("lead.info").alias("lead_info"), "s0", "s1", "members"))
+    own = F.when(F.col("s0").isNull() | F.col("s1").isNull(), F.col("token"))  # sums that overflow tell nothing
+    first = F.min_by(F.struct("token", "run"), F.struct(F.col("lead_info"), "token")).alias("t")
+    chosen = posted.read().where("n = lead").groupBy("lead", "s0", "s1", "members", own.alias("own")).agg(first).select("t.token", "t.run")
+    table = Table(posted.read().select("token", "run", "n", "info", "lead", "lead_info").join(chosen, ["token", "run"], "left_semi"))
+    posted.drop()
     size_of = lambda info: F.shiftright(info, 32)
     at_of = lambda info: F.col(info).bitwiseAND(F.lit((1 << 32) - 1))
     lists = table.read().withColumns({"size": size_of("info"), "at": at_of("info")})
