@@ -132,9 +132,13 @@ def find_postings(named: DataFrame, sets: DataFrame, n: int, percent: int, frequ
     return found.mapInArrow(run, "token long, n long, info long")
 
 
-def fetch_sets(named: DataFrame, sets: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """n and all tokens (sorted, 8 bytes each) of the sets in pairs (a, b), from their first documents."""
+def fetch_sets(named: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, known: DataFrame | None = None) -> DataFrame:
+    """n and all tokens (sorted, 8 bytes each) of the sets in pairs (a, b), from their first documents; those of known are not fetched again."""
     wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
+    if known is not None:
+        wanted = checkpoint(wanted.join(known.select("n"), "n", "left_anti"))
+        if wanted.isEmpty():
+            return known
     wanted = checkpoint(sets.select("n", "place").join(wanted, "n").select("n", *[F.col(f"place.{c}").alias(c) for c in DOC]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +146,9 @@ def fetch_sets(named: DataFrame, sets: DataFrame, pairs: DataFrame, n: int) -> D
             tokens = [s.tobytes() for s in shingle_sets(Words(block.column(1), lower=True), n)]
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(tokens, pa.binary())], ["n", "tokens"])
 
-    found = named.select(*DOC, "text").join(small(wanted), DOC).select("n", "text").mapInArrow(run, "n long, tokens binary")
-    return checkpoint(found.groupBy("n").agg(F.first("tokens").alias("tokens")))  # repeated rows have the same set
+    found = named.select(*DOC, "text").join(small(wanted, 300_000), DOC).select("n", "text").mapInArrow(run, "n long, tokens binary")
+    found = checkpoint(found.groupBy("n").agg(F.first("tokens").alias("tokens")))  # repeated rows have the same set
+    return found if known is None else known.unionByName(found)
 
 
 def compare(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -201,7 +206,8 @@ def set_links(named: DataFrame, sets: DataFrame, n: int, percent: int, frequent:
     linked = F.col("both") * 100 >= F.col("all") * percent
     led = may_link(F.col("size"), F.col("at"), size_of("lead_info"), at_of("lead_info"), percent)
     first = checkpoint(lists.where(led & (F.col("n") != F.col("lead"))).select(F.col("n").alias("a"), F.col("lead").alias("b")).distinct())
-    first = compare(first, fetch_sets(named, sets, first, n))
+    tokens = fetch_sets(named, sets, first, n)
+    first = compare(first, tokens)
     links = first.where(linked).select("a", "b")
     known = first.select(F.col("a").alias("n"), F.col("b").alias("lead"), (1 - F.col("both") / F.col("all")).alias("far"))
     rows = lists.join(small(known), ["n", "lead"], "left").withColumn("far", F.when(F.col("n") == F.col("lead"), 0.0).otherwise(F.col("far")))
@@ -220,7 +226,8 @@ def set_links(named: DataFrame, sets: DataFrame, n: int, percent: int, frequent:
         rows = tables[-1].read()
         met = rows.where((F.col("label") != F.col("other.label")) & may_link(F.col("size"), F.col("at"), F.col("other.size"), F.col("other.at"), percent) & ~apart("far", "other.far"))
         met = checkpoint(met.select(F.least("n", "other.n").alias("a"), F.greatest("n", "other.n").alias("b")).distinct())
-        links = links.unionByName(compare(met, fetch_sets(named, sets, met, n)).where(linked).select("a", "b"))
+        tokens = fetch_sets(named, sets, met, n, tokens)
+        links = links.unionByName(compare(met, tokens).where(linked).select("a", "b"))
         rows = rows.drop("other", "label")
     # a block holds the sizes of which the largest is 100 / percent times the smallest: sets of linked sizes are in one or the next
     block = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
@@ -232,7 +239,7 @@ def set_links(named: DataFrame, sets: DataFrame, n: int, percent: int, frequent:
     across = checkpoint(met.select(F.col("n").alias("a"), F.col("other_n").alias("b")).distinct())
     for table in tables:
         table.drop()
-    return links.unionByName(compare(across, fetch_sets(named, sets, across, n)).where(linked).select("a", "b"))
+    return links.unionByName(compare(across, fetch_sets(named, sets, across, n, tokens)).where(linked).select("a", "b"))
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
