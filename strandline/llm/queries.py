@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and pipeline: thin digests of the operators over whole tables."""
+"""The queries op1 to op13 and pipeline: thin digests of the operators over whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html, lines, media, mixing, ngram_join, quality, substrings, urls
+from . import alignment, bpe, filter_audit, fingerprints, html, lines, media, mixing, ngram_join, packing, quality, substrings, urls
 from .common import read
 
 
@@ -67,7 +67,23 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_media, op4_ngram_join, op5_mixing, op6_quality, op7_substrings, op8_lines, op9_urls, op10_html)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens of every document, scored by how often the corpus links their ids."""
+    one, two = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokens(read(spark, sf_dir, "documents"), one, two)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of every source in every order, and what of it is good or toxic."""
+    return filter_audit.audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document's tokens, packed into sequences of 2048."""
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_media, op4_ngram_join, op5_mixing, op6_quality, op7_substrings, op8_lines, op9_urls, op10_html, op11_alignment, op12_filter_audit, op13_packing)}
 
 ORACLE_SQL = {
     "op9_urls": r"""
@@ -99,5 +115,26 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
             WHEN a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM z
+""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS lowest FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+              regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > lowest, false)] AS fails FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT o, i AS step, o[i] AS f, list_transform(o, lambda k: chr((64 + k)::INT)) AS letters FROM o, x),
+r AS (SELECT part, array_to_string(letters, '') AS filter_order, step, f, n, good, toxic, fails[f] AS hit,
+             list_bool_or(list_transform(o[1:step - 1], lambda k: fails[k])) IS TRUE AS gone,
+             len(list_filter(fails, lambda v: v)) AS failed FROM c, s),
+g AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS removed,
+             coalesce(sum(n) FILTER (gone AND hit), 0) AS redundant, coalesce(sum(n) FILTER (hit AND failed = 1), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (NOT gone AND hit), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND hit), 0) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM g
 """,
 }
