@@ -123,10 +123,9 @@ def species_tokens(names: Column) -> Column:
 
 
 def drives(promoter: Column, coding: Column) -> Column:
-    """Whether a promoter drives a coding token: one of its own, or any where it has none listed; unknown promoters drive nothing."""
+    """Whether a promoter drives a coding token: one of its own, or any where it has none listed or isn't listed itself."""
     kind = F.split_part(F.translate(coding, "<>", ""), F.lit("_"), F.lit(1)).isin(*CODING)
-    some = [p for p, own in DRIVES if own is None]
-    out = promoter.isin(*some)
+    out = ~promoter.isin(*[p for p, own in DRIVES if own is not None])
     for p, own in DRIVES:
         if own:
             out = out | ((promoter == p) & coding.isin(*own))

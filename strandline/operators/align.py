@@ -1,13 +1,17 @@
-"""Affine-gap alignment in numpy, one row of the matrix at a time, and its column functions.
+"""Affine-gap alignment in numpy, and its column functions.
 
 A gap of n costs open + (n - 1) * extend. Spark distributes the pairs; only
 those that survive the column-function filters should reach these functions.
-Scores take memory for one row. A traceback is made in the part of the target
+Scores of many pairs are worked out at once, one antidiagonal of all their
+matrices at a time: its cells don't depend on each other, so a step is a few
+operations on small whole numbers. A traceback is made in the part of the target
 that the score-only pass has found, with one byte a cell.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -64,14 +68,127 @@ def within_score(query: str, target: str, scores: np.ndarray = WITHIN_DNA, gap_o
     return int(h[end]), end
 
 
-def semi_global(query: str, target: str, scores: np.ndarray = WITHIN_DNA, gap_open: int = 5, gap_extend: int = 2) -> dict[str, int]:
+#: Cells of an antidiagonal of a group of pairs, and letters of its targets, at most; below the least cells a step costs the same whatever it does.
+GROUP_CELLS, LEAST_CELLS, GROUP_LETTERS = 1 << 15, 1 << 13, 1 << 26
+
+
+def _groups(queries: list[np.ndarray], targets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Pairs of near lengths, so that little of a group is padding."""
+    n, m = (np.array([len(x) for x in y], np.int64) for y in (queries, targets))
+    steps = np.floor(2 * np.log2(np.maximum(n, 1)))
+    order = np.lexsort((m, steps))
+    at = 0
+    while at < len(order):
+        to = at + 1
+        first = order[at]
+        wide, long = int(n[first]), int(m[first])
+        while to < len(order) and steps[order[to]] == steps[first] and (m[order[to]] <= 1.2 * m[first] + 64 or (to + 1 - at) * (wide + 1) <= LEAST_CELLS):
+            wide, long = max(wide, int(n[order[to]])), int(m[order[to]])
+            if (to + 1 - at) * (wide + 1) > GROUP_CELLS or (to + 1 - at) * (long + 2 * wide) > GROUP_LETTERS:
+                break
+            to += 1
+        yield order[at:to]
+        at = to
+
+
+def _letters(seqs: list[np.ndarray], before: int, length: int, pad: int) -> np.ndarray:
+    """Letters by place and sequence, each sequence from before on, pad around it."""
+    out = np.full((len(seqs), length), pad, np.uint8)
+    for row, seq in zip(out, seqs, strict=True):
+        row[before : before + len(seq)] = seq
+    return out
+
+
+def _diagonals(queries: list[np.ndarray], targets: list[np.ndarray], scores: np.ndarray, gap_open: int, gap_extend: int, local: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Best scores of a group, and for whole queries within targets (not local) the smallest ends that have them."""
+    n, m = max(map(len, queries)), max(map(len, targets))
+    pairs = len(queries)
+    known = np.unique(np.concatenate([*queries, *targets]))
+    code = np.zeros(256, np.uint8)
+    code[known] = np.arange(len(known))
+    pad, k = len(known), len(known) + 1
+    table = np.full((k, k), min(-1, int(scores[np.ix_(known, known)].min())), np.int64)
+    table[:pad, :pad] = scores[np.ix_(known, known)]
+    top = int(max(table.max(), -table.min(), gap_open, gap_extend))
+    kind = np.int16 if 4 * top * (n + 2) < 15_000 else np.int32
+    low = kind(-15_000 if kind == np.int16 else -(1 << 29))
+    table = table.astype(kind)
+    q = np.ascontiguousarray(_letters([code[x] for x in queries], 0, n, pad).T)
+    # reversed, so that the letters that meet the query's on an antidiagonal lie in order
+    t = np.ascontiguousarray(_letters([code[x] for x in targets], n, m + 2 * n, pad)[:, ::-1].T)
+    same, other = np.diag(table), table[~np.eye(k, dtype=bool)]
+    plain = len(other) and (other == other[0]).all() and set(same.tolist()) <= {int(same.max()), int(other[0])}
+    if plain:  # one score for equal letters, but those that equal nothing, and one for all others
+        q[np.isin(q, np.flatnonzero(same == other[0]))] = 255
+    else:
+        q = q.astype(np.uint16) * k
+    h1, h2, e, f = (np.full((n + 1, pairs), 0 if local else low, kind) for _ in range(4))
+    if not local:
+        h1[0] = h2[0] = 0
+    e[:], f[:] = low, low
+    best = np.zeros((n + 1, pairs), kind)
+    sizes, lengths, column = np.array(list(map(len, queries))), np.array(list(map(len, targets))), np.arange(pairs)
+    score, end = np.full(pairs, low, np.int64), np.zeros(pairs, np.int64)
+    if not local:  # diagonal 1 has the first cell of the column without target letters
+        h1[1], f[1] = -gap_open, -gap_open
+    match, miss = same.max(), other[0] if plain else 0
+    for d in range(1 if not local else 2, n + m + 1):
+        if d > 1:
+            hi = n if local else min(n, d - 1)
+            window = t[m + n - d + 1 : m + n - d + 1 + hi]
+            s = np.where(q[:hi] == window, match, miss) if plain else table.ravel()[q[:hi] + window]
+            f_new = np.maximum(h1[:hi] - kind(gap_open), f[:hi] - kind(gap_extend))
+            np.maximum(h1[1 : hi + 1] - kind(gap_open), e[1 : hi + 1] - kind(gap_extend), out=e[1 : hi + 1])
+            s += h2[:hi]
+            np.maximum(s, f_new, out=s)
+            np.maximum(s, e[1 : hi + 1], out=s)
+            f[1 : hi + 1] = f_new
+            h2, h1 = h1, h2
+            if local:
+                np.maximum(s, 0, out=h1[1:])
+                np.maximum(best, h1, out=best)
+            else:
+                h1[1 : hi + 1] = s
+                h1[0] = 0
+                if d <= n:
+                    h1[d] = f[d] = -(gap_open + (d - 1) * gap_extend)
+                    e[d] = low
+        if not local:
+            j = d - sizes
+            value = h1[sizes, column].astype(np.int64)
+            better = (j >= 0) & (j <= lengths) & (value > score)
+            score[better], end[better] = value[better], j[better]
+    return (best.max(axis=0).astype(np.int64), end) if local else (score, end)
+
+
+def _many(queries: Sequence[str], targets: Sequence[str], scores: np.ndarray, gap_open: int, gap_extend: int, local: bool) -> tuple[np.ndarray, np.ndarray]:
+    score, end = np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
+    some = [i for i, (q, t) in enumerate(zip(queries, targets, strict=True)) if q and t]
+    q, t = [_codes(queries[i]) for i in some], [_codes(targets[i]) for i in some]
+    for group in _groups(q, t):
+        at = np.array(some)[group]
+        score[at], end[at] = _diagonals([q[i] for i in group], [t[i] for i in group], scores, gap_open, gap_extend, local)
+    return score, end
+
+
+def local_scores(queries: Sequence[str], targets: Sequence[str], scores: np.ndarray = LOCAL_DNA, gap_open: int = 5, gap_extend: int = 1) -> np.ndarray:
+    """local_score of many pairs; 0 if either is empty."""
+    return _many(queries, targets, scores, gap_open, gap_extend, True)[0]
+
+
+def scores_within(queries: Sequence[str], targets: Sequence[str], scores: np.ndarray = WITHIN_DNA, gap_open: int = 5, gap_extend: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """within_score of many pairs: scores and ends; 0 and 0 if either is empty."""
+    return _many(queries, targets, scores, gap_open, gap_extend, False)
+
+
+def semi_global(query: str, target: str, scores: np.ndarray = WITHIN_DNA, gap_open: int = 5, gap_extend: int = 2, known: tuple[int, int] | None = None) -> dict[str, int]:
     """The whole query within the target, whose ends are free: score, start, end, matches, mismatches, gaps.
 
     A first pass finds score and end. No alignment reaches back further than
     the query and the gaps that a score not below the worst can pay for, so
-    directions are kept for that part only.
+    directions are kept for that part only. known: its score and end.
     """
-    score, end = within_score(query, target, scores, gap_open, gap_extend)
+    score, end = known or within_score(query, target, scores, gap_open, gap_extend)
     n = len(query)
     reach = n + max(0, (int(scores[_codes(query), _codes(query)].sum()) - score)) // max(1, gap_extend) + 1
     begin = max(0, end - reach)
@@ -103,38 +220,95 @@ def semi_global(query: str, target: str, scores: np.ndarray = WITHIN_DNA, gap_op
     return {"score": score, "start": begin + j, "end": end, "matches": int(matches), "mismatches": int(mismatches), "gaps": lost}
 
 
+def _shares(found: np.ndarray, own: np.ndarray) -> list[float]:
+    return [round(min(1.0, int(a) / max(1, int(b))), 4) for a, b in zip(found, own, strict=True)]
+
+
+def _own_scores(seqs: Sequence[str], scores: np.ndarray, gap_open: int, gap_extend: int) -> np.ndarray:
+    """Each sequence's score against itself; equal ones are scored once."""
+    distinct = sorted(set(seqs))
+    score = dict(zip(distinct, local_scores(distinct, distinct, scores, gap_open, gap_extend).tolist(), strict=True))
+    return np.array([score[x] for x in seqs], np.int64)
+
+
+def local_ratios(motifs: Sequence[str], targets: Sequence[str]) -> list[float]:
+    """Local scores over the motifs' own scores, 1 at most, to four digits."""
+    return _shares(local_scores(motifs, targets), _own_scores(motifs, LOCAL_DNA, 5, 1))
+
+
+def protein_ratios(proteins: Sequence[str], frames: Sequence[Sequence[str | None]]) -> list[float]:
+    """Local scores (BLOSUM62, gaps 10 and 1) in the best of each row's frames over the proteins' own, 1 at most, to four digits."""
+    row = [i for i, x in enumerate(frames) for t in x if t]
+    best = np.zeros(len(proteins), np.int64)
+    np.maximum.at(best, row, local_scores([proteins[i] for i in row], [t for x in frames for t in x if t], PROTEIN, 10, 1))
+    return _shares(best, _own_scores(proteins, PROTEIN, 10, 1))
+
+
 def dna_ratio(motif: str, target: str) -> float:
     """Local score of the better strand over the motif's own, 1 at most, to four digits."""
     back = motif[::-1].translate(str.maketrans("ACGT", "TGCA"))
-    return round(min(1.0, max(local_score(motif, target), local_score(back, target)) / max(1, local_score(motif, motif))), 4)
+    return max(local_ratios([motif, back], [target, target]))
 
 
 def protein_ratio(protein: str, frames: list[str | None]) -> float:
-    """Local score (BLOSUM62, gaps 10 and 1) in the best of the frames over the protein's own, 1 at most, to four digits."""
-    best = max((local_score(protein, x, PROTEIN, 10, 1) for x in frames if x), default=0)
-    return round(min(1.0, best / max(1, local_score(protein, protein, PROTEIN, 10, 1))), 4)
+    """protein_ratios of one row."""
+    return protein_ratios([protein], [frames])[0]
+
+
+def _where_given(given: pd.Series, work: Callable[[np.ndarray], Sequence[float]]) -> pd.Series:
+    """work's values for the rows that have something, null for the others."""
+    out = pd.Series([None] * len(given), dtype="float64")
+    rows = np.flatnonzero([bool(x) for x in given])
+    if len(rows):
+        out.iloc[rows] = work(rows)
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
 def local_ratio(motif: pd.Series, target: pd.Series) -> pd.Series:
     """Local score over the motif's own score, 1 at most; null without a motif."""
-    return pd.Series([None if not m else min(1.0, round(local_score(m, t or "") / max(1, local_score(m, m)), 4)) for m, t in zip(motif, target, strict=True)], dtype="float64")
+    return _where_given(motif, lambda rows: local_ratios([motif.iloc[i] for i in rows], [target.iloc[i] or "" for i in rows]))
 
 
 @F.pandas_udf(T.DoubleType())
 def best_protein_ratio(protein: pd.Series, frames: pd.Series) -> pd.Series:
     """protein_ratio of each row; null without a protein."""
-    return pd.Series([None if not p else protein_ratio(p, list(x) if x is not None else []) for p, x in zip(protein, frames, strict=True)], dtype="float64")
+    return _where_given(protein, lambda rows: protein_ratios([protein.iloc[i] for i in rows], [list(frames.iloc[i]) if frames.iloc[i] is not None else [] for i in rows]))
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("score", "end")]))
 def within_scores(motif: pd.Series, target: pd.Series) -> pd.DataFrame:
     """Score and end only: what a search looks at before it traces hits back."""
-    return pd.DataFrame([within_score(m, t) if m and t else (0, 0) for m, t in zip(motif, target, strict=True)], columns=["score", "end"]).astype("int32")
+    score, end = scores_within(motif.fillna("").tolist(), target.fillna("").tolist())
+    return pd.DataFrame({"score": score, "end": end}).astype("int32")
+
+
+def traced(motifs: Sequence[str], targets: Sequence[str], scores: np.ndarray = WITHIN_DNA, gap_open: int = 5, gap_extend: int = 2) -> list[dict[str, int]]:
+    """semi_global of many pairs, scored at once and traced one by one; zeros if either is empty."""
+    none = dict.fromkeys(_FIELDS, 0)
+    score, end = (x.tolist() for x in scores_within(motifs, targets, scores, gap_open, gap_extend))
+    return [semi_global(m, t, scores, gap_open, gap_extend, (a, b)) if m and t else none for m, t, a, b in zip(motifs, targets, score, end, strict=True)]
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in _FIELDS]))
 def semi_global_hit(motif: pd.Series, target: pd.Series) -> pd.DataFrame:
     """The best place of a motif in a target; zeros if either is empty."""
-    none = dict.fromkeys(_FIELDS, 0)
-    return pd.DataFrame([semi_global(m, t) if m and t else none for m, t in zip(motif, target, strict=True)], columns=list(_FIELDS)).astype("int32")
+    return pd.DataFrame(traced(motif.fillna("").tolist(), target.fillna("").tolist()), columns=list(_FIELDS)).astype("int32")
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in (*_FIELDS, "frame")]))
+def protein_hit(protein: pd.Series, frames: pd.Series) -> pd.DataFrame:
+    """The best place of a protein in the best of a row's frames (BLOSUM62, gaps 11 and 1; the first of equals), and that frame's number.
+
+    Only the best frame is traced. Zeros and frame -1 without a protein or frames.
+    """
+    proteins = protein.fillna("").tolist()
+    pairs = [(i, k, x) for i, row in enumerate(frames) for k, x in enumerate(row if row is not None and proteins[i] else []) if x]
+    score, end = (x.tolist() for x in scores_within([proteins[i] for i, _, _ in pairs], [x for _, _, x in pairs], PROTEIN, 11, 1))
+    best: dict[int, tuple[int, int, str, int]] = {}
+    for (i, k, x), s, e in zip(pairs, score, end, strict=True):
+        if i not in best or s > best[i][0]:
+            best[i] = (s, e, x, k)
+    none = dict.fromkeys(_FIELDS, 0) | {"frame": -1}
+    out = [semi_global(proteins[i], best[i][2], PROTEIN, 11, 1, best[i][:2]) | {"frame": best[i][3]} if i in best else none for i in range(len(proteins))]
+    return pd.DataFrame(out, columns=[*_FIELDS, "frame"]).astype("int32")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ RANGE_ROWS, MAX_RANGES = 50_000, 4096
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. In local mode one is made where none is set; on a cluster that is an error."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return named or tempfile.mkdtemp(prefix="checkpoint-")
 
@@ -26,10 +27,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ranged(df: DataFrame, order: list[str], rows: int | None = None) -> DataFrame:
+def range_count(n: int, rows_per_range: int | None = None) -> int:
+    """How many ranges n rows are dealt by."""
+    return max(1, min(MAX_RANGES, -(-n // (rows_per_range or RANGE_ROWS))))
+
+
+def ranged(df: DataFrame, order: list[str], rows: int | None = None, rows_per_range: int | None = None) -> DataFrame:
     """df dealt by ranges of the order, with __part; checkpointed, so ranges stay as they are if an executor is lost."""
     n = df.count() if rows is None else rows
-    return checkpoint(df.repartitionByRange(max(1, min(MAX_RANGES, -(-n // RANGE_ROWS))), *order).withColumn("__part", F.spark_partition_id()))
+    return checkpoint(df.repartitionByRange(range_count(n, rows_per_range), *order).withColumn("__part", F.spark_partition_id()))
 
 
 def number_rows(df: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:

@@ -48,16 +48,21 @@ def kl_estimate(reference: Column, current: Column) -> Column:
     return F.exp(reference - current) - (reference - current) - 1
 
 
+def step_advantage(reward: Column, baseline: Column, deviation: Column, least: float = 0.1) -> Column:
+    """A reward less the baseline of its step, over the step's deviation (least at least)."""
+    return (reward - baseline) / F.greatest(deviation, F.lit(least))
+
+
 def pair_loss(chosen: Column, rejected: Column, beta: float = 0.1) -> Column:
     """-log sigmoid of beta times the margin."""
     return F.ln(1 + F.exp(-beta * (chosen - rejected)))
 
 
 def masked_terms(current: str, old: str, reference: str, advantage: str, mask: str, clip: float = 0.2) -> list[Column]:
-    """Aggregates over a sequence's tokens: n (masked tokens, 1 at least), lp, surr and kl (sums over the mask)."""
+    """Aggregates over a sequence's tokens: n (masked tokens, 1 at least), lp, surr, kl and ref (sums over the mask; ref is the reference's lp)."""
     m, cur, ref = F.col(mask), F.col(current), F.col(reference)
     surrogate = clipped_surrogate(F.exp(cur - F.col(old)), F.col(advantage), clip)
-    return [F.greatest(F.sum(m), F.lit(1)).alias("n"), F.sum(m * cur).alias("lp"), F.sum(m * surrogate).alias("surr"), F.sum(m * kl_estimate(ref, cur)).alias("kl")]
+    return [F.greatest(F.sum(m), F.lit(1)).alias("n"), F.sum(m * cur).alias("lp"), F.sum(m * surrogate).alias("surr"), F.sum(m * kl_estimate(ref, cur)).alias("kl"), F.sum(m * ref).alias("ref")]
 
 
 #: Losses over sequences with adv, n, lp, surr and kl, by name.
@@ -123,18 +128,16 @@ def quantiles(df: DataFrame, value: str, wanted: dict[str, float], keys: list[st
     return counted.groupBy(*keys).agg(*out)
 
 
-def moving_baseline(steps: DataFrame, keys: list[str], step: str, mean: str, decay: float = 0.95, block: int = 256) -> DataFrame:
-    """keys and baseline: b = decay b + (1 - decay) mean over each group's steps in order, the first being its mean.
+def moving_baseline(steps: DataFrame, keys: list[str], order: list[str], mean: str, decay: float = 0.95, rows: int | None = None) -> DataFrame:
+    """steps with baseline: b = decay b + (1 - decay) mean over each group's steps in order up to and with each, the first being its mean.
 
-    The steps of a block make an affine function of the baseline before, and
-    so do blocks of blocks: rows are numbered within the group and folded by
-    weights decay ** (steps after it), summed block by block.
+    A step is an affine map of the baseline before it, so steps are scanned in
+    ranges; no task holds a group. mean has no nulls.
     """
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(step))) - 1  # steps that follow
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(step)) == 1
-    rows = steps.withColumn("after", at).withColumn("term", F.when(first, F.col(mean)).otherwise((1 - decay) * F.col(mean)))
-    blocks = rows.groupBy(*keys, F.floor(F.col("after") / block).alias("blk")).agg(F.sum(F.col("term") * F.pow(F.lit(decay), F.col("after") % block)).alias("s"))
-    return blocks.groupBy(*keys).agg(F.sum(F.col("s") * F.pow(F.lit(decay), F.col("blk") * block)).alias("baseline"))
+    from strandline.operators.scan import affine_scan
+
+    terms = steps.withColumn("__scale", F.lit(float(decay))).withColumn("__add", (1 - decay) * F.col(mean)).withColumn("__start", F.col(mean).cast("double"))
+    return affine_scan(terms, keys, order, "__scale", "__add", "baseline", "__start", rows).drop("__scale", "__add", "__start")
 
 
 def softmax(logits: Column) -> Column:

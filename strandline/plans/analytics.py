@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import dna, tokens
 from strandline.operators import align, intervals, scoring
+from strandline.operators.scan import affine_scan
 
 from .relational import query
 from .views import annotations, hits, motifs, prefixes, registry, sequences, table
@@ -152,49 +153,33 @@ _IOU = "greatest(least(k.hi, h.hi) - greatest(k.lo, h.lo) + 1, 0) / (k.hi - k.lo
 
 
 def _nms(key: str, limit: float) -> str:
-    return f", g AS (SELECT {key}, list({{'lo': lo, 'hi': hi, 'id': event_id}} ORDER BY value DESC, event_id) AS spans FROM hit WHERE user_id < 60 GROUP BY {key}), k AS (SELECT {key}, list_reduce(spans, lambda kept, h: CASE WHEN len(list_filter(kept, lambda k: {_IOU} >= {limit})) > 0 THEN kept ELSE list_append(kept, h) END, []::STRUCT(lo INT, hi INT, id BIGINT)[]) AS kept FROM g) SELECT {key}, unnest(list_transform(kept, lambda x: x.id)) AS event_id FROM k"
+    return f", g AS (SELECT {key}, list({{'lo': lo, 'hi': hi, 'id': event_id}} ORDER BY value DESC, event_id) AS spans FROM hit GROUP BY {key}), k AS (SELECT {key}, list_reduce(spans, lambda kept, h: CASE WHEN len(list_filter(kept, lambda k: {_IOU} >= {limit})) > 0 THEN kept ELSE list_append(kept, h) END, []::STRUCT(lo INT, hi INT, id BIGINT)[]) AS kept FROM g) SELECT {key}, unnest(list_transform(kept, lambda x: x.id)) AS event_id FROM k"
 
 
-def _suppress(h, keys, limit):
-    """Hits that survive suppression within their key; folds run over islands, as spans of different islands don't overlap."""
-    kind = "array<struct<lo:int,hi:int,score:double,id:bigint>>"
-    best = F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("s"), F.col("event_id").alias("e"), "lo", "hi")))
-    best = F.transform(best, lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"), (-x["s"]).alias("score"), x["e"].alias("id")))
-    kept = intervals.islands(h, keys).groupBy(*keys, "island").agg(best.alias("h")).select(*keys, F.explode(intervals.suppress_overlaps(F.col("h"), kind, limit)).alias("k"))
-    return kept.select(*keys, F.col("k.id").alias("event_id"))
-
-
-# The given SQL of the next two asks for users below 60 only; the _whole queries after them answer for every hit.
 @query(_nms("user_id, event_type", 0.5))
 def interval_nms_token(spark, d):
-    return _suppress(hits(spark, d).where("user_id < 60"), ["user_id", "event_type"], 0.5)
+    """Hits that stay within their user and type."""
+    return intervals.suppress(hits(spark, d), ["user_id", "event_type"], 0.5)
 
 
 @query(_nms("user_id", 0.3))
 def interval_nms_global(spark, d):
-    return _suppress(hits(spark, d).where("user_id < 60"), ["user_id"], 0.3)
-
-
-@query()
-def interval_nms_token_whole(spark, d):
-    return _suppress(hits(spark, d), ["user_id", "event_type"], 0.5)
-
-
-@query()
-def interval_nms_global_whole(spark, d):
-    return _suppress(hits(spark, d), ["user_id"], 0.3)
+    """Hits that stay among all of their user."""
+    return intervals.suppress(hits(spark, d), ["user_id"], 0.3)
 
 
 @query()
 def interval_ori_loci(spark, d):
-    return _loci(hits(spark, d).where("event_type = 'error'"))
+    """Loci of overlapping hits with their bounds, best score and number of members, numbered within the user."""
+    found = loci(hits(spark, d).where("event_type = 'error'"), ["user_id"], F.max("value").alias("best"), F.count("*").alias("members"))
+    return found.select("user_id", "locus", "lo", "hi", "best", "members")
 
 
-def _loci(h):
-    spans = F.array_sort(F.collect_list(F.struct("lo", "hi", F.col("value").alias("score"), F.col("event_id").cast("string").alias("name"))))
-    loci = intervals.islands(h, ["user_id"]).groupBy("user_id", "island").agg(spans.alias("h")).select("user_id", "island", F.explode(intervals.cluster_loci(F.col("h"))).alias("x"))
-    found = loci.groupBy("user_id", "island", F.col("x.c").alias("c")).agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi"), F.max("x.score").alias("best"), F.count("*").alias("members"))
-    return found.select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("island", "c")) - 1).alias("locus"), "lo", "hi", "best", "members")
+def loci(h, keys, *columns):
+    """Loci of hits by keys: locus (from 0 in their order), lo, hi and the given aggregates over their members."""
+    found = intervals.cluster_loci(h, keys).groupBy(*keys, "island", "cluster").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *columns)
+    one = F.lit(1.0)
+    return affine_scan(found.withColumn("one", one), keys, ["island", "cluster"], "one", "one", "nth").withColumn("locus", (F.col("nth") - 1).cast("int"))
 
 
 @query("SELECT a.user_id, a.event_id AS a_id, b.event_id AS b_id, greatest(b.lo - a.hi, a.lo - b.hi, 0) AS gap FROM hit a JOIN hit b ON a.user_id = b.user_id WHERE a.event_type = 'click' AND b.event_type = 'error' AND greatest(b.lo - a.hi, a.lo - b.hi, 0) <= 50")

@@ -220,18 +220,13 @@ def window_prompt_cap_length(spark, d):
     return p.withColumn("rn", F.row_number().over(w)).where("rn <= 50").select("plasmid_id", "prompt")
 
 
-@query(", s AS (SELECT user_id, floor(epoch(ts) / 86400)::BIGINT AS step, sum(round(value * 100)::BIGINT) / (100.0::DOUBLE * count(*)) AS mu, stddev_samp(value) AS sd, max(value) AS top FROM events GROUP BY 1, 2), e AS (SELECT user_id, list({'step': step, 'mu': mu, 'sd': coalesce(sd, 0), 'top': top} ORDER BY step) AS v FROM s GROUP BY 1), b AS (SELECT user_id, v[len(v)] AS last, list_reduce(list_transform(v, lambda x: x.mu), lambda b, x: 0.95::DOUBLE * b + 0.05::DOUBLE * x) AS base FROM e) SELECT user_id, last.step AS step, round(base, 6) AS baseline, round((last.top - base) / greatest(last.sd, 0.1::DOUBLE), 4) AS advantage FROM b")
+@query(", s AS (SELECT user_id, floor(epoch(ts) / 86400)::BIGINT AS step, sum(round(value * 100)::BIGINT) / (100.0::DOUBLE * count(*)) AS mu, coalesce(stddev_samp(value), 0) AS sd, max(value) AS top, min(value) AS low FROM events GROUP BY 1, 2), e AS (SELECT user_id, list(mu ORDER BY step) AS mu, list({'step': step, 'sd': sd, 'top': top, 'low': low} ORDER BY step) AS v FROM s GROUP BY 1), b AS (SELECT user_id, unnest(range(1, len(v) + 1)) AS i, mu, v FROM e), c AS (SELECT user_id, v[i] AS x, list_reduce(mu[1:i], lambda b, x: 0.95::DOUBLE * b + 0.05::DOUBLE * x) AS base FROM b) SELECT user_id, x.step AS step, round(base, 6) AS baseline, round((x.top - base) / greatest(x.sd, 0.1::DOUBLE), 4) AS best_advantage, round((x.low - base) / greatest(x.sd, 0.1::DOUBLE), 4) AS worst_advantage FROM c")
 def window_ema_advantage(spark, d):
-    """The moving baseline of each user's steps after the last one, and the advantage of that step's best reward over it.
-
-    A baseline is an affine function of the one before, so steps are folded in
-    blocks (b to decay b + add), which are folded again: no list of all steps.
-    """
+    """The moving baseline after every step of each user, and the advantage of the step's best and worst reward over it."""
     day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400)
-    s = table(spark, d, "events").groupBy("user_id", day.alias("step")).agg((F.sum(F.round(F.col("value") * 100).cast("long")) / (F.lit(100.0) * F.count("*"))).alias("mu"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.max("value").alias("top"))
-    base = scoring.moving_baseline(s, ["user_id"], "step", "mu")
-    last = s.groupBy("user_id").agg(F.max_by(F.struct("step", "sd", "top"), "step").alias("x"))
-    return last.join(base, "user_id").select("user_id", "x.step", F.round("baseline", 6).alias("baseline"), F.round((F.col("x.top") - F.col("baseline")) / F.greatest(F.col("x.sd"), F.lit(0.1)), 4).alias("advantage"))
+    s = table(spark, d, "events").groupBy("user_id", day.alias("step")).agg((F.sum(F.round(F.col("value") * 100).cast("long")) / (F.lit(100.0) * F.count("*"))).alias("mu"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.max("value").alias("top"), F.min("value").alias("low"))
+    gain = lambda reward: F.round(scoring.step_advantage(F.col(reward), F.col("baseline"), F.col("sd")), 4)
+    return scoring.moving_baseline(s, ["user_id"], ["step"], "mu").select("user_id", "step", F.round("baseline", 6).alias("baseline"), gain("top").alias("best_advantage"), gain("low").alias("worst_advantage"))
 
 
 @query(f", q AS (SELECT plasmid_id, ln, percmatch * pident AS s FROM ann), b AS (SELECT plasmid_id, max(s) AS best, avg(s) AS mean, count(*) AS n FROM q GROUP BY 1) SELECT n, count(*) AS prompts, round(avg(best), 6) AS best_of_n, round(avg(mean), 6) AS mean FROM b GROUP BY 1")

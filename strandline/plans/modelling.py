@@ -9,10 +9,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions import dna, features, tokens
-from strandline.operators import align, intervals, scoring
+from strandline.operators import align, homology, intervals, scoring
+from strandline.operators.order import checkpoint
 from strandline.scorers import AlignmentScorer
 
-from .analytics import _frame, _suppress, kmer_candidates
+from .analytics import _frame, kmer_candidates, loci
 from .relational import query
 from .views import annotations, hits, motifs, plasmid_tokens, registry, sequences, table
 
@@ -206,11 +207,8 @@ def interval_adjacency_affinity(spark, d):
 def interval_ori_tokens(spark, d):
     """Loci of overlapping hits with their bounds, best hit and sorted token set."""
     h = hits(spark, d).where("event_type = 'error'").withColumn("token", F.concat(F.lit("<ORI_"), (F.col("event_id") % 4).cast("string"), F.lit(">")))
-    spans = F.array_sort(F.collect_list(F.struct("lo", "hi", F.col("value").alias("score"), F.concat_ws("|", F.lpad(F.col("event_id").cast("string"), 19, "0"), "token").alias("name"))))
-    loci = intervals.islands(h, ["user_id"]).groupBy("user_id", "island").agg(spans.alias("h")).select("user_id", "island", F.explode(intervals.cluster_loci(F.col("h"))).alias("x"))
-    event, token = F.split("x.name", r"\|")[0].cast("long"), F.split("x.name", r"\|")[1]
-    found = loci.groupBy("user_id", "island", F.col("x.c").alias("c")).agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi"), F.max_by(event, F.struct("x.score", (-event).alias("e"))).alias("best"), F.array_sort(F.collect_set(token)).alias("tokens"))
-    return found.select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("island", "c")) - 1).alias("locus"), "lo", "hi", "best", "tokens")
+    best = F.max_by("event_id", F.struct("value", (-F.col("event_id")).alias("e"))).alias("best")
+    return loci(h, ["user_id"], best, F.array_sort(F.collect_set("token")).alias("tokens")).select("user_id", "locus", "lo", "hi", "best", "tokens")
 
 
 @query("SELECT plasmid_id, round(least(greatest(base * (1 + 0.05 * p - 0.15 * greatest(o - 1, 0) - 0.1 * greatest(a - 2, 0) - 0.05 * x - least(0.01 * greatest(n - 8000, 0) / 1000, 0.15)), 0), 1), 6)::DOUBLE AS score FROM (SELECT a.plasmid_id, any_value(base) AS base, count(*) FILTER (WHERE category = 'ORI') AS o, count(*) FILTER (WHERE category = 'AMR') AS a, count(*) FILTER (WHERE category IN ('AMR', 'ORI', 'REPORTER', 'TAG') AND ln % 3 = 0) AS x, any_value(p) AS p, sum(qend - qstart) * 10 AS n FROM ann a JOIN reg USING (sseqid) JOIN (SELECT plasmid_id, sum(percmatch) / (count(*) * 97.0::DOUBLE) AS base FROM ann GROUP BY 1) b ON a.plasmid_id = b.plasmid_id JOIN (SELECT u.plasmid_id, coalesce(q.p, 0) AS p FROM (SELECT DISTINCT plasmid_id FROM ann) u LEFT JOIN (SELECT s.plasmid_id, count(*) AS p FROM (SELECT * FROM ann JOIN reg USING (sseqid) WHERE category = 'PROM') s JOIN (SELECT * FROM ann JOIN reg USING (sseqid) WHERE category IN ('AMR', 'REPORTER', 'TAG')) t ON s.plasmid_id = t.plasmid_id WHERE greatest(t.qstart - s.qend, s.qstart - t.qend, 0) <= 100 GROUP BY 1) q ON u.plasmid_id = q.plasmid_id) w ON a.plasmid_id = w.plasmid_id GROUP BY 1)")
@@ -286,20 +284,47 @@ def align_protein_ratio(spark, d):
     return r.select("plasmid_id", "sseqid", "dna_ratio", "protein_ratio", best.alias("ratio"), (best >= align.FOUND).alias("found"))
 
 
-@query()
-def search_three_pass(spark, d):
-    """Motif search: shared k-mers, then scores alone on both strands, then tracebacks of what is left; overlaps are suppressed within a motif and then among all."""
-    c = _candidates(spark, d)
+#: Motifs translate to a protein that is searched from so many amino acids on.
+LEAST_PROTEIN = 10
+
+
+def _proteins(m):
+    """sseqid, protein: motifs whose first frame has no stop but the last letter."""
+    protein = F.regexp_replace(dna.translate(F.col("motif"), 0, "*"), r"\*$", "")
+    return m.select("sseqid", protein.alias("protein")).where((F.length("protein") >= LEAST_PROTEIN) & ~F.contains("protein", F.lit("*")))
+
+
+def _protein_hits(spark, d):
+    m, s = _proteins(motifs(spark, d)), sequences(spark, d)
+    pairs = homology.protein_candidates(m, s).join(m, "sseqid").join(s, "plasmid_id")
+    return homology.translated_hits(pairs).where("coverage >= 30 and pct_id >= 60")
+
+
+def _dna_hits(spark, d):
+    """DNA hits on both strands: shared k-mers, then scores alone, then tracebacks of what is left."""
     strands = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("motif").alias("q")), F.struct(F.lit("-").alias("strand"), dna.reverse_complement(F.col("motif")).alias("q"))))
-    each = c.select("plasmid_id", "sseqid", "sequence", strands.alias("x")).select("plasmid_id", "sseqid", "sequence", "x.*")
+    each = _candidates(spark, d).select("plasmid_id", "sseqid", "sequence", strands.alias("x")).select("plasmid_id", "sseqid", "sequence", "x.*")
     scored = each.withColumn("s", align.within_scores("q", "sequence")).where(F.col("s.score") >= 1.5 * F.length("q"))
     hit = scored.select("plasmid_id", "sseqid", "strand", F.length("q").alias("n"), align.semi_global_hit("q", "sequence").alias("h"))
-    hit = hit.withColumn("pct_id", 100 * F.col("h.matches") / F.greatest(F.col("h.matches") + F.col("h.mismatches"), F.lit(1))).withColumn("coverage", 100 * F.col("h.matches") / F.col("n"))
-    hit = hit.where("coverage >= 30 and pct_id >= 60").withColumn("event_id", F.xxhash64("sseqid", "strand"))
-    spans = hit.select("plasmid_id", "sseqid", "strand", "event_id", F.col("h.start").alias("lo"), (F.col("h.end") - 1).alias("hi"), (F.col("h.score") / F.col("n")).alias("value"), "pct_id", "coverage")
-    own = spans.join(_suppress(spans, ["plasmid_id", "sseqid"], 0.5), ["plasmid_id", "sseqid", "event_id"])
-    kept = own.join(_suppress(own, ["plasmid_id"], 0.3), ["plasmid_id", "event_id"])
-    return kept.select("plasmid_id", "sseqid", "strand", F.col("lo").alias("start"), (F.col("hi") + 1).alias("end"), F.col("value").alias("norm_score"), "pct_id", "coverage")
+    return hit.select("plasmid_id", "sseqid", "strand", F.col("h.start").alias("start"), F.col("h.end").alias("end"), *homology.metrics(F.col("n"))).where("coverage >= 30 and pct_id >= 60")
+
+
+@query()
+def search_translated(spark, d):
+    """Motifs' proteins found in any of the six frames, with their places in the DNA."""
+    return _protein_hits(spark, d)
+
+
+@query()
+def search_three_pass(spark, d):
+    """Motif search by DNA and by protein; overlaps are suppressed within a motif and then among all, by score per letter."""
+    columns = ("plasmid_id", "sseqid", "strand", "start", "end", "norm_score", "pct_id", "coverage", "kind")
+    protein = _protein_hits(spark, d).withColumn("strand", F.when(F.col("frame") % 2 == 1, "-").otherwise("+")).withColumn("kind", F.lit("protein"))
+    hit = _dna_hits(spark, d).withColumn("kind", F.lit("dna")).select(*columns).unionByName(protein.select(*columns))
+    spans = checkpoint(hit.select("*", F.xxhash64("sseqid", "strand", "kind").alias("event_id"), F.col("start").alias("lo"), (F.col("end") - 1).alias("hi"), F.col("norm_score").alias("value")))
+    own = spans.join(intervals.suppress(spans, ["plasmid_id", "sseqid"], 0.5), ["plasmid_id", "sseqid", "event_id"])
+    kept = own.join(intervals.suppress(own, ["plasmid_id"], 0.3), ["plasmid_id", "event_id"])
+    return kept.select(*columns)
 
 
 @query()

@@ -371,10 +371,11 @@ def window_global_zscore(spark, d):
 
 @query(", e AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY 1) SELECT user_id, round(list_reduce(v, lambda b, x: 0.95::DOUBLE * b + 0.05::DOUBLE * x), 6) AS baseline FROM e")
 def window_ema_baseline(spark, d):
+    """The moving baseline of each user after the last of their rewards, one a step."""
     from strandline.operators.scoring import moving_baseline
 
-    e = table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("step"), "value")
-    return moving_baseline(e, ["user_id"], "step", "value").select("user_id", F.round("baseline", 6).alias("baseline"))
+    e = moving_baseline(table(spark, d, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], "value")
+    return e.groupBy("user_id").agg(F.round(F.max_by("baseline", F.struct("ts", "event_id")), 6).alias("baseline"))
 
 
 @query(", q AS (SELECT user_id, event_type, sum(round(value * 100)::BIGINT)::BIGINT AS w FROM events GROUP BY 1, 2), p AS (SELECT *, w / sum(w) OVER (PARTITION BY user_id) AS share, sum(w) OVER (PARTITION BY user_id ORDER BY w DESC, event_type ROWS UNBOUNDED PRECEDING) - w AS before, sum(w) OVER (PARTITION BY user_id) AS total FROM q) SELECT user_id, event_type, round(share, 8) AS share FROM p WHERE before < 0.9 * total")

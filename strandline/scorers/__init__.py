@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from .alignment import AlignmentScorer
 from .base import Scorer
-from .hits import HitScorer, SubstringScorer, ValidScorer
+from .adapter import ObjectScorer
+from .hits import HitScorer, SearchScorer, SubstringScorer, ValidScorer
 
-SCORERS: dict[str, type[Scorer]] = {"alignment": AlignmentScorer, "motif": HitScorer, "substring": SubstringScorer, "valid": ValidScorer}
+SCORERS: dict[str, type[Scorer]] = {"alignment": AlignmentScorer, "motif": HitScorer, "object": ObjectScorer, "plannotate": SearchScorer, "substring": SubstringScorer, "valid": ValidScorer}
 
 
 def build_scorer(name: str, **options: object) -> Scorer:
@@ -16,4 +17,4 @@ def build_scorer(name: str, **options: object) -> Scorer:
     return SCORERS[name](**options)
 
 
-__all__ = ["SCORERS", "AlignmentScorer", "HitScorer", "Scorer", "SubstringScorer", "ValidScorer", "build_scorer"]
+__all__ = ["SCORERS", "AlignmentScorer", "HitScorer", "ObjectScorer", "Scorer", "SearchScorer", "SubstringScorer", "ValidScorer", "build_scorer"]

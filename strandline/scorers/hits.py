@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions import tokens
 from strandline.operators import scoring
 
-from .base import Scorer, wanted
+from .base import LEAST_BASES, Scorer, wanted
+from .structure import Weights, structure
 
 
 class HitScorer(Scorer):
@@ -33,24 +33,37 @@ class HitScorer(Scorer):
         return s.select("id", reward.alias("reward"), F.coalesce("geo_mean", F.lit(0.0)).alias("geo_mean"), recall.alias("recall"), "found", "expected")
 
 
-class ValidScorer(HitScorer):
-    """HitScorer's reward times a structural multiplier, within 0 and 1: excess origins and markers, unwanted features, length and driven genes."""
+class SearchScorer(HitScorer):
+    """HitScorer over the hits of an external search: of a token's hits the one of the best bit_score counts, and score per letter is capped at 1.5."""
+
+    def __init__(self, hits: DataFrame, cap: float = 1.5, sharpness: float = 2.0):
+        best = hits.groupBy("id", "token").agg(F.max_by(F.struct("pct_id", "coverage", "norm_score"), F.struct("bit_score", "norm_score")).alias("x"))
+        super().__init__(best.select("id", "token", *[F.least(f"x.{c}", F.lit(100.0)).alias(c) for c in ("pct_id", "coverage")], "x.norm_score"), cap, sharpness)
+
+
+class ValidScorer(SearchScorer):
+    """SearchScorer's reward times a structural multiplier, within 0 and 1, to four digits.
+
+    The multiplier (see structure.structure) takes off for origins beyond one
+    (by locus), markers beyond two, features nobody asked for and length, and adds
+    for asked promoters near genes that they drive. hits also has lo, hi and
+    bit_score; broad holds the hits of all tokens, hits unless given. No wanted
+    token, or fewer than LEAST_BASES bases: reward 0, multiplier 1.
+    """
+
+    def __init__(self, hits: DataFrame, broad: DataFrame | None = None, weights: Weights = Weights(), cap: float = 1.5, sharpness: float = 2.0):
+        super().__init__(hits, cap, sharpness)
+        self.broad, self.weights = (hits if broad is None else broad).select("id", "token", "lo", "hi", "bit_score"), weights
 
     def detail(self, pairs: DataFrame) -> DataFrame:
-        """What HitScorer finds, and multiplier; hits may have a token that isn't wanted."""
-        base = super().detail(pairs)
-        asked = wanted(pairs)
-        size = asked.groupBy("id").agg(F.max(F.length("seq")).alias("length"))
-        seen = self.hits.select("id", "token").distinct().join(asked.select("id", "token", F.lit(True).alias("asked")).distinct(), ["id", "token"], "left")
-        kind = tokens.category_of(F.col("token"))
-        extra = F.count_if(F.col("asked").isNull() & kind.isin("AMR", "ORI", "REPORTER", "TAG"))
-        n = seen.groupBy("id").agg(F.count_if(kind == "ORI").alias("o"), F.count_if(kind == "AMR").alias("a"), extra.alias("x"))
-        none = lambda c: F.coalesce(c, F.lit(0))
-        rows = base.join(size, "id").join(n, "id", "left")
-        multiplier = scoring.structural_multiplier(none("o"), none("a"), none("x"), none("length"), F.lit(0))
-        rows = rows.withColumn("multiplier", multiplier)
-        reward = F.least(F.greatest(F.col("reward") * F.col("multiplier"), F.lit(0.0)), F.lit(1.0))
-        return rows.select("id", reward.alias("reward"), "geo_mean", "recall", "found", "expected", "multiplier")
+        """What SearchScorer finds, base_reward, and what structure() finds."""
+        asked = wanted(pairs).select("id", "token", F.length("seq").alias("length"))
+        rows = super().detail(pairs).join(structure(asked, self.broad, self.weights), "id")
+        scored = (F.col("expected") > 0) & (F.col("length") >= LEAST_BASES)
+        base = F.when(scored, F.round("reward", 4)).otherwise(0.0)
+        rows = rows.withColumn("base_reward", base).withColumn("multiplier", F.when(scored, F.col("multiplier")).otherwise(1.0))
+        reward = F.round(F.least(F.greatest(F.col("base_reward") * F.col("multiplier"), F.lit(0.0)), F.lit(1.0)), 4)
+        return rows.select("id", reward.alias("reward"), "base_reward", "multiplier", "geo_mean", "recall", "found", "expected", "ori_count", "ori_tokens", "amr_count", "unrequested", "pairs", "length")
 
 
 class SubstringScorer(Scorer):

@@ -51,15 +51,6 @@ def test_alignment_against_direct_recurrence():
     assert (hit["start"], hit["end"], hit["matches"], hit["gaps"]) == (3, 11, 8, 0)
 
 
-def test_suppress_and_cluster(spark):
-    kind = "array<struct<lo:int,hi:int,score:double,name:string>>"
-    df = spark.createDataFrame([([(0, 9, 3.0, "a"), (2, 9, 2.0, "b"), (50, 59, 1.0, "c")],)], f"h {kind}")
-    kept = df.select(intervals.suppress_overlaps(F.col("h"), kind, 0.5).alias("k")).first()["k"]
-    assert [x["name"] for x in kept] == ["a", "c"]
-    loci = df.select(intervals.cluster_loci(F.col("h")).alias("k")).first()["k"]
-    assert [x["c"] for x in loci] == [0, 0, 1]
-
-
 def slow_kept(rows, limit):
     kept = []
     for e, lo, hi, _ in sorted(rows, key=lambda r: (-r[3], r[0])):
@@ -89,12 +80,60 @@ def test_interval_queries_answer_for_every_user(spark, tmp_path):
         lo = int(v * 10 // 1)
         for groups, key in ((by_user, u), (by_type, (u, t))):
             groups.setdefault(key, []).append((e, lo, lo + int(p[6:-1]) + 1, v))
-    got = {n: [tuple(r) for r in QUERIES[n](spark, str(tmp_path)).collect()] for n in ("interval_nms_token_whole", "interval_nms_global_whole", "interval_ori_loci")}
-    assert sorted(got["interval_nms_token_whole"]) == sorted((*k, e) for k, g in by_type.items() for e in slow_kept(g, 0.5))
-    assert sorted(got["interval_nms_global_whole"]) == sorted((k, e) for k, g in by_user.items() for e in slow_kept(g, 0.3))
+    got = {n: [tuple(r) for r in QUERIES[n](spark, str(tmp_path)).collect()] for n in ("interval_nms_token", "interval_nms_global", "interval_ori_loci")}
+    assert sorted(got["interval_nms_token"]) == sorted((*k, e) for k, g in by_type.items() for e in slow_kept(g, 0.5))
+    assert sorted(got["interval_nms_global"]) == sorted((k, e) for k, g in by_user.items() for e in slow_kept(g, 0.3))
     assert sorted(got["interval_ori_loci"]) == sorted((u, *x) for (u, t), g in by_type.items() if t == "error" for x in slow_loci(g))
 
 
+def spans(n, keys, width, most, seed):
+    draw = random.Random(seed)
+    return [(draw.choice(keys), i, lo := draw.randint(0, width), lo + draw.randint(0, most), draw.randint(0, 400) / 4) for i in range(n)]
+
+
+@pytest.mark.parametrize("n, keys, width, most, rows", [(5000, [1], 60_000, 120, 700), (5000, [1, None, 2], 900, 200, 400), (600, [1], 0, 3, 50), (40, [1], 50, 20, 1000)])
+def test_suppression_by_rounds_equals_the_fold(spark, n, keys, width, most, rows):
+    """Sparse and dense islands, null keys, and spans that all lie on one place, in ranges much smaller than an island."""
+    data = spans(n, keys, width, most, n)
+    df = spark.createDataFrame(data, "k int, event_id int, lo int, hi int, value double")
+    got = {(r["k"], r["event_id"]) for r in intervals.suppress(df, ["k"], 0.5, rows).collect()}
+    assert got == {(k, e) for k in keys for e in slow_kept([x[1:] for x in data if x[0] == k], 0.5)}
+
+
+def test_suppression_of_a_long_chain_and_of_nothing(spark):
+    """A chain in which each span hangs on the one before is settled from its end."""
+    data = [(1, i, 10 * i, 10 * i + 29, 1000.0 - i) for i in range(300)]
+    df = spark.createDataFrame(data, "k int, event_id int, lo int, hi int, value double")
+    got = {r["event_id"] for r in intervals.suppress(df, ["k"], 0.3, 40).collect()}
+    assert got == slow_kept([x[1:] for x in data], 0.3)
+    assert intervals.suppress(df.limit(0), ["k"], 0.3).count() == 0
+
+
+def test_loci_equal_the_fold(spark):
+    for n, width, rows in ((5000, 90_000, 600), (1500, 500, 100)):
+        data = spans(n, [1, None], width, 90, n)
+        df = spark.createDataFrame(data, "k int, event_id int, lo int, hi int, value double")
+        got = intervals.cluster_loci(df, ["k"], 0.5, rows).groupBy("k", "island", "cluster").agg(F.min("lo"), F.max("hi"), F.max("value"), F.count("*")).collect()
+        for k in (1, None):
+            assert sorted(tuple(r[3:]) for r in got if r["k"] == k) == sorted(x[1:] for x in slow_loci([x[1:] for x in data if x[0] == k]))
+
+
+def test_scans_equal_a_loop(spark):
+    from strandline.operators import scan
+
+    draw = random.Random(1)
+    data = [(draw.choice([1, 1, 1, 2, None]), draw.choice("ab"), i, draw.choice([0.95, 0.5, 1.0, 0.0]), draw.random()) for i in range(3000)]
+    df = spark.createDataFrame(data, "u int, v string, s int, a double, b double")
+    x = {(r["u"], r["v"], r["s"]): r["x"] for r in scan.affine_scan(df, ["u", "v"], ["s"], "a", "b", "x", start="b", rows=200).collect()}
+    m = {(r["u"], r["v"], r["s"]): r["m"] for r in scan.running_max(df, ["u", "v"], ["s"], "b", "m", rows=200).collect()}
+    now, top = {}, {}
+    for u, v, s, a, b in data:
+        now[u, v] = a * now.get((u, v), b) + b
+        assert x[u, v, s] == pytest.approx(now[u, v]) and m[u, v, s] == top.get((u, v))
+        top[u, v] = max(top.get((u, v), 0), b)
+    assert scan.affine_scan(df.limit(0), ["u"], ["s"], "a", "b", "x").count() == 0
+
+
 def test_whole_motifs(spark, tmp_path):
     from strandline.plans.catalogue import QUERIES
 
