@@ -34,6 +34,13 @@ def translate(seq: Column, frame: int = 0, stop: str = "*") -> Column:
     return F.when(F.length(seq) >= frame + 3, F.array_join(F.transform(codons, one), ""))
 
 
+def back_translate(protein: Column) -> Column:
+    """Bases that translate to a protein: of each amino acid's codons the last in the order TCAG; other letters become NNN."""
+    codon = {a: "TCAG"[i // 16] + "TCAG"[i // 4 % 4] + "TCAG"[i % 4] for i, a in enumerate(AMINO)}
+    table = F.create_map(*[F.lit(x) for pair in codon.items() for x in pair])
+    return F.array_join(F.transform(F.split(protein, ""), lambda a: F.when(a == "", "").otherwise(F.coalesce(F.try_element_at(table, a), F.lit("NNN")))), "")
+
+
 def six_frames(seq: Column, stop: str = "X") -> Column:
     """Frames f0, r0, f1, r1, f2, r2."""
     back = reverse_complement(seq)
@@ -61,7 +68,20 @@ def fill_n(seq: Column) -> Column:
     """Each N becomes ACGT[md5(position) mod 4]; only the last hex digit matters."""
     chars = F.split(seq, "")
     pick = lambda i: F.substr(F.lit("ACGT"), (F.conv(F.right(F.md5(i.cast("string").cast("binary")), F.lit(1)), 16, 10).cast("int") % 4 + 1), F.lit(1))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c == "N", pick(i)).otherwise(c)), "")
+    filled = F.array_join(F.transform(chars, lambda c, i: F.when(c == "N", pick(i)).otherwise(c)), "")
+    return F.when(F.contains(seq, F.lit("N")), filled).otherwise(seq)
+
+
+def tokenize_characters(text: Column) -> Column:
+    """Special tokens as they are, and every other character but space as a token of its own."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)<[^>]+>|\S"), F.lit(0))
+
+
+def kmer_id(token: Column, specials: tuple[str, ...], k: int, unknown: str) -> Column:
+    """A token's id in kmer_vocabulary, from its letters as digits of base 4; that of unknown for all others."""
+    kmer = F.when(token.rlike(f"^[ACGT]{{{k}}}$"), F.conv(F.translate(token, "ACGT", "0123"), 4, 10).cast("long") + len(specials))
+    known = F.array_position(F.array(*[F.lit(s) for s in specials]), token)
+    return F.coalesce(kmer, F.nullif(known, F.lit(0)) - 1, F.lit(specials.index(unknown))).cast("long")
 
 
 def uuid5(namespace: str, name: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # For each category, in the order in which categories are tried, the tokens and the patterns that name them.
@@ -99,21 +99,35 @@ DRIVES = (
 CODING = ("AMR", "REPORTER", "TAG")
 
 
-def feature_rules() -> list[tuple[str, str]]:
-    """Regular expressions (of lower-cased names) and tokens, in the order in which they are tried."""
-    out = [(re.escape(p), t) for p, t in FEATURE_OVERRIDES]
+def feature_rules() -> list[tuple[str, bool, str]]:
+    """Lower-cased patterns, whether they match whole words only, and tokens, in the order in which they are tried."""
+    out = [(p, False, t) for p, t in FEATURE_OVERRIDES]
     for _, tokens in FEATURE_PATTERNS:
         for token, patterns in tokens:
-            for p in dict.fromkeys(x.lower() for x in patterns):
-                out.append((rf"\b{re.escape(p)}\b" if len(p) <= SHORT_PATTERN else re.escape(p), token))
+            out += [(p, len(p) <= SHORT_PATTERN, token) for p in dict.fromkeys(x.lower() for x in patterns)]
     return out
 
 
+def feature_pattern(pattern: str, word: bool) -> str:
+    """A rule as a regular expression of lower-cased names."""
+    return rf"\b{re.escape(pattern)}\b" if word else re.escape(pattern)
+
+
 def token_of_feature(name: Column) -> Column:
-    """The token of the first rule that a feature's name fits; null if none does. A generator of rules keeps the expression flat."""
+    """The token of the first rule that a feature's name fits; null if none does. Every pattern is a constant, most are plain substrings."""
     low = F.lower(name)
-    rules = F.array(*[F.struct(F.lit(f"(?U).*(?:{r}).*").alias("r"), F.lit(t).alias("t")) for r, t in feature_rules()])
-    return F.try_element_at(F.transform(F.filter(rules, lambda x: F.regexp_like(low, F.concat(F.lit("(?s)"), x["r"]))), lambda x: x["t"]), F.lit(1))
+    fits = lambda p, word: low.rlike("(?U)" + feature_pattern(p, word)) if word else F.contains(low, F.lit(p))
+    (p, word, token), *rest = feature_rules()
+    out = F.when(fits(p, word), token)
+    for p, word, token in rest:
+        out = out.when(fits(p, word), token)
+    return out
+
+
+def map_features(df: DataFrame, name: str, token: str = "token") -> DataFrame:
+    """df with the token of each feature's name. Distinct names, far fewer than rows, are matched and joined back; a null name has none."""
+    names = df.select(name).distinct().where(F.col(name).isNotNull())
+    return df.join(names.withColumn(token, token_of_feature(F.col(name))), name, "left")
 
 
 def species_tokens(names: Column) -> Column:

@@ -148,6 +148,18 @@ def softmax(logits: Column) -> Column:
     return F.transform(bound, lambda b: F.transform(b["p"], lambda p: p / b["s"]))[0]
 
 
+def label_loss(logits: Column, label: Column) -> tuple[Column, Column]:
+    """The place of the largest logit (the first of equals) and the cross-entropy of the label, a place from 0."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    return F.array_position(logits, top) - 1, F.ln(total) + top - F.get(logits, label)
+
+
+def perplexity(loss: Column, most: float = 20.0) -> Column:
+    """exp of a mean loss, which counts as most at most."""
+    return F.exp(F.least(loss, F.lit(most)))
+
+
 def warm_cosine(step: Column, warm: int, total: int, peak: float) -> Column:
     """Linear warm-up, then a cosine to 0."""
     return F.when(step < warm, peak * step / warm).otherwise(peak * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * F.least((step - warm) / F.lit(float(total - warm)), F.lit(1.0)))))

@@ -11,8 +11,8 @@ from strandline.functions import dna, tokens
 from strandline.operators import align, intervals, scoring
 from strandline.operators.scan import affine_scan
 
-from .relational import query
-from .views import annotations, hits, motifs, prefixes, registry, sequences, table
+from .relational import ORACLE_SQL, QUERIES, query
+from .views import annotations, hits, motifs, registry, sequences, table
 
 
 #: k-mers of motifs that are broadcast at most (some 60 bytes each).
@@ -42,14 +42,8 @@ def _frame(seq: str, frame: int) -> str:
     return f"CASE WHEN length({s}) >= 3 THEN array_to_string(list_transform(range(0, length({s}) // 3), lambda i: {letter}), '') END"
 
 
-# The view mot of the given SQL holds the first 60 bases of a motif, and so do the queries compared with it; the _whole queries and the alignments take all of it.
 @query(", x AS (SELECT sseqid, motif, reverse(translate(motif, 'ACGTN', 'TGCAN')) AS back FROM mot) SELECT sseqid, [" + ", ".join(_frame(s, k) for k in range(3) for s in ("motif", "back")) + "] AS frames FROM x")
 def seq_translate_six(spark, d):
-    return _frames(prefixes(spark, d))
-
-
-@query()
-def seq_translate_six_whole(spark, d):
     return _frames(motifs(spark, d))
 
 
@@ -59,11 +53,6 @@ def _frames(m):
 
 @query(", m AS (SELECT DISTINCT sseqid, unnest(list_transform(range(1, greatest(length(motif) - 13, 1)), lambda i: substring(motif, i, 15))) AS k FROM mot WHERE length(motif) >= 15), n AS (SELECT sseqid, count(*) AS n FROM m GROUP BY 1), s AS (SELECT DISTINCT plasmid_id, unnest(list_transform(range(1, greatest(length(sequence) - 13, 1)), lambda i: substring(sequence, i, 15))) AS k FROM seqs WHERE length(sequence) >= 15) SELECT plasmid_id, sseqid, count(*) AS common, n FROM s JOIN m USING (k) JOIN n USING (sseqid) GROUP BY 1, 2, n HAVING count(*) >= 0.15 * n")
 def seq_kmer_containment(spark, d):
-    return kmer_candidates(prefixes(spark, d), sequences(spark, d))
-
-
-@query()
-def seq_kmer_containment_whole(spark, d):
     return kmer_candidates(motifs(spark, d), sequences(spark, d))
 
 
@@ -87,11 +76,6 @@ def kmer_candidates(m, s, k=15, share=0.15):
 
 @query("SELECT sseqid, list_transform(range(0, (ceil(greatest(length(motif) - 6, 0) / 3)::INT + 1)), lambda i: rpad(substring(motif, (3 * i + 1)::INT, 6), 6, 'A')) AS parts FROM mot WHERE length(motif) > 0")
 def seq_kmerize(spark, d):
-    return _kmerize(prefixes(spark, d))
-
-
-@query()
-def seq_kmerize_whole(spark, d):
     return _kmerize(motifs(spark, d))
 
 
@@ -101,11 +85,6 @@ def _kmerize(m):
 
 @query("SELECT sseqid, rpad(motif, (6 + 3 * ceil(greatest(length(motif) - 6, 0) / 3))::INT, 'A') AS decoded FROM mot WHERE length(motif) > 0")
 def seq_kmer_decode(spark, d):
-    return _kmer_decode(prefixes(spark, d))
-
-
-@query()
-def seq_kmer_decode_whole(spark, d):
     return _kmer_decode(motifs(spark, d))
 
 
@@ -115,11 +94,6 @@ def _kmer_decode(m):
 
 @query("SELECT sseqid, array_to_string(list_transform(string_split(motif, ''), lambda c, i: CASE WHEN c = 'N' THEN substring('ACGT', ((instr('0123456789abcdef', right(md5((i - 1)::VARCHAR), 1)) - 1) % 4 + 1)::INT, 1) ELSE c END), '') AS filled FROM mot WHERE length(motif) > 0")
 def seq_n_replace(spark, d):
-    return _n_replace(prefixes(spark, d))
-
-
-@query()
-def seq_n_replace_whole(spark, d):
     return _n_replace(motifs(spark, d))
 
 
@@ -318,11 +292,10 @@ def seq_corrupt(spark, d):
             x[swap] = np.frombuffer(b"ACGT", np.uint8)[draw.integers(0, 4, swap.sum())]
             gone = (draw.random(len(x)) < 0.02) & (len(x) > 100)
             x = x[~gone]
-            k = 0
-            for at in sorted(draw.integers(0, len(x) + 1, len(x) // 500 + 1 if len(x) > 100 else 0), reverse=True):  # from the right, so places stay
-                run = draw.integers(1, 16)
-                x, k = np.insert(x, at, np.frombuffer(b"ACGT", np.uint8)[draw.integers(0, 4, run)]), k + int(run)
-            out.append((x.tobytes().decode(), int(swap.sum()), int(gone.sum()), k))
+            at = draw.integers(0, len(x) + 1, len(x) // 500 + 1 if len(x) > 100 else 0)
+            runs = draw.integers(1, 16, len(at))
+            x = np.insert(x, np.repeat(at, runs), np.frombuffer(b"ACGT", np.uint8)[draw.integers(0, 4, runs.sum())])
+            out.append((x.tobytes().decode(), int(swap.sum()), int(gone.sum()), int(runs.sum())))
         return pd.DataFrame(out, columns=["corrupted", "substituted", "deleted", "inserted"])
 
     return sequences(spark, d).select("plasmid_id", corrupt("plasmid_id", "sequence").alias("c")).select("plasmid_id", "c.*")
@@ -332,3 +305,8 @@ def seq_corrupt(spark, d):
 def token_kinds(spark, d):
     pattern = "^<(" + "|".join(tokens.CATEGORY_ORDER) + ")_"
     return registry(spark, d).select("sseqid", F.when(F.col("token").rlike(pattern), "annotation").when(F.col("token").startswith("<"), "structural").otherwise("dna").alias("kind"))
+
+
+# Names of earlier rounds, when the plain names read parts of their tables; both read all of them now.
+for _name in ("interval_nms_token", "interval_nms_global", "seq_translate_six", "seq_kmer_containment", "seq_kmerize", "seq_kmer_decode", "seq_n_replace"):
+    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions import tokens
-from strandline.operators import scoring
+from strandline.operators import scoring, sketches
+from strandline.operators.algorithms import build_algorithm
 
 from .relational import query
 from .views import annotations, metadata, plasmid_tokens, registry, sequences, table
@@ -73,20 +74,38 @@ def agg_describe(spark, d):
     return plain.join(q, "event_type").select("event_type", "n", "mean", "sd", "low", *[F.round(c, 6).alias(c) for c in ("q1", "med", "q3")], "high")
 
 
-_SEP = "x AS (SELECT quality, n_chars FROM documents JOIN labels USING (doc_id)), m AS (SELECT avg(n_chars) FILTER (WHERE quality = 1) AS a, avg(n_chars) FILTER (WHERE quality = 0) AS b, quantile_cont(n_chars, 0.25) FILTER (WHERE quality = 1) AS a1, quantile_cont(n_chars, 0.75) FILTER (WHERE quality = 1) AS a3, quantile_cont(n_chars, 0.25) FILTER (WHERE quality = 0) AS b1, quantile_cont(n_chars, 0.75) FILTER (WHERE quality = 0) AS b3, max(n_chars) - min(n_chars) AS span FROM x)"
+_SEP = "x AS (SELECT quality, n_chars FROM documents JOIN labels USING (doc_id)), m AS (SELECT avg(n_chars) FILTER (WHERE quality = 1) AS a, avg(n_chars) FILTER (WHERE quality = 0) AS b, quantile_cont(n_chars, 0.25) FILTER (WHERE quality = 1) AS a1, quantile_cont(n_chars, 0.75) FILTER (WHERE quality = 1) AS a3, quantile_cont(n_chars, 0.25) FILTER (WHERE quality = 0) AS b1, quantile_cont(n_chars, 0.75) FILTER (WHERE quality = 0) AS b3, max(n_chars) - min(n_chars) AS span FROM x), u AS (SELECT avg(CASE WHEN p.n_chars > q.n_chars THEN 1.0::DOUBLE WHEN p.n_chars = q.n_chars THEN 0.5::DOUBLE ELSE 0 END) AS auroc FROM x p JOIN x q ON p.quality = 1 AND q.quality = 0)"
 
 
-@query(f", {_SEP} SELECT round(a - b, 6) AS gap, round(a / greatest(b, 1e-8), 6) AS ratio, greatest(least(a3, b3) - greatest(a1, b1), 0) AS overlap, a / greatest(b, 1e-8) > 3 AS ratio_ok, a1 > b3 AS quartiles_ok, span > 0.5 AS range_ok FROM m")
+@query(f", {_SEP} SELECT round(a - b, 6) AS gap, round(a / greatest(b, 1e-8), 6) AS ratio, greatest(least(a3, b3) - greatest(a1, b1), 0) AS overlap, round(auroc, 8) AS auroc, a / greatest(b, 1e-8) > 3 AS ratio_ok, a / greatest(b, 1e-8) > 2 AS shuffled_ok, a1 > b3 AS quartiles_ok, auroc > 0.95 AS auroc_ok, span > 0.5 AS range_ok FROM m, u")
 def agg_separation_checks(spark, d):
-    """Gap, ratio and overlap of the quartile ranges of two groups, and which checks they pass."""
+    """Gap, ratio, overlap of the quartile ranges and AUROC of two groups, and which checks they pass (ratio 3 against random, 2 against shuffled ones)."""
     x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("quality", "n_chars")
     mean = lambda q: F.avg(F.when(F.col("quality") == q, F.col("n_chars")))
-    m = x.agg(mean(1).alias("a"), mean(0).alias("b"), (F.max("n_chars") - F.min("n_chars")).alias("span"))
+    m = x.agg(mean(1).alias("a"), mean(0).alias("b"), (F.max("n_chars") - F.min("n_chars")).alias("span")).crossJoin(F.broadcast(scoring.auroc(x, "n_chars", "quality")))  # one row
     for name, q in (("a", 1), ("b", 0)):
         m = m.crossJoin(F.broadcast(scoring.quantiles(x.where(F.col("quality") == q), "n_chars", {f"{name}1": 0.25, f"{name}3": 0.75})))  # one row
     ratio = F.col("a") / F.greatest("b", F.lit(1e-8))
     overlap = F.greatest(F.least("a3", "b3") - F.greatest("a1", "b1"), F.lit(0.0))
-    return m.select(F.round(F.col("a") - F.col("b"), 6).alias("gap"), F.round(ratio, 6).alias("ratio"), overlap.alias("overlap"), (ratio > 3).alias("ratio_ok"), (F.col("a1") > F.col("b3")).alias("quartiles_ok"), (F.col("span") > 0.5).alias("range_ok"))
+    checks = [(ratio > 3).alias("ratio_ok"), (ratio > 2).alias("shuffled_ok"), (F.col("a1") > F.col("b3")).alias("quartiles_ok"), (F.col("auroc") > 0.95).alias("auroc_ok"), (F.col("span") > 0.5).alias("range_ok")]
+    return m.select(F.round(F.col("a") - F.col("b"), 6).alias("gap"), F.round(ratio, 6).alias("ratio"), overlap.alias("overlap"), F.round("auroc", 8).alias("auroc"), *checks)
+
+
+@query()
+def agg_profile_sketch(spark, d):
+    """Approximate percentiles of each type of event, one alone and several at once, from sketches of each day that are merged."""
+    e = table(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    daily = sketches.sketches(e, "value", ["event_type", "day"])
+    whole = sketches.merged(daily, ["event_type"])
+    return whole.select("event_type", F.kll_sketch_get_n_double("sketch").alias("n"), sketches.quantile(F.col("sketch"), 0.5).alias("median"), sketches.quantile(F.col("sketch"), [0.25, 0.75, 0.9, 0.95, 0.99]).alias("percentiles"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN sd > 1e-8 THEN round((r - m) / sd, 6) ELSE 0 END AS by_group, round((r - am) / (asd + 1e-8), 6) AS by_all FROM (SELECT conv_id, turn, length(text)::DOUBLE AS r, avg(length(text)) OVER w AS m, coalesce(stddev_samp(length(text)) OVER w, 0) AS sd, avg(length(text)) OVER () AS am, stddev_samp(length(text)) OVER () AS asd FROM conversations WINDOW w AS (PARTITION BY conv_id))")
+def agg_advantages(spark, d):
+    """Advantages of rewards by both registered algorithms."""
+    r = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("double").alias("reward"))
+    one = build_algorithm("grpo", group="conv_id").advantages(r).withColumnRenamed("advantage", "by_group")
+    return build_algorithm("ppo").advantages(one).select("conv_id", "turn", F.round("by_group", 6).alias("by_group"), F.round("advantage", 6).alias("by_all"))
 
 
 @query("SELECT decile, mean, coalesce(mean >= lag(mean) OVER (ORDER BY decile), true) AS rises FROM (SELECT floor(pident - 90)::INT AS decile, round(avg(percmatch), 6) AS mean FROM ann GROUP BY 1)")
@@ -106,15 +125,20 @@ def _tokens(spark, d):
     return t.withColumn("y", y).withColumn("guess", F.floor(F.abs("x") * 1000) % 5)
 
 
-@query(f", {_TOK} SELECT label, count(*) FILTER (WHERE y <> -100) AS n, round(avg((guess = y)::INT) FILTER (WHERE y <> -100), 8) AS accuracy, round(exp(least(avg(x * x) FILTER (WHERE y <> -100), 20)), 6) AS perplexity FROM tm GROUP BY 1")
+# Predictions of the next query: each embedding is the logits of one place of a sequence of eight; the label of a place is that of its row, each fifth masked.
+@query(", p AS (SELECT vec_id // 8 AS seq, vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS z, CASE WHEN vec_id % 5 = 0 THEN -100 ELSE label END AS y FROM embeddings), n AS (SELECT seq, z, lead(y) OVER (PARTITION BY seq ORDER BY vec_id) AS y FROM p), c AS (SELECT seq, (list_position(z, list_max(z)) - 1 = y)::INT AS good, ln(list_sum(list_transform(z, lambda v: exp(v - list_max(z))))) + list_max(z) - z[y + 1] AS ce FROM n WHERE y IS NOT NULL AND y <> -100) SELECT seq, count(*) AS n, round(avg(good), 8) AS accuracy, round(avg(ce), 6) AS loss, round(exp(least(avg(ce), 20)), 4) AS perplexity FROM c GROUP BY 1")
 def agg_label_accuracy(spark, d):
-    """Accuracy and perplexity over the labels that aren't masked (-100)."""
-    kept = F.col("y") != -100
-    return _tokens(spark, d).groupBy("label").agg(F.count_if(kept).alias("n"), F.round(F.avg(F.when(kept, (F.col("guess") == F.col("y")).cast("int"))), 8).alias("accuracy"), F.round(F.exp(F.least(F.avg(F.when(kept, F.col("x") * F.col("x"))), F.lit(20.0))), 6).alias("perplexity"))
+    """Accuracy, cross-entropy and perplexity of each sequence: a place predicts the label of the next one, unless that is masked (-100)."""
+    y = F.when(F.col("vec_id") % 5 == 0, -100).otherwise(F.col("label"))
+    p = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("seq"), "vec_id", "embedding", y.alias("own"))
+    p = p.withColumn("y", F.lead("own").over(Window.partitionBy("seq").orderBy("vec_id"))).where("y is not null and y <> -100")  # eight rows
+    top, loss = scoring.label_loss(F.transform("embedding", lambda v: v.cast("double")), F.col("y"))
+    out = p.select("seq", (top == F.col("y")).cast("int").alias("good"), loss.alias("ce")).groupBy("seq").agg(F.count("*").alias("n"), F.avg("good").alias("g"), F.avg("ce").alias("ce"))
+    return out.select("seq", "n", F.round("g", 8).alias("accuracy"), F.round("ce", 6).alias("loss"), F.round(scoring.perplexity(F.col("ce")), 4).alias("perplexity"))
 
 
 # Log-probabilities of tokens: the policy's, the old policy's and the reference's.
-_LP = "lp AS (SELECT vec_id, pos, -abs(x) AS cur, -abs(x) * (0.9::DOUBLE + (pos % 5) / 20.0::DOUBLE) AS old, -abs(x) * (1.1::DOUBLE - (pos % 3) / 15.0::DOUBLE) AS ref, (vec_id % 11 - 5) / 5.0::DOUBLE AS adv, CASE WHEN y = -100 OR vec_id % 50 = 0 THEN 0 ELSE 1 END AS m FROM tm), sq AS (SELECT vec_id, any_value(adv) AS adv, greatest(sum(m), 1) AS n, sum(m * cur) AS lp, sum(m * least(exp(cur - old) * adv, least(greatest(exp(cur - old), 0.8::DOUBLE), 1.2::DOUBLE) * adv)) AS surr, sum(m * (exp(ref - cur) - (ref - cur) - 1)) AS kl FROM lp GROUP BY 1)"
+_LP = "lp AS (SELECT vec_id, pos, -abs(x) AS cur, -abs(x) * (0.9::DOUBLE + (pos % 5) / 20.0::DOUBLE) AS old, -abs(x) * (1.1::DOUBLE - (pos % 3) / 15.0::DOUBLE) AS ref, (vec_id % 11 - 5) / 5.0::DOUBLE AS adv, CASE WHEN y = -100 OR vec_id % 50 = 0 THEN 0 ELSE 1 END AS m FROM tm), sq AS (SELECT vec_id, any_value(adv) AS adv, greatest(sum(m), 1) AS n, sum(m * cur) AS lp, sum(m * least(exp(cur - old) * adv, least(greatest(exp(cur - old), 0.8::DOUBLE), 1.2::DOUBLE) * adv)) AS surr, sum(m * (exp(ref - cur) - (ref - cur) - 1)) AS kl, sum(m * ref) AS ref FROM lp GROUP BY 1)"
 
 
 def _sequences(spark, d):
@@ -134,12 +158,12 @@ def loss_masked(spark, d):
     return _sequences(spark, d).agg(*[F.round(scoring.LOSSES[name](), 6).alias(name) for name in ("reinforce", "ppo", "grpo")])
 
 
-@query(f", {_TOK}, {_LP}, p AS (SELECT vec_id % 100 AS pair, sum(lp) FILTER (WHERE vec_id % 200 < 100) AS w, sum(lp) FILTER (WHERE vec_id % 200 >= 100) AS l, sum(kl) FILTER (WHERE vec_id % 200 < 100) AS rw, sum(kl) FILTER (WHERE vec_id % 200 >= 100) AS rl FROM sq GROUP BY 1) SELECT pair, round(ln(1 + exp(-0.1::DOUBLE * ((w - rw) - (l - rl)))), 6) AS loss FROM p WHERE w IS NOT NULL AND l IS NOT NULL")
+@query(f", {_TOK}, {_LP}, p AS (SELECT vec_id // 2 AS pair, max(lp / n) FILTER (WHERE vec_id % 2 = 0) AS w, max(lp / n) FILTER (WHERE vec_id % 2 = 1) AS l, max(ref / n) FILTER (WHERE vec_id % 2 = 0) AS rw, max(ref / n) FILTER (WHERE vec_id % 2 = 1) AS rl FROM sq GROUP BY 1) SELECT pair, round(ln(1 + exp(-0.1::DOUBLE * ((w - rw) - (l - rl)))), 6) AS loss FROM p WHERE w IS NOT NULL AND l IS NOT NULL")
 def loss_dpo_reference(spark, d):
-    """Preference loss of pairs against a reference model."""
-    chosen = F.col("vec_id") % 200 < 100
-    part = lambda c, which: F.sum(F.when(which, F.col(c)))
-    p = _sequences(spark, d).groupBy((F.col("vec_id") % 100).alias("pair")).agg(part("lp", chosen).alias("w"), part("lp", ~chosen).alias("l"), part("kl", chosen).alias("rw"), part("kl", ~chosen).alias("rl"))
+    """Preference loss of pairs of a chosen and a rejected sequence against a reference model, by mean log-probabilities over the mask."""
+    chosen = F.col("vec_id") % 2 == 0
+    part = lambda c, which: F.max(F.when(which, F.col(c) / F.col("n")))
+    p = _sequences(spark, d).groupBy(F.floor(F.col("vec_id") / 2).alias("pair")).agg(part("lp", chosen).alias("w"), part("lp", ~chosen).alias("l"), part("ref", chosen).alias("rw"), part("ref", ~chosen).alias("rl"))
     return p.where("w is not null and l is not null").select("pair", F.round(scoring.pair_loss(F.col("w") - F.col("rw"), F.col("l") - F.col("rl")), 6).alias("loss"))
 
 
@@ -220,13 +244,14 @@ def window_prompt_cap_length(spark, d):
     return p.withColumn("rn", F.row_number().over(w)).where("rn <= 50").select("plasmid_id", "prompt")
 
 
-@query(", s AS (SELECT user_id, floor(epoch(ts) / 86400)::BIGINT AS step, sum(round(value * 100)::BIGINT) / (100.0::DOUBLE * count(*)) AS mu, coalesce(stddev_samp(value), 0) AS sd, max(value) AS top, min(value) AS low FROM events GROUP BY 1, 2), e AS (SELECT user_id, list(mu ORDER BY step) AS mu, list({'step': step, 'sd': sd, 'top': top, 'low': low} ORDER BY step) AS v FROM s GROUP BY 1), b AS (SELECT user_id, unnest(range(1, len(v) + 1)) AS i, mu, v FROM e), c AS (SELECT user_id, v[i] AS x, list_reduce(mu[1:i], lambda b, x: 0.95::DOUBLE * b + 0.05::DOUBLE * x) AS base FROM b) SELECT user_id, x.step AS step, round(base, 6) AS baseline, round((x.top - base) / greatest(x.sd, 0.1::DOUBLE), 4) AS best_advantage, round((x.low - base) / greatest(x.sd, 0.1::DOUBLE), 4) AS worst_advantage FROM c")
+@query(", s AS (SELECT user_id, floor(epoch(ts) / 86400)::BIGINT AS step, sum(round(value * 100)::BIGINT) / (100.0::DOUBLE * count(*)) AS mu, coalesce(stddev_samp(value), 0) AS sd, max(value) AS top, min(value) AS low FROM events GROUP BY 1, 2), e AS (SELECT user_id, list(mu ORDER BY step) AS mu, list({'step': step, 'sd': sd, 'top': top, 'low': low} ORDER BY step) AS v FROM s GROUP BY 1), b AS (SELECT user_id, unnest(range(1, len(v) + 1)) AS i, mu, v FROM e), c AS (SELECT user_id, v[i] AS x, list_reduce(mu[1:i], lambda b, x: 0.95::DOUBLE * b + 0.05::DOUBLE * x) AS base FROM b) SELECT user_id, x.step AS step, round(base + 1e-9, 6) AS baseline, round((x.top - base) / greatest(x.sd, 0.1::DOUBLE) + 1e-7, 4) + 0.0::DOUBLE AS best_advantage, round((x.low - base) / greatest(x.sd, 0.1::DOUBLE) + 1e-7, 4) + 0.0::DOUBLE AS worst_advantage FROM c")
 def window_ema_advantage(spark, d):
     """The moving baseline after every step of each user, and the advantage of the step's best and worst reward over it."""
     day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400)
     s = table(spark, d, "events").groupBy("user_id", day.alias("step")).agg((F.sum(F.round(F.col("value") * 100).cast("long")) / (F.lit(100.0) * F.count("*"))).alias("mu"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.max("value").alias("top"), F.min("value").alias("low"))
-    gain = lambda reward: F.round(scoring.step_advantage(F.col(reward), F.col("baseline"), F.col("sd")), 4)
-    return scoring.moving_baseline(s, ["user_id"], ["step"], "mu").select("user_id", "step", F.round("baseline", 6).alias("baseline"), gain("top").alias("best_advantage"), gain("low").alias("worst_advantage"))
+    # means of few rewards end in a digit 5 often; what is added before rounding makes such halves go up, however the last bit falls
+    gain = lambda reward: F.round(scoring.step_advantage(F.col(reward), F.col("baseline"), F.col("sd")) + 1e-7, 4) + F.lit(0.0)
+    return scoring.moving_baseline(s, ["user_id"], ["step"], "mu").select("user_id", "step", F.round(F.col("baseline") + 1e-9, 6).alias("baseline"), gain("top").alias("best_advantage"), gain("low").alias("worst_advantage"))
 
 
 @query(f", q AS (SELECT plasmid_id, ln, percmatch * pident AS s FROM ann), b AS (SELECT plasmid_id, max(s) AS best, avg(s) AS mean, count(*) AS n FROM q GROUP BY 1) SELECT n, count(*) AS prompts, round(avg(best), 6) AS best_of_n, round(avg(mean), 6) AS mean FROM b GROUP BY 1")

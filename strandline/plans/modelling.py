@@ -12,6 +12,7 @@ from strandline.functions import dna, features, tokens
 from strandline.operators import align, homology, intervals, scoring
 from strandline.operators.order import checkpoint
 from strandline.scorers import AlignmentScorer
+from strandline.scorers.structure import structure
 
 from .analytics import _frame, kmer_candidates, loci
 from .relational import query
@@ -58,8 +59,13 @@ def tokenize_text(spark, d):
 def token_ids(spark, d):
     """Ids of the tokens by the vocabulary, whose <UNK> stands for all others (as for <ORI_F1> here)."""
     each = _texts(spark, d).select("plasmid_id", F.posexplode(dna.tokenize(F.col("text"), K, STRIDE)).alias("pos", "token"))
-    known = F.broadcast(_vocabulary(spark))  # 4 ** K + 5 rows
-    return each.join(known, "token", "left").select("plasmid_id", F.col("pos").cast("long").alias("pos"), F.coalesce("id", F.lit(SPECIALS.index("<UNK>")).cast("long")).alias("id"))
+    return each.select("plasmid_id", F.col("pos").cast("long").alias("pos"), dna.kmer_id(F.col("token"), SPECIALS, K, "<UNK>").alias("id"))
+
+
+@query(f", {_TEXT} SELECT plasmid_id, regexp_extract_all(text, '<[^>]+>|[^\\s]') AS parts FROM tx")
+def tokenize_characters(spark, d):
+    """Texts as tokens of the character tokenizer: special ones as they are, one for each base between them."""
+    return _texts(spark, d).select("plasmid_id", dna.tokenize_characters(F.col("text")).alias("parts"))
 
 
 @query(f", {_PARTS} SELECT plasmid_id, '<BOS><ORI_F1><SEQ>' || CASE WHEN length(s) = 0 THEN '' ELSE rpad(s, (6 + 3 * ceil(greatest(length(s) - 6, 0) / 3))::INT, 'A') END || CASE WHEN plasmid_id % 7 = 0 THEN '' ELSE '<EOS>' END AS text FROM pt")
@@ -166,14 +172,14 @@ _FEATURES = ("AmpR promoter", "ampicillin resistance promoter 2", "CMV Enhancer
 
 
 def _regex_sql() -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(low, '{r.replace(chr(39), chr(39) * 2)}') THEN '{t}'" for r, t in features.feature_rules()) + " END"
+    return "CASE " + " ".join(f"WHEN regexp_matches(low, '{r.replace(chr(39), chr(39) * 2)}') THEN '{t}'" for r, t in ((features.feature_pattern(p, w), t) for p, w, t in features.feature_rules())) + " END"
 
 
 @query(f", f AS (SELECT sseqid, lower(feature || ' ' || ({_sql_list(_FEATURES)})[(sseqid % {len(_FEATURES)} + 1)::INT]) AS low FROM reg) SELECT sseqid, {_regex_sql()} AS token FROM f")
 def map_feature_patterns(spark, d):
     """Tokens of feature names: overrides, then patterns by category, short ones as whole words."""
     name = F.concat_ws(" ", "feature", F.element_at(F.array(*[F.lit(x) for x in _FEATURES]), (F.col("sseqid") % len(_FEATURES) + 1).cast("int")))
-    return registry(spark, d).select("sseqid", features.token_of_feature(name).alias("token"))
+    return features.map_features(registry(spark, d).select("sseqid", name.alias("name")), "name").select("sseqid", "token")
 
 
 @query(", dict AS (SELECT feature, min(token) AS token FROM reg WHERE sseqid % 2 = 0 GROUP BY 1), low AS (SELECT lower(feature) AS feature, min(token) AS token FROM dict GROUP BY 1), a AS (SELECT plasmid_id, ln, percmatch, CASE WHEN sseqid % 3 = 0 THEN upper(feature) ELSE feature END AS feature FROM ann JOIN reg USING (sseqid)), m AS (SELECT a.*, coalesce(dict.token, low.token) AS token FROM a LEFT JOIN dict USING (feature) LEFT JOIN low ON lower(a.feature) = low.feature) SELECT plasmid_id, token, max(percmatch) AS best, arg_min(ln, ln - percmatch * 1000) AS ln FROM m WHERE token IS NOT NULL GROUP BY 1, 2")
@@ -191,7 +197,7 @@ _PROMOTER = "CASE event_id % 5 WHEN 0 THEN '<PROM_AMPR>' WHEN 1 THEN '<PROM_LAC>
 _CODING = "CASE event_id % 4 WHEN 0 THEN '<AMR_AMPICILLIN>' WHEN 1 THEN '<REPORTER_GFP>' WHEN 2 THEN '<ELEM_WPRE>' ELSE '<TAG_V5>' END"
 
 
-@query(f", a AS (SELECT *, {_PROMOTER} AS p FROM hit WHERE event_type = 'click'), b AS (SELECT *, {_CODING} AS c FROM hit WHERE event_type = 'error') SELECT a.user_id, a.event_id AS a_id, b.event_id AS b_id, greatest(b.lo - a.hi, a.lo - b.hi, 0) AS gap FROM a JOIN b ON a.user_id = b.user_id WHERE greatest(b.lo - a.hi, a.lo - b.hi, 0) <= 50 AND ((p = '<PROM_AMPR>' AND c = '<AMR_AMPICILLIN>') OR (p IN ('<PROM_LAC>', '<PROM_CMV>') AND c <> '<ELEM_WPRE>'))")
+@query(f", a AS (SELECT *, {_PROMOTER} AS p FROM hit WHERE event_type = 'click'), b AS (SELECT *, {_CODING} AS c FROM hit WHERE event_type = 'error') SELECT a.user_id, a.event_id AS a_id, b.event_id AS b_id, greatest(b.lo - a.hi, a.lo - b.hi, 0) AS gap FROM a JOIN b ON a.user_id = b.user_id WHERE greatest(b.lo - a.hi, a.lo - b.hi, 0) <= 50 AND c <> '<ELEM_WPRE>' AND CASE p WHEN '<PROM_AMPR>' THEN c = '<AMR_AMPICILLIN>' WHEN '<PROM_T3>' THEN false ELSE true END")
 def interval_adjacency_affinity(spark, d):
     """Promoters near coding features that they drive."""
     h = hits(spark, d).withColumnRenamed("event_id", "id")
@@ -211,19 +217,27 @@ def interval_ori_tokens(spark, d):
     return loci(h, ["user_id"], best, F.array_sort(F.collect_set("token")).alias("tokens")).select("user_id", "locus", "lo", "hi", "best", "tokens")
 
 
-@query("SELECT plasmid_id, round(least(greatest(base * (1 + 0.05 * p - 0.15 * greatest(o - 1, 0) - 0.1 * greatest(a - 2, 0) - 0.05 * x - least(0.01 * greatest(n - 8000, 0) / 1000, 0.15)), 0), 1), 6)::DOUBLE AS score FROM (SELECT a.plasmid_id, any_value(base) AS base, count(*) FILTER (WHERE category = 'ORI') AS o, count(*) FILTER (WHERE category = 'AMR') AS a, count(*) FILTER (WHERE category IN ('AMR', 'ORI', 'REPORTER', 'TAG') AND ln % 3 = 0) AS x, any_value(p) AS p, sum(qend - qstart) * 10 AS n FROM ann a JOIN reg USING (sseqid) JOIN (SELECT plasmid_id, sum(percmatch) / (count(*) * 97.0::DOUBLE) AS base FROM ann GROUP BY 1) b ON a.plasmid_id = b.plasmid_id JOIN (SELECT u.plasmid_id, coalesce(q.p, 0) AS p FROM (SELECT DISTINCT plasmid_id FROM ann) u LEFT JOIN (SELECT s.plasmid_id, count(*) AS p FROM (SELECT * FROM ann JOIN reg USING (sseqid) WHERE category = 'PROM') s JOIN (SELECT * FROM ann JOIN reg USING (sseqid) WHERE category IN ('AMR', 'REPORTER', 'TAG')) t ON s.plasmid_id = t.plasmid_id WHERE greatest(t.qstart - s.qend, s.qstart - t.qend, 0) <= 100 GROUP BY 1) q ON u.plasmid_id = q.plasmid_id) w ON a.plasmid_id = w.plasmid_id GROUP BY 1)")
+_STRUCTURE = """, w AS (SELECT DISTINCT plasmid_id, unnest(tokens) AS token FROM ptok),
+f AS (SELECT plasmid_id, token, category, arg_max(qstart, percmatch * 1000 - ln) AS lo, arg_max(qend, percmatch * 1000 - ln) AS hi, max(percmatch) AS best FROM ann JOIN reg USING (sseqid) GROUP BY 1, 2, 3),
+o AS (SELECT plasmid_id, list_reduce(list({'c': 0, 'lo': lo, 'hi': hi, 't': token} ORDER BY lo, hi), lambda acc, h: list_append(acc, {'c': coalesce(list_min(list_transform(list_filter(acc, lambda k: greatest(least(k.hi, h.hi) - greatest(k.lo, h.lo), 0) / greatest(least(k.hi - k.lo, h.hi - h.lo), 1) >= 0.5), lambda k: k.c)), coalesce(list_max(list_transform(acc, lambda k: k.c)) + 1, 0)), 'lo': h.lo, 'hi': h.hi, 't': h.t}), []::STRUCT(c INT, lo BIGINT, hi BIGINT, t VARCHAR)[]) AS m FROM f WHERE category = 'ORI' GROUP BY 1),
+l AS (SELECT x.plasmid_id, m.c AS c, bool_or(w.token IS NOT NULL) AS own FROM (SELECT plasmid_id, unnest(m) AS m FROM o) x LEFT JOIN w ON w.plasmid_id = x.plasmid_id AND w.token = x.m.t GROUP BY 1, 2),
+n AS (SELECT plasmid_id, count(*) AS ori, count(*) FILTER (WHERE NOT own) AS free FROM l GROUP BY 1),
+a AS (SELECT f.plasmid_id, count(*) FILTER (WHERE category = 'AMR') AS amr, count(*) FILTER (WHERE w.token IS NULL AND category IN ('AMR', 'REPORTER', 'TAG')) AS others FROM f LEFT JOIN w USING (plasmid_id, token) GROUP BY 1),
+p AS (SELECT x.plasmid_id, count(*) AS pairs FROM (SELECT f.* FROM f JOIN w USING (plasmid_id, token) WHERE category = 'PROM') x JOIN (SELECT f.* FROM f JOIN w USING (plasmid_id, token) WHERE category IN ('AMR', 'REPORTER', 'TAG')) y ON x.plasmid_id = y.plasmid_id WHERE greatest(y.lo - x.hi, x.lo - y.hi, 0) <= 500 GROUP BY 1),
+z AS (SELECT plasmid_id, coalesce(ori, 0) AS ori, coalesce(amr, 0) AS amr, coalesce(others, 0) + coalesce(free, 0) AS extra, coalesce(pairs, 0) AS pairs, coalesce(length(sequence), 0) AS size FROM (SELECT plasmid_id FROM ptok) LEFT JOIN n USING (plasmid_id) LEFT JOIN a USING (plasmid_id) LEFT JOIN p USING (plasmid_id) LEFT JOIN seqs USING (plasmid_id))
+SELECT plasmid_id, ori AS ori_count, amr AS amr_count, extra AS unrequested, pairs, round(1 + 0.05::DOUBLE * pairs - 0.15::DOUBLE * greatest(ori - 1, 0) - 0.1::DOUBLE * greatest(amr - 2, 0) - 0.05::DOUBLE * extra - least(0.01::DOUBLE * greatest(size - 8000, 0) / 1000, 0.15::DOUBLE), 4)::DOUBLE AS multiplier FROM z"""
+
+
+@query(_STRUCTURE)
 def score_structural_pairs(spark, d):
-    """A base score times the structural multiplier, with pairs of near promoters and coding features counted, within 0 and 1."""
+    """Structure of every plasmid with a prompt: origins by locus, markers, what nobody asked for, asked promoters near genes that they drive, and the multiplier."""
+    asked = plasmid_tokens(spark, d).join(sequences(spark, d), "plasmid_id", "left")
+    asked = asked.select(F.col("plasmid_id").alias("id"), F.explode("tokens").alias("token"), F.coalesce(F.length("sequence"), F.lit(0)).alias("length"))
     a = annotations(spark, d).join(registry(spark, d), "sseqid")
-    spans = a.select("plasmid_id", F.col("ln").alias("id"), F.col("qstart").alias("lo"), F.col("qend").alias("hi"), "category")
-    near = intervals.near_pairs(spans.where("category = 'PROM'").drop("category"), spans.where(F.col("category").isin(*features.CODING)).drop("category"), "plasmid_id", 100)
-    pairs = near.groupBy("plasmid_id").agg(F.count("*").alias("p"))
-    of = lambda c: F.count_if(F.col("category") == c)
-    extra = F.count_if(F.col("category").isin("AMR", "ORI", "REPORTER", "TAG") & (F.col("ln") % 3 == 0))
-    s = a.groupBy("plasmid_id").agg((F.sum("percmatch") / (F.count("*") * F.lit(97.0))).alias("base"), of("ORI").alias("o"), of("AMR").alias("a"), extra.alias("x"), (F.sum(F.col("qend") - F.col("qstart")) * 10).alias("n"))
-    s = s.join(pairs, "plasmid_id", "left").withColumn("p", F.coalesce("p", F.lit(0)))
-    multiplier = scoring.structural_multiplier(F.col("o"), F.col("a"), F.col("x"), F.col("n"), F.col("p"))
-    return s.select("plasmid_id", F.round(F.least(F.greatest(F.col("base") * multiplier, F.lit(0.0)), F.lit(1.0)), 6).alias("score"))
+    # of equal matches the first line counts
+    placed = a.select(F.col("plasmid_id").alias("id"), "token", F.col("qstart").alias("lo"), F.col("qend").alias("hi"), (F.col("percmatch") * 1000 - F.col("ln")).alias("bit_score"))
+    out = structure(asked, placed)
+    return out.select(F.col("id").alias("plasmid_id"), "ori_count", "amr_count", F.size("unrequested").cast("long").alias("unrequested"), F.size("pairs").cast("long").alias("pairs"), "multiplier")
 
 
 @query("SELECT event_id, CASE WHEN rev THEN len - 1 - ((e + 1) * 3 - 1 + f) ELSE s * 3 + f END AS dna_start, CASE WHEN rev THEN len - 1 - (s * 3 + f) ELSE (e + 1) * 3 - 1 + f END AS dna_end FROM (SELECT event_id, lo AS s, hi AS e, event_id % 3 AS f, event_id % 2 = 1 AS rev, 10000 + user_id AS len FROM hit)")
@@ -294,8 +308,8 @@ def _proteins(m):
     return m.select("sseqid", protein.alias("protein")).where((F.length("protein") >= LEAST_PROTEIN) & ~F.contains("protein", F.lit("*")))
 
 
-def _protein_hits(spark, d):
-    m, s = _proteins(motifs(spark, d)), sequences(spark, d)
+def _protein_hits(spark, d, s=None, m=None):
+    m, s = _proteins(motifs(spark, d) if m is None else m), sequences(spark, d) if s is None else s
     pairs = homology.protein_candidates(m, s).join(m, "sseqid").join(s, "plasmid_id")
     return homology.translated_hits(pairs).where("coverage >= 30 and pct_id >= 60")
 
@@ -309,12 +323,41 @@ def _dna_hits(spark, d):
     return hit.select("plasmid_id", "sseqid", "strand", F.col("h.start").alias("start"), F.col("h.end").alias("end"), *homology.metrics(F.col("n"))).where("coverage >= 30 and pct_id >= 60")
 
 
+def filled_motifs(spark, d):
+    """Motifs without N, of 30 bases or more."""
+    return motifs(spark, d).select("sseqid", dna.fill_n(F.col("motif")).alias("motif")).where("length(motif) >= 30")
+
+
+def constructs(spark, d):
+    """Every document's bases followed by a filled motif: on even ids its first seven tenths, on odd ids its protein in other codons."""
+    from strandline.operators.order import number_rows
+
+    m = number_rows(filled_motifs(spark, d), ["sseqid"], "nth")
+    n = max(1, m.count())
+    again = dna.back_translate(dna.translate(F.col("motif"), 0, "*"))
+    s = sequences(spark, d).join(m, F.pmod("plasmid_id", F.lit(n)) == F.col("nth"))
+    piece = F.when(F.col("plasmid_id") % 2 == 0, F.substr("motif", F.lit(1), F.floor(F.length("motif") * 0.7).cast("int"))).otherwise(again)
+    return s.select("plasmid_id", F.concat("sequence", piece).alias("sequence"))
+
+
 @query()
 def search_translated(spark, d):
     """Motifs' proteins found in any of the six frames, with their places in the DNA."""
     return _protein_hits(spark, d)
 
 
+@query()
+def search_translated_constructs(spark, d):
+    """search_translated over documents to which motifs in other codons were added."""
+    return _protein_hits(spark, d, constructs(spark, d), filled_motifs(spark, d))
+
+
+@query()
+def align_repair_constructs(spark, d):
+    """align_repair_all over documents to which parts of motifs were added."""
+    return _repaired(filled_motifs(spark, d), constructs(spark, d))
+
+
 @query()
 def search_three_pass(spark, d):
     """Motif search by DNA and by protein; overlaps are suppressed within a motif and then among all, by score per letter."""
@@ -341,10 +384,15 @@ def score_batch(spark, d):
 @query()
 def align_repair_all(spark, d):
     """Sequences whose weak hits (identity 90 or more, coverage 40 to 85; the best of each motif) are replaced by the motifs, from the right, overlapping ones left out."""
-    hit = _candidates(spark, d).select("plasmid_id", "sseqid", "motif", align.semi_global_hit("motif", "sequence").alias("h"))
+    return _repaired(motifs(spark, d), sequences(spark, d))
+
+
+def _repaired(m, s):
+    c = kmer_candidates(m, s).select("plasmid_id", "sseqid").join(m, "sseqid").join(s, "plasmid_id")
+    hit = c.select("plasmid_id", "sseqid", "motif", align.semi_global_hit("motif", "sequence").alias("h"))
     n = F.length("motif")
     weak = hit.where((100 * F.col("h.matches") / F.greatest(F.col("h.matches") + F.col("h.mismatches"), F.lit(1)) >= 90) & (100 * F.col("h.matches") / n >= 40) & (100 * F.col("h.matches") / n < 85))
     listed = weak.groupBy("plasmid_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("h.start")).alias("from_right"), "sseqid", F.col("h.start").alias("start"), F.col("h.end").alias("end"), "motif"))).alias("r"))
-    return dna.splice(listed.join(sequences(spark, d), "plasmid_id"), "sequence", "r").select("plasmid_id", "repaired", "n_repairs")
+    return dna.splice(listed.join(s, "plasmid_id"), "sequence", "r").select("plasmid_id", "repaired", "n_repairs")
 
 

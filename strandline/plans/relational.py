@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import dna, tokens
+from strandline.operators.homology import resolve_subjects
+from strandline.sources.files import good_annotations
 
 from .views import annotations, hits, metadata, plasmid_tokens, registry, sequences, table, with_views
 
@@ -64,10 +66,13 @@ def filter_annotation_qc_registry(spark, d):
     return annotations(spark, d).where((F.col("percmatch") >= 95) & ~F.coalesce("fragment", F.lit(False))).select("plasmid_id", "sseqid", "ln")
 
 
-@query("SELECT plasmid_id, sseqid, ln FROM (SELECT *, CASE WHEN sseqid % 10 = 0 THEN NULL ELSE percmatch END AS pm FROM ann) WHERE pm IS NULL OR pm >= 95")
+@query("SELECT 'both' AS columns, plasmid_id, sseqid, ln FROM (SELECT *, CASE WHEN sseqid % 10 = 0 THEN NULL ELSE percmatch END AS pm FROM ann) WHERE (pm IS NULL OR pm >= 95) AND NOT coalesce(fragment, false) UNION ALL SELECT 'no fragment', plasmid_id, sseqid, ln FROM (SELECT *, CASE WHEN sseqid % 10 = 0 THEN NULL ELSE percmatch END AS pm FROM ann) WHERE pm IS NULL OR pm >= 95 UNION ALL SELECT 'no percmatch', plasmid_id, sseqid, ln FROM ann WHERE NOT coalesce(fragment, false)")
 def filter_annotation_qc_eval(spark, d):
-    pm = F.when(F.col("sseqid") % 10 == 0, None).otherwise(F.col("percmatch"))
-    return annotations(spark, d).where(pm.isNull() | (pm >= 95)).select("plasmid_id", "sseqid", "ln")
+    """Annotations that pass: each check only where its column is there, and nulls pass. Once with both columns, once without either."""
+    a = annotations(spark, d).withColumn("percmatch", F.when(F.col("sseqid") % 10 == 0, None).otherwise(F.col("percmatch")))
+    views = (("both", a), ("no fragment", a.drop("fragment")), ("no percmatch", a.drop("percmatch")))
+    kept = [good_annotations(df).select(F.lit(name).alias("columns"), "plasmid_id", "sseqid", "ln") for name, df in views]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
 @query("SELECT p AS min_pident, m AS min_percmatch, count(*) FILTER (WHERE pident >= p AND percmatch >= m) AS n FROM ann, (VALUES (90), (95), (99)) a(p), (VALUES (50), (80), (95)) b(m) GROUP BY 1, 2")
@@ -77,9 +82,12 @@ def filter_threshold_grid(spark, d):
     return counts.select(F.inline(F.array(*[F.struct(F.lit(p).alias("min_pident"), F.lit(m).alias("min_percmatch"), F.col(f"c{i}").alias("n")) for i, (p, m) in enumerate(grid)])))
 
 
-@query("SELECT plasmid_id, length(sequence) AS n FROM seqs WHERE length(sequence) BETWEEN 200 AND 1500")
+@query("SELECT plasmid_id, length(sequence) AS n, n_hard FROM seqs JOIN (SELECT plasmid_id, len(tokens) AS n_hard FROM ptok) USING (plasmid_id) WHERE length(sequence) BETWEEN 200 AND 1500 AND n_hard >= 2")
 def filter_length_and_tokens(spark, d):
-    return sequences(spark, d).select("plasmid_id", F.length("sequence").cast("long").alias("n")).where("n between 200 and 1500")
+    """Sequences of 200 to 1500 bases whose prompt has two hard tokens or more."""
+    s = sequences(spark, d).select("plasmid_id", F.length("sequence").cast("long").alias("n")).where("n between 200 and 1500")
+    p = plasmid_tokens(spark, d).select("plasmid_id", F.size(tokens.hard_tokens(F.col("tokens"))).cast("long").alias("n_hard"))
+    return s.join(p, "plasmid_id").where("n_hard >= 2")
 
 
 @query("SELECT plasmid_id, sseqid, ln, round(least(85 + 15 * exp(-(qend - qstart) / 100.0::DOUBLE), 99), 6) AS limit_pct FROM ann WHERE pident >= least(85 + 15 * exp(-(qend - qstart) / 100.0::DOUBLE), 99)")
@@ -231,6 +239,17 @@ def join_subject_resolution(spark, d):
     return registry(spark, d).select("sseqid", dna.fasta_id(full).alias("clean"), F.element_at(F.split(full, "\\|"), -1).alias("subject"), dup.cast("long").alias("dup"))
 
 
+@query(", h AS (SELECT plasmid_id, ln, CASE sseqid % 3 WHEN 0 THEN 'gnl|db|' || sseqid ELSE '' END || CASE WHEN sseqid % 3 = 1 THEN regexp_replace('id ' || sseqid, '[^A-Za-z0-9_.-]', '_', 'g') WHEN sseqid % 3 = 2 THEN 'id ' || sseqid ELSE '' END AS subject FROM ann), k AS (SELECT CASE WHEN sseqid % 3 = 0 THEN sseqid::VARCHAR ELSE 'id ' || sseqid END AS id, token FROM reg WHERE sseqid % 7 <> 0), r AS (SELECT h.*, split_part(subject, '|', -1) AS own FROM h) SELECT plasmid_id, ln, subject, coalesce(a.token, b.token) AS token FROM r LEFT JOIN k a ON a.id = own LEFT JOIN k b ON regexp_replace(b.id, '[^A-Za-z0-9_.-]', '_', 'g') = own WHERE coalesce(a.token, b.token) IS NOT NULL")
+def join_subject_tokens(spark, d):
+    """Tokens of hits by their subject: its last field between pipes as an id, else as an id made safe for FASTA."""
+    n, text = F.col("sseqid") % 3, F.col("sseqid").cast("string")
+    named = F.concat(F.lit("id "), text)
+    subject = F.when(n == 0, F.concat(F.lit("gnl|db|"), text)).when(n == 1, dna.fasta_id(named)).otherwise(named)
+    h = annotations(spark, d).select("plasmid_id", "ln", subject.alias("subject"))
+    known = registry(spark, d).where("sseqid % 7 <> 0").select(F.when(n == 0, text).otherwise(named).alias("sseqid"), "token")
+    return resolve_subjects(h, known, "subject")
+
+
 @query("SELECT a.conv_id, a.turn, length(a.text) AS prompt_chars, length(b.text) AS reply_chars FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0")
 def join_positional_zip(spark, d):
     c = table(spark, d, "conversations")

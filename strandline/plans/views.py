@@ -42,11 +42,6 @@ def motifs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("sseqid"), dna.clean_dna(F.col("text")).alias("motif"))
 
 
-def prefixes(spark: SparkSession, d: str) -> DataFrame:
-    """motifs cut to 60 bases, which is what the view mot of the given SQL holds."""
-    return motifs(spark, d).withColumn("motif", F.substring("motif", 1, 60))
-
-
 def metadata(spark: SparkSession, d: str) -> DataFrame:
     joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     vectors = F.lit("Other")
@@ -81,7 +76,7 @@ ann AS (SELECT l_orderkey AS plasmid_id, l_partkey AS sseqid, l_linenumber AS ln
         CASE WHEN l_linenumber = 7 THEN NULL ELSE l_returnflag = 'R' END AS fragment, l_linenumber * 100 AS qstart, l_linenumber * 100 + l_quantity::INT * 10 AS qend FROM lineitem),
 reg AS (SELECT p_partkey AS sseqid, p_name AS feature, {_case('p_type', TYPE_CATEGORY, 'AMR')} AS category, '<' || category || '_' || replace(upper(p_brand), '#', '') || '>' AS token, p_size AS seq_len FROM part),
 seqs AS (SELECT doc_id AS plasmid_id, regexp_replace(regexp_replace(upper(text), '<[^>]+>', '', 'g'), '[^ATGCN]', '', 'g') AS sequence FROM documents),
-mot AS (SELECT item_id AS sseqid, substring(regexp_replace(regexp_replace(upper(text), '<[^>]+>', '', 'g'), '[^ATGCN]', '', 'g'), 1, 60) AS motif FROM benchmark),
+mot AS (SELECT item_id AS sseqid, regexp_replace(regexp_replace(upper(text), '<[^>]+>', '', 'g'), '[^ATGCN]', '', 'g') AS motif FROM benchmark),
 meta AS (SELECT o_orderkey AS id, '{{"vector_types":["' || {_case('c_mktsegment', SEGMENT_VECTORS, 'Other')} || '"],"backbone":"pBB ' || c_nationkey || '.v/1"}}' AS cloning,
         CASE WHEN o_orderkey % 50 = 0 THEN 'broken{{' ELSE '[{{"species":[["' || c_nationkey || '","Species ' || (c_nationkey % 5) || '"],["9"]]}}]' END AS inserts, o_orderpriority AS plasmid_copy
         FROM orders JOIN customer ON o_custkey = c_custkey),

@@ -6,6 +6,7 @@ import hashlib
 import html
 import json
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +17,9 @@ from strandline.functions import dna, tokens
 # The columns of tabular search output.
 HIT_COLUMNS = "qseqid string, sseqid string, pident double, length int, mismatch int, gapopen int, qstart int, qend int, sstart int, send int, evalue double, bitscore double, nident int, slen int"
 
+# The names that annotators give the sample's column, in the order in which they are tried.
+SAMPLE_COLUMNS = ("sample_id", "qseqid", "plasmid_id", "Plasmid")
+
 
 def first_column(df: DataFrame, *names: str) -> Column:
     """The first of the names that df has; ValueError if it has none."""
@@ -97,6 +101,22 @@ def has_hard_tokens(df: DataFrame) -> Column:
     return F.lit(True)
 
 
+def good_annotations(df: DataFrame, min_percmatch: float = 95.0) -> DataFrame:
+    """Annotations of percmatch or more that are no fragments; a null passes, and so does every row where df lacks the column."""
+    if "percmatch" in df.columns:
+        df = df.where(F.col("percmatch").isNull() | (F.col("percmatch") >= min_percmatch))
+    return df.where(~F.coalesce(F.col("fragment"), F.lit(False))) if "fragment" in df.columns else df
+
+
+def sample_column(df: DataFrame) -> str:
+    """The column that names the sample of an annotator's table; ValueError if there is none."""
+    return next((c for c in SAMPLE_COLUMNS if c in df.columns), None) or _no_column(SAMPLE_COLUMNS, df)
+
+
+def _no_column(names: tuple[str, ...], df: DataFrame) -> str:
+    raise ValueError(f"none of {', '.join(names)} in {', '.join(df.columns)}")
+
+
 def display_columns(df: DataFrame, *wanted: str) -> DataFrame:
     """df with those of the wanted columns that it has, in the order wanted."""
     return df.select(*[c for c in wanted if c in df.columns])
@@ -145,6 +165,33 @@ def write_table(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").format("parquet").saveAsTable(name)
 
 
+def merge_table(df: DataFrame, name: str, by: list[str]) -> None:
+    """df's partitions (of the columns by) in place of the table's own, all others as they are; the table is made if there is none.
+
+    Columns that the table lacks are added, null in its other rows, and columns
+    that df lacks are null in its rows. A column of another type is an error before
+    anything is written; a write that fails leaves every partition as it was, as
+    files are moved in place when all tasks are done.
+    """
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(name):
+        df.write.partitionBy(*by).format("parquet").saveAsTable(name)
+        return
+    have = {f.name: f.dataType for f in spark.table(name).schema}
+    if wrong := [f.name for f in df.schema if f.name in have and f.dataType != have[f.name]]:
+        raise ValueError(f"{', '.join(wrong)}: other types than in {name}")
+    if new := [f for f in df.schema if f.name not in have]:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in new)})")
+    fields = spark.table(name).schema
+    rows = df.select(*[F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    mode, key = spark.conf.get("spark.sql.sources.partitionOverwriteMode"), "spark.sql.sources.partitionOverwriteMode"
+    spark.conf.set(key, "dynamic")
+    try:
+        rows.write.mode("overwrite").insertInto(name)
+    finally:
+        spark.conf.set(key, mode)
+
+
 def write_registry(df: DataFrame, json_path: str, parquet_path: str) -> None:
     """A registry of token, sseqid and other columns as one JSON object a token with its sequences nested, and as flat Parquet."""
     inner = F.array_sort(F.collect_list(F.struct("sseqid", *[c for c in df.columns if c not in ("token", "sseqid")])))
@@ -186,10 +233,23 @@ def report_tables(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return summary, category
 
 
-def write_report(results: DataFrame, path: str) -> None:
-    """A Markdown report of report_tables: a row a model, and a row a model and category, so it stays small whatever the results' size."""
+def report_lines(results: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+    """section, at, model, name and line of a Markdown report: of models, categories, every prompt, and probes (model, token, hit) where given."""
     summary, category = report_tables(results)
-    head = lambda names: f"| {' | '.join(names)} |\n|{'-|' * len(names)}"
-    line = lambda df: [f"| {' | '.join(f'{v:.4f}' if isinstance(v, float) else str(v) for v in r)} |" for r in df.collect()]
-    body = ["# Evaluation", "", "## Models", "", head(summary.columns), *line(summary.orderBy("model")), "", "## Categories", "", head(category.columns), *line(category.orderBy("model", "category")), ""]
-    results.sparkSession.createDataFrame([("\n".join(body),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    each = results.groupBy("model", "prompt").agg(F.sum("requested").alias("requested"), F.sum("found").alias("found"))
+    tables = [("Models", summary, None), ("Categories", category, "category"), ("Prompts", each.withColumn("share", F.col("found") / F.greatest("requested", F.lit(1))), "prompt")]
+    if probes is not None:
+        tables.append(("Probes", probes.select("model", "token", F.col("hit").cast("string").alias("hit")), "token"))
+    out = []
+    for i, (title, df, name) in enumerate(tables):
+        cells = [F.coalesce(F.format_string("%.4f", c) if kind == "double" else F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c, kind in df.dtypes]
+        line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+        head = [f"## {title}", "", f"| {' | '.join(df.columns)} |", f"|{'-|' * len(df.columns)}"]
+        head = results.sparkSession.createDataFrame([(i, 0, "", f"{k}", x) for k, x in enumerate(head)] + [(i, 2, "", "", "")], "section int, at int, model string, name string, line string")
+        out += [head, df.select(F.lit(i).alias("section"), F.lit(1).alias("at"), F.col("model").cast("string").alias("model"), (F.col(name) if name else F.lit("")).cast("string").alias("name"), line.alias("line"))]
+    return reduce(DataFrame.unionByName, out)
+
+
+def write_report(results: DataFrame, path: str, probes: DataFrame | None = None) -> None:
+    """report_lines as text files whose order is the report's; sections of a row a prompt stay distributed."""
+    report_lines(results, probes).orderBy("section", "at", "model", "name").select("line").write.mode("overwrite").text(path)
