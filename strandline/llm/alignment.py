@@ -17,6 +17,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,16 @@ from pyspark.sql import functions as F
 
 from .common import Table, checkpoint, text_blocks, utf8
 from .packing import MAX_FILE_BYTES, read_tokenizer
-from .units import Known, binaries
+from .units import Known, binaries, flattened
 
 #: B ids are dealt over so many stripes by their remainder.
 STRIPES = 256
 #: Pairs that a task adds up at most, about; beyond, a stripe's pairs are added up in parts first.
 PAIRS_PER_TASK = 8 << 20
+#: Distinct units that a worker remembers at most.
+KNOWN_UNITS = 200_000
 #: Bytes of text that make a block.
-BLOCK_TEXT = 16 << 20
+BLOCK_TEXT = 6 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
@@ -68,6 +71,14 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(odd)}
 
 
+def _taken(column: pa.Array, rows: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of rows, and where each row's begin (and the last's end)."""
+    got = column.take(pa.array(rows))
+    size = np.dtype(kind).itemsize
+    ends = np.frombuffer(got.buffers()[1], np.int64, len(rows) + 1) // size
+    return np.frombuffer(got.buffers()[2], kind, ends[-1]), ends
+
+
 class Pair:
     """Two tokenizers: A, byte-level with its splitting pattern, and B, of pieces that never go on over a space."""
 
@@ -88,8 +99,8 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = self.b.piece_to_id("▁")
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.a_names, self.b_names = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
-        self.known = Known(self.work_out)
+        self.names = pa.array([f"{i}{end}".encode() for size, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for i in range(size) for end in ends], pa.large_binary())
+        self.known = Known(self.work_out, KNOWN_UNITS)
 
     def b_ids(self, units: list[str]) -> list[list[int]]:
         """B's ids of units; B sets a space before each by itself, which the unit has or must lose again."""
@@ -101,6 +112,15 @@ class Pair:
                 out[i] = out[i][1:] if out[i][:1] == [self.space] else []
         return out
 
+    @staticmethod
+    def rejoined(ids: list[list[int]], table: list[bytes], units: list[bytes]) -> np.ndarray:
+        """Whether each unit's tokens join to its bytes."""
+        if b"".join([table[i] for i in chain.from_iterable(ids)]) == b"".join(units):
+            sizes = np.array(list(map(len, table)), np.int64)
+            flat, n = flattened(ids)
+            return np.diff(np.concatenate(([0], np.cumsum(sizes[flat])))[np.concatenate(([0], np.cumsum(n)))]) == np.fromiter(map(len, units), np.int64, len(units))
+        return np.array([b"".join([table[i] for i in x]) == u for x, u in zip(ids, units, strict=True)], bool)
+
     def work_out(self, units: list[bytes]) -> list[pa.Array]:
         """Of each unit: its groups as text, each closed by ;, its linked pairs (b, a as one number), and its counts.
 
@@ -108,34 +128,37 @@ class Pair:
         """
         texts = [u.decode() for u in units]
         a_ids, b_ids = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b_ids(texts)
-        good = [b"".join([self.a_bytes[i] for i in x]) == u and b"".join([self.b_bytes[i] for i in y]) == u for u, x, y in zip(units, a_ids, b_ids, strict=True)]
-        a_ids, b_ids = ([x if g else [] for x, g in zip(ids, good, strict=True)] for ids in (a_ids, b_ids))
-        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a_ids, b_ids))
-        a, b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (a_ids, b_ids))
+        good = self.rejoined(a_ids, self.a_bytes, units) & self.rejoined(b_ids, self.b_bytes, units)
+        if not good.all():
+            a_ids, b_ids = ([x if g else [] for x, g in zip(ids, good, strict=True)] for ids in (a_ids, b_ids))
+        (a, n_a), (b, n_b) = flattened(a_ids), flattened(b_ids)
         a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         unit = np.repeat(np.arange(len(units)), n_a)
 
-        both = np.intersect1d(a_ends, b_ends)
-        a_cut, b_cut = np.searchsorted(a_ends, both) + 1, np.searchsorted(b_ends, both) + 1
-        a_names, b_names = [self.a_names[i] for i in a.tolist()], [self.b_names[i] for i in b.tolist()]
-        groups, i, j = [], 0, 0
-        for x, y in zip(a_cut.tolist(), b_cut.tolist(), strict=True):
-            groups.append(f"{','.join(a_names[i:x])}|{','.join(b_names[j:y])};")
-            i, j = x, y
+        # a group ends where tokens of both end; A's and then B's of a group, each with what follows it
+        last = b_ends[np.minimum(np.searchsorted(b_ends, a_ends), max(0, len(b_ends) - 1))] == a_ends if len(a) else np.zeros(0, bool)
+        a_cut = np.flatnonzero(last) + 1
+        b_cut = np.searchsorted(b_ends, a_ends[last]) + 1
+        names = np.empty(len(a) + len(b), np.int64)
+        a_group, b_group = np.repeat(np.arange(len(a_cut)), np.diff(a_cut, prepend=0)), np.repeat(np.arange(len(b_cut)), np.diff(b_cut, prepend=0))
+        closes = np.zeros(len(b), bool)
+        closes[b_cut - 1] = True
+        names[np.arange(len(a)) + np.concatenate(([0], b_cut))[a_group]] = 2 * a + last
+        names[np.arange(len(b)) + a_cut[b_group]] = 2 * (len(self.a_sizes) + b) + closes
+        text, at = _taken(self.names, names, "u1")
+        run = at[np.concatenate(([0], np.cumsum(n_a + n_b)))]
         n_groups = np.bincount(unit[a_cut - 1], minlength=len(units))
-        sizes = np.fromiter(map(len, groups), np.int64, len(groups))
-        run = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(n_groups)))]
 
         low = np.searchsorted(b_ends, a_ends - self.a_sizes[a], side="right")
         n = np.searchsorted(b_ends, a_ends, side="left") - low + 1
         linked = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
         pairs = b[linked] * len(self.a_sizes) + np.repeat(a, n)
         n_links = np.bincount(unit, weights=n, minlength=len(units)).astype(np.int64)
-        counts = np.stack([n_a, n_b, n_groups, n_links, np.array(good, np.int64)], axis=1).astype("<i8")
+        counts = np.stack([n_a, n_b, n_groups, n_links, good], axis=1).astype("<i4")
         return [
-            binaries(np.frombuffer("".join(groups).encode(), np.uint8), np.diff(run)),
+            binaries(text, np.diff(run)),
             binaries(pairs.astype("<i8").view(np.uint8), 8 * n_links),
-            binaries(counts.ravel().view(np.uint8), np.full(len(units), 40)),
+            binaries(counts.ravel().view(np.uint8), np.full(len(units), 20)),
         ]
 
 
@@ -144,14 +167,6 @@ def _pair(file: str, model: bytes) -> Pair:
     return Pair(file, model)
 
 
-def _taken(column: pa.Array, rows: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The values of rows, and where each row's begin (and the last's end)."""
-    got = column.take(pa.array(rows))
-    size = np.dtype(kind).itemsize
-    ends = np.frombuffer(got.buffers()[1], np.int64, len(rows) + 1) // size
-    return np.frombuffer(got.buffers()[2], kind, ends[-1]), ends
-
-
 BLOCK_SCHEMA = "block long, key {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units array<int>, lengths array<int>, places array<int>, pairs array<long>, n array<long>"
 
 
@@ -159,7 +174,7 @@ def _block(pair: Pair, block: int, keys: pa.Array, texts: pa.Array) -> Iterator[
     """Rows of one block: one a document, and one of the block's units and pairs."""
     units, counts = cut_units(texts)
     rows = pair.known.rows(units)
-    stats = _taken(pair.known.columns[2], rows, "<i8")[0].reshape(-1, 5)
+    stats = _taken(pair.known.columns[2], rows, "<i4")[0].reshape(-1, 5)
     ends = np.concatenate(([0], np.cumsum(counts)))
     bad = np.diff(np.concatenate(([0], np.cumsum(stats[:, 4] == 0)))[ends]) > 0
     empty = np.array(utf8(texts)[1][1:] == utf8(texts)[1][:-1])
@@ -167,7 +182,7 @@ def _block(pair: Pair, block: int, keys: pa.Array, texts: pa.Array) -> Iterator[
     rows, stats = rows[keep], stats[keep]
     counts = np.where(bad | empty, 0, counts)
     ends = np.concatenate(([0], np.cumsum(counts)))
-    totals = np.diff(np.concatenate((np.zeros((1, 5), np.int64), np.cumsum(stats, axis=0)))[ends], axis=0)
+    totals = [np.diff(np.concatenate(([0], np.cumsum(stats[:, i], dtype=np.int64)))[ends]) for i in range(4)]
     text, at = _taken(pair.known.columns[0], rows, "u1")
     whole = memoryview(text)
     digests = [hashlib.sha256(whole[a : b - 1]).hexdigest() if b > a else "" for a, b in zip(at[ends[:-1]].tolist(), at[ends[1:]].tolist(), strict=True)]
@@ -177,7 +192,7 @@ def _block(pair: Pair, block: int, keys: pa.Array, texts: pa.Array) -> Iterator[
     pairs, places = np.unique(flat, return_inverse=True)
     n = np.bincount(places, weights=np.repeat(np.bincount(place, minlength=len(used)), np.diff(at)), minlength=len(pairs))
     rest = len(keys)
-    documents = [pa.array(np.full(rest, block)), keys, *[pa.array(totals[:, i]) for i in range(4)], pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place.astype(np.int32)))]
+    documents = [pa.array(np.full(rest, block)), keys, *[pa.array(x) for x in totals], pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place.astype(np.int32)))]
     names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
     kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
     yield pa.RecordBatch.from_arrays([*documents, *[pa.nulls(rest, k) for k in kinds]], names)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import _LOWER, text_blocks, utf8
-from .units import Known, binaries, words
+from .units import Known, binaries, flattened, words
 
 #: Tokens of a sequence; the token that ends a document.
 SEQUENCE, END = 2048, 1
@@ -35,6 +35,8 @@ SEQUENCE, END = 2048, 1
 ATTENTION = 1 / 6144
 #: A tokenizer file above this size isn't sent to the tasks.
 MAX_FILE_BYTES = 64 << 20
+#: Distinct words that a worker remembers at most.
+KNOWN_WORDS = 600_000
 #: Bytes of text that are packed together.
 PACK_BYTES = 16 << 20
 
@@ -59,15 +61,14 @@ class Encoder:
             raise ValueError("this tokenizer's ids depend on white space")
         self.lowers = '"Lowercase"' in json.dumps(json.loads(file)["normalizer"])
         self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = Known(self.work_out)
+        self.known = Known(self.work_out, KNOWN_WORDS)
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def work_out(self, units: list[bytes]) -> list[pa.Array]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return [binaries(np.fromiter((i for x in found for i in x), "<u4", lengths.sum()).view(np.uint8), 4 * lengths)]
+        ids, lengths = flattened([e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)])
+        return [binaries(ids.astype("<u4").view(np.uint8), 4 * lengths)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts with END after each, and where each text's begin (and the last's end)."""
