@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +55,18 @@ def kmers(seq: Column, k: int) -> Column:
 
 
 def kmerize(seq: Column, k: int, stride: int) -> Column:
-    """Windows every stride bases; a last one padded with A reaches the end."""
-    last = F.greatest(F.ceil((F.length(seq) - k) / stride), F.lit(0)).cast("int") * stride
-    return F.when(F.length(seq) > 0, F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.rpad(F.substr(seq, i + 1, F.lit(k)), k, "A"))).otherwise(F.array().cast("array<string>"))
+    """Windows every stride bases; a last one padded with A reaches the end.
+
+    The padded sequence is cut into runs of stride bases once, and a window is put
+    together from the runs that it spans, so the work is linear in the length.
+    """
+    n = F.greatest(F.ceil((F.length(seq) - k) / stride), F.lit(0)).cast("int") + 1
+    runs = -(-k // stride)
+    padded = F.rpad(seq, (n + runs - 1) * stride, "A")
+    cut = F.array(F.regexp_extract_all(padded, F.lit(f"(?s).{{{stride}}}"), F.lit(0)))  # bound once, not by window
+    window = lambda x, i: F.substr(F.concat(*[F.get(x, i + j) for j in range(runs)]), F.lit(1), F.lit(k))
+    parts = F.flatten(F.transform(cut, lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - runs), lambda i: window(x, i))))
+    return F.when(F.length(seq) > 0, parts).otherwise(F.array().cast("array<string>"))
 
 
 def kmer_decode(parts: Column, stride: int) -> Column:
@@ -64,11 +75,21 @@ def kmer_decode(parts: Column, stride: int) -> Column:
     return F.when(n > 0, F.concat(F.array_join(F.transform(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda x: F.substr(x, F.lit(1), F.lit(stride))), ""), F.try_element_at(parts, F.lit(-1)))).otherwise("")
 
 
+#: Positions whose base for N is looked up in a constant; those beyond are worked out.
+KNOWN_FILLS = 1 << 14
+
+
+@lru_cache(maxsize=1)
+def _fills() -> str:
+    return "".join("ACGT"[int(hashlib.md5(str(i).encode()).hexdigest()[-1], 16) % 4] for i in range(KNOWN_FILLS))
+
+
 def fill_n(seq: Column) -> Column:
     """Each N becomes ACGT[md5(position) mod 4]; only the last hex digit matters."""
-    chars = F.split(seq, "")
+    chars, known = F.split(seq, ""), F.split(F.lit(_fills()), "")  # the latter is folded into one constant
     pick = lambda i: F.substr(F.lit("ACGT"), (F.conv(F.right(F.md5(i.cast("string").cast("binary")), F.lit(1)), 16, 10).cast("int") % 4 + 1), F.lit(1))
-    filled = F.array_join(F.transform(chars, lambda c, i: F.when(c == "N", pick(i)).otherwise(c)), "")
+    fill = lambda i: F.when(i < KNOWN_FILLS, F.get(known, i)).otherwise(pick(i))
+    filled = F.array_join(F.transform(chars, lambda c, i: F.when(c == "N", fill(i)).otherwise(c)), "")
     return F.when(F.contains(seq, F.lit("N")), filled).otherwise(seq)
 
 

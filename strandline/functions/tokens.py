@@ -37,10 +37,9 @@ def hard_tokens(tokens: Column, prefixes: Iterable[str] = HARD_PREFIXES, exclude
 
 
 def category_rank(token: Column, order: tuple[str, ...] = CATEGORY_ORDER) -> Column:
-    out = F.lit(UNKNOWN_ORDER)
-    for i, name in reversed(list(enumerate(order, 1))):
-        out = F.when(category_of(token) == name, i).otherwise(out)
-    return out
+    """The category's place in the order, from 1; UNKNOWN_ORDER for others. The category is worked out once."""
+    place = F.array_position(F.array(*[F.lit(name) for name in order]), category_of(token))
+    return F.coalesce(F.nullif(place, F.lit(0)), F.lit(UNKNOWN_ORDER)).cast("int")
 
 
 def canonical(tokens: Column, order: tuple[str, ...] = CATEGORY_ORDER) -> Column:

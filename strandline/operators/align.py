@@ -296,19 +296,16 @@ def semi_global_hit(motif: pd.Series, target: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(traced(motif.fillna("").tolist(), target.fillna("").tolist()), columns=list(_FIELDS)).astype("int32")
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in (*_FIELDS, "frame")]))
-def protein_hit(protein: pd.Series, frames: pd.Series) -> pd.DataFrame:
-    """The best place of a protein in the best of a row's frames (BLOSUM62, gaps 11 and 1; the first of equals), and that frame's number.
+def protein_hits(proteins: Sequence[str], frames: Sequence[Sequence[str | None]]) -> list[dict[str, int]]:
+    """The best place of each protein in the best of its row's frames (BLOSUM62, gaps 11 and 1; the first of equals), and that frame's number.
 
     Only the best frame is traced. Zeros and frame -1 without a protein or frames.
     """
-    proteins = protein.fillna("").tolist()
-    pairs = [(i, k, x) for i, row in enumerate(frames) for k, x in enumerate(row if row is not None and proteins[i] else []) if x]
+    pairs = [(i, k, x) for i, row in enumerate(frames) if proteins[i] for k, x in enumerate(row) if x]
     score, end = (x.tolist() for x in scores_within([proteins[i] for i, _, _ in pairs], [x for _, _, x in pairs], PROTEIN, 11, 1))
     best: dict[int, tuple[int, int, str, int]] = {}
     for (i, k, x), s, e in zip(pairs, score, end, strict=True):
         if i not in best or s > best[i][0]:
             best[i] = (s, e, x, k)
     none = dict.fromkeys(_FIELDS, 0) | {"frame": -1}
-    out = [semi_global(proteins[i], best[i][2], PROTEIN, 11, 1, best[i][:2]) | {"frame": best[i][3]} if i in best else none for i in range(len(proteins))]
-    return pd.DataFrame(out, columns=[*_FIELDS, "frame"]).astype("int32")
+    return [semi_global(proteins[i], best[i][2], PROTEIN, 11, 1, best[i][:2]) | {"frame": best[i][3]} if i in best else none for i in range(len(proteins))]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-from itertools import product
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,50 +15,121 @@ from pyspark.sql import types as T
 from strandline.functions import dna
 from strandline.functions.proteins import AMINO_ACIDS, protein_scores
 from strandline.operators import align
+from strandline.operators.order import checkpoint
 
 #: Letters of a seed, and the least score of a word against a protein's word for it to be its neighbour.
 WORD, NEIGHBOUR = 4, 17
 #: Seeds on diagonals of one band, and its width, that make a pair of protein and sequence worth aligning.
 SEEDS, BAND = 2, 16
-#: Amino acids of a piece of a frame whose words are listed at a time.
-PIECE = 600
+#: Rows of a seed index that are broadcast at most (some 40 bytes each); beyond, words are shuffled.
+BROADCAST_SEEDS = 1_000_000
+#: All words there can be; a word's code has a digit of base 20 for each letter.
+WORDS = len(AMINO_ACIDS) ** WORD
 
 
 @lru_cache(maxsize=1)
-def _words() -> tuple[np.ndarray, np.ndarray]:
-    """All words of WORD amino acids, as text and as indices."""
-    index = np.array(list(product(range(len(AMINO_ACIDS)), repeat=WORD)), np.int8)
-    return np.array(["".join(AMINO_ACIDS[i] for i in row) for row in index.tolist()]), index
+def _letters() -> np.ndarray:
+    """The letters of all words, as places in AMINO_ACIDS."""
+    return np.stack(np.unravel_index(np.arange(WORDS), (len(AMINO_ACIDS),) * WORD), axis=1).astype(np.int8)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+def word_code(word: str) -> int | None:
+    """A word's code; None if it isn't WORD amino acids."""
+    at = [AMINO_ACIDS.find(c) for c in word]
+    return None if len(at) != WORD or -1 in at else reduce(lambda x, y: x * len(AMINO_ACIDS) + y, at)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def neighbours(words: pd.Series) -> pd.Series:
-    """The words that score NEIGHBOUR or more against each word (BLOSUM62), with itself; none for other letters."""
-    text, index = _words()
+    """Codes of the words that score NEIGHBOUR or more against each word (BLOSUM62), with its own; none for other letters."""
+    letters = _letters()
     table = protein_scores()[np.ix_(*[np.frombuffer(AMINO_ACIDS.encode(), np.uint8)] * 2)].astype(np.int16)
     out = []
     for word in words:
-        if word is None or set(word) - set(AMINO_ACIDS) or len(word) != WORD:
+        code = word_code(word) if word else None
+        if code is None:
             out.append([])
             continue
-        score = sum(table[AMINO_ACIDS.index(c)][index[:, i]] for i, c in enumerate(word))
-        out.append(sorted({word, *text[score >= NEIGHBOUR].tolist()}))
+        score = sum(table[AMINO_ACIDS.index(c)][letters[:, i]] for i, c in enumerate(word))
+        out.append(sorted({code, *np.flatnonzero(score >= NEIGHBOUR).tolist()}))
     return pd.Series(out)
 
 
 def seed_index(proteins: DataFrame, key: str = "sseqid", protein: str = "protein") -> DataFrame:
-    """key, at (place in the protein) and word, for every word near one of the protein's. Distinct words are looked up once."""
+    """key, at (place in the protein) and word (a code), for every word near one of the protein's. Distinct words are looked up once."""
     own = proteins.where(F.length(protein) >= WORD).select(key, F.posexplode(F.regexp_extract_all(protein, F.lit(f"(?=(.{{{WORD}}}))"), F.lit(1))).alias("at", "own"))
     near = own.select("own").distinct().select("own", F.explode(neighbours("own")).alias("word"))
     return own.join(near, "own").select(key, "at", "word")
 
 
-def frame_words(sequences: DataFrame, key: str = "plasmid_id", sequence: str = "sequence") -> DataFrame:
-    """key, frame (0 to 5: f0, r0, f1, r1, f2, r2), at and word of every frame's words; frames are cut into pieces that overlap."""
-    frames = sequences.select(key, F.posexplode(dna.six_frames(F.col(sequence), "*")).alias("frame", "x")).where(F.length("x") >= WORD)
-    pieces = frames.select(key, "frame", "x", F.explode(F.sequence(F.lit(0), F.greatest(F.length("x") - WORD, F.lit(0)), F.lit(PIECE))).alias("from"))
-    pieces = pieces.select(key, "frame", "from", F.substr("x", F.col("from") + 1, F.lit(PIECE + WORD - 1)).alias("piece"))
-    return pieces.select(key, "frame", "from", F.posexplode(F.regexp_extract_all("piece", F.lit(f"(?=(.{{{WORD}}}))"), F.lit(1))).alias("i", "word")).select(key, "frame", (F.col("from") + F.col("i")).alias("at"), "word")
+#: The place of a codon that holds other letters than TCAG, past all others.
+_OTHER = 64
+_FRAME_LETTERS = np.frombuffer((dna.AMINO + "X").encode(), np.uint8)
+_PLACES = np.array([AMINO_ACIDS.find(c) for c in dna.AMINO + "X"], np.int8)
+
+
+def _codons(seq: str) -> list[np.ndarray]:
+    """The codons of the six frames (f0, r0, f1, r1, f2, r2) as places in the genetic code."""
+    digit, back = np.full(256, _OTHER, np.int64), np.arange(256, dtype=np.uint8)
+    digit[np.frombuffer(b"TCAG", np.uint8)] = range(4)
+    back[np.frombuffer(b"ACGT", np.uint8)] = np.frombuffer(b"TGCA", np.uint8)
+    bases = np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)
+    out = []
+    for k in range(3):
+        for strand in (bases, back[bases[::-1]]):
+            d = digit[strand[k:]]
+            n = 3 * (len(d) // 3)
+            out.append(np.minimum(16 * d[0:n:3] + 4 * d[1:n:3] + d[2:n:3], _OTHER))
+    return out
+
+
+def six_frames(seq: str) -> list[str]:
+    """The proteins of the six frames, stops as *, as dna.six_frames has them."""
+    return [_FRAME_LETTERS[x].tobytes().decode() for x in _codons(seq)]
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("score", "start", "end", "matches", "mismatches", "gaps", "frame")]))
+def protein_hit(protein: pd.Series, sequence: pd.Series) -> pd.DataFrame:
+    """align.protein_hits in the frames of a sequence; each distinct sequence of a batch is translated once."""
+    frames = {s: six_frames(s) for s in sequence.dropna().unique()}
+    rows = align.protein_hits(protein.fillna("").tolist(), [frames.get(s, []) for s in sequence])
+    return pd.DataFrame(rows, columns=["score", "start", "end", "matches", "mismatches", "gaps", "frame"]).astype("int32")
+
+
+def frame_words(sequences: DataFrame, known: DataFrame, key: str = "plasmid_id", sequence: str = "sequence") -> DataFrame:
+    """key, frame, at and word (a code): where the six frames have one of the known words (a column word).
+
+    Which words are known is sent to the tasks as one flag a word there can be, of
+    which there are WORDS, so only words that meet something leave a task.
+    """
+    flags = np.zeros(WORDS, bool)
+    flags[[r["word"] for r in known.select("word").distinct().collect()]] = True  # WORDS rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, frames, places, words = [], [], [], []
+            for i, seq in enumerate(batch.column(1).to_pylist()):
+                for frame, x in enumerate(_PLACES[c] for c in _codons(seq or "")):
+                    n = len(x) - WORD + 1
+                    if n < 1:
+                        continue
+                    code, whole = np.zeros(n, np.int64), np.ones(n, bool)
+                    for j in range(WORD):
+                        part = x[j : j + n]
+                        code, whole = code * len(AMINO_ACIDS) + part, whole & (part >= 0)
+                    at = np.flatnonzero(whole)
+                    at = at[flags[code[at]]]
+                    rows.append(np.full(len(at), i))
+                    frames.append(np.full(len(at), frame, np.int32))
+                    places.append(at.astype(np.int32))
+                    words.append(code[at].astype(np.int32))
+            if rows:
+                picked = batch.column(0).take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([picked, *[pa.array(np.concatenate(x)) for x in (frames, places, words)]], [key, "frame", "at", "word"])
+
+    picked = sequences.select(key, sequence)
+    schema = T.StructType([picked.schema[key], *[T.StructField(c, T.IntegerType()) for c in ("frame", "at", "word")]])
+    return picked.mapInArrow(run, schema)
 
 
 def protein_candidates(proteins: DataFrame, sequences: DataFrame, key: str = "sseqid", target: str = "plasmid_id") -> DataFrame:
@@ -67,8 +139,9 @@ def protein_candidates(proteins: DataFrame, sequences: DataFrame, key: str = "ss
     words in a join; a pair and band is a count, combined before it is shuffled.
     Bands overlap by half, so seeds half a band apart always share one.
     """
-    index = seed_index(proteins, key).select(key, F.col("at").alias("__own"), "word")
-    met = frame_words(sequences, target).join(index, "word")
+    index = checkpoint(seed_index(proteins, key).select(key, F.col("at").alias("__own"), "word"))
+    index = F.broadcast(index) if index.count() <= BROADCAST_SEEDS else index
+    met = frame_words(sequences, index, target).join(index, "word")
     band = F.floor((F.col("at") - F.col("__own")) / (BAND // 2))
     met = met.select(target, key, "frame", "__own", F.explode(F.array(band, band + 1)).alias("band")).distinct()
     return met.groupBy(target, key, "frame", "band").agg(F.count("*").alias("n")).where(F.col("n") >= SEEDS).select(target, key).distinct()
@@ -87,7 +160,7 @@ def translated_hits(pairs: DataFrame, protein: str = "protein", sequence: str =
     mirrored. Pairs without protein or frames are left out.
     """
     columns = [c for c in pairs.columns if c not in (protein, sequence)]
-    hit = pairs.withColumn("h", align.protein_hit(F.col(protein), dna.six_frames(F.col(sequence), "*"))).where("h.frame >= 0 and h.end > h.start")
+    hit = pairs.withColumn("h", protein_hit(F.col(protein), F.col(sequence))).where("h.frame >= 0 and h.end > h.start")
     low, high = dna.frame_to_dna(F.col("h.start"), F.col("h.end") - 1, F.floor(F.col("h.frame") / 2), F.col("h.frame") % 2 == 1, F.length(sequence))
     return hit.select(*columns, "h.score", "h.frame", low.cast("int").alias("start"), (high + 1).cast("int").alias("end"), *metrics(F.length(protein)))
 

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.operators.order import RANGE_ROWS, checkpoint
-from strandline.operators.scan import new_groups, running_max
+from strandline.operators.order import RANGE_ROWS, checkpoint, ranged
+from strandline.operators.scan import max_before, new_groups
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -34,9 +34,9 @@ def overlap_share(a: Column, b: Column) -> Column:
 def islands(hits: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
     """hits (with inclusive lo, hi and event_id) and their island, a run of spans that no gap splits, named by its first lo."""
     order = ["lo", "hi", "event_id"]
-    reach = running_max(hits, keys, order, "hi", "__reach", rows)
+    reach = max_before(ranged(hits, [*keys, *order], rows_per_range=rows), keys, order, "hi", "__reach")
     opened = reach.withColumn("__open", F.when(F.col("__reach").isNull() | (F.col("lo") > F.col("__reach")), F.col("lo"))).drop("__reach")
-    return running_max(opened, keys, order, "__open", "__last", rows).withColumn("island", F.coalesce("__open", "__last")).drop("__open", "__last")
+    return max_before(opened, keys, order, "__open", "__last").withColumn("island", F.coalesce("__open", "__last")).drop("__open", "__last", "__part")
 
 
 def _greedy(lo: list[int], hi: list[int], best: list[int], sure: list[bool], edge: list[bool], limit: float) -> list[int]:

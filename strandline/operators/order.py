@@ -27,6 +27,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt by the columns to at least as many partitions as tasks can run: for work that is dear by the row, where partitions sized by bytes would be few."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *columns)
+
+
 def range_count(n: int, rows_per_range: int | None = None) -> int:
     """How many ranges n rows are dealt by."""
     return max(1, min(MAX_RANGES, -(-n // (rows_per_range or RANGE_ROWS))))

@@ -95,11 +95,15 @@ def affine_scan(df: DataFrame, keys: list[str], order: list[str], scale: str, ad
 
 def running_max(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, rows: int | None = None) -> DataFrame:
     """df with name: the largest value of the rows before each one of its group, in order; null for the first."""
-    done = ranged(df, [*keys, *order], rows_per_range=rows)
+    return max_before(ranged(df, [*keys, *order], rows_per_range=rows), keys, order, value, name).drop("__part")
+
+
+def max_before(done: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """running_max of rows that are dealt by ranges of keys and order already, with __part."""
     within = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     parts = done.groupBy("__part", *keys).agg(F.max(value).alias("__top"))
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range and group
     parts = parts.withColumn("__before", F.max("__top").over(earlier)).where("__before is not null").drop("__top")  # one a range at most
     same = F.expr(" and ".join(["d.__part = p.__part", *[f"d.`{k}` <=> p.`{k}`" for k in keys]]))
     out = done.withColumn("__within", F.max(value).over(within)).alias("d").join(F.broadcast(parts).alias("p"), same, "left")
-    return out.select("d.*", F.greatest("d.__within", "p.__before").alias(name)).drop("__within", "__part")
+    return out.select("d.*", F.greatest("d.__within", "p.__before").alias(name)).drop("__within")

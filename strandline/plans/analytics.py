@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import dna, tokens
 from strandline.operators import align, intervals, scoring
+from strandline.operators.order import spread
 from strandline.operators.scan import affine_scan
 
 from .relational import ORACLE_SQL, QUERIES, query
@@ -194,15 +195,21 @@ def score_length_shaped(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(F.when(n > 3500, F.greatest(F.lit(0.5), 1 - 0.3 * (n - 3500) / F.lit(3500.0))).otherwise(1.0) + 0.15, 6).alias("reward"))
 
 
+def candidate_pairs(m, s):
+    """kmer_candidates with motif and sequence, spread for the alignments to come."""
+    pairs = kmer_candidates(m, s).select("plasmid_id", "sseqid")
+    return spread(pairs.join(m, "sseqid").join(s, "plasmid_id"), "plasmid_id", "sseqid")
+
+
 @query()
 def align_local_ratio(spark, d):
-    c = kmer_candidates(motifs(spark, d), sequences(spark, d)).join(motifs(spark, d), "sseqid").join(sequences(spark, d), "plasmid_id")
+    c = candidate_pairs(motifs(spark, d), sequences(spark, d))
     return c.select("plasmid_id", "sseqid", F.greatest(align.local_ratio("motif", "sequence"), align.local_ratio(dna.reverse_complement(F.col("motif")), "sequence")).alias("ratio"))
 
 
 @query()
 def align_semiglobal(spark, d):
-    c = kmer_candidates(motifs(spark, d), sequences(spark, d)).join(motifs(spark, d), "sseqid").join(sequences(spark, d), "plasmid_id")
+    c = candidate_pairs(motifs(spark, d), sequences(spark, d))
     hit = c.select("plasmid_id", "sseqid", F.length("motif").alias("n"), align.semi_global_hit("motif", "sequence").alias("h"))
     return hit.select("plasmid_id", "sseqid", "h.*", (100 * F.col("h.matches") / F.greatest(F.col("h.matches") + F.col("h.mismatches"), F.lit(1))).alias("pct_id"), (100 * F.col("h.matches") / F.col("n")).alias("coverage"), (F.col("h.score") / F.col("n")).alias("norm_score"))
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from strandline.functions import dna, features, tokens
 from strandline.operators import align, homology, intervals, scoring
-from strandline.operators.order import checkpoint
+from strandline.operators.order import checkpoint, spread
 from strandline.scorers import AlignmentScorer
 from strandline.scorers.structure import structure
 
-from .analytics import _frame, kmer_candidates, loci
+from .analytics import _frame, candidate_pairs, kmer_candidates, loci
 from .relational import query
 from .views import annotations, hits, motifs, plasmid_tokens, registry, sequences, table
 
@@ -283,8 +283,7 @@ def str_prompt_hash(spark, d):
 
 
 def _candidates(spark, d):
-    c = kmer_candidates(motifs(spark, d), sequences(spark, d)).select("plasmid_id", "sseqid")
-    return c.join(motifs(spark, d), "sseqid").join(sequences(spark, d), "plasmid_id")
+    return candidate_pairs(motifs(spark, d), sequences(spark, d))
 
 
 @query()
@@ -311,7 +310,7 @@ def _proteins(m):
 def _protein_hits(spark, d, s=None, m=None):
     m, s = _proteins(motifs(spark, d) if m is None else m), sequences(spark, d) if s is None else s
     pairs = homology.protein_candidates(m, s).join(m, "sseqid").join(s, "plasmid_id")
-    return homology.translated_hits(pairs).where("coverage >= 30 and pct_id >= 60")
+    return homology.translated_hits(spread(pairs, "plasmid_id", "sseqid")).where("coverage >= 30 and pct_id >= 60")
 
 
 def _dna_hits(spark, d):
@@ -340,6 +339,21 @@ def constructs(spark, d):
     return s.select("plasmid_id", F.concat("sequence", piece).alias("sequence"))
 
 
+@query(""", b AS (SELECT plasmid_id AS qseqid, token, ln % 2 AS o, ln, sseqid, percmatch * 3 + ln % 3 AS bits, least(pident + 2, 100) AS pid, pident + 2 AS raw, least(100.0::DOUBLE * (qend - qstart) / greatest(seq_len * 12, 1), 100) AS coverage, (percmatch * 3 + ln % 3) / greatest(seq_len * 12, 1) AS norm, qstart, qend FROM ann JOIN reg USING (sseqid))
+SELECT qseqid, token, arg_max(sseqid::VARCHAR, k) AS sseqid, max(bits) AS bitscore, round(arg_max(pid, k), 6) AS pct_id, round(arg_max(coverage, k), 6) AS coverage, round(arg_max(norm, k), 6) AS norm_score, arg_max(qstart, k) AS lo, arg_max(qend, k) AS hi, CASE WHEN arg_max(o, k) = 0 THEN 'nucleotide' ELSE 'translated' END AS search
+FROM (SELECT *, bits * 1000000 - o * 100000 - qstart AS k FROM b WHERE coverage >= 30 AND raw >= 95) GROUP BY 1, 2""")
+def agg_token_hits(spark, d):
+    """The best hit of each token in either of two searches' tables, with its places; annotations of odd lines stand for the translated search's."""
+    a = annotations(spark, d).join(registry(spark, d), "sseqid")
+    rows = a.select(
+        F.col("plasmid_id").alias("qseqid"), F.col("sseqid").cast("string").alias("sseqid"), (F.col("pident") + 2).alias("pident"), (F.col("qend") - F.col("qstart")).alias("length"), "qstart", "qend",
+        F.lit(0.0).alias("evalue"), (F.col("percmatch") * 3 + F.col("ln") % 3).alias("bitscore"), (F.col("seq_len") * 12).alias("slen"), "ln",
+    )
+    known = registry(spark, d).select(F.col("sseqid").cast("string").alias("sseqid"), "token")
+    best = homology.token_hits(rows.where("ln % 2 = 0").drop("ln"), rows.where("ln % 2 = 1").drop("ln"), known, min_identity=95.0)
+    return best.select("qseqid", "token", "sseqid", "bitscore", *[F.round(c, 6).alias(c) for c in ("pct_id", "coverage", "norm_score")], "lo", "hi", "search")
+
+
 @query()
 def search_translated(spark, d):
     """Motifs' proteins found in any of the six frames, with their places in the DNA."""
@@ -388,8 +402,7 @@ def align_repair_all(spark, d):
 
 
 def _repaired(m, s):
-    c = kmer_candidates(m, s).select("plasmid_id", "sseqid").join(m, "sseqid").join(s, "plasmid_id")
-    hit = c.select("plasmid_id", "sseqid", "motif", align.semi_global_hit("motif", "sequence").alias("h"))
+    hit = candidate_pairs(m, s).select("plasmid_id", "sseqid", "motif", align.semi_global_hit("motif", "sequence").alias("h"))
     n = F.length("motif")
     weak = hit.where((100 * F.col("h.matches") / F.greatest(F.col("h.matches") + F.col("h.mismatches"), F.lit(1)) >= 90) & (100 * F.col("h.matches") / n >= 40) & (100 * F.col("h.matches") / n < 85))
     listed = weak.groupBy("plasmid_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("h.start")).alias("from_right"), "sseqid", F.col("h.start").alias("start"), F.col("h.end").alias("end"), "motif"))).alias("r"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import dna
 from strandline.operators import align
+from strandline.operators.order import spread
 
 from .base import LEAST_BASES, Scorer, wanted
 
@@ -29,7 +30,7 @@ class AlignmentScorer(Scorer):
     def ratios(self, pairs: DataFrame) -> DataFrame:
         """id, at, token, ratio for the wanted tokens that lookup has."""
         asked = wanted(pairs, EXCLUDED).where((F.length("seq") >= LEAST_BASES) & F.col("token").isNotNull())
-        each = asked.join(self.lookup.withColumn("dna_seq", F.upper("dna_seq")), "token")
+        each = spread(asked.join(self.lookup.withColumn("dna_seq", F.upper("dna_seq")), "token"), "id", "at", "token", "dna_seq")
         back = dna.reverse_complement(F.col("dna_seq"))
         by_dna = F.greatest(align.local_ratio("dna_seq", "seq"), align.local_ratio(back, "seq"))
         coding = F.when(F.coalesce("is_cds", F.lit(False)), F.col("protein_seq"))

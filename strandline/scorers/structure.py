@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import features, tokens
 from strandline.operators import intervals
+from strandline.operators.order import checkpoint
 
 
 @dataclass(frozen=True)
@@ -55,9 +56,10 @@ def structure(asked: DataFrame, hits: DataFrame, weights: Weights = Weights()) -
     for, or an origin none of whose tokens was; pairs count if both their tokens
     were asked for. A row of asked whose token is null asks for none.
     """
+    asked = checkpoint(asked.select("id", "token", "length"))
     sizes = asked.groupBy("id").agg(F.max("length").alias("length"))
     wanted = asked.where("token is not null").select("id", "token").distinct().withColumn("asked", F.lit(True))
-    best = best_places(hits.join(sizes.select("id"), "id", "left_semi"))
+    best = checkpoint(best_places(hits.join(sizes.select("id"), "id", "left_semi")))
     found = best.join(wanted, ["id", "token"], "left").withColumn("kind", tokens.category_of(F.col("token")))
     plain = found.groupBy("id").agg(
         F.count_if(F.col("kind") == "AMR").alias("amr_count"),

@@ -1,3 +1,5 @@
+import pytest
+from pyspark.sql import functions as F
 from strandline.sources import files
 
 
@@ -100,7 +102,20 @@ def test_report(spark, tmp_path):
     assert ("m1", "TOTAL", 5, 4) in {tuple(r) for r in category.collect()} and category.count() == 5
     files.write_report(df, str(tmp_path / "r"))
     text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "r")).collect())
-    assert "| m1 | 2 | 0.8750 | 0.8000 | 1 |" in text
+    assert "| m1 | 2 | 0.8750 | 0.8000 | 1 |" in text and "## Probes" not in text
+
+
+def test_report_sections_in_order(spark, tmp_path):
+    from strandline.sources import files
+
+    rows = [("m2", "p|q", "AMR", 2, 1), ("m1", "b", "ORI", 1, 1), ("m1", "a", "AMR", 3, 0), ("m1", "a", "ORI", 1, 1)]
+    probes = spark.createDataFrame([("m1", "<T_2>", True), ("m1", "<T_1>", False)], "model string, token string, hit boolean")
+    files.write_report(spark.createDataFrame(rows, "model string, prompt string, category string, requested int, found int").repartition(3), str(tmp_path / "r"), probes)
+    lines = [x.rstrip("\n") for f in sorted((tmp_path / "r").glob("part-*")) for x in open(f)]
+    assert [x for x in lines if x.startswith("## ")] == ["## Models", "## Categories", "## Prompts", "## Probes"]
+    at = lines.index("## Prompts")
+    assert lines[at + 2 : at + 7] == ["| model | prompt | requested | found | share |", "|-|-|-|-|-|", "| m1 | a | 4 | 1 | 0.2500 |", "| m1 | b | 1 | 1 | 1.0000 |", "| m2 | p\\|q | 2 | 1 | 0.5000 |"]
+    assert lines[-3:-1] == ["| m1 | <T_1> | false |", "| m1 | <T_2> | true |"]
 
 
 def test_prompt_filter_and_display(spark):
@@ -112,3 +127,38 @@ def test_prompt_filter_and_display(spark):
     flagged = spark.createDataFrame([(1, True), (2, None)], "id int, has_hard_tokens boolean")
     assert flagged.where(files.has_hard_tokens(flagged)).count() == 1
     assert files.display_columns(df, "none", "reward_motifs", "id").columns == ["reward_motifs", "id"]
+
+
+def test_merge_table(spark):
+    """Partitions are replaced one by one, schemas grow, and a write that fails leaves what was there."""
+    from strandline.sources import files
+
+    spark.sql("DROP TABLE IF EXISTS merged_test")
+    first = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, v string, day string")
+    try:
+        files.merge_table(first, "merged_test", ["day"])
+        files.merge_table(spark.createDataFrame([("x", 5, 9.5)], "day string, id int, `new one` double"), "merged_test", ["day"])
+        rows = lambda: {tuple(r) for r in spark.table("merged_test").select("id", "v", "new one", "day").collect()}
+        want = {(5, None, 9.5, "x"), (2, "b", None, "y")}
+        assert rows() == want
+        with pytest.raises(ValueError, match="id: other types"):
+            files.merge_table(spark.createDataFrame([("1", "x")], "id string, day string"), "merged_test", ["day"])
+        broken = spark.range(4).select(F.col("id").cast("int"), F.when(F.col("id") == 3, F.raise_error(F.lit("lost"))).otherwise("z").alias("v"), F.lit("y").alias("day"))
+        with pytest.raises(Exception, match="lost"):
+            files.merge_table(broken.repartition(4), "merged_test", ["day"])
+        assert rows() == want and spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+        files.merge_table(spark.createDataFrame([(7, "c", "z")], "id int, v string, day string"), "merged_test", ["day"])
+        assert rows() == want | {(7, "c", None, "z")}
+    finally:
+        spark.sql("DROP TABLE IF EXISTS merged_test")
+
+
+def test_good_annotations_and_sample_columns(spark):
+    from strandline.sources import files
+
+    df = spark.createDataFrame([(1, 96.0, False), (2, 94.0, None), (3, None, None), (4, 99.0, True)], "plasmid_id int, percmatch double, fragment boolean")
+    ids = lambda d: [r["plasmid_id"] for r in files.good_annotations(d).orderBy("plasmid_id").collect()]
+    assert (ids(df), ids(df.drop("fragment")), ids(df.drop("percmatch")), ids(df.select("plasmid_id"))) == ([1, 3], [1, 3, 4], [1, 2, 3], [1, 2, 3, 4])
+    assert files.sample_column(df) == "plasmid_id" and files.sample_column(df.withColumn("qseqid", F.lit(1))) == "qseqid"
+    with pytest.raises(ValueError, match="sample_id"):
+        files.sample_column(df.select("percmatch"))

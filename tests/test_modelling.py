@@ -85,15 +85,26 @@ def test_translated_search_in_all_frames(spark, tmp_path):
 def test_neighbour_words(spark):
     from strandline.operators import homology
 
-    got = spark.createDataFrame([("WWWW",), ("AAAA",), ("A*AA",), (None,), ("LLLL",)], "w string").select("w", homology.neighbours("w").alias("n")).collect()
+    got = dict(spark.createDataFrame([("WWWW",), ("AAAA",), ("A*AA",), (None,), ("LLLL",)], "w string").select("w", homology.neighbours("w").alias("n")).collect())
     table = proteins.protein_scores()
-    for w, near in got:
-        if w is None or "*" in w:
-            assert near == []
-            continue
+    text = lambda code: "".join(proteins.AMINO_ACIDS[code // 20**i % 20] for i in (3, 2, 1, 0))
+    assert got["A*AA"] == got[None] == [] and homology.word_code("ARND") == 20 * (20 * (20 * 0 + 1) + 2) + 3
+    for w in ("WWWW", "AAAA", "LLLL"):
         score = lambda x, w=w: sum(int(table[ord(a), ord(b)]) for a, b in zip(w, x, strict=True))
-        assert w in near and all(score(x) >= homology.NEIGHBOUR or x == w for x in near)
-    assert len({r["w"]: r["n"] for r in got}["WWWW"]) > 1
+        assert w in map(text, got[w]) and all(score(text(x)) >= homology.NEIGHBOUR or text(x) == w for x in got[w])
+    assert len(got["WWWW"]) > 1
+
+
+def test_frame_words_are_those_of_the_frames(spark):
+    from strandline.operators import homology
+
+    draw = random.Random(6)
+    seqs = ["".join(draw.choices("ACGTN", weights=[9, 9, 9, 9, 1], k=n)) for n in (0, 2, 11, 12, 300, 301, 302)]
+    known = {homology.word_code("".join(draw.choices(proteins.AMINO_ACIDS, k=4))) for _ in range(60_000)}
+    got = homology.frame_words(spark.createDataFrame(list(enumerate([*seqs, None])), "plasmid_id int, sequence string"), spark.createDataFrame([(k,) for k in known], "word int")).collect()
+    frames = {r["i"]: r["f"] for r in spark.createDataFrame(list(enumerate(seqs)), "i int, s string").select("i", dna.six_frames(F.col("s"), "*").alias("f")).collect()}
+    want = {(i, k, a, c) for i, f in frames.items() for k, x in enumerate(f) for a in range(len(x or "") - 3) if (c := homology.word_code(x[a : a + 4])) in known}
+    assert {tuple(r) for r in got} == want and len(want) > 20
 
 
 def test_token_hits_of_both_searches(spark):

@@ -185,3 +185,65 @@ def test_softmax_and_schedule(spark):
     assert sum(p) == pytest.approx(1) and p[1] / p[0] == pytest.approx(2.718281828, rel=1e-6)
     rates = [r[0] for r in spark.range(0, 101, 10).select(scoring.warm_cosine(F.col("id"), 20, 100, 1.0)).collect()]
     assert max(rates) == pytest.approx(1) and rates[-1] == pytest.approx(0, abs=1e-9)
+
+
+def test_sketches_keep_their_rank_error(spark):
+    """Grouped, merged from many small sketches, scalar and array; ranks against the sorted values."""
+    from strandline.operators import sketches
+
+    draw = random.Random(3)
+    data = [(k, draw.randint(0, 30), float(int(draw.expovariate(0.01))) if k == "a" else draw.gauss(0, 1)) for k in "ab" for _ in range(20_000)]
+    df = spark.createDataFrame([*data, ("a", 1, None), ("none", 1, None)], "k string, day int, v double")
+    q = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
+    parts = sketches.sketches(df, "v", ["k", "day"], 0.01)
+    got = {r["k"]: r["q"] for r in sketches.merged(parts, ["k"], 0.01).select("k", sketches.quantile(F.col("sketch"), q).alias("q")).collect()}
+    one = {r["k"]: r["q"] for r in sketches.approximate_quantiles(df, "v", 0.5, ["k"]).collect()}
+    for k in "ab":
+        values = sorted(v for x, _, v in data if x == k)
+        for share, v in [*zip(q, got[k], strict=True), (0.5, one[k])]:
+            low, high = (sum(x < v for x in values), sum(x <= v for x in values))
+            assert low / len(values) - 0.01 <= share <= high / len(values) + 0.01
+    assert got["none"] is None and one["none"] is None
+    assert sketches.sketch_size(0.01) < sketches.sketch_size(0.005)
+    with pytest.raises(ValueError, match="rank error"):
+        sketches.sketch_size(1e-9)
+
+
+def test_algorithms(spark):
+    from strandline.operators.algorithms import build_algorithm
+
+    df = spark.createDataFrame([(i // 4, float(r)) for i, r in enumerate([1, 2, 3, 4, 10, 20, 30, 40, 5, 5, 5, 5])] + [(None, 3.0)], "group int, reward double")
+    by = {}
+    for r in build_algorithm("grpo").advantages(df).collect():
+        by.setdefault(r["group"], []).append(r["advantage"])
+    assert sum(by[0]) == pytest.approx(0) and sorted(by[0]) == pytest.approx(sorted(by[1])) and by[2] == [0.0] * 4 and by[None] == [0.0]
+    alone = build_algorithm("ppo").advantages(df.where("group is null")).first()
+    assert alone["advantage"] == 3.0
+    plain = [r["advantage"] for r in build_algorithm("ppo").advantages(df.limit(5)).collect()]
+    assert sum(plain) == pytest.approx(0)
+    assert build_algorithm("grpo").loss_name == "grpo" and "kl" in str(build_algorithm("grpo").loss(kl=0.5))
+    with pytest.raises(KeyError, match="ppo"):
+        build_algorithm("nothing")
+
+
+def test_batched_alignments_equal_the_recurrences(spark):
+    """Groups of many lengths at once, DNA and proteins, empty ones among them, against one pair at a time and the direct recurrences."""
+    from strandline.functions.proteins import AMINO_ACIDS
+
+    draw = random.Random(12)
+    for table, gap_open, gap_extend, letters in ((align.LOCAL_DNA, 5, 1, "ACGTN"), (align.WITHIN_DNA, 5, 2, "ACGTN"), (align.PROTEIN, 11, 1, AMINO_ACIDS + "*X")):
+        q, t = (["".join(draw.choices(letters, k=draw.randint(0, k))) for _ in range(200)] for k in (40, 120))
+        for i in range(0, 200, 2):
+            at = draw.randint(0, len(t[i]))
+            t[i] = t[i][:at] + "".join(draw.choice(letters) if draw.random() < 0.1 else c for c in q[i] if draw.random() > 0.05) + t[i][at:]
+        local = align.local_scores(q, t, table, gap_open, gap_extend)
+        score, end = align.scores_within(q, t, table, gap_open, gap_extend)
+        for i in range(200):
+            assert local[i] == align.local_score(q[i], t[i], table, gap_open, gap_extend)
+            assert (score[i], end[i]) == (align.within_score(q[i], t[i], table, gap_open, gap_extend) if q[i] and t[i] else (0, 0))
+    q, t = (["".join(draw.choices("ACGT", k=draw.randint(1, k))) for _ in range(40)] for k in (14, 25))
+    assert align.local_scores(q, t).tolist() == [slow_local(a, b) for a, b in zip(q, t, strict=True)]
+    assert align.scores_within(q, t)[0].tolist() == [slow_semi(a, b) for a, b in zip(q, t, strict=True)]
+    long = "".join(draw.choices("ACGT", k=9000))
+    assert align.scores_within([long[:6000], "ACGT"], [long, long])[0].tolist() == [30_000, 20 if "ACGT" in long else 0]
+    assert align.local_scores([], []).tolist() == []

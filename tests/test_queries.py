@@ -10,6 +10,8 @@ SAMPLE = ["join_training_pairs", "join_hard_assignment", "filter_threshold_grid"
 SAMPLE += ["agg_prompt_summary", "agg_confusion_counts", "agg_describe", "agg_separation_checks", "agg_router_layers", "router_load_balance", "loss_masked", "loss_dpo_reference", "agg_step_metrics", "window_ema_advantage", "batch_cycle", "score_demo"]
 SAMPLE += ["token_ids", "detokenize_text", "tokens_validated", "map_feature_patterns", "map_feature_dictionary", "interval_adjacency_affinity", "score_structural_pairs", "cigar_metrics", "seq_negatives", "prompt_negatives", "seq_kmer_containment", "agg_separation_auroc", "agg_registry_rollup"]
 
+SAMPLE += ["agg_label_accuracy", "interval_nms_token", "filter_annotation_qc_eval", "filter_length_and_tokens", "join_subject_tokens", "agg_advantages", "tokenize_characters", "seq_n_replace"]
+
 
 @pytest.mark.parametrize("name", SAMPLE)
 def test_against_sql(spark, tiny, name):
@@ -52,3 +54,21 @@ def test_token_counts_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("counted").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["token"], r["n"]) for r in spark.sql("select * from counted").collect()) == [("<A>", 1), ("<A>", 2), ("<B>", 1)]
+
+
+def test_planted_constructs_are_found(spark, tiny):
+    """Motifs in other codons are found by their proteins, and parts of motifs are repaired."""
+    hits = QUERIES["search_translated_constructs"](spark, tiny).collect()
+    assert hits and all(r["coverage"] >= 30 and r["pct_id"] >= 60 for r in hits) and {r["plasmid_id"] % 2 for r in hits} == {1}
+    assert QUERIES["align_repair_constructs"](spark, tiny).where("n_repairs > 0").count() > 50
+
+
+def test_sketched_percentiles(spark, tiny):
+    import numpy as np
+
+    rows = spark.read.parquet(f"{tiny}/events.parquet").select("event_type", "value").collect()
+    for r in QUERIES["agg_profile_sketch"](spark, tiny).collect():
+        values = np.array(sorted(x["value"] for x in rows if x["event_type"] == r["event_type"]))
+        assert r["n"] == len(values)
+        for q, v in [(0.5, r["median"]), *zip((0.25, 0.75, 0.9, 0.95, 0.99), r["percentiles"], strict=True)]:
+            assert abs(np.searchsorted(values, v) / len(values) - q) <= 0.02
