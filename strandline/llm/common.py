@@ -6,6 +6,7 @@ boundaries are found on the UTF-8 bytes of a whole block of documents at once.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. In local mode one is made where none is set; on a cluster that is an error."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return named or tempfile.mkdtemp(prefix="checkpoint-")
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import DOC, Table, Words, checkpoint, components, mix64, named_docs, names128, span_hashes, text_blocks, utf8
 
@@ -468,7 +469,7 @@ def cut_lines(named: DataFrame, kept: DataFrame) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["rest", "text", "n_lines", "n_removed"])
 
-    kind = f"rest {named.schema['rest'].dataType.simpleString()}, text string, n_lines long, n_removed long"
+    kind = T.StructType([named.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     joined = named.join(kept.hint("shuffle_hash"), DOC, "left").select("rest", "text", "numbers", "eligible")
     whole = F.coalesce(F.size("numbers") == F.col("eligible"), F.lit(False))  # all that may be removed stays
     n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(F.split("text", "\n"))).cast("long")

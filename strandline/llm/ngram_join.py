@@ -271,4 +271,4 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     Of rows that repeat a doc_id, or have none, all stay unless a smaller id stands for them.
     """
     drop = ngram_components(docs, n, percent).where("component_id < doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(drop, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

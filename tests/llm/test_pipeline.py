@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import bpe, lines, mixing, quality
+from strandline.llm import bpe, lines, mixing, ngram_join, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, copies string, salt int"
 
@@ -158,3 +158,14 @@ def test_stage_tables_are_removed(spark, folder):
     corpus_pipeline.run(spark, folder).count()
     here = spark.sparkContext.getCheckpointDir().removeprefix("file:")
     assert not [d for d in os.listdir(here) if d.startswith("table-")] and shared_folder(spark)
+
+
+def test_columns_whose_names_need_quotes(spark, folder):
+    """Columns with a space, a dot, a backquote or a keyword go through every stage as they are."""
+    docs = spark.createDataFrame([(i, f"line {i % 3} of a short text\nand its own words {i} here", "s") for i in range(12)], "doc_id long, text string, source string")
+    odd = ["a b", "x.y", "select", "per-cent"]
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(odd)])
+    for stage in (quality.keep_good, lambda d, _: lines.strip_lines(d), lambda d, _: ngram_join.keep_one(d), lambda d, _: mixing.take_mix(d)):
+        out = stage(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+        assert out.columns == docs.columns
+        assert {tuple(r[len(docs.columns) - 4 :]) for r in out.collect()} <= {(0, 1, 2, 3)}
