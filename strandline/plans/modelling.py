@@ -333,9 +333,10 @@ def constructs(spark, d):
 
     m = number_rows(filled_motifs(spark, d), ["sseqid"], "nth")
     n = max(1, m.count())
-    again = dna.back_translate(dna.translate(F.col("motif"), 0, "*"))
+    # both pieces are made once a motif, not once a document
+    m = checkpoint(m.select("nth", F.substr("motif", F.lit(1), F.floor(F.length("motif") * 0.7).cast("int")).alias("part"), dna.back_translate(dna.translate(F.col("motif"), 0, "*")).alias("again")))
     s = sequences(spark, d).join(m, F.pmod("plasmid_id", F.lit(n)) == F.col("nth"))
-    piece = F.when(F.col("plasmid_id") % 2 == 0, F.substr("motif", F.lit(1), F.floor(F.length("motif") * 0.7).cast("int"))).otherwise(again)
+    piece = F.when(F.col("plasmid_id") % 2 == 0, F.col("part")).otherwise(F.col("again"))
     return s.select("plasmid_id", F.concat("sequence", piece).alias("sequence"))
 
 
