@@ -59,7 +59,8 @@ def test_token_counts_stream(spark, tmp_path):
 def test_planted_constructs_are_found(spark, tiny):
     """Motifs in other codons are found by their proteins, and parts of motifs are repaired."""
     hits = QUERIES["search_translated_constructs"](spark, tiny).collect()
-    assert hits and all(r["coverage"] >= 30 and r["pct_id"] >= 60 for r in hits) and {r["plasmid_id"] % 2 for r in hits} == {1}
+    assert hits and all(r["coverage"] >= 30 and r["pct_id"] >= 60 for r in hits)
+    assert sum(r["plasmid_id"] % 2 and r["coverage"] == 100 for r in hits) > 10  # even ids hold seven tenths of a motif
     assert QUERIES["align_repair_constructs"](spark, tiny).where("n_repairs > 0").count() > 50
 
 
