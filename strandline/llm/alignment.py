@@ -34,9 +34,9 @@ STRIPES = 256
 #: Pairs that a task adds up at most, about; beyond, a stripe's pairs are added up in parts first.
 PAIRS_PER_TASK = 8 << 20
 #: Distinct units that a worker remembers at most.
-KNOWN_UNITS = 200_000
+KNOWN_UNITS = 300_000
 #: Bytes of text that make a block.
-BLOCK_TEXT = 6 << 20
+BLOCK_TEXT = 3 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
@@ -244,6 +244,7 @@ def align_tokens(docs: DataFrame, file: str, model: str, text: str = "text", key
         pair, block = _pair(tokenizer, pieces), TaskContext.get().partitionId() << 33
         for part in text_blocks(batches, max_bytes=BLOCK_TEXT):
             yield from _block(pair, block, part.column(0), part.column(1))
+            pa.default_memory_pool().release_unused()
             block += 1
 
     picked = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text"))
