@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -177,16 +177,17 @@ def resolve_subjects(hits: DataFrame, known: DataFrame, subject: str = "sseqid")
     return found.withColumn("token", F.coalesce("__plain", "__safe")).where("token is not null").drop("__id", "__plain", "__safe")
 
 
-def token_hits(nucleotide: DataFrame, translated: DataFrame, known: DataFrame, min_coverage: float = 30.0, min_identity: float = 0.0) -> DataFrame:
-    """qseqid, token and the best hit of both searches by bit score, with its places; of equals a nucleotide hit, then the first place.
+def token_hits(nucleotide: DataFrame, translated: DataFrame, known: DataFrame, min_coverage: float = 30.0, min_identity: float = 0.0, ties: Sequence[str] = ()) -> DataFrame:
+    """qseqid, token and the best hit of both searches by bit score, with its places; of equals a nucleotide hit, then the first place, then the lowest in the columns ties.
 
     Hits have the columns of tabular search output. Coverage (100 at most) is of
-    the subject, and norm_score is bits per letter of it.
+    the subject, and norm_score is bits per letter of it. Without ties a hash of
+    the subject decides between hits of one place.
     """
     both = nucleotide.withColumn("__order", F.lit(0)).unionByName(translated.withColumn("__order", F.lit(1)), allowMissingColumns=True)
     slen = F.greatest("slen", F.lit(1))
     both = both.withColumn("coverage", F.least(100 * F.col("length") / slen, F.lit(100.0))).where((F.col("coverage") >= min_coverage) & (F.col("pident") >= min_identity))
     rows = resolve_subjects(both, known)
-    rank = F.struct("bitscore", (-F.col("__order")).alias("o"), (-F.least("qstart", "qend")).alias("q"), (-F.xxhash64("sseqid")).alias("s"))
+    rank = F.struct(F.isnull("bitscore").alias("b"), (-F.col("bitscore")).alias("s"), "__order", F.least("qstart", "qend").alias("q"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)], F.xxhash64("sseqid").alias("h"))
     hit = F.struct("sseqid", "bitscore", "evalue", F.least("pident", F.lit(100.0)).alias("pct_id"), "coverage", (F.col("bitscore") / slen).alias("norm_score"), F.least("qstart", "qend").alias("lo"), F.greatest("qstart", "qend").alias("hi"), F.when(F.col("__order") == 0, "nucleotide").otherwise("translated").alias("search"))
-    return rows.groupBy("qseqid", "token").agg(F.max_by(hit, rank).alias("x")).select("qseqid", "token", "x.*")
+    return rows.groupBy("qseqid", "token").agg(F.min_by(hit, rank).alias("x")).select("qseqid", "token", "x.*")

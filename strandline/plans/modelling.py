@@ -16,7 +16,7 @@ from strandline.scorers.structure import structure
 
 from .analytics import _frame, candidate_pairs, kmer_candidates, loci
 from .relational import query
-from .views import annotations, hits, motifs, plasmid_tokens, registry, sequences, table
+from .views import ROW_PLACE, annotations, hits, motifs, plasmid_tokens, registry, sequences, table
 
 SPECIALS = ("<PAD>", "<UNK>", "<BOS>", "<EOS>", "<SEQ>")
 K, STRIDE = 6, 3
@@ -344,14 +344,14 @@ def constructs(spark, d):
 SELECT qseqid, token, arg_max(sseqid::VARCHAR, k) AS sseqid, max(bits) AS bitscore, round(arg_max(pid, k), 6) AS pct_id, round(arg_max(coverage, k), 6) AS coverage, round(arg_max(norm, k), 6) AS norm_score, arg_max(qstart, k) AS lo, arg_max(qend, k) AS hi, CASE WHEN arg_max(o, k) = 0 THEN 'nucleotide' ELSE 'translated' END AS search
 FROM (SELECT *, bits * 1000000 - o * 100000 - qstart AS k FROM b WHERE coverage >= 30 AND raw >= 95) GROUP BY 1, 2""")
 def agg_token_hits(spark, d):
-    """The best hit of each token in either of two searches' tables, with its places; annotations of odd lines stand for the translated search's."""
-    a = annotations(spark, d).join(registry(spark, d), "sseqid")
+    """The best hit of each token in either of two searches' tables, with its places; annotations of odd lines stand for the translated search's, and of equal ones the first row counts."""
+    a = annotations(spark, d, placed=True).join(registry(spark, d), "sseqid")
     rows = a.select(
         F.col("plasmid_id").alias("qseqid"), F.col("sseqid").cast("string").alias("sseqid"), (F.col("pident") + 2).alias("pident"), (F.col("qend") - F.col("qstart")).alias("length"), "qstart", "qend",
-        F.lit(0.0).alias("evalue"), (F.col("percmatch") * 3 + F.col("ln") % 3).alias("bitscore"), (F.col("seq_len") * 12).alias("slen"), "ln",
+        F.lit(0.0).alias("evalue"), (F.col("percmatch") * 3 + F.col("ln") % 3).alias("bitscore"), (F.col("seq_len") * 12).alias("slen"), "ln", *ROW_PLACE,
     )
     known = registry(spark, d).select(F.col("sseqid").cast("string").alias("sseqid"), "token")
-    best = homology.token_hits(rows.where("ln % 2 = 0").drop("ln"), rows.where("ln % 2 = 1").drop("ln"), known, min_identity=95.0)
+    best = homology.token_hits(rows.where("ln % 2 = 0").drop("ln"), rows.where("ln % 2 = 1").drop("ln"), known, min_identity=95.0, ties=ROW_PLACE)
     return best.select("qseqid", "token", "sseqid", "bitscore", *[F.round(c, 6).alias(c) for c in ("pct_id", "coverage", "norm_score")], "lo", "hi", "search")
 
 

@@ -16,13 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def annotations(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
+#: The file and place of a row: what SQL that leaves a tie open takes first.
+ROW_PLACE = ("row_file", "row_index")
+
+
+def placed_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with ROW_PLACE."""
+    return table(spark, sf_dir, name).select("*", F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_index"))
+
+
+def annotations(spark: SparkSession, d: str, placed: bool = False) -> DataFrame:
+    """Annotations; placed: with ROW_PLACE."""
+    li = placed_table(spark, d, "lineitem") if placed else table(spark, d, "lineitem")
     start = (F.col("l_linenumber") * 100).alias("qstart")
     return li.select(
         F.col("l_orderkey").alias("plasmid_id"), F.col("l_partkey").alias("sseqid"), F.col("l_linenumber").alias("ln"),
         (F.lit(90.0) + F.round(F.col("l_discount") * 100)).alias("pident"), (F.col("l_quantity") * 2).alias("percmatch"),
         F.when(F.col("l_linenumber") == 7, None).otherwise(F.col("l_returnflag") == "R").alias("fragment"), start, (F.col("l_linenumber") * 100 + F.col("l_quantity").cast("int") * 10).alias("qend"),
+        *(ROW_PLACE if placed else ()),
     )
 
 
