@@ -10,7 +10,7 @@ from strandline.operators import scoring, sketches
 from strandline.operators.algorithms import build_algorithm
 
 from .relational import query
-from .views import annotations, metadata, plasmid_tokens, registry, sequences, table
+from .views import ROW_PLACE, annotations, metadata, placed_table, plasmid_tokens, registry, sequences, table
 
 _EOS = "(contains(text, 'e') AND length(text) % 3 = 0)"
 
@@ -332,9 +332,11 @@ def join_sequence_lookup(spark, d):
 
 @query(", m AS (SELECT s_suppkey AS sseqid, 'db' || s_nationkey AS db FROM supplier), a AS (SELECT l_partkey AS sseqid, arg_min(l_linestatus, l_orderkey * 10 + l_linenumber) AS db FROM lineitem GROUP BY 1) SELECT reg.sseqid, coalesce(m.db, a.db, 'unknown') AS db FROM reg LEFT JOIN m USING (sseqid) LEFT JOIN a USING (sseqid)")
 def join_metadata_tiers(spark, d):
-    """The source of each entry: from metadata, else the first seen in annotations, else unknown."""
+    """The source of each entry: from metadata, else the first seen in annotations (of equals the first row that has one), else unknown."""
     m = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sseqid"), F.concat(F.lit("db"), F.col("s_nationkey").cast("string")).alias("meta"))
-    a = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("sseqid")).agg(F.min_by("l_linestatus", F.struct("l_orderkey", "l_linenumber")).alias("seen"))
+    at = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at")
+    a = placed_table(spark, d, "lineitem").withColumn("at", at).where("l_linestatus is not null and at is not null")
+    a = a.groupBy(F.col("l_partkey").alias("sseqid")).agg(F.min_by("l_linestatus", F.struct("at", *ROW_PLACE)).alias("seen"))
     return registry(spark, d).select("sseqid").join(m, "sseqid", "left").join(a, "sseqid", "left").select("sseqid", F.coalesce("meta", "seen", F.lit("unknown")).alias("db"))
 
 

@@ -25,7 +25,7 @@ def tied(tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["agg_token_hits"])
+@pytest.mark.parametrize("name", ["agg_token_hits", "join_metadata_tiers"])
 def test_first_row_of_ties(spark, tied, name):
     con = duckdb.connect()
     con.sql("set threads = 1")
