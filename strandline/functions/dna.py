@@ -167,25 +167,6 @@ def cigar(text: Column) -> Column:
     return F.struct(total(core, "=M").alias("matches"), total(core, "X").alias("mismatches"), total(core, "I").alias("ins"), total(core, "D").alias("dels"), F.when(none, 0).otherwise(lead + before).alias("start_query"), F.when(none, 0).otherwise(whole - after - 1).alias("end_query"))
 
 
-def _places(n: Column) -> Column:
-    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-
-
-def _draw(seed: Column, i: Column) -> Column:
-    return F.md5(F.concat_ws("-", seed.cast("string"), i.cast("string")).cast("binary"))
-
-
-def random_bases(seed: Column, n: Column) -> Column:
-    """n bases drawn by a hash of the seed and the place."""
-    return F.array_join(F.transform(_places(n), lambda i: F.substr(F.lit("ACGT"), F.conv(F.right(_draw(seed, i), F.lit(1)), 16, 10).cast("int") % 4 + 1, F.lit(1))), "")
-
-
-def shuffled(seed: Column, seq: Column) -> Column:
-    """The letters of a sequence in the order of a hash of the seed and their places."""
-    keyed = F.transform(_places(F.length(seq)), lambda i: F.concat(_draw(seed, i), F.substr(seq, i + 1, F.lit(1))))
-    return F.array_join(F.transform(F.array_sort(keyed), lambda x: F.right(x, F.lit(1))), "")
-
-
 def splice(df: DataFrame, seq: str, repairs: str) -> DataFrame:
     """df with repaired and n_repairs: the repairs (start, end, motif; from the right) put into seq, without those that reach into one already done."""
     start = F.struct(F.col(seq).alias("s"), F.length(seq).alias("edge"), F.lit(0).alias("n"))

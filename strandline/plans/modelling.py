@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandline.functions import dna, features, tokens
+from strandline.functions import dna, draws, features, tokens
 from strandline.operators import align, homology, intervals, scoring
 from strandline.operators.order import checkpoint, spread
 from strandline.scorers import AlignmentScorer
@@ -261,7 +261,8 @@ def seq_negatives(spark, d):
     """Sequences that should score low: prefixes, random bases of the same length, and the same bases in another order; seeded by id and place."""
     n = F.length("sequence")
     cut = lambda k: F.substr("sequence", F.lit(1), F.floor(n * k / 4).cast("int"))
-    return sequences(spark, d).select("plasmid_id", cut(1).alias("prefix_25"), cut(2).alias("prefix_50"), cut(3).alias("prefix_75"), dna.random_bases(F.col("plasmid_id"), n).alias("random"), dna.shuffled(F.col("plasmid_id"), F.col("sequence")).alias("shuffled"))
+    x = sequences(spark, d).withColumn("x", draws.drawn(F.col("plasmid_id").cast("string"), "sequence"))
+    return x.select("plasmid_id", cut(1).alias("prefix_25"), cut(2).alias("prefix_50"), cut(3).alias("prefix_75"), "x.random", "x.shuffled")
 
 
 @query(", p AS (SELECT plasmid_id, tokens, count(*) OVER () AS n, row_number() OVER (ORDER BY plasmid_id) - 1 AS rn FROM ptok) SELECT a.plasmid_id, a.tokens, list_filter(a.tokens, lambda t: ord(md5(t || a.plasmid_id)) % 2 = 0 AND t <> a.tokens[1]) AS kept, b.tokens AS other FROM p a JOIN p b ON b.rn = (a.rn + a.n // 2) % a.n")
