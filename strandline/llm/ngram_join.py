@@ -13,9 +13,10 @@ compared with its first set only, which gives their distance to it. Sets that
 a chain of links joins need no comparison with each other, as their answer,
 the component, is known. And the distance, 1 - Jaccard similarity, is a
 metric: what is far from a list's first set is far from all that are near to
-it, so those answers follow from the ones that are computed. In further turns
-another member leads; then all pairs that remain are compared, across
-components.
+it, so those answers follow from the ones that are computed. Who has led has met
+all that it may link with and leaves its lists. In further turns other members
+lead, the one of most links yet and some at random; when few pairs are left to a
+set, or after the last turn, all that remain are compared, across components.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from .common import DOC, Table, Words, checkpoint, components, mix64, named_docs
 
 #: Blocks in which frequent tokens are counted (bytes), the occurrences in a block that make a token a candidate, and the most tokens that are broadcast (8 bytes each). The order of tokens decides speed only.
 COUNT_BYTES, COUNT_LEAST, MAX_FREQUENT = 8 << 20, 2, 1 << 18
-#: Sets of a block that are compared together, and turns in which a member of each list leads before all that is left is compared.
-BLOCK_SETS, TURNS = 64, 3
+#: Sets of a block that are compared together, turns in which so many members of each list lead before all that is left is compared, and the pairs that a set of a list may be in to end them.
+BLOCK_SETS, TURNS, LEADS, FEW_PAIRS = 64, 3, 8, 3
 
 
 def set_names(sets: list[np.ndarray]) -> pa.Array:
@@ -186,22 +187,27 @@ def set_links(named: DataFrame, sets: DataFrame, n: int, percent: int, frequent:
     """Links (a, b) between sets, enough to know all components."""
     in_token, in_list = Window.partitionBy("token"), Window.partitionBy("token", "run")
     by_size = in_token.orderBy("info", "n")
-    posted = find_postings(named, sets, n, percent, frequent).withColumn("before", F.shiftright(F.lag("info").over(by_size), 32))
-    # a list is a run of sizes each of which can link with the next
-    posted = posted.withColumn("new", F.when(100 * F.col("before") >= percent * F.shiftright("info", 32), 0).otherwise(1))
-    posted = posted.withColumn("run", F.sum("new").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    posted = posted.withColumn("lead", F.min(F.struct("n", "info")).over(in_list)).withColumn("last", F.max("n").over(in_list)).where("last <> lead.n")
+    size_of = lambda info: F.shiftright(info, 32)
+    at_of = lambda info: F.col(info).bitwiseAND(F.lit((1 << 32) - 1))
+    posted = find_postings(named, sets, n, percent, frequent).withColumn("next", size_of(F.lead("info").over(by_size)))
+    # a set may link as the smaller of two if it may with one of the next size; a list is a run of sizes each of which can link with such a set before it
+    size = size_of("info")
+    may_lead = (size - at_of("info") >= F.ceil(percent * (size + F.col("next")) / (100 + percent))) & (100 * size >= percent * F.col("next"))
+    before = F.last(F.when(may_lead, size), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    posted = posted.withColumn("new", F.when(100 * before >= percent * size, 0).otherwise(1))
+    posted = posted.withColumn("run", F.sum("new").over(by_size.rowsBetween(Window.unboundedPreceding, 0))).drop("next", "new")
+    posted = posted.withColumns({"lead": F.min(F.struct("n", "info")).over(in_list), "last": F.max("n").over(in_list), "low": F.min("info").over(in_list), "high": F.max("info").over(in_list), "members": F.count("*").over(in_list)})
+    pair = may_link(size_of("low"), at_of("low"), size_of("high"), at_of("high"), percent)  # what a list of two sets is for
+    posted = posted.where((F.col("last") != F.col("lead.n")) & ((F.col("members") > 2) | pair)).drop("last", "low", "high")
     # tokens of one list of sets give the same pairs, and the first of them in the order of tokens comes first in all these sets
     bits = lambda seed: F.try_sum(F.xxhash64("n", F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1))).over(in_list)
-    posted = posted.withColumns({"s0": bits(0), "s1": bits(1), "members": F.count("*").over(in_list)})
+    posted = posted.withColumns({"s0": bits(0), "s1": bits(1)})
     posted = Table(posted.select("token", "run", "n", "info", F.col("lead.n").alias("lead"), F.col("lead.info").alias("lead_info"), "s0", "s1", "members"))
     own = F.when(F.col("s0").isNull() | F.col("s1").isNull(), F.col("token"))  # sums that overflow tell nothing
     first = F.min_by(F.struct("token", "run"), F.struct(F.col("lead_info"), "token")).alias("t")
     chosen = posted.read().where("n = lead").groupBy("lead", "s0", "s1", "members", own.alias("own")).agg(first).select("t.token", "t.run")
     table = Table(posted.read().select("token", "run", "n", "info", "lead", "lead_info").join(chosen, ["token", "run"], "left_semi"))
     posted.drop()
-    size_of = lambda info: F.shiftright(info, 32)
-    at_of = lambda info: F.col(info).bitwiseAND(F.lit((1 << 32) - 1))
     lists = table.read().withColumns({"size": size_of("info"), "at": at_of("info")})
     linked = F.col("both") * 100 >= F.col("all") * percent
     led = may_link(F.col("size"), F.col("at"), size_of("lead_info"), at_of("lead_info"), percent)
@@ -210,25 +216,31 @@ def set_links(named: DataFrame, sets: DataFrame, n: int, percent: int, frequent:
     first = compare(first, tokens)
     links = first.where(linked).select("a", "b")
     known = first.select(F.col("a").alias("n"), F.col("b").alias("lead"), (1 - F.col("both") / F.col("all")).alias("far"))
-    rows = lists.join(small(known), ["n", "lead"], "left").withColumn("far", F.when(F.col("n") == F.col("lead"), 0.0).otherwise(F.col("far")))
-    rows = rows.select("token", "run", "n", "size", "at", "far")
+    rows = lists.where(F.col("n") != F.col("lead")).join(small(known), ["n", "lead"], "left").select("token", "run", "n", "size", "at", "far")
     apart = lambda x, y: F.coalesce(F.abs(F.col(x) - F.col(y)) > 1 - percent / 100 + 1e-9, F.lit(False))
     tables = [table]
     for turn in range(TURNS + 1):
-        label = small(components(links).select(F.col("id").alias("of"), "component"))
-        rows = rows.join(label, rows["n"] == F.col("of"), "left").withColumn("label", F.coalesce("component", "n")).drop("of", "component")
-        rows = rows.withColumn("least", F.min("label").over(in_list)).withColumn("most", F.max("label").over(in_list)).where("least <> most").drop("least", "most")
-        if turn == TURNS:
-            break
-        # another member leads: whom it links needn't be compared with each other
-        other = F.min_by(F.struct("n", "size", "at", "label", "far"), F.xxhash64("n", F.lit(turn))).over(in_list)
-        tables.append(Table(rows.withColumn("other", other)))
+        degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("n")).agg(F.count("*").alias("degree"))
+        label = components(links).join(degree, F.col("id") == F.col("n")).select(F.col("id").alias("of"), "component", "degree")
+        rows = rows.join(small(checkpoint(label)), rows["n"] == F.col("of"), "left").withColumns({"label": F.coalesce("component", "n"), "degree": F.coalesce("degree", F.lit(0))}).drop("of", "component")
+        # other members lead: whom they link needn't be compared with each other
+        drawn = [F.max_by(F.struct("n", "size", "at", "label", "far"), F.struct(F.col("degree") if k == 0 else F.lit(0), F.xxhash64("n", F.lit(turn), F.lit(k)))).over(in_list) for k in range(LEADS)]
+        rows = rows.withColumns({"least": F.min("label").over(in_list), "most": F.max("label").over(in_list), "members": F.count("*").over(in_list), "others": F.array(*drawn)}).where("least <> most").drop("least", "most", "degree")
+        # of the pairs that are left, those within the first leader's component need no comparison
+        joined = F.count_if(F.col("label") == F.col("others")[0]["label"]).over(in_list)
+        tables.append(Table(rows.withColumn("left", (F.col("members") - joined * joined / F.col("members")) / 2).drop("members")))
         rows = tables[-1].read()
-        met = rows.where((F.col("label") != F.col("other.label")) & may_link(F.col("size"), F.col("at"), F.col("other.size"), F.col("other.at"), percent) & ~apart("far", "other.far"))
-        met = checkpoint(met.select(F.least("n", "other.n").alias("a"), F.greatest("n", "other.n").alias("b")).distinct())
+        tables.pop(-2).drop()
+        left, n_rows = rows.agg(F.sum("left"), F.count("*")).first()  # two numbers
+        if turn == TURNS or (left or 0) <= FEW_PAIRS * n_rows:
+            break
+        far = lambda o: F.coalesce(F.abs(F.col("far") - o["far"]) > 1 - percent / 100 + 1e-9, F.lit(False))
+        meets = F.filter("others", lambda o: (F.col("label") != o["label"]) & may_link(F.col("size"), F.col("at"), o["size"], o["at"], percent) & ~far(o))
+        met = rows.select("n", F.explode(meets["n"]).alias("other"))
+        met = checkpoint(met.select(F.least("n", "other").alias("a"), F.greatest("n", "other").alias("b")).distinct())
         tokens = fetch_sets(named, sets, met, n, tokens)
         links = links.unionByName(compare(met, tokens).where(linked).select("a", "b"))
-        rows = rows.drop("other", "label")
+        rows = rows.where(~F.array_contains(F.col("others")["n"], F.col("n"))).drop("others", "label", "left")
     # a block holds the sizes of which the largest is 100 / percent times the smallest: sets of linked sizes are in one or the next
     block = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     rows = checkpoint(rows.select("token", "run", "n", "size", "at", "label", "far", block.alias("block")))

@@ -159,6 +159,30 @@ def test_ngram_components_of_graded_copies(spark):
     assert got == {i: (len(sets[i]), root[i]) for i in range(len(sets))} and 40 < len(set(root)) < 200
 
 
+def test_ngram_pairs_of_a_large_group_stay_few(spark, monkeypatch):
+    """Most of a group of near copies isn't compared pair by pair, and the components are those of all pairs."""
+    draw = random.Random(5)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for _ in range(300):
+        words = list(base)
+        for _ in range(draw.randint(1, 3)):
+            words[draw.randrange(120)] = f"x{draw.randrange(10**6)}"
+        texts.append(words)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    low = list(range(300))
+    for _ in range(300):
+        now = [min([low[j] for j in range(300) if 100 * len(a & sets[j]) >= 75 * len(a | sets[j])]) for a in sets]
+        if now == low:
+            break
+        low = now
+    compared, compare = [], ngram_join.compare
+    monkeypatch.setattr(ngram_join, "compare", lambda pairs, tokens: compared.append(pairs.count()) or compare(pairs, tokens))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(df).collect()}
+    assert got == dict(enumerate(low))
+    assert sum(compared) <= 6000
+
+
 def test_substrings(spark, docs):
     df, rows = docs
     order = sorted({(r[0] if r[0] is not None else 1 << 62, r[1]) for r in rows}, key=lambda x: x[0])
