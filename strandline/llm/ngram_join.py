@@ -165,6 +165,7 @@ def compare(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     cells = checkpoint(cells.join(home.select(F.col("n").alias("b"), F.col("home").alias("hb"), F.col("k").alias("kb")), "b"))
     cell = ["ha", "ka", "hb", "kb"]
     here = [F.col(c).alias(f"of_{c}") for c in cell]
+    tokens = tokens.join(small(home.select("n")), "n", "left_semi")  # other sets needn't move
     asked = cells.select(*here, F.col("a").alias("n")).union(cells.select(*here, "b")).distinct().join(tokens, "n")
 
     def run(key: tuple, wanted: pa.Table, held: pa.Table) -> pa.Table:
