@@ -220,45 +220,110 @@ def _votes(ballots: np.ndarray, head: np.ndarray, total: np.ndarray) -> np.ndarr
     return votes
 
 
-def similar_rows(left: list[bytes], right: list[bytes], similarity: float) -> list[bool]:
-    """similar() for many pairs; those that differ in stretches of up to 512 bytes are compared many at once."""
-    out, later, cuts = [False] * len(left), [], []
-    for k, (a, b) in enumerate(zip(left, right, strict=True)):
-        limit = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
-        if abs(len(a) - len(b)) > limit:
-            continue
-        x, y = trimmed(a, b)
-        if max(len(x), len(y)) <= limit:
-            out[k] = True
-        elif 16 < min(len(x), len(y)) and max(len(x), len(y)) <= 512:
-            later.append((k, limit))
-            cuts.append((x, y))
+#: Letters beyond which lines are compared one by one, pairs and words of tables of a chunk at most, and pairs below which a chunk doesn't pay.
+LONG_CHARS, CHUNK_PAIRS, CHUNK_WORDS, FEW_PAIRS = 4096, 2048, 1 << 21, 8
+
+
+def within_limits(pairs: list[tuple[bytes, bytes]], limits: list[int]) -> np.ndarray:
+    """Whether the edit distance of each pair (neither is empty) is at most its limit: many pairs at once, within the band that the limits leave."""
+    out = np.zeros(len(pairs), bool)
+    order = sorted(range(len(pairs)), key=lambda k: (limits[k], len(pairs[k][1])))
+    sizes, at = [max(map(len, p)) for p in pairs], 0
+    while at < len(order):
+        to, widest = at + 1, 0
+        while to < len(order) and to - at < CHUNK_PAIRS and limits[order[to]] <= 1.5 * limits[order[at]] + 8:
+            widest = max(widest, sizes[order[to]])
+            if (to + 1 - at) * 48 * (widest // 64 + 8) > CHUNK_WORDS:
+                break
+            to += 1
+        chunk = order[at:to]
+        if len(chunk) < FEW_PAIRS and widest > 64:
+            out[chunk] = [edit_distance(*pairs[k], limits[k]) <= limits[k] for k in chunk]
         else:
-            out[k] = similar(a, b, similarity)
-    for (k, limit), distance in zip(later, edit_distances(cuts).tolist(), strict=True):
-        out[k] = distance <= limit
+            out[chunk] = _band_within([pairs[k][0] for k in chunk], [pairs[k][1] for k in chunk], np.array([limits[k] for k in chunk]))
+        at = to
     return out
 
 
-def _votes(ballots: np.ndarray, head: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Sums of the rows of ballots (64 bytes) from each head to the next, whose weights make total."""
-    votes = np.add.reduceat(ballots.view(np.uint64), head, axis=0).view(np.uint8).astype(np.int32)  # eight counts at a time
-    for k in np.flatnonzero(total > 255):  # more than a byte holds
-        votes[k] = ballots[head[k] : head[k + 1] if k + 1 < len(head) else len(ballots)].sum(axis=0, dtype=np.int32)
-    return votes
+def _band_within(rows: list[bytes], columns: list[bytes], limits: np.ndarray) -> np.ndarray:
+    """Bit vectors that hold the rows near the diagonal only, and move down by a row with each column; pairs that can't come back to their limit are left out."""
+    n, one = len(rows), np.uint64(1)
+    m, steps, band = np.array(list(map(len, rows))), np.array(list(map(len, columns))), int(limits.max())
+    words = (2 * band + 64) // 64
+    bits, last = 64 * words, int(steps.max())
+    body, every = np.frombuffer(b"".join(rows), np.uint8), np.arange(n)
+    known = np.unique(body)
+    code = np.full(256, len(known))
+    code[known] = np.arange(len(known))
+    kinds = len(known) + 1
+    table = np.zeros(((band + max(last, int(m.max()))) // 64 + words + 2, n * kinds), np.uint64)  # row r is bit r + bits
+    place = bits + np.concatenate([np.arange(k) for k in m])
+    np.add.at(table.ravel(), place // 64 * (n * kinds) + np.repeat(every * kinds, m) + code[body], one << (place % 64).astype(np.uint64))
+    text = np.full((last, n), len(known))
+    for k, b in enumerate(columns):
+        text[: len(b), k] = code[np.frombuffer(b, np.uint8)]
+    text += every * kinds
+    up, down = np.zeros((words, n), np.uint64), np.zeros((words, n), np.uint64)
+    for bit in range(bits - band - 1, bits):
+        up[bit // 64] |= one << np.uint64(bit % 64)
+    score, whose, out = np.minimum(m, band), every.copy(), np.zeros(n, bool)
+    for j in range(last):
+        word, shift = divmod(band + 1 + j, 64)
+        x = np.take(table[word : word + words + 1], text[j], axis=1)
+        x = x[:words] >> np.uint64(shift) | x[1:] << np.uint64(64 - shift) if shift else x[:words]
+        total = x & up
+        over = total.copy()
+        total += up
+        over = total < over
+        for w in range(1, words):
+            total[w] += over[w - 1]
+            over[w] |= (total[w] == 0) & over[w - 1]
+        total ^= up
+        total |= x
+        total |= down
+        plus, minus = down | ~(total | up), total & up
+        ahead = m - band > j
+        change = total[-1] >> np.uint64(63) == 0
+        if not ahead.all():  # the last row lies in the band
+            bit = np.clip(bits - 2 - j + m - band, 0, bits - 1)
+            at, bit = bit // 64, (bit % 64).astype(np.uint64)
+            low = (plus[at, every] >> bit & one).astype(np.int64) - (minus[at, every] >> bit & one).astype(np.int64)
+            change = np.where(ahead, change, np.where(j < steps, low, 0))
+        score += change
+        total[:-1] = total[:-1] >> one | total[1:] << np.uint64(63)
+        total[-1] >>= one
+        up, down = minus | ~(total | plus), total & plus
+        if j % 32 == 31:
+            alive = score <= limits + np.maximum(steps - np.maximum(j + 1, m - band), 0)
+            if alive.sum() < 0.75 * len(alive):
+                if not alive.any():
+                    return out
+                text, up, down = text[:, alive], up[:, alive], down[:, alive]
+                m, steps, limits, score, whose = m[alive], steps[alive], limits[alive], score[alive], whose[alive]
+                every = np.arange(len(whose))
+    out[whose] = score <= limits
+    return out
 
 
 def similar_rows(left: list[bytes], right: list[bytes], similarity: float) -> list[bool]:
-    """similar() for many pairs; lines of up to 4096 bytes are compared many at once."""
-    out, later = [False] * len(left), []
+    """similar() for many pairs; what differs between two lines is compared many at once if it isn't too long."""
+    out, later, cuts, limits = [False] * len(left), [], [], []
     for k, (a, b) in enumerate(zip(left, right, strict=True)):
-        n = max(len(a), len(b))
-        if n > 4096:
+        limit = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+        if abs(len(a) - len(b)) > limit:
+            continue
+        x, y = trimmed(a, b)
+        longer, shorter = max(len(x), len(y)), min(len(x), len(y))
+        if longer <= limit:
+            out[k] = True
+        elif shorter and longer > LONG_CHARS:
             out[k] = similar(a, b, similarity)
-        elif abs(len(a) - len(b)) <= (1 - similarity) * n + 1e-9:
+        elif shorter:
             later.append(k)
-    for k, distance in zip(later, edit_distances([(left[k], right[k]) for k in later]).tolist(), strict=True):
-        out[k] = distance <= (1 - similarity) * max(len(left[k]), len(right[k])) + 1e-9
+            cuts.append((x, y))
+            limits.append(limit)
+    for k, within in zip(later, within_limits(cuts, limits).tolist(), strict=True):
+        out[k] = within
     return out
 
 
