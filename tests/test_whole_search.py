@@ -19,13 +19,19 @@ def test_scores_of_all_queries_at_once(monkeypatch):
         assert align.Motifs(q).scores(t).tolist() == want
 
 
+def test_scores_in_a_long_sequence():
+    draw = random.Random(7)
+    q, t = (["".join(draw.choices("ACGT", k=n)) for n in sizes] for sizes in ((30, 55, 100), (70_000, 40_000)))
+    assert align.Motifs(q).scores(t).tolist() == [[align.within_score(a, b)[0] for a in q] for b in t]
+
+
 def test_dna_hits_are_those_of_brute_force(spark, tmp_path, monkeypatch):
     """Motifs with each fourth base changed share no k-mer of 15 with the sequences that hold them, nor do those of 10 to 14 bases, or the other strand."""
     draw = random.Random(9)
     bases = lambda n: "".join(draw.choices("ACGT", k=n))
     back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
     worn = lambda s: "".join("CATG"["ACTG".index(c)] if i % 4 == 3 else c for i, c in enumerate(s))
-    m = [bases(n) for n in (60, 61, 45, 90, 12, 10, 9, 3)] + ["ACGNNT" * 6, "", None]
+    m = [bases(n) for n in (60, 61, 45, 90, 12, 10, 9, 3)] + ["ACGNNT" * 6, "", None, "ANN" * 12, "NAGN" * 5 + "C"]
     texts = [bases(40) + worn(m[0]) + bases(30), worn(back(m[1])), back(m[2]) + bases(20), m[4] + bases(10), bases(8) + back(m[5]), m[6] * 2, worn(m[3])[:50], bases(30), "ACGNNT" * 6, "", None, worn(m[3]), worn(m[3])]
     spark.createDataFrame(list(enumerate(m)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
